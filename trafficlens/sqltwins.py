@@ -19,14 +19,14 @@ AGENT_LIST = "[" + ", ".join(_q(a) for a in USER_AGENTS) + "]"
 USER_AGENT = f"CASE WHEN user_id % 25 = 0 THEN NULL ELSE {AGENT_LIST}[CAST(user_id % 12 + 1 AS INTEGER)] END"
 
 LOGINS = f"""logins AS (
-  SELECT user_id AS USER_ID, epoch_ms(ts) AS TIMESTAMP, event_type AS LOGIN_CREDENTIAL_TYPE,
+  SELECT user_id AS USER_ID, (epoch_us(ts) // 1000) AS TIMESTAMP, event_type AS LOGIN_CREDENTIAL_TYPE,
          {IS_BOT} AS isBot, event_id AS ROW_ID
   FROM events)"""
 
 _IPW = "((user_id * 2654435761) % 4294967296)"
 AUTH = f"""auth AS (
   SELECT CAST(CASE WHEN {_IPW} >= 2147483648 THEN {_IPW} - 4294967296 ELSE {_IPW} END AS INTEGER) AS IP,
-         epoch_ms(ts) // 1000 AS TIMESTAMP,
+         (epoch_us(ts) // 1000) // 1000 AS TIMESTAMP,
          CASE WHEN user_id % 10 = 0 THEN 'bot' ELSE 'human' END AS BOT_OR_HUMAN
   FROM events)"""
 
@@ -34,7 +34,7 @@ HTTP = f"""http AS (
   SELECT event_id AS ROW_ID, user_id AS userId, event_type AS operation,
          'r' || CAST({K} % 3 AS VARCHAR) AS requestType,
          CASE WHEN {K} % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
-         {K} AS browserId, epoch_ms(ts) AS timestamp,
+         {K} AS browserId, (epoch_us(ts) // 1000) AS timestamp,
          {USER_AGENT} AS userAgent,
          {IS_BOT} AS isBot
   FROM events)"""
