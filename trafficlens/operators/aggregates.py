@@ -21,11 +21,29 @@ def activity_counts(df: DataFrame, bounds, key: str = "IP", ts: str = "TIMESTAMP
         F.min_by(F.col(label), F.col(ts)).alias("label"))
 
 
-def simple_stats(df: DataFrame, key: str, ts: str = "TIMESTAMP") -> DataFrame:
-    """A2: mean truncated to LONG, sample variance, max, min per key."""
+def var_samp_exact(c: str, origin: int = 0) -> Column:
+    """Sample variance of an integral column from exact integer moments.
+
+    (n*sum(x^2) - sum(x)^2) / (n*(n-1)) with x = c - origin summed as
+    decimal(38,0): no cancellation error, and every engine rounds the one final
+    division the same way.  ``origin`` near the data keeps the sums small.
+    """
+    x = (F.col(c) - F.lit(origin)).cast("decimal(38,0)")
+    n = F.count(c).cast("decimal(38,0)")
+    num = n * F.sum(x * x) - F.sum(x) * F.sum(x)
+    return F.when(F.count(c) > 1, num.cast("double") / (n * (n - 1)).cast("double"))
+
+
+def simple_stats(df: DataFrame, key: str, ts: str = "TIMESTAMP", origin: int | None = None) -> DataFrame:
+    """A2: mean truncated to LONG, sample variance, max, min per key.
+
+    With ``origin`` (integral ts) the variance is exact (``var_samp_exact``);
+    otherwise Spark's streaming ``var_samp``.
+    """
+    var = var_samp_exact(ts, origin) if origin is not None else F.var_samp(ts)
     return df.groupBy(key).agg(
         F.avg(ts).cast("long").alias("MEAN"),
-        F.var_samp(ts).alias("variance"),
+        var.alias("variance"),
         F.max(ts).alias("MAX"),
         F.min(ts).alias("MIN"))
 
