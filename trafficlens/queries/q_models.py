@@ -1,0 +1,64 @@
+"""M8 (with J5, J6, A12) and the learned-model flows (rows-only where a learner decides)."""
+
+from pyspark.sql import functions as F
+
+from trafficlens.plans.quantile_vote import QuantileVoteClassifier
+from trafficlens.sources import standins as si
+from trafficlens.sqltwins import LOGINS, with_
+
+from . import register
+from .q_aggregates import _MM, _tsg_sql
+
+QV = dict(quantile=0.2, parts=7, shortParts=1)
+
+_QV_SQL = with_(LOGINS, _MM,
+                f"g AS (SELECT USER_ID, isBot, ROW_ID, {_tsg_sql(QV['parts'], QV['shortParts'])} AS TS_GROUP FROM logins, mm)",
+                "c AS (SELECT isBot, TS_GROUP, USER_ID, count(*) AS n FROM g GROUP BY 1, 2, 3)",
+                "f AS (SELECT isBot, TS_GROUP, n, count(*) AS freq FROM c GROUP BY 1, 2, 3)",
+                f"q AS (SELECT isBot, TS_GROUP, quantile_cont(freq, {QV['quantile']}) AS size FROM f GROUP BY 1, 2)",
+                """qt AS (SELECT coalesce(b.TS_GROUP, u.TS_GROUP) AS TS_GROUP, coalesce(b.size, 0.0) AS size_bots,
+  coalesce(u.size, 0.0) AS size_users FROM (SELECT * FROM q WHERE isBot = 1) b
+  FULL OUTER JOIN (SELECT * FROM q WHERE isBot = 0) u ON b.TS_GROUP = u.TS_GROUP)""",
+                "t AS (SELECT USER_ID, TS_GROUP, count(*) AS size FROM g GROUP BY 1, 2)",
+                """tt AS (SELECT t.USER_ID, t.TS_GROUP, t.size, coalesce(qt.size_bots, 0.0) AS size_bots,
+  coalesce(qt.size_users, 0.0) AS size_users FROM t LEFT JOIN qt ON t.TS_GROUP = qt.TS_GROUP)""",
+                """v AS (SELECT USER_ID, CAST(sum(sign(abs(size - size_users) - abs(size - size_bots))) AS DOUBLE) AS vote
+  FROM tt GROUP BY 1)""")
+
+
+def _model(spark, d):
+    lg = si.logins(spark, d)
+    return lg, QuantileVoteClassifier(**QV).fit(lg)
+
+
+@register("q_j5_outer_fill", _QV_SQL + "SELECT TS_GROUP, size_bots, size_users FROM qt")
+def q_j5(spark, d):
+    return _model(spark, d)[1].table
+
+
+@register("q_j6_left_fill", _QV_SQL + "SELECT USER_ID, TS_GROUP, size, size_bots, size_users FROM tt")
+def q_j6(spark, d):
+    lg, m = _model(spark, d)
+    return m.test_table(lg)
+
+
+@register("q_a12_signed_vote", _QV_SQL + "SELECT USER_ID, vote FROM v")
+def q_a12(spark, d):
+    lg, m = _model(spark, d)
+    return m.transform(lg).select("USER_ID", "vote")
+
+
+@register("q_m8_quantile_vote_predict", _QV_SQL + "SELECT USER_ID, vote, CAST(vote > 0 AS INTEGER) AS predicted FROM v")
+def q_m8(spark, d):
+    lg, m = _model(spark, d)
+    return m.transform(lg)
+
+
+@register("q_m8_quantile_vote_f1", _QV_SQL + """, lab AS (SELECT USER_ID, arg_min(isBot, ROW_ID) AS isBot FROM logins GROUP BY 1),
+j AS (SELECT lab.isBot AS y, CAST(v.vote > 0 AS INTEGER) AS p FROM lab JOIN v ON lab.USER_ID = v.USER_ID),
+cm AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
+  count(*) FILTER (WHERE y = 1 AND p = 0) AS fn FROM j)
+SELECT CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM cm""")
+def q_m8f1(spark, d):
+    lg, m = _model(spark, d)
+    return m.score(lg)
