@@ -62,3 +62,235 @@ SELECT CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0
 def q_m8f1(spark, d):
     lg, m = _model(spark, d)
     return m.score(lg)
+
+
+# ---- learned models (rows-only: values depend on a learner) ---------------------------------------
+
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.feature import StringIndexer, VectorIndexer  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
+
+from trafficlens.functions.scalars import hash_bucket, none_text  # noqa: E402
+from trafficlens.functions.timebuckets import half_day_bounds  # noqa: E402
+from trafficlens.operators import encode as en  # noqa: E402
+from trafficlens.operators.aggregates import (activity_counts, bucket_counts, first_label,  # noqa: E402
+                                              row_normalise, user_rollup)
+from trafficlens.operators.evaluate import class_report, f1_positive  # noqa: E402
+from trafficlens.operators.windows import sliding_counts  # noqa: E402
+from trafficlens.plans import models as md  # noqa: E402
+from trafficlens.plans import tuning as tn  # noqa: E402
+from trafficlens.sources.tables import read  # noqa: E402
+
+W6, S1 = 6 * 3600 * 1000, 3600 * 1000
+ACT_COLS = ["COUNT_ACT_WEEK"] + [f"COUNT_ACT_{i}" for i in range(1, 7)]
+
+
+def login_window_features(spark, d):
+    """A6 counts per (window, user) as a vector, label = isBot (the 3.4 flow)."""
+    wc = sliding_counts(si.logins(spark, d), W6, S1, si.EVENT_TYPES)
+    return en.assemble(si.EVENT_TYPES).transform(wc).withColumn("label", F.col("isBot").cast("double"))
+
+
+def http_features(spark, d):
+    """Hash + one-hot features of the http stand-in (the 3.3 flow)."""
+    h = si.http(spark, d).select("ROW_ID", "userId", "operation", "method", "requestType",
+                                 hash_bucket(none_text("userAgent"), 100).cast("string").alias("ua_bucket"),
+                                 F.col("isBot").cast("double").alias("label"))
+    return h
+
+
+HTTP_CATS = ["operation", "method", "requestType", "ua_bucket"]
+
+
+@register("q_m1_decision_tree")
+def q_m1(spark, d):
+    a = activity_counts(si.auth(spark, d), half_day_bounds(si.AUTH_WEEK_START))
+    a = md.hash_split(en.assemble(ACT_COLS).transform(a), ["IP"], 0.3)
+    train, test = a.where("part = 'train'"), a.where("part = 'test'")
+    lab = en.label_index("label", "indexedLabel").fit(train)
+    vi = VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=4)
+    tree = md.decision_tree("indexedLabel", "indexedFeatures", depth=5)
+    back = en.label_back(lab, "prediction", "predictedLabel")
+    model = Pipeline(stages=[lab, vi, tree, back]).fit(train)
+    return model.transform(test).select("IP", "label", "predictedLabel")
+
+
+@register("q_m18_tree_rules")
+def q_m18(spark, d):
+    f = login_window_features(spark, d)
+    return md.tree_rules(md.decision_tree(depth=3, impurity="entropy").fit(f))
+
+
+@register("q_m2_forest_importances")
+def q_m2(spark, d):
+    f = login_window_features(spark, d)
+    model = md.random_forest(trees=100, depth=5).fit(f)
+    return md.importances(model, si.EVENT_TYPES)
+
+
+@register("q_m3_knn")
+def q_m3(spark, d):
+    e = si.vectors(spark, d).select("vec_id", F.col("label").cast("double").alias("label"),
+                                    array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    e = md.hash_split(e, ["vec_id"], 0.3)
+    train, test = e.where("part = 'train'"), e.where("part = 'test'")
+    sc = en.standard_scale(train, "v", "z")
+    pred = md.knn_predict(sc.transform(train), sc.transform(test), "z", "label", "vec_id", k=5)
+    return pred.join(test.select("vec_id", "label"), "vec_id")
+
+
+@register("q_m4_linear_svm")
+def q_m4(spark, d):
+    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    model = md.linear_svm(alpha=1e-4, max_iter=20).fit(f.where("part = 'train'"))
+    return model.transform(f.where("part = 'test'")).select("TS_PART", "USER_ID", "label", "prediction")
+
+
+def _http_lr(spark, d, C=0.1):
+    h = http_features(spark, d)
+    n = h.count()
+    stages = en.one_hot_stages(HTTP_CATS) + [en.assemble([f"{c}_vec" for c in HTTP_CATS]),
+                                              md.logistic(C=C, n=n, max_iter=50)]
+    return h, Pipeline(stages=stages).fit(h)
+
+
+@register("q_m5_logistic")
+def q_m5(spark, d):
+    h, model = _http_lr(spark, d)
+    return md.p_bot(model.transform(h)).select("ROW_ID", "label", "predict_proba")
+
+
+@register("q_m6_param_maps")
+def q_m6(spark, d):
+    f = login_window_features(spark, d)
+    lr = md.logistic(max_iter=10)
+    lr.setMaxIter(20)
+    params = {lr.maxIter: 30, lr.regParam: 0.1, lr.threshold: 0.55, lr.probabilityCol: "myProbability"}
+    model = lr.fit(f, params)
+    return model.transform(f).select("TS_PART", "USER_ID", "label",
+                                     vector_to_array("myProbability")[1].alias("p"), "prediction")
+
+
+@register("q_m7_distributed_fit")
+def q_m7(spark, d):
+    h = http_features(spark, d)
+    stages = en.one_hot_stages(HTTP_CATS) + [en.assemble([f"{c}_vec" for c in HTTP_CATS]),
+                                              md.linear_svm(alpha=1e-4, max_iter=30)]
+    model = md.one_distributed_fit(stages, h)
+    return model.transform(h).select("ROW_ID", "label", "prediction")
+
+
+@register("q_m9_bucket_logit")
+def q_m9(spark, d):
+    from .q_aggregates import logins_grouped
+    parts, short = 4, 10
+    g = logins_grouped(spark, d, parts, short)
+    shares = row_normalise(bucket_counts(g, "USER_ID", "TS_GROUP", drop_first=True), "USER_ID")
+    vec = md.bucket_vectors(shares, "USER_ID", "TS_GROUP", "share", parts * short + 1)
+    lab = first_label(si.logins(spark, d), "USER_ID", "isBot", "ROW_ID").withColumn("label", F.col("isBot").cast("double"))
+    data = md.hash_split(vec.join(lab, "USER_ID"), ["USER_ID"], 0.33)
+    model = md.logistic(C=1.0, n=data.count(), max_iter=100).fit(data.where("part = 'train'"))
+    pred = model.transform(data.where("part = 'test'")).withColumn("pred", F.col("prediction").cast("int"))
+    return f1_positive(pred, "isBot", "pred")
+
+
+@register("q_m10_text_pipeline")
+def q_m10(spark, d):
+    t = si.text(spark, d)
+    stages = [en.tokenizers("text")[0], en.hashed_tf("words", 1000, "features"), md.logistic(max_iter=10)]
+    model = Pipeline(stages=stages).fit(t)
+    return md.p_bot(model.transform(t)).select("doc_id", "label", "predict_proba", "prediction")
+
+
+@register("q_m11_hash_split", "SELECT event_id, CASE WHEN CAST(('0x' || substring(md5('17|' || CAST(event_id AS VARCHAR)), "
+          "1, 8)) AS BIGINT) / 4294967296.0 < 0.7 THEN 'train' ELSE 'test' END AS part FROM events")
+def q_m11(spark, d):
+    return md.hash_split(read(spark, d, "events", ["event_id"]), ["event_id"], 0.3)
+
+
+@register("q_m12_grid_search")
+def q_m12(spark, d):
+    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 2)
+    dt = md.decision_tree()
+    grid = ParamGridBuilder().addGrid(dt.maxDepth, [2, 4]).build()
+    return tn.cv_results(tn.grid_search(dt, grid, f), "maxDepth")
+
+
+@register("q_m12_stratified_folds")
+def q_m12f(spark, d):
+    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 5)
+    return f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("q_m13_random_search")
+def q_m13(spark, d):
+    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 2)
+    svm = md.linear_svm()
+    maps = tn.random_maps(svm, {"regParam": [1e-4, 1e-3, 1e-2, 1e-1], "maxIter": [5, 10, 20]}, draws=3)
+    return tn.cv_results(tn.grid_search(svm, maps, f), "regParam")
+
+
+@register("q_m14_cv_score")
+def q_m14(spark, d):
+    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 5)
+    cv = tn.grid_search(md.decision_tree(depth=3, impurity="entropy"), [{}], f, folds=5)
+    return spark.range(1).select(F.lit(float(cv.avgMetrics[0])).alias("cv_f1"))
+
+
+@register("q_m15_validation_curve")
+def q_m15(spark, d):
+    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    train = tn.stratified_folds(f.where("part = 'train'"), "label", ["TS_PART", "USER_ID"], 2)
+    return tn.validation_curve(md.decision_tree(), "maxDepth", [2, 4], train, f.where("part = 'test'"))
+
+
+@register("q_m16_split_size_curve")
+def q_m16(spark, d):
+    f = login_window_features(spark, d)
+    return tn.split_size_curve(md.decision_tree(depth=3), f, [0.1, 0.3], "label", ["TS_PART", "USER_ID"])
+
+
+@register("q_m17_feature_selection")
+def q_m17(spark, d):
+    h, model = _http_lr(spark, d)
+    lr = model.stages[-1]
+    idx = [s for s in model.stages if hasattr(s, "labels")]
+    names = en.slot_names(idx, HTTP_CATS, drop_last=True)
+    rows = names.orderBy("slot").select(F.concat_ws("=", "column", "value").alias("n"))
+    name_list = [r[0] for r in rows.collect()]  # bounded by the one-hot width
+    return md.selected_features(lr.coefficients.toArray().tolist(), name_list)
+
+
+@register("q_m19_example_predictions")
+def q_m19(spark, d):
+    f = login_window_features(spark, d)
+    model = md.decision_tree(depth=3).fit(f)
+    return model.transform(f).orderBy("TS_PART", "USER_ID").select("prediction", "label", "TS_PART", "USER_ID").limit(5)
+
+
+@register("q_m20_batch_scoring")
+def q_m20(spark, d):
+    h, model = _http_lr(spark, d)
+    return md.p_bot(model.transform(h)).select("ROW_ID", "userId", "predict_proba")
+
+
+@register("q_flow_http_user_report")
+def q_flow_http(spark, d):
+    """3.3: scan -> hash -> one-hot -> logistic -> per-user max -> class report."""
+    h, model = _http_lr(spark, d, C=0.1)
+    scored = md.p_bot(model.transform(h)).select("userId", "predict_proba", F.col("label").cast("int").alias("y"))
+    users = user_rollup(scored, "userId", "predict_proba", "y", 0.5)
+    return class_report(users, "y", "pred")
+
+
+@register("q_a24_pca_loadings")
+def q_a24(spark, d):
+    h = http_features(spark, d)
+    cats = ["operation", "method", "requestType"]
+    oh = en.one_hot_fit(h, cats)
+    v = oh.transform(h)
+    model, _ = en.pca_2d(v, "features")
+    idx = [s for s in oh.stages if hasattr(s, "labels")]
+    slots = en.slot_names(idx, cats, drop_last=True)
+    return md.pca_loadings_by_source(model, slots)
