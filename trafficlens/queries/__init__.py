@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     from . import q_windows  # noqa: F401
-    from . import q_rows, q_aggregates, q_joins, q_ordering, q_evaluate, q_models, q_encode, q_useragent  # noqa: F401
+    from . import q_rows, q_aggregates, q_joins, q_ordering, q_evaluate, q_models, q_encode, q_useragent, q_sources, q_streaming  # noqa: F401
     for mod in ("q_sources", "q_rows", "q_joins", "q_aggregates", "q_ordering", "q_encode",
                 "q_evaluate", "q_models", "q_streaming", "q_useragent"):
         try:
