@@ -22,8 +22,10 @@ from trafficlens.operators.ordering import with_row_index
 # Fixed value: token pattern of the reference's bag of words (two or more word
 # characters), in Java form with Unicode classes.
 WORD_PATTERN = r"(?U)\b\w\w+\b"
-# The same tokens as maximal runs of Unicode letters, digits and '_' (portable form).
+# The same tokens as maximal runs of Unicode letters, digits and '_' (portable form):
+# split on runs of other characters, keep pieces of two or more characters.
 WORD_RUN = r"[\p{L}\p{N}_]{2,}"
+NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def hash_columns(df: DataFrame, cols: dict[str, int], method: str = "md5") -> DataFrame:
@@ -111,8 +113,8 @@ def word_stages(text: str = "text", out: str = "features", vocab: int = 1 << 18)
 
 def word_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
     """F9 long form: (key, token, n) with the same tokens as ``word_stages``."""
-    toks = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_RUN), 0)).alias("token"))
-    return toks.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    toks = df.select(key, F.explode(F.split(F.lower(F.col(text)), NON_WORD)).alias("token"))
+    return toks.where(F.length("token") >= 2).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tokenizers(text: str = "text") -> list:
