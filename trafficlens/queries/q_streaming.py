@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from trafficlens.operators.windows import sliding_counts
 from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
-from trafficlens.sources.tables import read
+from trafficlens.sources.tables import epoch_millis, read
 from trafficlens.sources.uilog import render_from_events
 from trafficlens.sqltwins import LOGINS, with_
 from trafficlens.streaming import streams as st
@@ -60,7 +60,8 @@ def q_t2(spark, d):
   count(*) FILTER (WHERE least(value / 500.0, 1.0) >= 0.5) AS bots FROM events GROUP BY 1""")
 def q_t3(spark, d):
     ev = read(spark, d, "events", ["ts", "value"])
-    src = ev.select(F.col("ts").cast("timestamp").alias("ts"), F.least(F.col("value") / 500.0, F.lit(1.0)).alias("p"))
+    src = ev.select(F.timestamp_millis(epoch_millis(ev, "ts")).alias("ts"),
+                    F.least(F.col("value") / 500.0, F.lit(1.0)).alias("p"))
     folder = _time_ordered_files(src, "ts", "scored-stream")
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     log = st.run_upsert_log(st.verdict_counts(stream, "ts", "p"), "verdicts")

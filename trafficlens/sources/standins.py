@@ -93,8 +93,10 @@ def auth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ms_sql(ev: DataFrame) -> str:
     from pyspark.sql.types import TimestampNTZType
+
+    from .tables import ntz_millis_sql
     if isinstance(ev.schema["ts"].dataType, TimestampNTZType):
-        return "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
+        return ntz_millis_sql("ts")
     return "unix_millis(ts)"
 
 

@@ -22,14 +22,24 @@ def read(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def ntz_millis_sql(column: str) -> str:
+    """SQL text: epoch milliseconds of a TIMESTAMP_NTZ without any zone conversion.
+
+    Days since the epoch plus the wall-clock fields; floor to the millisecond.
+    """
+    c = f"`{column}`"
+    return (f"(CAST(unix_date(to_date({c})) AS BIGINT) * 86400000 + hour({c}) * 3600000 + minute({c}) * 60000 + "
+            f"CAST(floor(date_part('SECOND', {c}) * 1000) AS BIGINT))")
+
+
 def epoch_millis(df: DataFrame, column: str) -> Column:
     """Milliseconds since the epoch, independent of the session time zone.
 
-    Driver tables hold TIMESTAMP_NTZ; for those the difference to the NTZ epoch
-    is taken, so no zone conversion can creep in.  Zoned timestamps use
+    Driver tables hold TIMESTAMP_NTZ (wall clock = UTC); those are converted
+    field by field so the session zone never enters.  Zoned timestamps use
     ``unix_millis``.
     """
     dtype = df.schema[column].dataType
     if isinstance(dtype, TimestampNTZType):
-        return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)")
+        return F.expr(ntz_millis_sql(column))
     return F.unix_millis(F.col(column))

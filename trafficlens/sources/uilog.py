@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from .tables import epoch_millis
+
 # Line layout and body fields of the event logger.
 LINE = r"^([A-Z]+) \[([^\]]+)\] (.*)$"
 BODY_SCHEMA = StructType([
@@ -64,7 +66,7 @@ def render_from_events(ev: DataFrame) -> DataFrame:
     error -> a line whose body is not JSON (goes to the side table).
     """
     k = F.regexp_extract(F.col("props"), r'"k":\s*(\d+)', 1)
-    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    ms = epoch_millis(ev, "ts")
     uid = F.col("user_id").cast("string")
     click = F.concat(F.lit('{"stat_type": "click", "element_id": "el'), k, F.lit('", "element_tag_name": "BUTTON", '),
                      F.lit('"mouse_position_x": '), k, F.lit(', "mouse_position_y": '), uid,
