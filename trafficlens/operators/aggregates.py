@@ -65,10 +65,12 @@ def credential_profile(df: DataFrame, user: str = "USER_ID", label: str = "isBot
         F.count(F.lit(1)).alias("_all"),
         F.count_if(F.col(label) == 1).alias("_bots"),
         F.count_if(F.col(label) == 0).alias("_users"))
-    nu = clean.select(user, label).distinct()
-    n_all = nu.select(F.count_distinct(user)).scalar()
-    n_bots = nu.where(F.col(label) == 1).select(F.count(F.lit(1))).scalar()
-    n_users = nu.where(F.col(label) == 0).select(F.count(F.lit(1))).scalar()
+    # One pass over the distinct (user, label) pairs gives all three user counts,
+    # as one scalar subquery returning a struct.
+    nu = clean.select(user, label).distinct().agg(F.struct(
+        F.count(F.lit(1)).alias("n_all"), F.count_if(F.col(label) == 1).alias("n_bots"),
+        F.count_if(F.col(label) == 0).alias("n_users"))).scalar()
+    n_all, n_bots, n_users = nu["n_all"], nu["n_bots"], nu["n_users"]
     return per.select(
         type_col,
         (F.col("_all") / n_all).alias("mean_all"),
