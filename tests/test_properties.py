@@ -149,12 +149,14 @@ def test_knn_matches_brute_force(spark):
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
     cols = StructType([StructField("id", LongType()), StructField("label", DoubleType()), StructField("f", VectorUDT())])
     train, test = spark.createDataFrame(tr, cols), spark.createDataFrame(te, cols)
-    got = {r["id"]: r["prediction"] for r in knn_predict(train, test, "f", "label", "id", k=5).collect()}
     X = np.array([v.toArray() for _, _, v in tr]); y = np.array([l for _, l, _ in tr])
-    for i, _, v in te:
-        d = ((X - v.toArray()) ** 2).sum(1)
-        votes = y[np.argsort(d, kind="stable")[:5]]
-        assert got[i] == float(np.bincount(votes.astype(int)).argmax())
+    for bound in (1000, 20):  # one chunk, then three hash chunks merged
+        got = {r["id"]: r["prediction"] for r in
+               knn_predict(train, test, "f", "label", "id", k=5, max_train_rows=bound).collect()}
+        for i, _, v in te:
+            d = ((X - v.toArray()) ** 2).sum(1)
+            votes = y[np.argsort(d, kind="stable")[:5]]
+            assert got[i] == float(np.bincount(votes.astype(int)).argmax())
 
 
 def test_rows_to_df(spark):

@@ -96,40 +96,63 @@ def save_load(model: PipelineModel, path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def knn_predict(train: DataFrame, test: DataFrame, features: str, label: str, key: str, k: int = 5,
-                max_train_rows: int = 200_000) -> DataFrame:
-    """M3: exact k-nearest-neighbour vote.
-
-    The fitted kNN model is its training set; it is shipped to tasks only
-    when its row count is below ``max_train_rows`` (checked, so the broadcast
-    is bounded: rows x dims x 8 bytes).  Each test partition computes its
-    distance block with NumPy (Arrow batches, no row pairs materialised) and
-    keeps the k smallest; ties by training order.  Beyond the bound the
-    caller must use an index-based candidate method.
-    """
-    n = train.count()
-    if n > max_train_rows:
-        raise ValueError(f"kNN training set has {n} rows; above the broadcast bound {max_train_rows}")
-    tr = train.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")).toPandas()
+def _knn_chunk_topk(train_pdf: pd.DataFrame, test: DataFrame, key: str, tkey: str, k: int) -> DataFrame:
+    """The k nearest training rows of one bounded chunk for every test row (NumPy per Arrow batch)."""
     spark = test.sparkSession
-    X = np.stack(tr["x"].to_numpy()) if n else np.zeros((0, 0))
-    bc = spark.sparkContext.broadcast((X, tr["y"].to_numpy()))
-    kk = int(k)
+    X = np.stack(train_pdf["x"].to_numpy()) if len(train_pdf) else np.zeros((0, 1))
+    bc = spark.sparkContext.broadcast((X, train_pdf["y"].to_numpy(), train_pdf[tkey].to_numpy()))
 
-    def score(batches):
-        Xt, yt = bc.value
+    def topk(batches):
+        Xt, yt, kt = bc.value
         for pdf in batches:
-            q = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, Xt.shape[1]))
+            if not len(pdf) or not len(Xt):
+                continue
+            q = np.stack(pdf["x"].to_numpy())
             d2 = (q * q).sum(1)[:, None] - 2 * q @ Xt.T + (Xt * Xt).sum(1)[None, :]
-            kth = min(kk, Xt.shape[0])
-            idx = np.argsort(d2, axis=1, kind="stable")[:, :kth]
-            votes = yt[idx]
-            pred = [float(pd.Series(v).value_counts().sort_index().idxmax()) if len(v) else None for v in votes]
-            yield pd.DataFrame({key: pdf[key], "prediction": pred})
+            m = min(k, Xt.shape[0])
+            idx = np.argsort(d2, axis=1, kind="stable")[:, :m]
+            rows = np.repeat(np.arange(len(pdf)), m)
+            cols = idx.reshape(-1)
+            yield pd.DataFrame({key: pdf[key].to_numpy()[rows], "_tk": kt[cols],
+                                "_d": d2[rows, cols], "_y": yt[cols]})
+
+    kt_type = "long"
+    qt = test.schema[key].dataType.simpleString()
+    return test.mapInPandas(topk, f"{key} {qt}, _tk {kt_type}, _d double, _y double")
 
+
+def knn_predict(train: DataFrame, test: DataFrame, features: str, label: str, key: str, k: int = 5,
+                max_train_rows: int = 200_000, train_key: str | None = None) -> DataFrame:
+    """M3: exact k-nearest-neighbour vote (squared Euclidean; ties by training key, then smaller label).
+
+    The training set is cut into hash chunks of at most about
+    ``max_train_rows`` rows; each chunk is shipped to tasks (a checked, bounded
+    broadcast), every test partition computes its distance block with NumPy
+    on Arrow batches and keeps the k best per test row.  The chunk results
+    (chunks x k candidates per test row, a bounded group) are merged to the
+    global k best, which vote.  One chunk when the training set is small.
+    """
+    tkey = train_key or key
+    tr = train.select(F.col(tkey).cast("long").alias("_tk"), vector_to_array(F.col(features)).alias("x"),
+                      F.col(label).cast("double").alias("y"))
+    n = tr.count()
+    chunks = max(1, -(-n // max_train_rows))
     q = test.select(key, vector_to_array(F.col(features)).alias("x"))
-    kt = test.schema[key].dataType.simpleString()
-    return q.mapInPandas(score, f"{key} {kt}, prediction double")
+    parts = []
+    for c in range(chunks):
+        piece = tr.where(F.pmod(F.xxhash64("_tk"), F.lit(chunks)) == c) if chunks > 1 else tr
+        pdf = piece.toPandas()  # bounded: about max_train_rows rows
+        if len(pdf) > 2 * max_train_rows:
+            raise ValueError("kNN chunk above its bound; raise the chunk count")
+        parts.append(_knn_chunk_topk(pdf.rename(columns={"_tk": "_tk"}), q, key, "_tk", k))
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    from pyspark.sql import Window
+    best = cand.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_tk"))) \
+        .where(F.col("_r") <= k)
+    votes = best.groupBy(key, "_y").agg(F.count(F.lit(1)).alias("_n"))
+    return votes.groupBy(key).agg(F.max_by(F.col("_y"), F.struct(F.col("_n"), -F.col("_y"))).alias("prediction"))
 
 
 def bucket_vectors(df: DataFrame, user: str, group: str, value: str, size: int, out: str = "features") -> DataFrame:
