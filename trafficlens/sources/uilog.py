@@ -65,8 +65,10 @@ def render_from_events(ev: DataFrame) -> DataFrame:
     click / signup -> click body, view -> mouse_move, purchase -> css_load,
     error -> a line whose body is not JSON (goes to the side table).
     """
-    k = F.regexp_extract(F.col("props"), r'"k":\s*(\d+)', 1)
-    ms = epoch_millis(ev, "ts")
+    # k and the epoch milliseconds are computed once per row, then referenced.
+    ev = ev.select("ts", "user_id", "event_type", F.regexp_extract(F.col("props"), r'"k":\s*(\d+)', 1).alias("_k"),
+                   epoch_millis(ev, "ts").alias("_ms"))
+    k, ms = F.col("_k"), F.col("_ms")
     uid = F.col("user_id").cast("string")
     click = F.concat(F.lit('{"stat_type": "click", "element_id": "el'), k, F.lit('", "element_tag_name": "BUTTON", '),
                      F.lit('"mouse_position_x": '), k, F.lit(', "mouse_position_y": '), uid,
