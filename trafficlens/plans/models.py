@@ -71,12 +71,12 @@ def tree_rules(model) -> DataFrame:
     """The learned tree as rows (line, depth, kind, feature, op, threshold, prediction)."""
     rows = []
     pat = re.compile(r"^(\s*)(If|Else|Predict)\s*:?\s*\(?(?:feature (\d+) (<=|>|in|not in) ([^)]+))?\)?\s*([0-9.eE+-]+)?")
-    for i, line in enumerate(model.toDebugString.splitlines()[1:]):
-        m = pat.match(line)
-        if not m:
-            continue
+    matches = [pat.match(line) for line in model.toDebugString.splitlines()[1:]]
+    matches = [m for m in matches if m]
+    base = min((len(m.group(1)) for m in matches), default=0)
+    for i, m in enumerate(matches):
         indent, kind, feat, op, thr, pred = m.groups()
-        rows.append((i, len(indent) // 1, kind, int(feat) if feat else None, op, thr.strip() if thr else None,
+        rows.append((i, len(indent) - base, kind, int(feat) if feat else None, op, thr.strip() if thr else None,
                      float(pred) if kind == "Predict" and pred else None))
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "line int, depth int, kind string, feature int, op string, "
@@ -116,9 +116,8 @@ def _knn_chunk_topk(train_pdf: pd.DataFrame, test: DataFrame, key: str, tkey: st
             yield pd.DataFrame({key: pdf[key].to_numpy()[rows], "_tk": kt[cols],
                                 "_d": d2[rows, cols], "_y": yt[cols]})
 
-    kt_type = "long"
     qt = test.schema[key].dataType.simpleString()
-    return test.mapInPandas(topk, f"{key} {qt}, _tk {kt_type}, _d double, _y double")
+    return test.mapInPandas(topk, f"{key} {qt}, _tk long, _d double, _y double")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: str, label: str, key: str, k: int = 5,
@@ -144,7 +143,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: str, label: str, ke
         pdf = piece.toPandas()  # bounded: about max_train_rows rows
         if len(pdf) > 2 * max_train_rows:
             raise ValueError("kNN chunk above its bound; raise the chunk count")
-        parts.append(_knn_chunk_topk(pdf.rename(columns={"_tk": "_tk"}), q, key, "_tk", k))
+        parts.append(_knn_chunk_topk(pdf, q, key, "_tk", k))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

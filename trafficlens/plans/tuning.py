@@ -12,7 +12,7 @@ import random
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.operators.ordering import with_row_index
@@ -99,4 +99,4 @@ def split_size_curve(estimator, data: DataFrame, shares: list[float], label: str
 
 
 __all__ = ["stratified_folds", "grid_search", "random_maps", "cv_results", "validation_curve", "split_size_curve",
-           "f1_evaluator", "auc_evaluator", "Window"]
+           "f1_evaluator", "auc_evaluator"]

@@ -21,13 +21,7 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, tuple[Callable, str | None]]:
-    from . import q_windows  # noqa: F401
-    from . import q_rows, q_aggregates, q_joins, q_ordering, q_evaluate, q_models, q_encode, q_useragent, q_sources, q_streaming  # noqa: F401
-    for mod in ("q_sources", "q_rows", "q_joins", "q_aggregates", "q_ordering", "q_encode",
-                "q_evaluate", "q_models", "q_streaming", "q_useragent"):
-        try:
-            __import__(f"{__name__}.{mod}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"{__name__}.{mod}":
-                raise
+    """Import every query module once; each registers its queries."""
+    from . import (q_aggregates, q_encode, q_evaluate, q_joins, q_learners, q_ordering,  # noqa: F401
+                   q_quantile_vote, q_rows, q_sources, q_streaming, q_useragent, q_windows)
     return REGISTRY

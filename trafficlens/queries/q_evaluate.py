@@ -54,12 +54,15 @@ def q_e4(spark, d):
     return ev.confusion(_scored(spark, d), "y", "pred")
 
 
-@register("q_e5_roc_auc", """WITH s AS (SELECT round(value) / 500.0 AS p, CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS y
+E5_SQL = """WITH s AS (SELECT round(value) / 500.0 AS p, CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS y
   FROM events),
 g AS (SELECT p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM s GROUP BY p),
 c AS (SELECT p, pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
   FROM g)
-SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM c""")
+SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM c"""
+
+
+@register("q_e5_roc_auc", E5_SQL)
 def q_e5(spark, d):
     e = read(spark, d, "events", ["user_id", "value"])
     s = e.select((F.round("value") / 500.0).alias("p"), si.is_bot_col().alias("y"))
@@ -79,3 +82,13 @@ SELECT cut, CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELS
   FROM cuts, r GROUP BY cut) t""")
 def q_o5(spark, d):
     return ev.prefix_curve(_scored(spark, d), "y", "pred", ["ROW_ID"], _CUTS)
+
+
+@register("q_e5_roc_auc_evaluator", E5_SQL)
+def q_e5b(spark, d):
+    """E5 through Spark's BinaryClassificationEvaluator (numBins=0: exact curve); same value as the rank sum."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    e = read(spark, d, "events", ["user_id", "value"])
+    s = e.select((F.round("value") / 500.0).alias("p"), si.is_bot_col().cast("double").alias("y"))
+    auc = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0).evaluate(s)
+    return spark.range(1).select(F.lit(float(auc)).alias("auc"))

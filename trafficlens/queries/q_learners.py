@@ -1,86 +1,27 @@
-"""M8 (with J5, J6, A12) and the learned-model flows (rows-only where a learner decides)."""
+"""Learned models, tuning and model flows (rows-only: values depend on a learner).
 
+M1-M7, M9-M20, A24 and the end-to-end flows of SURVEY section 3.
+"""
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorIndexer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from trafficlens.plans.quantile_vote import QuantileVoteClassifier
+from trafficlens.functions.scalars import hash_bucket, none_text
+from trafficlens.functions.timebuckets import half_day_bounds
+from trafficlens.operators import encode as en
+from trafficlens.operators.aggregates import (activity_counts, bucket_counts, first_label, row_normalise,
+                                              user_rollup)
+from trafficlens.operators.evaluate import class_report, f1_positive
+from trafficlens.operators.windows import sliding_counts
+from trafficlens.plans import models as md
+from trafficlens.plans import tuning as tn
 from trafficlens.sources import standins as si
-from trafficlens.sqltwins import LOGINS, with_
+from trafficlens.sources.tables import read
 
 from . import register
-from .q_aggregates import _MM, _tsg_sql
-
-QV = dict(quantile=0.2, parts=7, shortParts=1)
-
-_QV_SQL = with_(LOGINS, _MM,
-                f"g AS (SELECT USER_ID, isBot, ROW_ID, {_tsg_sql(QV['parts'], QV['shortParts'])} AS TS_GROUP FROM logins, mm)",
-                "c AS (SELECT isBot, TS_GROUP, USER_ID, count(*) AS n FROM g GROUP BY 1, 2, 3)",
-                "f AS (SELECT isBot, TS_GROUP, n, count(*) AS freq FROM c GROUP BY 1, 2, 3)",
-                f"q AS (SELECT isBot, TS_GROUP, quantile_cont(freq, {QV['quantile']}) AS size FROM f GROUP BY 1, 2)",
-                """qt AS (SELECT coalesce(b.TS_GROUP, u.TS_GROUP) AS TS_GROUP, coalesce(b.size, 0.0) AS size_bots,
-  coalesce(u.size, 0.0) AS size_users FROM (SELECT * FROM q WHERE isBot = 1) b
-  FULL OUTER JOIN (SELECT * FROM q WHERE isBot = 0) u ON b.TS_GROUP = u.TS_GROUP)""",
-                "t AS (SELECT USER_ID, TS_GROUP, count(*) AS size FROM g GROUP BY 1, 2)",
-                """tt AS (SELECT t.USER_ID, t.TS_GROUP, t.size, coalesce(qt.size_bots, 0.0) AS size_bots,
-  coalesce(qt.size_users, 0.0) AS size_users FROM t LEFT JOIN qt ON t.TS_GROUP = qt.TS_GROUP)""",
-                """v AS (SELECT USER_ID, CAST(sum(sign(abs(size - size_users) - abs(size - size_bots))) AS DOUBLE) AS vote
-  FROM tt GROUP BY 1)""")
-
-
-def _model(spark, d):
-    lg = si.logins(spark, d)
-    return lg, QuantileVoteClassifier(**QV).fit(lg)
-
-
-@register("q_j5_outer_fill", _QV_SQL + "SELECT TS_GROUP, size_bots, size_users FROM qt")
-def q_j5(spark, d):
-    return _model(spark, d)[1].table
-
-
-@register("q_j6_left_fill", _QV_SQL + "SELECT USER_ID, TS_GROUP, size, size_bots, size_users FROM tt")
-def q_j6(spark, d):
-    lg, m = _model(spark, d)
-    return m.test_table(lg)
-
-
-@register("q_a12_signed_vote", _QV_SQL + "SELECT USER_ID, vote FROM v")
-def q_a12(spark, d):
-    lg, m = _model(spark, d)
-    return m.transform(lg).select("USER_ID", "vote")
-
-
-@register("q_m8_quantile_vote_predict", _QV_SQL + "SELECT USER_ID, vote, CAST(vote > 0 AS INTEGER) AS predicted FROM v")
-def q_m8(spark, d):
-    lg, m = _model(spark, d)
-    return m.transform(lg)
-
-
-@register("q_m8_quantile_vote_f1", _QV_SQL + """, lab AS (SELECT USER_ID, arg_min(isBot, ROW_ID) AS isBot FROM logins GROUP BY 1),
-j AS (SELECT lab.isBot AS y, CAST(v.vote > 0 AS INTEGER) AS p FROM lab JOIN v ON lab.USER_ID = v.USER_ID),
-cm AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
-  count(*) FILTER (WHERE y = 1 AND p = 0) AS fn FROM j)
-SELECT CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM cm""")
-def q_m8f1(spark, d):
-    lg, m = _model(spark, d)
-    return m.score(lg)
-
-
-# ---- learned models (rows-only: values depend on a learner) ---------------------------------------
-
-from pyspark.ml import Pipeline  # noqa: E402
-from pyspark.ml.feature import StringIndexer, VectorIndexer  # noqa: E402
-from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
-from pyspark.ml.tuning import ParamGridBuilder  # noqa: E402
-
-from trafficlens.functions.scalars import hash_bucket, none_text  # noqa: E402
-from trafficlens.functions.timebuckets import half_day_bounds  # noqa: E402
-from trafficlens.operators import encode as en  # noqa: E402
-from trafficlens.operators.aggregates import (activity_counts, bucket_counts, first_label,  # noqa: E402
-                                              row_normalise, user_rollup)
-from trafficlens.operators.evaluate import class_report, f1_positive  # noqa: E402
-from trafficlens.operators.windows import sliding_counts  # noqa: E402
-from trafficlens.plans import models as md  # noqa: E402
-from trafficlens.plans import tuning as tn  # noqa: E402
-from trafficlens.sources.tables import read  # noqa: E402
 
 W6, S1 = 6 * 3600 * 1000, 3600 * 1000
 ACT_COLS = ["COUNT_ACT_WEEK"] + [f"COUNT_ACT_{i}" for i in range(1, 7)]
@@ -294,3 +235,34 @@ def q_a24(spark, d):
     idx = [s for s in oh.stages if hasattr(s, "labels")]
     slots = en.slot_names(idx, cats, drop_last=True)
     return md.pca_loadings_by_source(model, slots)
+
+
+@register("q_flow_login_window_forest")
+def q_flow_login(spark, d):
+    """3.4: logins -> labelled stack -> sliding counts -> listed columns -> split -> forest -> F1."""
+    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    model = md.random_forest(trees=5, depth=19, subset="all").fit(f.where("part = 'train'"))
+    pred = model.transform(f.where("part = 'test'")).withColumn("pred", F.col("prediction").cast("int"))
+    return f1_positive(pred, "isBot", "pred")
+
+
+@register("q_flow_live_demo")
+def q_flow_live(spark, d):
+    """3.5: requests scored by the served model (T2), then verdict counts per second."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from trafficlens.plans.models import save_load
+    from trafficlens.sources import files as fs
+    from trafficlens.streaming import streams as st
+    h, model = _http_lr(spark, d)
+    served = save_load(model, fs.fresh(spark, "served-model"))
+    folder = fs.fresh(spark, "timed-requests")
+    h.join(si.http(spark, d).select("ROW_ID", "timestamp"), "ROW_ID") \
+        .select(F.col("ROW_ID").cast("string").alias("ROW_ID"), F.col("timestamp").cast("string").alias("timestamp"),
+                *[F.col(c).cast("string") for c in HTTP_CATS]).write.mode("overwrite").json(folder)
+    fields = ["ROW_ID", "timestamp", *HTTP_CATS]
+    schema = StructType([StructField(c, StringType()) for c in fields])
+    scored = st.score_requests(spark, folder, schema, served, fields) \
+        .select(F.timestamp_millis(F.col("timestamp").cast("long")).alias("ts"), "predict_proba")
+    log = st.run_upsert_log(st.verdict_counts(scored, "ts", "predict_proba"), "live-verdicts")
+    return st.latest_per_key(spark, log, ["window_start"])

@@ -104,7 +104,7 @@ def q_s12c(spark, d):
 
 @register("q_s13_model_save_load")
 def q_s13(spark, d):
-    from .q_models import _http_lr
+    from .q_learners import _http_lr
     h, model = _http_lr(spark, d)
     loaded = md.save_load(model, fs.fresh(spark, "http-model"))
     before = md.p_bot(model.transform(h)).select("ROW_ID", F.col("predict_proba").alias("p_before"))

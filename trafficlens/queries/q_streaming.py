@@ -42,7 +42,7 @@ def q_t1(spark, d):
 @register("q_t2_online_scoring")
 def q_t2(spark, d):
     from pyspark.sql.types import StringType, StructField, StructType
-    from .q_models import HTTP_CATS, _http_lr
+    from .q_learners import HTTP_CATS, _http_lr
     from trafficlens.plans.models import save_load
     h, model = _http_lr(spark, d)
     served = save_load(model, fs.fresh(spark, "served-model"))

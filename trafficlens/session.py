@@ -27,14 +27,25 @@ _DEFAULTS = {
 def get_session(master: str | None = None, app: str = "trafficlens",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
+    """Return the running session (settings untouched except unset defaults) or build one."""
+    wanted = dict(_DEFAULTS)
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    wanted.update(extra or {})
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        for k, v in _DEFAULTS.items():
+            if active.conf.get(k, None) is None:
+                try:
+                    active.conf.set(k, v)
+                except Exception:  # noqa: BLE001 - static confs cannot change on a live session
+                    pass
+        checkpoint_dir(active)
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
+    for k, v in wanted.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
