@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.functions.scalars import hash_bucket, prefixed
+from trafficlens.sources.tables import balance_splits
 from trafficlens.operators.ordering import with_row_index
 
 # Fixed value: token pattern of the reference's bag of words (two or more word
@@ -112,8 +113,13 @@ def word_stages(text: str = "text", out: str = "features", vocab: int = 1 << 18)
 
 
 def word_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
-    """F9 long form: (key, token, n) with the same tokens as ``word_stages``."""
-    toks = df.select(key, F.explode(F.split(F.lower(F.col(text)), NON_WORD)).alias("token"))
+    """F9 long form: (key, token, n) with the same tokens as ``word_stages``.
+
+    Tokenising is the CPU-heavy step, so an under-split input is first spread
+    over twice the cores (a no-op on large inputs, see ``balance_splits``).
+    """
+    src = balance_splits(df.select(key, text), factor=2)
+    toks = src.select(key, F.explode(F.split(F.lower(F.col(text)), NON_WORD)).alias("token"))
     return toks.where(F.length("token") >= 2).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 

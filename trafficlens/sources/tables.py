@@ -16,10 +16,33 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one table and keep only ``columns`` (pruned at the scan)."""
+def read(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+         balance: bool = False) -> DataFrame:
+    """Read one table and keep only ``columns`` (pruned at the scan).
+
+    With ``balance`` the scan is spread over all cores when it yields fewer
+    splits than the session's default parallelism (see ``balance_splits``).
+    """
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return balance_splits(df) if balance else df
+
+
+def balance_splits(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Round-robin the rows over all cores when the scan has fewer splits than cores.
+
+    A small file with one row group is read by one task, so every row-wise
+    step after it (parsing, tokenising, window explosion, partial aggregation)
+    would run on one core.  On a large input the scan already has far more
+    splits than cores and this is a no-op, so it never adds a shuffle there.
+    Filters and column pruning still reach the scan through the repartition.
+    Worth it only before CPU-heavy row work (text); for light projections the
+    extra exchange costs more than it returns, so ``read`` leaves it off.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def ntz_millis_sql(column: str) -> str:
