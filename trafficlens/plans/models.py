@@ -173,7 +173,24 @@ def pca_loadings_by_source(pca_model, slots: DataFrame) -> DataFrame:
     return ld.join(slots, "slot").groupBy("column").agg(F.sum("sq").alias("loading"))
 
 
+def fit_materialised(stages: list, df: DataFrame) -> PipelineModel:
+    """Fit feature stages, cut the lineage of the featurised rows once, then fit the learner.
+
+    An iterative learner reads its input once per iteration; re-running the
+    feature plan (joins, indexers, encoders) each time dominates the cost.
+    The featurised rows are checkpointed reliably into the shared
+    ``spark.checkpoint.dir`` (so a lost executor recomputes nothing upstream),
+    and the returned PipelineModel holds every stage for serving.
+    """
+    from trafficlens.session import cut_lineage
+    prep = Pipeline(stages=stages[:-1]).fit(df)
+    label = stages[-1].getOrDefault("labelCol")
+    feats = cut_lineage(prep.transform(df).select(stages[-1].getOrDefault("featuresCol"), label))
+    learner = stages[-1].fit(feats)
+    return PipelineModel(stages=[*prep.stages, learner])
+
+
 def one_distributed_fit(stages: list, df: DataFrame) -> PipelineModel:
     """M7 re-aimed: the reference trains batch by batch for memory; one
-    Pipeline.fit over all partitions replaces it."""
-    return Pipeline(stages=stages).fit(df)
+    distributed fit over all partitions replaces it."""
+    return fit_materialised(stages, df)

@@ -18,6 +18,7 @@ from trafficlens.operators.evaluate import class_report, f1_positive
 from trafficlens.operators.windows import sliding_counts
 from trafficlens.plans import models as md
 from trafficlens.plans import tuning as tn
+from trafficlens.session import cut_lineage
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import read
 
@@ -28,9 +29,14 @@ ACT_COLS = ["COUNT_ACT_WEEK"] + [f"COUNT_ACT_{i}" for i in range(1, 7)]
 
 
 def login_window_features(spark, d):
-    """A6 counts per (window, user) as a vector, label = isBot (the 3.4 flow)."""
+    """A6 counts per (window, user) as a vector, label = isBot (the 3.4 flow).
+
+    Materialised once (reliable checkpoint): every learner and fold reads it
+    many times.
+    """
     wc = sliding_counts(si.logins(spark, d), W6, S1, si.EVENT_TYPES)
-    return en.assemble(si.EVENT_TYPES).transform(wc).withColumn("label", F.col("isBot").cast("double"))
+    f = en.assemble(si.EVENT_TYPES).transform(wc).withColumn("label", F.col("isBot").cast("double"))
+    return cut_lineage(f)
 
 
 def http_features(spark, d):
@@ -93,7 +99,7 @@ def _http_lr(spark, d, C=0.1):
     n = h.count()
     stages = en.one_hot_stages(HTTP_CATS) + [en.assemble([f"{c}_vec" for c in HTTP_CATS]),
                                               md.logistic(C=C, n=n, max_iter=50)]
-    return h, Pipeline(stages=stages).fit(h)
+    return h, md.fit_materialised(stages, h)
 
 
 @register("q_m5_logistic")

@@ -41,16 +41,22 @@ def q_t1(spark, d):
 
 @register("q_t2_online_scoring")
 def q_t2(spark, d):
+    """Requests with the 23 named fields (some missing) scored by the served model."""
     from pyspark.sql.types import StringType, StructField, StructType
-    from .q_learners import HTTP_CATS, _http_lr
+
+    from trafficlens.plans.headers import HEADER_FIELDS, fit_headers_model, training_rows
     from trafficlens.plans.models import save_load
-    h, model = _http_lr(spark, d)
-    served = save_load(model, fs.fresh(spark, "served-model"))
+    http = si.http(spark, d)
+    served = save_load(fit_headers_model(http), fs.fresh(spark, "served-model"))
     folder = fs.fresh(spark, "requests")
-    h.select(F.col("ROW_ID").cast("string").alias("ROW_ID"), *[F.col(c).cast("string") for c in HTTP_CATS]) \
+    rows = training_rows(http)
+    # Every fifth request omits two fields (the JSON writer drops null fields).
+    gap = F.col("ROW_ID") % 5 == 0
+    rows.select(F.col("ROW_ID").cast("string").alias("ROW_ID"),
+                *[F.when(~gap | ~F.lit(c in ("DeviceCpu", "AgentVersion")), F.col(c)).alias(c) for c in HEADER_FIELDS]) \
         .write.mode("overwrite").json(folder)
-    fields = ["ROW_ID", *HTTP_CATS, "referrer", "url"]
-    schema = StructType([StructField(c, StringType()) for c in ["ROW_ID", *HTTP_CATS]])
+    fields = ["ROW_ID", *HEADER_FIELDS]
+    schema = StructType([StructField(c, StringType()) for c in fields])
     scored = st.score_requests(spark, folder, schema, served, fields).select("ROW_ID", "predict_proba")
     return spark.read.parquet(st.run_append(scored, "scored-requests"))
 
