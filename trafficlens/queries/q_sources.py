@@ -80,8 +80,10 @@ SELECT CASE WHEN event_type = 'purchase' THEN 'WARNING' ELSE 'INFO' END AS level
   CASE WHEN event_type IN ('click', 'signup') THEN 'BUTTON' END AS element_tag_name,
   CASE WHEN event_type IN ('click', 'signup') THEN k WHEN event_type = 'view' THEN user_id END AS mouse_x,
   CASE WHEN event_type IN ('click', 'signup') THEN user_id WHEN event_type = 'view' THEN k END AS mouse_y,
-  CASE WHEN event_type IN ('click', 'signup') THEN 1280 WHEN event_type = 'view' THEN 1920 END AS window_width,
-  CASE WHEN event_type IN ('click', 'signup') THEN 720 WHEN event_type = 'view' THEN 1080 END AS window_height,
+  CAST(CASE WHEN event_type IN ('click', 'signup') THEN 1280 WHEN event_type = 'view' THEN 1920 END AS BIGINT)
+    AS window_width,
+  CAST(CASE WHEN event_type IN ('click', 'signup') THEN 720 WHEN event_type = 'view' THEN 1080 END AS BIGINT)
+    AS window_height,
   CASE WHEN event_type <> 'purchase' THEN ms END AS client_timestamp,
   CASE WHEN event_type = 'purchase' THEN CAST(k AS DOUBLE) END AS max_css_load_duration,
   CASE WHEN event_type = 'purchase' THEN CAST(user_id AS DOUBLE) END AS min_css_load_duration
