@@ -9,7 +9,7 @@ from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import read
 from trafficlens.sources.uilog import corrupt_lines, parse_lines, render_from_events
-from trafficlens.sqltwins import AUTH, LOGINS, SCORES, with_
+from trafficlens.sqltwins import AUTH, LOGINS, SCORES, TEXT, with_
 
 from . import register
 
@@ -42,6 +42,19 @@ def q_s5(spark, d):
     return back.select("label", F.size(vector_to_array("features")).alias("dims"))
 
 
+@register("q_s6_rows_with_schema", with_(TEXT) + "SELECT doc_id AS id, text, label FROM text")
+def q_s6(spark, d):
+    """The labelled-document bean schema applied to rows derived from the tables."""
+    t = si.text(spark, d).withColumnRenamed("doc_id", "id")
+    return fs.with_schema(t, fs.LABELED_DOCUMENT_SCHEMA)
+
+
+@register("q_s6_document_schema", "SELECT doc_id AS id, text FROM documents")
+def q_s6b(spark, d):
+    docs = read(spark, d, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "id")
+    return fs.with_schema(docs, fs.DOCUMENT_SCHEMA)
+
+
 @register("q_s7_parquet_same_partitions", "SELECT * FROM orders")
 def q_s7(spark, d):
     o = read(spark, d, "orders")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from trafficlens.session import scratch_path
 
@@ -38,11 +38,23 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None)
     return r.load(path)
 
 
+# The two bean layouts of the reference's labelled sentences.
+DOCUMENT_SCHEMA = StructType([StructField("id", LongType(), True), StructField("text", StringType(), True)])
+LABELED_DOCUMENT_SCHEMA = StructType([StructField("id", LongType(), True), StructField("text", StringType(), True),
+                                      StructField("label", DoubleType(), True)])
+
+
 def rows_to_df(spark: SparkSession, rows: list, schema) -> DataFrame:
     """Literal rows with a schema (beans become tuples)."""
     return spark.createDataFrame(rows, schema)
 
 
+def with_schema(df: DataFrame, schema: StructType) -> DataFrame:
+    """S6 for rows Spark already holds: reconcile columns (by name) and types to a
+    fixed schema, JVM-side (``DataFrame.to``); missing columns raise."""
+    return df.to(schema)
+
+
 def write_parquet(df: DataFrame, path: str, same_partitions_as: DataFrame | None = None) -> str:
     """Overwrite Parquet; optionally keep the input's partition count."""
     out = df
