@@ -174,3 +174,14 @@ def test_word_tokens_match_count_vectorizer(spark):
     vec = Pipeline(stages=word_stages("text", "v")).fit(docs).transform(docs) \
         .select("doc_id", F.aggregate(to_array("v"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("n"))
     assert long.exceptAll(vec).count() == 0 and vec.exceptAll(long).count() == 0
+
+
+def test_single_class_input_fits(spark):
+    """M7 edge case: a training set holding users only still fits and scores."""
+    from trafficlens.operators.encode import one_hot_stages
+    from trafficlens.plans.models import fit_materialised, logistic, p_bot
+    from trafficlens.operators.encode import assemble
+    h = si.http(spark, SMOKE).where("isBot = 0").select("operation", "method", F.col("isBot").cast("double").alias("label"))
+    stages = one_hot_stages(["operation", "method"]) + [assemble(["operation_vec", "method_vec"]), logistic(max_iter=5)]
+    scored = p_bot(fit_materialised(stages, h).transform(h))
+    assert scored.where(F.col("predict_proba") > 0.5).count() == 0
