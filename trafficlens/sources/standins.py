@@ -124,10 +124,11 @@ def http(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(userId, browserId, ROW_ID); userId is text and 'null' for user_id % 7 = 0."""
+    """(userId, browserId, ROW_ID); userId is text, 'null' for user_id % 7 = 0 on browsers k < 20."""
     ev = _events(spark, sf_dir, ["event_id", "user_id", "props"])
+    anon = (F.col("user_id") % 7 == 0) & (k_col() < 20)
     return ev.select(
-        F.when(F.col("user_id") % 7 == 0, F.lit("null")).otherwise(F.col("user_id").cast("string")).alias("userId"),
+        F.when(anon, F.lit("null")).otherwise(F.col("user_id").cast("string")).alias("userId"),
         k_col().alias("browserId"),
         F.col("event_id").alias("ROW_ID"),
     )

@@ -40,7 +40,7 @@ HTTP = f"""http AS (
   FROM events)"""
 
 USER_BROWSER = f"""user_browser AS (
-  SELECT CASE WHEN user_id % 7 = 0 THEN 'null' ELSE CAST(user_id AS VARCHAR) END AS userId,
+  SELECT CASE WHEN user_id % 7 = 0 AND {K} < 20 THEN 'null' ELSE CAST(user_id AS VARCHAR) END AS userId,
          {K} AS browserId, event_id AS ROW_ID
   FROM events)"""
 
