@@ -89,18 +89,28 @@ def q_t4(spark, d):
     return st.latest_per_key(spark, log, ["window_start", "USER_ID", "isBot"])
 
 
+SLICE_MS = 43_200_000  # 12 h, the reference's training slice
+
+
 @register("q_t5_train_by_slices")
 def q_t5(spark, d):
+    """Each 12 h slice arrives as one file, becomes one micro-batch of window
+    features (windows numbered from the slice's own first login), and the
+    learner is refit on all slices at the end."""
     from trafficlens.operators.encode import assemble
     from trafficlens.plans.models import linear_svm
     lg = si.logins(spark, d).drop("ROW_ID")
-    folder = _time_ordered_files(lg, "TIMESTAMP", "login-slices")
+    mn = lg.select(F.min("TIMESTAMP")).scalar()
+    sliced = lg.withColumn("slice", F.floor((F.col("TIMESTAMP") - mn) / SLICE_MS).cast("int"))
+    folder = fs.fresh(spark, "login-slices")
+    sliced.repartition("slice").write.partitionBy("slice").parquet(folder)
     table = fs.fresh(spark, "slice-features")
 
     def features(batch):
+        # One micro-batch = one slice file; train_by_slices tags it with the batch id.
         return sliding_counts(batch, W6, S1, si.EVENT_TYPES)
 
-    st.train_by_slices(spark, folder, lg.schema, features, table)
+    st.train_by_slices(spark, folder, sliced.schema, features, table)
     feats = assemble(si.EVENT_TYPES).transform(spark.read.parquet(table)) \
         .withColumn("label", F.col("isBot").cast("double"))
     model = linear_svm(max_iter=10).fit(feats)
