@@ -35,3 +35,26 @@ def test_stratified_folds_balanced(spark):
         by_label.setdefault(r["label"], []).append(r["count"])
     assert all(max(v) - min(v) <= 1 and len(v) == 5 for v in by_label.values())
     assert f.count() == lg.count()
+
+
+def test_online_scoring_fills_missing_fields(spark):
+    """Requests missing some of the 23 fields are scored (missing = '')."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from tests.conftest import SMOKE
+    from trafficlens.plans.headers import HEADER_FIELDS, fit_headers_model, training_rows
+    from trafficlens.sources.files import fresh
+    from trafficlens.streaming import streams as st
+    http = si.http(spark, SMOKE)
+    model = fit_headers_model(http, max_iter=5)
+    rows = training_rows(http)
+    folder = fresh(spark, "test-requests")
+    keep = HEADER_FIELDS[::2]  # every other field missing from the requests
+    rows.select(F.col("ROW_ID").cast("string").alias("ROW_ID"), *keep).write.json(folder)
+    fields = ["ROW_ID", *HEADER_FIELDS]
+    schema = StructType([StructField(c, StringType()) for c in ["ROW_ID", *keep]])
+    out = spark.read.parquet(st.run_append(
+        st.score_requests(spark, folder, schema, model, fields).select("ROW_ID", "predict_proba"), "test-scored"))
+    assert out.count() == rows.count()
+    assert out.where((F.col("predict_proba") < 0) | (F.col("predict_proba") > 1)
+                     | F.col("predict_proba").isNull()).count() == 0
