@@ -48,3 +48,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_columns(rows: DataFrame, new: str, fn: Callable, *inputs: str) -> DataFrame:
+    """``rows`` with the columns of the DDL ``new``, computed batch-wise in Python without a shuffle.
+
+    ``fn(*lists)`` gets the values of ``inputs`` for one Arrow batch and gives
+    a list of tuples, one a row.  Only a batch is held at a time.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(new)
+    schema = StructType(rows.schema.fields + fields.fields)
+    kinds = to_arrow_schema(fields)
+
+    def run(batches):
+        for batch in batches:
+            got = fn(*[batch.column(c).to_pylist() for c in inputs])
+            columns = list(zip(*got, strict=True)) if got else [() for _ in kinds]
+            added = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *kinds.names])
+    return rows.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import mixing, secret_scan, sql, url_filter
+from . import decontaminate, mixing, quality, secret_scan, simhash, sql, url_filter
 from .registry import register
 
 
@@ -30,3 +30,18 @@ def op10(spark, sf_dir):
     rules = [url_filter.site_rule(*r) for r in SITE_RULES] + [url_filter.pattern_rule(*r) for r in PATTERN_RULES]
     return url_filter.judge_urls(read(spark, sf_dir, "pages", ["page_id", "url"]), rules) \
         .select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op5_benchmark_decontamination")
+def op5(spark, sf_dir):
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op7_simhash_near_dedup")
+def op7(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@register("op9_quality_classifier")
+def op9(spark, sf_dir):
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
