@@ -50,6 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_schema(ddl: str):
+    """Arrow schema of a DDL string (made on the driver; tasks get it with their function)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def append_columns(rows: DataFrame, new: str, fn: Callable, *inputs: str) -> DataFrame:
     """``rows`` with the columns of the DDL ``new``, computed batch-wise in Python without a shuffle.
 
@@ -57,12 +65,10 @@ def append_columns(rows: DataFrame, new: str, fn: Callable, *inputs: str) -> Dat
     a list of tuples, one a row.  Only a batch is held at a time.
     """
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL(new)
-    schema = StructType(rows.schema.fields + fields.fields)
-    kinds = to_arrow_schema(fields)
+    schema = StructType(rows.schema.fields + StructType.fromDDL(new).fields)
+    kinds = arrow_schema(new)
 
     def run(batches):
         for batch in batches:

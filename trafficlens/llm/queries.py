@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import decontaminate, mixing, quality, secret_scan, simhash, sql, url_filter
+from . import decontaminate, mixing, quality, secret_scan, simhash, sql, token_shards, url_filter
 from .registry import register
 
 
@@ -45,3 +45,8 @@ def op7(spark, sf_dir):
 @register("op9_quality_classifier")
 def op9(spark, sf_dir):
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op4_token_shards")
+def op4(spark, sf_dir):
+    return token_shards.report(read(spark, sf_dir, "documents"))
