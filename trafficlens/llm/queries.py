@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import decontaminate, mixing, quality, secret_scan, simhash, sql, token_shards, url_filter
+from . import decontaminate, mixing, quality, secret_scan, simhash, sql, token_shards, url_filter, vector_dedup
 from .registry import register
 
 
@@ -50,3 +50,8 @@ def op9(spark, sf_dir):
 @register("op4_token_shards")
 def op4(spark, sf_dir):
     return token_shards.report(read(spark, sf_dir, "documents"))
+
+
+@register("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
