@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import decontaminate, mixing, quality, secret_scan, simhash, sql, token_shards, url_filter, vector_dedup
+from . import decontaminate, html_extract, mixing, quality, secret_scan, simhash, sql, token_shards, url_filter, vector_dedup
 from .registry import register
 
 
@@ -55,3 +55,8 @@ def op4(spark, sf_dir):
 @register("op8_embedding_near_dedup")
 def op8(spark, sf_dir):
     return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@register("op1_html_extraction")
+def op1(spark, sf_dir):
+    return html_extract.extract(read(spark, sf_dir, "pages"))
