@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import decontaminate, html_extract, mixing, quality, secret_scan, simhash, sql, token_shards, url_filter, vector_dedup
+from . import decontaminate, html_extract, mixing, quality, repeats, secret_scan, simhash, sql, token_shards, url_filter, vector_dedup
 from .registry import register
 
 
@@ -60,3 +60,8 @@ def op8(spark, sf_dir):
 @register("op1_html_extraction")
 def op1(spark, sf_dir):
     return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+@register("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return repeats.report(read(spark, sf_dir, "documents"))
