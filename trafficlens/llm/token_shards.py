@@ -47,6 +47,7 @@ SEQUENCE_TOKENS = 2048
 SHARD_SEQUENCES = 4096  # 16 MiB a shard
 KEY = 0x5EED
 ROUNDS = 6
+GROUP_TOKENS = 1 << 19  # tokens that a task holds at once, or one document's
 MASK = (1 << 64) - 1
 SEQUENCE = "slot long, seq long, at int, tokens binary, doc_ids array<long>"
 MANIFEST = "slot long, seq long, shard long, byte_offset long, n_tokens int, crc32 long, doc_ids array<long>"
@@ -107,16 +108,24 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def _token_batches(batches, ranks: bytes) -> Iterator[tuple[list, list]]:
-    """(ids, token arrays with end mark) of each Arrow batch of (doc_id, text)."""
+def _token_groups(batches, ranks: bytes) -> Iterator[tuple[list, list, object]]:
+    """(ids, tokens of each with its end mark, all their tokens) of groups of about ``GROUP_TOKENS`` tokens."""
     import numpy as np
-    encode, mark = _encoding(ranks).encode_to_numpy, np.array([END_MARK], dtype="<u2")
+    encode, mark, none = _encoding(ranks).encode_to_numpy, np.array([END_MARK], dtype=np.uint32), np.zeros(0, dtype=np.uint32)
+    ids, sizes, parts, total = [], [], [], 0
     for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
-        for text in batch.column(1):
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             value = text.as_py()
-            out.append(np.concatenate([encode(value).astype("<u2"), mark]) if value else mark)
-        yield ids, out
+            tokens = encode(value) if value else none
+            ids.append(doc_id.as_py())
+            sizes.append(len(tokens) + 1)
+            parts += (tokens, mark)
+            total += sizes[-1]
+            if total >= GROUP_TOKENS:
+                yield ids, sizes, np.concatenate(parts).astype("<u2")
+                ids, sizes, parts, total = [], [], [], 0
+    if ids:
+        yield ids, sizes, np.concatenate(parts).astype("<u2")
 
 
 def _vocabulary(path: str) -> bytes:
@@ -132,9 +141,12 @@ def _counts(docs: DataFrame, ranks) -> dict[int, tuple[int, int]]:
     def count(batches):
         import pyarrow as pa
         n = tokens = 0
-        for _, arrays in _token_batches(batches, ranks.value):
-            n += len(arrays)
-            tokens += sum(map(len, arrays))
+        encode = _encoding(ranks.value).encode_ordinary
+        for batch in batches:
+            n += len(batch)
+            for text in batch.column(1):
+                value = text.as_py()
+                tokens += len(encode(value)) + 1 if value else 1
         yield pa.RecordBatch.from_pydict({"pid": pa.array([TaskContext.get().partitionId()], pa.int64()),
                                           "docs": pa.array([n], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
     return {r.pid: (r.docs, r.tokens) for r in docs.mapInArrow(count, "pid long, docs long, tokens long").collect()}
@@ -149,19 +161,18 @@ def _pieces(docs: DataFrame, ranks, before: dict[int, int], tokens: dict[int, in
         import pyarrow as pa
         pid = TaskContext.get().partitionId()
         at = first = before.get(pid, 0)
-        for ids, arrays in _token_batches(batches, ranks.value):
-            if not arrays:
-                continue
-            starts = at + np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
-            stream, stop = np.concatenate(arrays), int(starts[-1])
-            if stop == total and total % length:  # the very end
-                stream = np.concatenate([stream, np.full(length - total % length, END_MARK, dtype="<u2")])
-            seqs = np.arange(at // length, (at + len(stream) - 1) // length + 1)
-            lo, hi = np.maximum(seqs * length, at), np.minimum((seqs + 1) * length, at + len(stream))
+        for ids, sizes, stream in _token_groups(batches, ranks.value):
+            starts = at + np.concatenate([[0], np.cumsum(sizes)])
+            stop = int(starts[-1])
+            if stop == total:  # the very end
+                stream = np.concatenate([stream, np.full(-total % length, END_MARK, dtype="<u2")])
+            end = at + len(stream)
+            seqs = np.arange(at // length, (end - 1) // length + 1)
+            lo, hi = np.maximum(seqs * length, at), np.minimum((seqs + 1) * length, end)
             d0 = np.searchsorted(starts, lo, side="right") - 1
             d1 = np.searchsorted(starts[:-1], np.minimum(hi, stop), side="left")
             columns = [slots_of(seqs, n, key), seqs, (lo - seqs * length).astype(np.int32),
-                       [stream[a - at:b - at].tobytes() for a, b in zip(lo, hi, strict=True)],
+                       [stream[a:b].tobytes() for a, b in zip(lo - at, hi - at, strict=True)],
                        [ids[a:b] for a, b in zip(d0, d1, strict=True)]]
             for i in range(0, len(seqs), 2048):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 2048], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
