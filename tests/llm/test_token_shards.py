@@ -67,3 +67,15 @@ def test_edge_rows(spark):
     assert got[:len(rows)] == [r.text or "" for r in docs.collect()]
     assert None in {i for r in made.collect() for i in r.doc_ids}
     assert ts.write_shards(docs.limit(0), folder).count() == 0
+
+
+@pytest.mark.parametrize("chars", ["a 's", "ab \n\t", " \n\u00a0\u2003x1.", "é ß,.;\U0001f600 '", "0 12aé\r\n", "ab\x1c\x85\u200b "])
+def test_both_patterns_encode_alike(chars):
+    rng = np.random.default_rng(7)
+    ranks = open(ts.VOCABULARY, "rb").read()
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    whole = tiktoken.Encoding("t", pat_str=ts.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    encode = ts._encoder(ranks)
+    for _ in range(1500):
+        text = "".join(rng.choice(list(chars), size=rng.integers(0, 25)))
+        assert encode(text) == whole(text), repr(text)

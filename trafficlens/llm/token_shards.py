@@ -26,8 +26,10 @@ gives no sequence and no shard.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark import TaskContext
@@ -41,6 +43,9 @@ from .common import arrow_schema, stored
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's byte-level BPE cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where no two white space characters stand together the pattern's look-ahead never matters, and
+#: without it the cutting needs no backtracking.
+SINGLE_SPACED = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
 END_MARK = 50256
 ID_BYTES = 2
 SEQUENCE_TOKENS = 2048
@@ -100,32 +105,37 @@ def slots_of(seq, n: int, key: int = KEY, inverse: bool = False):
 # --- tokens ----------------------------------------------------------------
 
 @lru_cache(maxsize=1)
-def _encoding(ranks: bytes):
+def _encoder(ranks: bytes) -> Callable[[str], list[int]]:
+    """text -> token ids; one encoder a Python worker."""
     import base64
 
     import tiktoken
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    whole, single = (tiktoken.Encoding(name, pat_str=p, mergeable_ranks=table, special_tokens={}).encode_ordinary
+                     for name, p in (("whole", PATTERN), ("single", SINGLE_SPACED)))
+    spaces = re.compile(r"\s\s").search
+    return lambda text: whole(text) if spaces(text) else single(text)
 
 
 def _token_groups(batches, ranks: bytes) -> Iterator[tuple[list, list, object]]:
     """(ids, tokens of each with its end mark, all their tokens) of groups of about ``GROUP_TOKENS`` tokens."""
     import numpy as np
-    encode, mark, none = _encoding(ranks).encode_to_numpy, np.array([END_MARK], dtype=np.uint32), np.zeros(0, dtype=np.uint32)
-    ids, sizes, parts, total = [], [], [], 0
+    encode = _encoder(ranks)
+    ids, sizes, stream = [], [], array("H")
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             value = text.as_py()
-            tokens = encode(value) if value else none
+            before = len(stream)
+            if value:
+                stream.extend(encode(value))
+            stream.append(END_MARK)
             ids.append(doc_id.as_py())
-            sizes.append(len(tokens) + 1)
-            parts += (tokens, mark)
-            total += sizes[-1]
-            if total >= GROUP_TOKENS:
-                yield ids, sizes, np.concatenate(parts).astype("<u2")
-                ids, sizes, parts, total = [], [], [], 0
+            sizes.append(len(stream) - before)
+            if len(stream) >= GROUP_TOKENS:
+                yield ids, sizes, np.array(stream).astype("<u2")
+                ids, sizes, stream = [], [], array("H")
     if ids:
-        yield ids, sizes, np.concatenate(parts).astype("<u2")
+        yield ids, sizes, np.array(stream).astype("<u2")
 
 
 def _vocabulary(path: str) -> bytes:
@@ -141,7 +151,7 @@ def _counts(docs: DataFrame, ranks) -> dict[int, tuple[int, int]]:
     def count(batches):
         import pyarrow as pa
         n = tokens = 0
-        encode = _encoding(ranks.value).encode_ordinary
+        encode = _encoder(ranks.value)
         for batch in batches:
             n += len(batch)
             for text in batch.column(1):
