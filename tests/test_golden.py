@@ -61,6 +61,6 @@ def test_ip_round_trip_and_errors(spark):
 
 def test_row_index_is_global_order(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5000).alias("k"))
-    idx = with_row_index(df, ["k"], "rn", num_partitions=7)
+    idx = with_row_index(df, ["k"], "rn")
     assert idx.where(F.col("rn") != F.col("k")).count() == 0
     assert idx.count() == 5000

@@ -2,22 +2,68 @@
 
 from pyspark.sql import functions as F
 
-from tests.conftest import SF
-from trafficlens.operators.windows import window_counts_spark
+from tests.conftest import SF, SMOKE
+from trafficlens.operators.windows import type_counts
 from trafficlens.sources import standins as si
+from trafficlens.sources.files import fresh
+from trafficlens.streaming import streams as st
 
 W6, S1 = 6 * 3600 * 1000, 3600 * 1000
 
 
+def window_counts(lg):
+    w = F.window(F.timestamp_millis(F.col("TIMESTAMP")), f"{W6} milliseconds", f"{S1} milliseconds")
+    return lg.groupBy(w.alias("w"), "USER_ID", "isBot").agg(*type_counts(si.EVENT_TYPES, "LOGIN_CREDENTIAL_TYPE")) \
+        .select(F.unix_millis(F.col("w.start")).alias("window_start"), "USER_ID", "isBot", *si.EVENT_TYPES)
+
+
 def test_sliding_stream_equals_batch(spark):
     import __spark_entry__ as ent
     stream = ent.queries()["q_t4_sliding_login_stream"](spark, SF)
-    batch = window_counts_spark(si.logins(spark, SF), W6, S1, si.EVENT_TYPES) \
-        .select(F.unix_millis(F.col("window.start")).alias("window_start"), "USER_ID", "isBot", *si.EVENT_TYPES)
+    batch = window_counts(si.logins(spark, SF))
     assert stream.count() == batch.count()
     assert stream.exceptAll(batch).count() == 0
 
 
+def test_several_triggers_resume_and_keep_their_watermark(spark):
+    """Files in time order, one a trigger, in two runs of the same folder: the second goes on where the first ended."""
+    lg = si.logins(spark, SMOKE).drop("ROW_ID")
+    source, run = fresh(spark, "ordered"), fresh(spark, "run")
+    lo, hi = lg.agg(F.min("TIMESTAMP"), F.max("TIMESTAMP")).first()
+    cut = lambda i: lo + (hi + 1 - lo) * i // 4
+    log = None
+    for i in range(4):
+        lg.where((F.col("TIMESTAMP") >= cut(i)) & (F.col("TIMESTAMP") < cut(i + 1))).coalesce(1).write.mode("append").parquet(source)
+        if i % 2:
+            stream = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            log = st.run_upsert_log(st.sliding_login_stream(stream, W6, S1, si.EVENT_TYPES), run)
+    got = st.latest_per_key(spark, log, ["window_start", "USER_ID", "isBot"])
+    want = window_counts(lg)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert st.read_batches(spark, log).select("_batch").distinct().count() >= 4
+
+
+def test_a_slice_over_several_files_and_a_retried_batch(spark):
+    """T5: slices cut over files and batches add up, and a batch that is tried again counts once."""
+    lg = si.logins(spark, SMOKE).drop("ROW_ID")
+    source, run, slice_ms = fresh(spark, "slices"), fresh(spark, "slice-run"), 43_200_000
+    lg.repartition(5).write.parquet(source)
+    ts_min = lg.agg(F.min("TIMESTAMP")).first()[0]
+    whole = st.slice_counts(lg, ts_min, slice_ms, W6, S1, si.EVENT_TYPES)
+    args = (lg.schema, run, ts_min, slice_ms, W6, S1, si.EVENT_TYPES)
+    got = st.run_slices(spark, source, *args)
+    assert got.exceptAll(whole.select(*got.columns)).count() == 0 and got.count() == whole.count()
+    # A second try of the last batch, as after a failure before its commit.
+    import glob
+    import os
+    commits = run.removeprefix("file:") + "/checkpoint/commits"
+    last = max(int(os.path.basename(p)) for p in glob.glob(commits + "/[0-9]*"))
+    for p in glob.glob(f"{commits}/{last}") + glob.glob(f"{commits}/.{last}.crc"):
+        os.remove(p)
+    again = st.run_slices(spark, source, *args)
+    assert again.exceptAll(whole.select(*again.columns)).count() == 0 and again.count() == whole.count()
+
+
 def test_ui_stream_equals_batch(spark):
     import __spark_entry__ as ent
     q = ent.queries()
@@ -41,10 +87,7 @@ def test_online_scoring_fills_missing_fields(spark):
     """Requests missing some of the 23 fields are scored (missing = '')."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    from tests.conftest import SMOKE
     from trafficlens.plans.headers import HEADER_FIELDS, fit_headers_model, training_rows
-    from trafficlens.sources.files import fresh
-    from trafficlens.streaming import streams as st
     http = si.http(spark, SMOKE)
     model = fit_headers_model(http, max_iter=5)
     rows = training_rows(http)
@@ -54,7 +97,7 @@ def test_online_scoring_fills_missing_fields(spark):
     fields = ["ROW_ID", *HEADER_FIELDS]
     schema = StructType([StructField(c, StringType()) for c in ["ROW_ID", *keep]])
     out = spark.read.parquet(st.run_append(
-        st.score_requests(spark, folder, schema, model, fields).select("ROW_ID", "predict_proba"), "test-scored"))
-    assert out.count() == rows.count()
+        st.score_requests(spark, folder, schema, model, fields).select("ROW_ID", "predict_proba"), fresh(spark, "test-scored")))
+    assert out.count() == rows.count() == http.count()
     assert out.where((F.col("predict_proba") < 0) | (F.col("predict_proba") > 1)
                      | F.col("predict_proba").isNull()).count() == 0

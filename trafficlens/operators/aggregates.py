@@ -109,8 +109,12 @@ def count_frequency_quantile(df: DataFrame, group: str, user: str, q: float,
 
 def signed_vote(df: DataFrame, user: str, n: str, q_users: str, q_bots: str,
                 out: str = "predicted") -> DataFrame:
-    """Sum of sign(|n - q_users| - |n - q_bots|) per user; > 0 means bot."""
-    s = F.signum(F.abs(F.col(n) - F.col(q_users)) - F.abs(F.col(n) - F.col(q_bots)))
+    """Sum of sign(|n - q_users| - |n - q_bots|) per user; > 0 means bot.
+
+    Distances that agree to nine digits are equal, so that a tie does not hang on
+    how a quantile was interpolated.
+    """
+    s = F.signum(F.round(F.abs(F.col(n) - F.col(q_users)) - F.abs(F.col(n) - F.col(q_bots)), 9))
     return df.groupBy(user).agg(F.sum(s).alias("vote")).withColumn(out, (F.col("vote") > 0).cast("int"))
 
 
@@ -152,16 +156,18 @@ def text_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, unique, top, freq per text column (ties for top by value).
 
     All columns go through one long-form aggregate: (column, value) counts are
-    combined map-side, then reduced per column.
+    combined map-side, then reduced per column.  A column of nulls has count 0
+    and unique 0, and no top.
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                          for c in cols])).alias("kv")).select("kv.*")
-    vc = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    vc = long.groupBy("column", "value").agg(F.count("value").alias("_c"))
+    known = F.col("value").isNotNull()
     return vc.groupBy("column").agg(
         F.sum("_c").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by(F.col("value"), F.struct(-F.col("_c"), F.col("value"))).alias("top"),
-        F.max("_c").alias("freq"))
+        F.count("value").alias("unique"),
+        F.min_by(F.col("value"), F.when(known, F.struct(-F.col("_c"), F.col("value")))).alias("top"),
+        F.max(F.when(known, F.col("_c"))).alias("freq"))
 
 
 def user_rollup(df: DataFrame, user: str, p: str, y: str, bound: float = 0.9) -> DataFrame:

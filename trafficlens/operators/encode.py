@@ -2,30 +2,28 @@
 
 Dictionaries (value -> code) are DataFrames built by distributed aggregates
 and numbered with the partitioned row index, never collected; they join back
-to the facts (AQE broadcasts them when their measured size is small).
-Vector outputs use ``pyspark.ml`` stages.
+to the facts (AQE broadcasts them when their measured size is small, and splits
+the side of a value that very many rows have).  One-hot and count vectors built
+on them are sparse (size, indices, counts) and have no limit on the vocabulary.
+The ``pyspark.ml`` stages, for learners, hold their vocabulary in the driver:
+they are for columns of few values.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import (IDF, CountVectorizer, FeatureHasher, HashingTF, IndexToString, OneHotEncoder,
-                                PCA, RegexTokenizer, StandardScaler, StringIndexer, Tokenizer, VectorAssembler,
-                                VectorIndexer)
+from pyspark.ml.feature import (IDF, FeatureHasher, HashingTF, IndexToString, OneHotEncoder, PCA, RegexTokenizer,
+                                StandardScaler, StringIndexer, Tokenizer, VectorAssembler, VectorIndexer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.scalars import hash_bucket, prefixed
-from trafficlens.sources.tables import balance_splits
 from trafficlens.operators.ordering import with_row_index
+from trafficlens.session import cut_lineage
 
-# Fixed value: token pattern of the reference's bag of words (two or more word
-# characters), in Java form with Unicode classes.
-WORD_PATTERN = r"(?U)\b\w\w+\b"
-# The same tokens as maximal runs of Unicode letters, digits and '_' (portable form):
-# split on runs of other characters, keep pieces of two or more characters.
-WORD_RUN = r"[\p{L}\p{N}_]{2,}"
+# Fixed value: tokens of the bag of words are runs of two or more Unicode letters,
+# digits and '_': split on runs of other characters, keep pieces of two or more.
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
@@ -81,8 +79,25 @@ def encode_unknown(df: DataFrame, col: str, codes: DataFrame, unknown: str = "un
     return j.withColumn(out, F.coalesce(F.col("_c"), unk)).drop("_v", "_c")
 
 
+def one_hot_codes(fit: DataFrame, cols: list[str]) -> DataFrame:
+    """F6 + F7: (column, value, slot): the columns' sorted values, block after block."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                for i, c in enumerate(cols)]))
+    values = fit.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+    return with_row_index(values, ["no", "value"], "slot").drop("no")
+
+
+def one_hot_sparse(df: DataFrame, key: str, cols: list[str], codes: DataFrame) -> DataFrame:
+    """F6 + F7: (key, size, indices): the hot slots of each row; an unseen value has none."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    long = df.select(key, pairs.alias("p")).select(key, "p.*").join(codes, ["column", "value"], "left")
+    size = codes.select(F.count(F.lit(1))).scalar()
+    # At most len(cols) slots a key.
+    return long.groupBy(key).agg(F.array_sort(F.collect_list("slot")).alias("indices")).select(key, size.alias("size"), "indices")
+
+
 def one_hot_stages(cols: list[str], order: str = "alphabetAsc") -> list:
-    """indexer keeps unseen as an extra index; the encoder drops that last
+    """F6 for learners: the indexer keeps unseen as an extra index; the encoder drops that last
     slot, so an unseen value becomes an all-zero vector."""
     stages = []
     for c in cols:
@@ -92,35 +107,41 @@ def one_hot_stages(cols: list[str], order: str = "alphabetAsc") -> list:
 
 
 def one_hot_fit(fit: DataFrame, cols: list[str]):
-    """F6 + F7: fitted one-hot per column and the stacked block vector."""
+    """F6 + F7 for learners: fitted one-hot per column and the stacked block vector."""
     stages = one_hot_stages(cols) + [VectorAssembler(inputCols=[f"{c}_vec" for c in cols], outputCol="features")]
     return Pipeline(stages=stages).fit(fit)
 
 
-def prefixed_one_hot(df: DataFrame, cols: list[str], fit: DataFrame | None = None):
-    """F8: 'name;value' tokens of all columns through one dictionary, binary counts."""
-    def tokens(d):
-        return d.withColumn("_tokens", F.array(*[prefixed(c) for c in cols]))
-    cv = CountVectorizer(inputCol="_tokens", outputCol="features", binary=True, minDF=1.0)
-    model = cv.fit(tokens(fit if fit is not None else df))
-    return model, model.transform(tokens(df))
+def prefixed_one_hot(df: DataFrame, key: str, cols: list[str], fit: DataFrame | None = None) -> DataFrame:
+    """F8: (key, size, indices) over one sorted dictionary of the 'name;value' tokens of all columns."""
+    tokens = F.array(*[prefixed(c) for c in cols])
+    codes = sorted_codes((df if fit is None else fit).select(F.explode(tokens).alias("token")), "token", "slot")
+    long = df.select(key, F.explode(tokens).alias("token")).join(codes, "token", "left")
+    size = codes.select(F.count(F.lit(1))).scalar()
+    return long.groupBy(key).agg(F.array_sort(F.collect_set("slot")).alias("indices")).select(key, size.alias("size"), "indices")
 
 
-def word_stages(text: str = "text", out: str = "features", vocab: int = 1 << 18) -> list:
-    """lower-case, tokens of 2+ word characters, counts."""
-    return [RegexTokenizer(inputCol=text, outputCol="_words", pattern=WORD_PATTERN, gaps=False, toLowercase=True),
-            CountVectorizer(inputCol="_words", outputCol=out, vocabSize=vocab)]
+def word_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
+    """F9 long form: (key, token, n), lower-cased tokens of two or more word characters."""
+    toks = df.select(key, F.explode(F.split(F.lower(F.col(text)), NON_WORD)).alias("token"))
+    return toks.where(F.length("token") >= 2).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_tokens(df: DataFrame, text: str, key: str) -> DataFrame:
-    """F9 long form: (key, token, n) with the same tokens as ``word_stages``.
+def word_vectors(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, size, indices, counts) over the sorted dictionary of all tokens; every row of ``df`` has one.
 
-    Tokenising is the CPU-heavy step, so an under-split input is first spread
-    over twice the cores (a no-op on large inputs, see ``balance_splits``).
+    The token counts are written once and read for the dictionary and the rows.
+    A row's entries are bounded by its own text.
     """
-    src = balance_splits(df.select(key, text), factor=2)
-    toks = src.select(key, F.explode(F.split(F.lower(F.col(text)), NON_WORD)).alias("token"))
-    return toks.where(F.length("token") >= 2).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = cut_lineage(word_tokens(df, text, key))
+    codes = sorted_codes(tokens, "token")
+    size = codes.select(F.count(F.lit(1))).scalar()
+    entries = F.array_sort(F.collect_list(F.struct("code", "n")))
+    rows = tokens.join(codes, "token").groupBy(key).agg(entries.alias("_e"))
+    none = F.array().cast("array<bigint>")
+    out = df.select(key).join(rows, key, "left")
+    return out.select(key, size.alias("size"), F.coalesce(F.col("_e.code"), none).alias("indices"),
+                      F.coalesce(F.col("_e.n"), none).alias("counts"))
 
 
 def tokenizers(text: str = "text") -> list:
@@ -134,12 +155,18 @@ def hashed_tf(words: str, n: int, out: str = "tf") -> HashingTF:
     return HashingTF(inputCol=words, outputCol=out, numFeatures=n)
 
 
-def tf_idf_long(tokens: DataFrame, key: str, token: str = "token", n: str = "n") -> DataFrame:
-    """F12 long form: tf x ln((m+1)/(df+1)), m = number of documents (Spark's rule)."""
-    m = tokens.select(F.count_distinct(key)).scalar()
-    dfreq = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("_df"))
-    return tokens.join(dfreq, token).withColumn(
-        "tfidf", F.col(n) * F.log((m + F.lit(1.0)) / (F.col("_df") + F.lit(1.0)))).drop("_df")
+def tf_idf_long(df: DataFrame, text: str, key: str) -> DataFrame:
+    """F12 long form: (key, token, n, tfidf) with tf x ln((m+1)/(df+1)), m = all documents (Spark's rule).
+
+    The corpus is tokenised once: the counts are written and read for the
+    document frequencies and the rows.  The frequencies are combined before the
+    join, which Spark splits at the tokens that most documents have.
+    """
+    tokens = cut_lineage(word_tokens(df, text, key))
+    m = df.select(F.count(F.lit(1))).scalar()
+    dfreq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    return tokens.join(dfreq, "token").withColumn(
+        "tfidf", F.col("n") * F.log((m + F.lit(1.0)) / (F.col("_df") + F.lit(1.0)))).drop("_df")
 
 
 def idf_stage(tf: str, out: str = "tfidf") -> IDF:
@@ -185,20 +212,46 @@ def pca_2d(df: DataFrame, vec: str, k: int = 2):
     return model, model.transform(centred).drop("_centred")
 
 
+def pca_by_feature(df: DataFrame, cols: dict[str, int], keep: list[str], k: int = 2) -> DataFrame:
+    """F17 per feature: hash each column into its buckets, one-hot the buckets, project on k components.
+
+    One row a row and feature: ``keep`` columns, feature, x, y, ...; the buckets
+    of a feature, a parameter, bound its vector.
+    """
+    parts = []
+    for c, buckets in cols.items():
+        rows = df.select(*keep, hash_bucket(c, buckets).cast("string").alias("_b"))
+        encoded = one_hot_fit(rows, ["_b"]).transform(rows)
+        _, out = pca_2d(encoded, "features", k)
+        point = vector_to_array(F.col("pca"))
+        parts.append(out.select(*keep, F.lit(c).alias("feature"), *[point[i].alias("xyzuvw"[i]) for i in range(k)]))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
 def feature_hasher(cols: list[str], n: int, out: str = "hashed") -> FeatureHasher:
     """F18."""
     return FeatureHasher(inputCols=cols, outputCol=out, numFeatures=n)
 
 
-def slot_names(indexer_models: list, cols: list[str], drop_last: bool = False) -> DataFrame:
-    """vector slot -> 'column=value' for stacked one-hot blocks (model metadata, bounded by vocabulary)."""
-    rows, off = [], 0
-    for c, m in zip(cols, indexer_models):
-        labels = list(m.labels)
-        width = len(labels) - (1 if drop_last else 0)
-        rows += [(off + i, c, labels[i]) for i in range(width)]
-        off += width
-    return SparkSession.getActiveSession().createDataFrame(rows, "slot int, column string, value string")
+def slot_names(encoded: DataFrame, cols: list[str], features: str = "features") -> DataFrame:
+    """vector slot -> column, value of stacked one-hot blocks, read from the vector's own metadata."""
+    found = encoded.schema[features].metadata["ml_attr"]
+    attrs = [a for group in found["attrs"].values() for a in group]
+    rows = []
+    for a in sorted(attrs, key=lambda a: a["idx"]):
+        column = next(c for c in cols if a["name"].startswith(f"{c}_vec_"))
+        rows.append((a["idx"], column, a["name"][len(column) + len("_vec_"):]))
+    if [r[0] for r in rows] != list(range(found["num_attrs"])):
+        raise ValueError(f"{features}: {len(rows)} of {found['num_attrs']} slots have a name")
+    return encoded.sparkSession.createDataFrame(rows, "slot int, column string, value string")
+
+
+def sparse(vec: str) -> Column:
+    """A vector column as a struct with size, indices and values (a dense one has no indices)."""
+    return F.unwrap_udt(F.col(vec))
 
 
 def to_array(vec: str | Column) -> Column:

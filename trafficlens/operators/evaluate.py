@@ -3,8 +3,8 @@
 Everything reduces to a few counts first (one map-side-combined aggregate),
 so metrics cost one pass over the scored rows.  AUC is exact: scores are
 reduced to distinct values, and the running count of negatives is a
-distributed prefix sum (range partitions + per-partition offsets), never a
-single-partition window over rows.
+distributed prefix sum (one written range layout + per-partition offsets),
+never a single-partition window over rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trafficlens.session import cut_lineage
+
 
 def _counts(df: DataFrame, y: str, pred: str) -> DataFrame:
     yc, pc = F.col(y), F.col(pred)
@@ -37,21 +39,21 @@ def f1_positive(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 def class_report(df: DataFrame, y: str, pred: str) -> DataFrame:
     """Precision, recall, f1, support for classes 0 and 1 and the weighted mean."""
-    c = _counts(df, y, pred)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    rows = []
-    for cls, t, p_all, s_all in (("1", tp, tp + fp, tp + fn), ("0", tn, tn + fn, tn + fp)):
+
+    def one(cls, t, p_all, s_all):
         prec, rec = _div(t, p_all), _div(t, s_all)
-        f1 = _div(2 * prec * rec, prec + rec)
-        rows.append(c.select(F.lit(cls).alias("class"), prec.alias("precision"), rec.alias("recall"),
-                             f1.alias("f1"), s_all.alias("support")))
-    per = rows[0].unionByName(rows[1])
-    w = per.agg(F.lit("weighted avg").alias("class"),
-                _div(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("precision"),
-                _div(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("recall"),
-                _div(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1"),
-                F.sum("support").alias("support"))
-    return per.unionByName(w)
+        return F.struct(F.lit(cls).alias("class"), prec.alias("precision"), rec.alias("recall"),
+                        _div(2 * prec * rec, prec + rec).alias("f1"), s_all.alias("support"))
+    c = _counts(df, y, pred).select(one("1", tp, tp + fp, tp + fn).alias("a"), one("0", tn, tn + fn, tn + fp).alias("b"))
+    a, b = F.col("a"), F.col("b")
+
+    def mean(m):
+        return _div(a[m] * a["support"] + b[m] * b["support"], a["support"] + b["support"]).alias(m)
+    both = F.struct(F.lit("weighted avg").alias("class"), mean("precision"), mean("recall"), mean("f1"),
+                    (a["support"] + b["support"]).alias("support"))
+    # One row of counts becomes the three rows: the scored rows are read once.
+    return c.select(F.explode(F.array(a, b, both)).alias("r")).select("r.*")
 
 
 def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -64,16 +66,16 @@ def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
     return c.select(grid.alias("g")).select("g.*")
 
 
-def distributed_prefix_sum(df: DataFrame, order: str, cols: list[str], suffix: str = "_before",
-                           num_partitions: int | None = None) -> DataFrame:
+def distributed_prefix_sum(df: DataFrame, order: str, cols: list[str], suffix: str = "_before") -> DataFrame:
     """Exclusive running sums of ``cols`` along a unique ``order`` key, partitioned.
 
     Range-partition on ``order``; per-partition totals (one row per partition)
     give each partition its offset; inside a partition a window ordered by
-    ``order`` adds the local running sum.
+    ``order`` adds the local running sum.  Range bounds come from a sample, and
+    a second read may be cut elsewhere, so the layout is written once (a
+    reliable checkpoint) and both the totals and the rows are read from it.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()))
     tot = ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
@@ -94,28 +96,20 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def prefix_curve(df: DataFrame, y: str, pred: str, order: list, cuts: list[float]) -> DataFrame:
-    """F1 on the first int(n*c) rows (in ``order``) for each cut c, in one pass.
+    """F1 on the first int(n*c) rows (in ``order``, unique) for each cut c.
 
-    Each row is tagged with the first cut whose prefix holds it; tp/fp/fn per
-    tag are summed cumulatively over the few cuts.
+    The keys at the cuts are found first (``key_at``: no sort, no copy); then one
+    pass over the rows counts tp/fp/fn before each of them.
     """
-    from .ordering import with_row_index
-    idx = with_row_index(df.select(*order, y, pred), order, "_rn")
-    n = df.select(F.count(F.lit(1))).scalar()
-    cs = sorted(cuts)
-    lims = [F.floor(n * F.lit(float(c))) for c in cs]
-    tag = F.lit(None).cast("int")
-    for i in reversed(range(len(cs))):
-        tag = F.when(F.col("_rn") < lims[i], F.lit(i)).otherwise(tag)
-    t = idx.withColumn("_cut", tag).where(F.col("_cut").isNotNull()).groupBy("_cut").agg(
-        F.count_if((F.col(y) == 1) & (F.col(pred) == 1)).alias("tp"),
-        F.count_if((F.col(y) == 0) & (F.col(pred) == 1)).alias("fp"),
-        F.count_if((F.col(y) == 1) & (F.col(pred) == 0)).alias("fn"))
-    cut_tab = df.sparkSession.range(len(cs)).select(F.col("id").cast("int").alias("_cut"),
-                                                     F.element_at(F.array(*[F.lit(float(c)) for c in cs]),
-                                                                  (F.col("id") + 1).cast("int")).alias("cut"))
-    # At most len(cuts) rows: the running sums over cuts are tiny.
-    run = Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
-    full = cut_tab.join(t, "_cut", "left").na.fill(0)
-    acc = full.select("cut", *[F.sum(c).over(run).alias(c) for c in ("tp", "fp", "fn")])
-    return acc.select("cut", _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    from .ordering import first_rows
+    n = df.count()
+    rows = []
+    for i, c in enumerate(sorted(cuts)):
+        head = first_rows(df, order, int(n * c), n)
+        yc, pc = F.col(y), F.col(pred)
+        rows.append((c, [F.count_if(head & cond).alias(f"{name}_{i}") for name, cond in (
+            ("tp", (yc == 1) & (pc == 1)), ("fp", (yc == 0) & (pc == 1)), ("fn", (yc == 1) & (pc == 0)))]))
+    counts = df.agg(*[e for _, es in rows for e in es])
+    points = [F.struct(F.lit(float(c)).alias("cut"), _div(2 * F.col(f"tp_{i}"), 2 * F.col(f"tp_{i}") + F.col(f"fp_{i}")
+                                                         + F.col(f"fn_{i}")).alias("f1")) for i, (c, _) in enumerate(rows)]
+    return counts.select(F.explode(F.array(*points)).alias("p")).select("p.*")

@@ -4,12 +4,16 @@
 ``order``: range-partition on the order keys, sort within partitions, count
 rows per partition (a table with one row per partition), prefix-sum those
 counts and broadcast the offsets back (bounded by the partition count).  The
-data is shuffled once.  Order keys must be unique (add a tie key) for a defined index.
-
-Range bounds come from a sample seeded per RDD, so two reads of the same
-plan may cut partitions differently; the range-partitioned rows are therefore
-checkpointed (reliably, into the session's ``spark.checkpoint.dir``) once and
-both the counts and the numbering read that copy.
+data is shuffled once, into as many partitions as the session's shuffle setting
+and AQE make of it.  Order keys must be unique (add a tie key) for a defined
+index.  Range bounds come from a sample, so two reads of the same plan may cut
+partitions differently; the range-partitioned rows are therefore checkpointed
+(reliably, into the session's ``spark.checkpoint.dir``) once and both the counts
+and the numbering read that copy.  It is meant for dictionaries and folds.
+
+``key_at`` finds only the keys at given positions, for prefixes and splits of
+whole tables: the order columns are read a few times and nothing is sorted,
+shuffled by row or written.
 """
 
 from __future__ import annotations
@@ -19,22 +23,18 @@ from pyspark.sql import functions as F
 
 from trafficlens.session import cut_lineage
 
-
-def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Distinct values of one order column that are listed on the driver to settle a position.
+LISTED_VALUES = 10_000
+_ACCURACY = 10_000
 
 
-def with_row_index(df: DataFrame, order: list, name: str = "row_idx",
-                   num_partitions: int | None = None) -> DataFrame:
-    n = _num_parts(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+def with_row_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFrame:
+    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     ranged = cut_lineage(ranged)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: an unpartitioned window here is bounded by n.
+    # One row per partition: an unpartitioned window here is bounded by their number.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (ranged.join(F.broadcast(offsets), "_pid")
@@ -42,6 +42,55 @@ def with_row_index(df: DataFrame, order: list, name: str = "row_idx",
             .drop("_pid", "_pos", "_off"))
 
 
+def _nth_value(df: DataFrame, col: str, k: int, n: int) -> tuple:
+    """(value at position ``k`` of ``col`` ascending, rows before its first occurrence); nulls come first.
+
+    Percentile sketches bracket the value, an exact count moves the position
+    into the bracket, and the bracket shrinks until its distinct values can
+    be listed (``LISTED_VALUES`` of them at most).
+    """
+    nulls = df.where(F.col(col).isNull()).count()
+    if k < nulls:
+        return None, 0
+    below, rows, width = nulls, n - nulls, 2.0 / _ACCURACY
+    inside = df.where(F.col(col).isNotNull())
+    while True:
+        listed = inside.groupBy(col).count().orderBy(col).limit(LISTED_VALUES + 1).collect()
+        if len(listed) <= LISTED_VALUES:
+            for value, count in listed:
+                if k < below + count:
+                    return value, below
+                below += count
+        at = (k - below) / rows
+        lo, hi = inside.agg(F.percentile_approx(col, [max(0.0, at - width), min(1.0, at + width)], _ACCURACY)).first()[0]
+        under, within = inside.agg(F.count_if(F.col(col) < F.lit(lo)), F.count_if(F.col(col).between(F.lit(lo), F.lit(hi)))).first()
+        if not below + under <= k < below + under + within:  # the sketch was further off than it says
+            width *= 4
+            continue
+        inside, below, rows = inside.where(F.col(col).between(F.lit(lo), F.lit(hi))), below + under, within
+
+
+def key_at(df: DataFrame, order: list[str], k: int, n: int) -> list:
+    """The order key of the row at position ``k`` (0-based) of ``n``; numeric or time columns."""
+    key, left = [], df.select(*order)
+    for c in order:
+        value, before = _nth_value(left, c, k, n)
+        key.append(value)
+        k -= before
+        left = left.where(F.col(c).eqNullSafe(F.lit(value)))
+        n = left.count()
+    return key
+
+
+def before_key(order: list[str], key: list, strict: bool = True) -> Column:
+    """Rows that stand before ``key`` in ``order`` (nulls first)."""
+    out = F.lit(not strict)
+    for c, v in reversed(list(zip(order, key, strict=True))):
+        less = F.lit(False) if v is None else F.col(c).isNull() | (F.col(c) < F.lit(v))
+        out = less | (F.col(c).eqNullSafe(F.lit(v)) & out)
+    return F.coalesce(out, F.lit(False))
+
+
 def sort_rows(df: DataFrame, keys: list) -> DataFrame:
     """O1: total order; callers pass a unique tie key last."""
     return df.orderBy(*keys)
@@ -66,12 +115,20 @@ def keep_first_browser(df: DataFrame, uid: str, bid: str, order: str) -> DataFra
     return keep_first_owner(df, uid=bid, bid=uid, order=order)
 
 
-def ordered_split(df: DataFrame, frac: float, order: list, split_col: str = "split") -> DataFrame:
+def first_rows(df: DataFrame, order: list[str], k: int, n: int) -> Column:
+    """Condition of the first ``k`` of ``n`` rows in ``order`` (which must be unique)."""
+    if k <= 0:
+        return F.lit(False)
+    if k >= n:
+        return F.lit(True)
+    return before_key(order, key_at(df, order, k, n))
+
+
+def ordered_split(df: DataFrame, frac: float, order: list[str], split_col: str = "split") -> DataFrame:
     """First int(n*frac) rows in ``order`` are 'train', the rest 'test'."""
-    idx = with_row_index(df, order, "_rn")
-    n = df.select(F.count(F.lit(1))).scalar()
-    cut = F.floor(n * F.lit(float(frac)))
-    return idx.withColumn(split_col, F.when(F.col("_rn") < cut, "train").otherwise("test")).drop("_rn")
+    n = df.count()
+    head = first_rows(df, order, int(n * frac), n)
+    return df.withColumn(split_col, F.when(head, "train").otherwise("test"))
 
 
 def top_weights(weights: Column | str, names: DataFrame, df: DataFrame, k: int = 1,

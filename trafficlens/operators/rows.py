@@ -49,15 +49,18 @@ def time_slice(df: DataFrame, ts: str, start, width, closed: str = "left") -> Da
 def take_head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """First n rows in ``order`` (a top-n: TakeOrderedAndProject, no full sort).
 
-    n < 0 follows pandas' head(-k): all rows but the last k; it needs the
-    global row index (O4 helper) and is done there.
+    n < 0 follows pandas' head(-k): all rows but the last k, found by a top-k
+    from the end; the order must be unique.
     """
     if n >= 0:
         return df.orderBy(*order).limit(n)
-    from .ordering import with_row_index
-    idx = with_row_index(df, order, "_rn")
-    total = df.select(F.count(F.lit(1))).scalar()
-    return idx.where(F.col("_rn") < total + F.lit(n)).drop("_rn")
+    last = df.select(*order).orderBy(*[F.col(c).desc() for c in order]).limit(-n)
+    same = [F.col(c).eqNullSafe(F.col(f"_last_{c}")) for c in order]
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    # At most -n rows, a parameter.
+    return df.join(F.broadcast(last.withColumnsRenamed({c: f"_last_{c}" for c in order})), cond, "left_anti")
 
 
 def hash_fraction(key_cols: list[str], seed: int) -> Column:

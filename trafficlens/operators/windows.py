@@ -6,16 +6,17 @@ for i in 0..n-1 (n = window // shift) a row falls into part
 and credential type are stacked over all i.
 
 Plan at scale: ``ts_min`` is a scalar subquery (one tiny aggregate job, no
-driver round trip, no join).  Each row is exploded into its n window parts
-inside the same whole-stage-codegen stage, and the partial (map-side)
-HashAggregate collapses the copies before the single shuffle on
-(part, user, label).  A hot user is spread over all of its parts, so no key
-holds more than one window's rows, and the exchange carries at most
-n x (distinct part/user per map task) rows.
+driver round trip, no join).  Rows are counted by pane first, the longest stretch
+of time that every window holds whole or not at all (the greatest common divisor of
+window and shift); only the pane rows are exploded into their n window
+parts and summed, so a raw row is never copied.  A hot user is spread over all of
+its panes and parts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,29 +45,16 @@ def sliding_counts(df: DataFrame, window: int, shift: int, types: list[str], *,
     clean = df.where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()
                      & F.col(keys[2]).isNotNull() & F.col(keys[3]).isNotNull())
     offs = (F.col(ts) - base).cast("long")
-    rel = clean.select(user, label, type_col, offs.alias("_off"))
+    pane = math.gcd(int(window), int(shift)) if n > 1 else int(window)
+    panes = clean.select(user, label, type_col, offs.alias("_off")) \
+        .withColumn("_pane", F.expr(f"_off div {pane}")).groupBy("_pane", user, label).agg(*type_counts(types, type_col))
     if n == 1:
-        parts = rel.withColumn(part_col, F.expr(f"_off div {int(window)}"))
-    else:
-        parts = rel.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
-            .withColumn(part_col, F.expr(f"((_off + _i * {int(shift)}) div {int(window)}) * {n} + _i"))
-    return parts.groupBy(part_col, user, label).agg(*type_counts(types, type_col))
+        return panes.withColumnRenamed("_pane", part_col)
+    parts = panes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
+        .withColumn(part_col, F.expr(f"((_pane * {pane} + _i * {int(shift)}) div {int(window)}) * {n} + _i"))
+    return parts.groupBy(part_col, user, label).agg(*[F.sum(t).alias(t) for t in types])
 
 
 def tumbling_counts(df: DataFrame, window: int, types: list[str], **kw) -> DataFrame:
     """A5: part = (ts - ts_min) div window; same keys and columns as A6."""
     return sliding_counts(df, window, window, types, **kw)
-
-
-def window_counts_spark(df: DataFrame, window_ms: int, shift_ms: int, types: list[str], *,
-                        ts: str = "TIMESTAMP", user: str = "USER_ID", label: str = "isBot",
-                        type_col: str = "LOGIN_CREDENTIAL_TYPE", start_ms: int = 0) -> DataFrame:
-    """A6 through Spark's own sliding ``window`` (epoch-aligned unless start_ms).
-
-    Used by the stream form (T4), where no global minimum exists.
-    """
-    tcol = F.timestamp_millis(F.col(ts))
-    w = F.window(tcol, f"{window_ms} milliseconds", f"{shift_ms} milliseconds",
-                 f"{start_ms % shift_ms} milliseconds")
-    return df.where(F.col(user).isNotNull() & F.col(type_col).isNotNull()) \
-        .groupBy(w.alias("window"), user, label).agg(*type_counts(types, type_col))

@@ -14,7 +14,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.functions.useragent import FIELDS_22, enrich
+from trafficlens.functions.useragent import FIELDS_22, parse_agents
 from trafficlens.plans.models import fit_materialised
 
 # Request fields of the scoring model (the agent fields, then operation)
@@ -48,9 +48,15 @@ def header_stages(fields: list[str] = HEADER_FIELDS, n: int = HEADER_BUCKETS, re
 
 
 def training_rows(http: DataFrame) -> DataFrame:
-    """Agent fields joined back to the requests (J1), operation, label, key."""
-    e = enrich(http.select("ROW_ID", "operation", "userAgent", "isBot"), "userAgent", 22)
-    return e.select("ROW_ID", *[F.col(c).cast("string") for c in HEADER_FIELDS],
+    """Agent fields of every request, operation, label, key; a missing field is ''.
+
+    The agents are parsed once a distinct text and joined back; a request
+    without an agent keeps its row.
+    """
+    rows = http.select("ROW_ID", "operation", "userAgent", "isBot")
+    agents = parse_agents(rows, "userAgent", 22)
+    e = rows.join(agents, "userAgent", "left")
+    return e.select("ROW_ID", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in HEADER_FIELDS],
                     F.col("isBot").cast("double").alias("label"))
 
 

@@ -1,24 +1,21 @@
-"""Learners and model flows on pyspark.ml.
+"""Learners and model flows on pyspark.ml.
 
-Learners are Spark's distributed ones (trees, forests, linear models); the
-only Python-side work is reading fitted model artifacts whose size is bounded
-by the model (tree nodes, coefficients, PCA loadings), never by the data.
+Learners are Spark's distributed ones (trees, forests, linear models).  Fitted
+model artifacts (tree nodes, coefficients, PCA loadings) are bounded by the
+model, never by the data.
 """
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.operators.rows import hash_fraction
+from trafficlens.session import cut_lineage, scratch_path
 
 
 def hash_split(df: DataFrame, key_cols: list[str], test_share: float, seed: int = 17,
@@ -30,23 +27,23 @@ def hash_split(df: DataFrame, key_cols: list[str], test_share: float, seed: int
 
 def decision_tree(label: str = "label", features: str = "features", depth: int = 5, impurity: str = "gini",
                   seed: int = 17) -> DecisionTreeClassifier:
-    """M1: Spark caps depth at 30."""
-    return DecisionTreeClassifier(labelCol=label, featuresCol=features, maxDepth=min(depth, 30),
+    """M1; Spark refuses a depth above 30."""
+    return DecisionTreeClassifier(labelCol=label, featuresCol=features, maxDepth=depth,
                                   impurity=impurity, seed=seed)
 
 
 def random_forest(label: str = "label", features: str = "features", trees: int = 100, depth: int = 5,
                   subset: str = "auto", seed: int = 17) -> RandomForestClassifier:
     """M2."""
-    return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=min(depth, 30),
+    return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth,
                                   featureSubsetStrategy=subset, seed=seed)
 
 
 def importances(model, names: list[str]) -> DataFrame:
     """M2: feature importances by name (bounded by the feature count)."""
     vals = model.featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
+    rows = [(n, float(v)) for n, v in zip(names, vals, strict=True)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
 
 def linear_svm(label: str = "label", features: str = "features", alpha: float = 1e-4, max_iter: int = 100) -> LinearSVC:
@@ -67,27 +64,45 @@ def p_bot(df: DataFrame, prob: str = "probability", out: str = "predict_proba")
     return df.withColumn(out, vector_to_array(F.col(prob))[1])
 
 
-def tree_rules(model) -> DataFrame:
-    """The learned tree as rows (line, depth, kind, feature, op, threshold, prediction)."""
-    rows = []
-    pat = re.compile(r"^(\s*)(If|Else|Predict)\s*:?\s*\(?(?:feature (\d+) (<=|>|in|not in) ([^)]+))?\)?\s*([0-9.eE+-]+)?")
-    matches = [pat.match(line) for line in model.toDebugString.splitlines()[1:]]
-    matches = [m for m in matches if m]
-    base = min((len(m.group(1)) for m in matches), default=0)
-    for i, m in enumerate(matches):
-        indent, kind, feat, op, thr, pred = m.groups()
-        rows.append((i, len(indent) - base, kind, int(feat) if feat else None, op, thr.strip() if thr else None,
-                     float(pred) if kind == "Predict" and pred else None))
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "line int, depth int, kind string, feature int, op string, "
-                                       "threshold string, prediction double")
+def checked_score(prediction: str = "prediction", probability: str | None = "probability", raw: str = "rawPrediction",
+                  threshold: float = 0.5) -> Column:
+    """What holds of a scored row whatever the learner found: the class is 0 or 1, P(1) is a probability, and the
+    class is P(1) (without one: the raw score of class 1) over its threshold."""
+    p = F.col(prediction)
+    score = vector_to_array(F.col(probability or raw))[1]
+    ok = p.isin(0.0, 1.0) & ((p == 1.0) == (score > F.lit(threshold if probability else 0.0)))
+    return F.coalesce(ok & score.between(0.0, 1.0) if probability else ok, F.lit(False))
 
 
-def selected_features(coefs, names: list[str]) -> DataFrame:
-    """Weights with |w| >= mean |w| (the library default), with names."""
+def tree_nodes(model, names: list[str]) -> DataFrame:
+    """The learned tree, one row a node: the split (feature and threshold), impurity, rows, class counts and
+    prediction, and the nodes below.  Read from the node table that the model saves; bounded by the tree."""
     spark = SparkSession.getActiveSession()
-    w = spark.createDataFrame([(n, float(v)) for n, v in zip(names, coefs)], "feature string, weight double")
-    return w.where(F.abs("weight") >= w.select(F.avg(F.abs("weight"))).scalar())
+    path = scratch_path(spark, "tree")
+    model.write().save(path)
+    t = spark.read.parquet(f"{path}/data")
+    inner = F.col("leftChild") >= 0
+    feature = F.when(inner, F.element_at(F.array(*map(F.lit, names)), F.col("split.featureIndex") + 1))
+    numeric = F.col("split.numCategories") < 0
+    return t.select(F.col("id").alias("node"), feature.alias("feature"),
+                    F.when(inner & numeric, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+                    F.when(inner & ~numeric, F.col("split.leftCategoriesOrThreshold")).alias("left_categories"),
+                    "impurity", F.col("rawCount").alias("rows"), F.col("impurityStats").alias("class_counts"), "prediction",
+                    F.when(inner, F.col("leftChild")).alias("left"), F.when(inner, F.col("rightChild")).alias("right"))
+
+
+def selected_features(weights: DataFrame, weight: str = "weight") -> DataFrame:
+    """Rows with |weight| >= mean |weight| (the library default)."""
+    return weights.where(F.abs(weight) >= weights.select(F.avg(F.abs(weight))).scalar())
+
+
+def named_weights(coefs, names: DataFrame) -> DataFrame:
+    """Weights with the names of their slots (``encode.slot_names``): feature 'column=value', weight."""
+    slots = names.count()
+    if slots != len(coefs):
+        raise ValueError(f"{len(coefs)} weights and {slots} names")
+    w = names.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(coefs)], "slot int, weight double")
+    return w.join(names, "slot").select(F.concat_ws("=", "column", "value").alias("feature"), "weight")
 
 
 def save_load(model: PipelineModel, path: str) -> PipelineModel:
@@ -96,81 +111,16 @@ def save_load(model: PipelineModel, path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def _knn_chunk_topk(train_pdf: pd.DataFrame, test: DataFrame, key: str, tkey: str, k: int) -> DataFrame:
-    """The k nearest training rows of one bounded chunk for every test row (NumPy per Arrow batch)."""
-    spark = test.sparkSession
-    X = np.stack(train_pdf["x"].to_numpy()) if len(train_pdf) else np.zeros((0, 1))
-    bc = spark.sparkContext.broadcast((X, train_pdf["y"].to_numpy(), train_pdf[tkey].to_numpy()))
-
-    def topk(batches):
-        Xt, yt, kt = bc.value
-        for pdf in batches:
-            if not len(pdf) or not len(Xt):
-                continue
-            q = np.stack(pdf["x"].to_numpy())
-            d2 = (q * q).sum(1)[:, None] - 2 * q @ Xt.T + (Xt * Xt).sum(1)[None, :]
-            m = min(k, Xt.shape[0])
-            idx = np.argsort(d2, axis=1, kind="stable")[:, :m]
-            rows = np.repeat(np.arange(len(pdf)), m)
-            cols = idx.reshape(-1)
-            yield pd.DataFrame({key: pdf[key].to_numpy()[rows], "_tk": kt[cols],
-                                "_d": d2[rows, cols], "_y": yt[cols]})
-
-    qt = test.schema[key].dataType.simpleString()
-    return test.mapInPandas(topk, f"{key} {qt}, _tk long, _d double, _y double")
-
-
-def knn_predict(train: DataFrame, test: DataFrame, features: str, label: str, key: str, k: int = 5,
-                max_train_rows: int = 200_000, train_key: str | None = None) -> DataFrame:
-    """M3: exact k-nearest-neighbour vote (squared Euclidean; ties by training key, then smaller label).
-
-    The training set is cut into hash chunks of at most about
-    ``max_train_rows`` rows; each chunk is shipped to tasks (a checked, bounded
-    broadcast), every test partition computes its distance block with NumPy
-    on Arrow batches and keeps the k best per test row.  The chunk results
-    (chunks x k candidates per test row, a bounded group) are merged to the
-    global k best, which vote.  One chunk when the training set is small.
-    """
-    tkey = train_key or key
-    tr = train.select(F.col(tkey).cast("long").alias("_tk"), vector_to_array(F.col(features)).alias("x"),
-                      F.col(label).cast("double").alias("y"))
-    n = tr.count()
-    chunks = max(1, -(-n // max_train_rows))
-    q = test.select(key, vector_to_array(F.col(features)).alias("x"))
-    parts = []
-    for c in range(chunks):
-        piece = tr.where(F.pmod(F.xxhash64("_tk"), F.lit(chunks)) == c) if chunks > 1 else tr
-        pdf = piece.toPandas()  # bounded: about max_train_rows rows
-        if len(pdf) > 2 * max_train_rows:
-            raise ValueError("kNN chunk above its bound; raise the chunk count")
-        parts.append(_knn_chunk_topk(pdf, q, key, "_tk", k))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    from pyspark.sql import Window
-    best = cand.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_d", "_tk"))) \
-        .where(F.col("_r") <= k)
-    votes = best.groupBy(key, "_y").agg(F.count(F.lit(1)).alias("_n"))
-    return votes.groupBy(key).agg(F.max_by(F.col("_y"), F.struct(F.col("_n"), -F.col("_y"))).alias("prediction"))
-
-
-def bucket_vectors(df: DataFrame, user: str, group: str, value: str, size: int, out: str = "features") -> DataFrame:
-    """M9 (A8/A9 at the model edge): long (user, group, value) rows -> one dense
-    vector per user; each user's entries are bounded by the bucket count."""
-    from pyspark.ml.functions import array_to_vector
-    m = df.groupBy(user).agg(F.map_from_entries(F.collect_list(F.struct(F.col(group).cast("int"),
-                                                                        F.col(value).cast("double")))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    return m.select(user, array_to_vector(dense).alias(out))
-
-
-def pca_loadings_by_source(pca_model, slots: DataFrame) -> DataFrame:
-    """Squared loadings summed per source column (slots: slot, column)."""
+def loadings_of(pca_model) -> DataFrame:
+    """Squared loadings of a fitted PCA by slot, summed over its components."""
     pc = pca_model.pc.toArray()
-    spark = SparkSession.getActiveSession()
     rows = [(int(i), float((pc[i] ** 2).sum())) for i in range(pc.shape[0])]
-    ld = spark.createDataFrame(rows, "slot int, sq double")
-    return ld.join(slots, "slot").groupBy("column").agg(F.sum("sq").alias("loading"))
+    return SparkSession.getActiveSession().createDataFrame(rows, "slot int, sq double")
+
+
+def loadings_by_source(loadings: DataFrame, slots: DataFrame) -> DataFrame:
+    """Squared loadings (slot, sq) summed per source column (slots: slot, column)."""
+    return loadings.join(slots, "slot").groupBy("column").agg(F.sum("sq").alias("loading"))
 
 
 def fit_materialised(stages: list, df: DataFrame) -> PipelineModel:
@@ -182,7 +132,6 @@ def fit_materialised(stages: list, df: DataFrame) -> PipelineModel:
     ``spark.checkpoint.dir`` (so a lost executor recomputes nothing upstream),
     and the returned PipelineModel holds every stage for serving.
     """
-    from trafficlens.session import cut_lineage
     prep = Pipeline(stages=stages[:-1]).fit(df)
     label = stages[-1].getOrDefault("labelCol")
     feats = cut_lineage(prep.transform(df).select(stages[-1].getOrDefault("featuresCol"), label))

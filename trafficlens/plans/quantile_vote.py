@@ -1,4 +1,4 @@
-"""M8: the quantile-vote classifier as a pyspark.ml Estimator / Model pair.
+"""M8: the quantile-vote classifier as a pyspark.ml Estimator / Model pair, and its grid.
 
 fit:     time groups (A7) -> per class, users per count -> q-quantile of those
          frequencies per group (A11) -> bots and users side by side, missing = 0 (J5).
@@ -6,22 +6,26 @@ predict: time groups with the fitted range -> rows per (user, group) -> join the
          quantile table, missing = 0 (J6) -> signed vote per user (A12).
 score:   F1 of the vote against each user's first label (A10, E2).
 
-The model's state is two scalars (time range) and the quantile table, which
+The model's state is two numbers (time range) and the quantile table, which
 has at most parts * short_parts + 1 rows: a bounded table, broadcast in predict.
+It is written with ``save`` and read with ``QuantileVoteModel.load``.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.functions.timebuckets import ts_group
-from trafficlens.operators.aggregates import count_frequency_quantile, first_label, signed_vote
+from trafficlens.operators.aggregates import first_label, signed_vote
 from trafficlens.operators.evaluate import f1_positive
-from trafficlens.operators.joins import left_fill, outer_fill
+from trafficlens.operators.joins import left_fill
+from trafficlens.session import cut_lineage
 
 
 class _QVParams(Params):
@@ -39,6 +43,13 @@ class _QVParams(Params):
                          labelCol="isBot", orderCol="ROW_ID")
 
 
+def _side_by_side(freq: DataFrame, keys: list[str], label: str, quantile) -> DataFrame:
+    """J5 in one pass: the classes' quantiles of ``_freq`` per ``keys``, a class without rows as 0."""
+    def of(value):
+        return F.percentile(F.when(F.col(label) == value, F.col("_freq")), quantile)
+    return freq.groupBy(*keys).agg(of(1).alias("size_bots"), of(0).alias("size_users"))
+
+
 class QuantileVoteClassifier(Estimator, _QVParams):
     @keyword_only
     def __init__(self, *, quantile=0.2, parts=4, shortParts=168, userCol="USER_ID", tsCol="TIMESTAMP",
@@ -51,11 +62,12 @@ class QuantileVoteClassifier(Estimator, _QVParams):
         rng = df.agg(F.min(ts).alias("mn"), F.max(ts).alias("mx")).first()
         model = QuantileVoteModel(rng["mn"], rng["mx"])
         self._copyValues(model)
-        g = model.groups(df)
-        q = self.getOrDefault("quantile")
-        bq = count_frequency_quantile(g.where(F.col(label) == 1), "TS_GROUP", user, q, out="size_bots")
-        uq = count_frequency_quantile(g.where(F.col(label) == 0), "TS_GROUP", user, q, out="size_users")
-        model.table = outer_fill(bq, uq, ["TS_GROUP"], 0.0)
+        # Both classes in one pass over the rows.
+        sizes = model.groups(df).groupBy("TS_GROUP", user, label).agg(F.count(F.lit(1)).alias("_n"))
+        freq = sizes.groupBy("TS_GROUP", label, "_n").agg(F.count(F.lit(1)).alias("_freq"))
+        table = _side_by_side(freq, ["TS_GROUP"], label, F.lit(self.getOrDefault("quantile"))).na.fill(0.0)
+        # Computed once: predict and score read the stored table.
+        model.table = cut_lineage(table)
         return model
 
 
@@ -81,3 +93,80 @@ class QuantileVoteModel(Model, _QVParams):
         truth = first_label(df, user, self.getOrDefault("labelCol"), self.getOrDefault("orderCol"))
         pred = self.transform(df).select(user, "predicted")
         return f1_positive(truth.join(pred, user, "inner"), self.getOrDefault("labelCol"), "predicted")
+
+    def save(self, path: str) -> str:
+        """Parameters and time range as one JSON line, the quantile table as Parquet."""
+        state = {"min_ts": self.min_ts, "max_ts": self.max_ts, "params": {p.name: self.getOrDefault(p) for p in self.params}}
+        spark = self.table.sparkSession
+        spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+        self.table.write.mode("overwrite").parquet(f"{path}/table")
+        return path
+
+    @classmethod
+    def load(cls, path: str) -> "QuantileVoteModel":
+        spark = SparkSession.getActiveSession()
+        state = json.loads(spark.read.text(f"{path}/state").first()[0])
+        model = cls(state["min_ts"], state["max_ts"], spark.read.parquet(f"{path}/table"))
+        return model._set(**state["params"])
+
+
+# --- the grid of the reference ---------------------------------------------
+
+# The parameter grid.
+GRID_PARTS = [1, 2, 3, 4, 5, 6, 7, 8]
+GRID_SHORT_PARTS = [1, 10, 20, 30, 40, 50, 100, 150, 200]
+GRID_QUANTILES = [0.001, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5]
+
+
+def grid_scores(df: DataFrame, fold: Column, folds: int, parts=GRID_PARTS, short_parts=GRID_SHORT_PARTS, quantiles=GRID_QUANTILES,
+                user: str = "USER_ID", ts: str = "TIMESTAMP", label: str = "isBot", order: str = "ROW_ID") -> DataFrame:
+    """Cross-validated F1 of every map: (parts, short_parts, quantile, f1), the mean over the folds, in one plan.
+
+    For each fold the others' rows are fitted (time range included) and the fold's
+    users scored.  Rows are counted to (fold, user, label, time) first; each count
+    goes to every (parts, short_parts) pair and fold, and all quantiles of a pair
+    come from one aggregate, so the raw rows are read once for the 720 maps.
+    """
+    rows = df.select(user, ts, label, order, fold.alias("fold")).where(F.col(user).isNotNull() & F.col(ts).isNotNull())
+    counted = cut_lineage(rows.groupBy("fold", user, label, ts).agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("o")))
+    ranges = F.broadcast(counted.select(F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held"), "fold", ts)
+                         .where("fold <> held").groupBy("held").agg(F.min(ts).alias("mn"), F.max(ts).alias("mx")))
+    pairs = F.array(*[F.struct(F.lit(p).alias("parts"), F.lit(s).alias("short_parts")) for p in parts for s in short_parts])
+    spread = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).join(ranges, "held") \
+        .withColumn("g", F.explode(pairs)).select("*", "g.*")
+    period = (F.col("mx") - F.col("mn")).cast("double") / F.col("parts").cast("double")
+    short = period / F.col("short_parts").cast("double")
+    rel = (F.col(ts) - F.col("mn")).cast("double")
+    group = (rel / period).cast("long") * F.col("short_parts") + (F.pmod(rel, period) / short).cast("long")
+    keys = ["held", "parts", "short_parts", "TS_GROUP"]
+    held = F.col("fold") == F.col("held")
+    sizes = spread.withColumn("TS_GROUP", group).groupBy(*keys, user, label, held.alias("test")).agg(F.sum("c").alias("n"))
+    sizes = cut_lineage(sizes)
+    freq = sizes.where("not test").groupBy(*keys, label, "n").agg(F.count(F.lit(1)).alias("_freq"))
+    table = _side_by_side(freq, keys, label, F.array(*[F.lit(float(q)) for q in quantiles]))
+    test = sizes.where("test").groupBy(*keys, user).agg(F.sum("n").alias("n"))
+    joined = test.join(table, keys, "left")
+
+    def vote(i):
+        at = lambda c: F.coalesce(F.get(F.col(c), F.lit(i)), F.lit(0.0))
+        return F.signum(F.round(F.abs(F.col("n") - at("size_users")) - F.abs(F.col("n") - at("size_bots")), 9))
+    votes = joined.groupBy("held", "parts", "short_parts", user).agg(*[F.sum(vote(i)).alias(f"v{i}") for i in range(len(quantiles))])
+    truth = counted.groupBy(F.col("fold").alias("held"), user).agg(F.min_by(F.col(label), F.col("o")).alias("y"))
+    scored = votes.join(truth, ["held", user]).groupBy("held", "parts", "short_parts").agg(*[e.alias(f"{name}{i}") for i in range(len(quantiles)) for name, e in (
+        ("tp", F.count_if((F.col(f"v{i}") > 0) & (F.col("y") == 1))), ("fp", F.count_if((F.col(f"v{i}") > 0) & (F.col("y") == 0))),
+        ("fn", F.count_if((F.col(f"v{i}") <= 0) & (F.col("y") == 1))))])
+
+    def f1(i):
+        all_ = 2 * F.col(f"tp{i}") + F.col(f"fp{i}") + F.col(f"fn{i}")
+        return F.when(all_ != 0, 2 * F.col(f"tp{i}") / all_).otherwise(0.0)
+    points = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), f1(i).alias("f1")) for i, q in enumerate(quantiles)]))
+    return scored.select("held", "parts", "short_parts", points.alias("p")) \
+        .groupBy("parts", "short_parts", F.col("p.quantile").alias("quantile")).agg((F.sum("p.f1") / folds).alias("f1"))
+
+
+def search_grid(train: DataFrame, holdout: DataFrame, fold: Column, folds: int, **grid) -> tuple[dict, "QuantileVoteModel", DataFrame]:
+    """Best map (ties: the smallest), its model refitted on ``train``, and its F1 on ``holdout``."""
+    best = grid_scores(train, fold, folds, **grid).orderBy(F.desc("f1"), "parts", "short_parts", "quantile").first()
+    params = {"parts": best.parts, "shortParts": best.short_parts, "quantile": best["quantile"]}
+    model = QuantileVoteClassifier(**params).fit(train)
+    return {**params, "f1": best.f1}, model, model.score(holdout)

@@ -8,13 +8,17 @@ the fold column (``foldCol``), so folds do not depend on partitioning.
 
 from __future__ import annotations
 
+import json
 import random
+from itertools import product
+from typing import NamedTuple
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.operators.evaluate import class_report
 from trafficlens.operators.ordering import with_row_index
 from trafficlens.operators.rows import hash_fraction
 
@@ -36,47 +40,56 @@ def f1_evaluator(label: str = "label", metric: str = "f1") -> MulticlassClassifi
     return MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
 
 
-def auc_evaluator(label: str = "label") -> BinaryClassificationEvaluator:
-    """E5 through Spark: numBins=0 gives the exact curve."""
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", numBins=0)
-
-
 def grid_search(estimator, grid: list, data: DataFrame, label: str = "label", fold_col: str = "fold",
-                metric: str = "f1", parallelism: int = 2, folds: int = 2):
-    """CrossValidator over the maps, ``folds`` folds taken from ``fold_col``."""
+                metric: str = "f1", parallelism: int = 8, folds: int = 5):
+    """CrossValidator over the maps, ``folds`` folds taken from ``fold_col``; refits the best on all rows."""
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=f1_evaluator(label, metric),
                         foldCol=fold_col, numFolds=folds, parallelism=parallelism, seed=17)
     return cv.fit(data)
 
 
 def random_maps(estimator, space: dict, draws: int, seed: int = 17) -> list:
-    """Draw maps from a parameter space with a seed."""
-    rng = random.Random(seed)
-    keys = list(space)
-    out = []
-    for _ in range(draws):
-        out.append({estimator.getParam(k): rng.choice(space[k]) for k in keys})
-    return out
+    """``draws`` different maps from a parameter space, with a seed."""
+    every = list(product(*space.values()))
+    if draws > len(every):
+        raise ValueError(f"{draws} draws from {len(every)} maps")
+    return [{estimator.getParam(k): v for k, v in zip(space, values, strict=True)}
+            for values in random.Random(seed).sample(every, draws)]
 
 
-def cv_results(cv_model, param: str) -> DataFrame:
-    """Mean metric per parameter map as a DataFrame (param value, cv_metric)."""
-    rows = []
-    for pm, m in zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics):
-        val = [v for p, v in pm.items() if p.name == param]
-        rows.append((float(val[0]) if val else None, float(m)))
-    return SparkSession.getActiveSession().createDataFrame(rows, "param double, cv_metric double")
+def cv_results(cv_model) -> DataFrame:
+    """One row a parameter map: all its parameters as JSON, the mean metric, and whether it is the best one."""
+    rows = [(json.dumps({p.name: v for p, v in pm.items()}, sort_keys=True), float(m))
+            for pm, m in zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics, strict=True)]
+    best = max(range(len(rows)), key=lambda i: rows[i][1])
+    return SparkSession.getActiveSession().createDataFrame([(*r, i == best) for i, r in enumerate(rows)],
+                                                            "params string, cv_metric double, best boolean")
+
+
+class Search(NamedTuple):
+    """A finished search: the maps' scores, the best map refitted, and its class report on the holdout."""
+    results: DataFrame
+    model: object
+    report: DataFrame
+
+
+def search(estimator, grid: list, train: DataFrame, holdout: DataFrame, label: str = "label", fold_col: str = "fold",
+           metric: str = "f1", folds: int = 5) -> Search:
+    """M12 / M13 as a whole: score the maps on ``train``, refit the best one on it, report on ``holdout``."""
+    cv = grid_search(estimator, grid, train, label, fold_col, metric, folds=folds)
+    scored = cv.bestModel.transform(holdout).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
+    return Search(cv_results(cv), cv.bestModel, class_report(scored, "y", "pred"))
 
 
 def validation_curve(estimator, param: str, values: list, train: DataFrame, test: DataFrame,
-                     label: str = "label", fold_col: str = "fold", folds: int = 2) -> DataFrame:
+                     label: str = "label", fold_col: str = "fold", folds: int = 5) -> DataFrame:
     """(param, cv_f1, holdout_f1) for each value."""
     p = estimator.getParam(param)
     grid = ParamGridBuilder().addGrid(p, values).build()
     cv = grid_search(estimator, grid, train, label, fold_col, folds=folds)
     ev = f1_evaluator(label)
     rows = []
-    for pm, m in zip(grid, cv.avgMetrics):
+    for pm, m in zip(grid, cv.avgMetrics, strict=True):
         model = estimator.copy(pm).fit(train)
         rows.append((float(pm[p]), float(m), float(ev.evaluate(model.transform(test)))))
     return SparkSession.getActiveSession().createDataFrame(rows, "param double, cv_f1 double, holdout_f1 double")
@@ -84,7 +97,7 @@ def validation_curve(estimator, param: str, values: list, train: DataFrame, test
 
 def split_size_curve(estimator, data: DataFrame, shares: list[float], label: str, key_cols: list[str],
                      k: int = 2) -> DataFrame:
-    """For each test share, CV F1 on the train part and holdout F1."""
+    """For each test share, CV F1 (2 folds, as the reference has it here) on the train part and holdout F1."""
     ev = f1_evaluator(label)
     rows = []
     for s in shares:
@@ -93,10 +106,5 @@ def split_size_curve(estimator, data: DataFrame, shares: list[float], label: str
         test = part.where(F.col("_u") >= 1.0 - s).drop("_u")
         folded = stratified_folds(train, label, key_cols, k)
         cv = grid_search(estimator, [{}], folded, label, folds=k)
-        model = estimator.fit(train)
-        rows.append((float(s), float(cv.avgMetrics[0]), float(ev.evaluate(model.transform(test)))))
+        rows.append((float(s), float(cv.avgMetrics[0]), float(ev.evaluate(cv.bestModel.transform(test)))))
     return SparkSession.getActiveSession().createDataFrame(rows, "test_share double, cv_f1 double, holdout_f1 double")
-
-
-__all__ = ["stratified_folds", "grid_search", "random_maps", "cv_results", "validation_curve", "split_size_curve",
-           "f1_evaluator", "auc_evaluator"]

@@ -64,8 +64,9 @@ _MM = "mm AS (SELECT min(TIMESTAMP) AS mn, max(TIMESTAMP) AS mx FROM logins)"
 
 def logins_grouped(spark, d, parts, short):
     lg = si.logins(spark, d)
-    mn, mx = lg.select(F.min("TIMESTAMP")).scalar(), lg.select(F.max("TIMESTAMP")).scalar()
-    return lg.withColumn("TS_GROUP", ts_group("TIMESTAMP", mn, mx, parts, short))
+    both = lg.select(F.struct(F.min("TIMESTAMP").alias("mn"), F.max("TIMESTAMP").alias("mx"))).scalar()
+    rows = lg.withColumn("_b", both)
+    return rows.withColumn("TS_GROUP", ts_group("TIMESTAMP", F.col("_b.mn"), F.col("_b.mx"), parts, short)).drop("_b")
 
 
 @register("q_a7_ts_group", with_(LOGINS, _MM) + f"SELECT ROW_ID, USER_ID, {_tsg_sql(4, 168)} AS TS_GROUP FROM logins, mm")

@@ -28,11 +28,11 @@ def q_j3(spark, d):
     return jn.semi_on_marker(si.user_browser(spark, d), "browserId", "userId", "null")
 
 
-@register("q_j4_membership_flag", with_(HTTP, BOT_LIST) + "SELECT ROW_ID, browserId, CASE WHEN browserId IN (SELECT "
-          "browserId FROM bot_list) THEN 1 ELSE 0 END AS inList FROM http")
+@register("q_j4_membership_flag", with_(HTTP, BOT_LIST) + "SELECT ROW_ID, userId, CASE WHEN userId IN (SELECT "
+          "userId FROM bot_list) THEN 1 ELSE 0 END AS inList FROM http")
 def q_j4(spark, d):
-    h = si.http(spark, d).select("ROW_ID", "browserId")
-    return jn.membership_flag(h, si.bot_list(spark, d), "browserId")
+    h = si.http(spark, d).select("ROW_ID", "userId")
+    return jn.membership_flag(h, si.bot_list(spark, d), "userId")
 
 
 @register("q_j7_join_back", with_(SCORES, HTTP) + "SELECT s.ROW_ID, s.p, h.operation, h.userId FROM scores s "

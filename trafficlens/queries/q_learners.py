@@ -1,26 +1,29 @@
-"""Learned models, tuning and model flows (rows-only: values depend on a learner).
+"""Learned models, tuning and model flows.
 
-M1-M7, M9-M20, A24 and the end-to-end flows of SURVEY section 3.
+What a learner finds is its own; the rows it is given and what must hold of its
+output are not.  So the queries of learners that score rows give the keys of
+the scored rows and whether the score holds together (``models.checked_score``),
+and have a twin; searches and curves give their table and are rows-only.
 """
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from trafficlens.functions.scalars import hash_bucket, none_text
 from trafficlens.functions.timebuckets import half_day_bounds
 from trafficlens.operators import encode as en
-from trafficlens.operators.aggregates import (activity_counts, bucket_counts, first_label, row_normalise,
-                                              user_rollup)
+from trafficlens.operators.aggregates import activity_counts, user_rollup
 from trafficlens.operators.evaluate import class_report, f1_positive
 from trafficlens.operators.windows import sliding_counts
 from trafficlens.plans import models as md
 from trafficlens.plans import tuning as tn
+from trafficlens.plans.bucket_logit import BucketLogit
 from trafficlens.session import cut_lineage
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import read
+from trafficlens.sqltwins import AUTH, HTTP, LOGINS, TEXT, with_
 
 from . import register
 
@@ -28,6 +31,19 @@ W6, S1 = 6 * 3600 * 1000, 3600 * 1000
 ACT_COLS = ["COUNT_ACT_WEEK"] + [f"COUNT_ACT_{i}" for i in range(1, 7)]
 
 
+def _part_sql(key, share):
+    """M11's split of a key (text) in SQL."""
+    return (f"CASE WHEN CAST(('0x' || substring(md5('17|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0 < {1.0 - share} "
+            "THEN 'train' ELSE 'test' END")
+
+
+_WINDOWS = with_(LOGINS, "mn AS (SELECT min(TIMESTAMP) AS m FROM logins)",
+                 f"w AS (SELECT CAST(((TIMESTAMP - m + i * {S1}) // {W6}) * 6 + i AS BIGINT) AS TS_PART, USER_ID, "
+                 "CAST(isBot AS DOUBLE) AS label FROM logins, mn, range(0, 6) t(i) GROUP BY 1, 2, 3)")
+_WINDOW_KEY = "CAST(TS_PART AS VARCHAR) || '|' || CAST(USER_ID AS VARCHAR)"
+_HTTP_TEST = with_(HTTP) + f"SELECT ROW_ID, CAST(isBot AS DOUBLE) AS label, TRUE AS scored FROM http WHERE {_part_sql('CAST(ROW_ID AS VARCHAR)', 0.3)} = 'test'"
+
+
 def login_window_features(spark, d):
     """A6 counts per (window, user) as a vector, label = isBot (the 3.4 flow).
 
@@ -50,65 +66,81 @@ def http_features(spark, d):
 HTTP_CATS = ["operation", "method", "requestType", "ua_bucket"]
 
 
-@register("q_m1_decision_tree")
+@register("q_m1_decision_tree", with_(AUTH, "a AS (SELECT IP, arg_min(BOT_OR_HUMAN, TIMESTAMP) AS label FROM auth GROUP BY IP)") +
+          f"SELECT IP, label, TRUE AS known_label FROM a WHERE {_part_sql('CAST(IP AS VARCHAR)', 0.3)} = 'test'")
 def q_m1(spark, d):
     a = activity_counts(si.auth(spark, d), half_day_bounds(si.AUTH_WEEK_START))
     a = md.hash_split(en.assemble(ACT_COLS).transform(a), ["IP"], 0.3)
     train, test = a.where("part = 'train'"), a.where("part = 'test'")
     lab = en.label_index("label", "indexedLabel").fit(train)
-    vi = VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=4)
+    # A category that the training part lacks is one of its own.
+    vi = VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=4, handleInvalid="keep")
     tree = md.decision_tree("indexedLabel", "indexedFeatures", depth=5)
     back = en.label_back(lab, "prediction", "predictedLabel")
-    model = Pipeline(stages=[lab, vi, tree, back]).fit(train)
-    return model.transform(test).select("IP", "label", "predictedLabel")
+    model = Pipeline(stages=[lab.setHandleInvalid("keep"), vi, tree, back]).fit(train)
+    return model.transform(test).select("IP", "label", F.col("predictedLabel").isin(*lab.labels).alias("known_label"))
 
 
-@register("q_m18_tree_rules")
+@register("q_m18_tree_nodes")
 def q_m18(spark, d):
     f = login_window_features(spark, d)
-    return md.tree_rules(md.decision_tree(depth=3, impurity="entropy").fit(f))
+    return md.tree_nodes(md.decision_tree(depth=3, impurity="entropy").fit(f), si.EVENT_TYPES)
 
 
-@register("q_m2_forest_importances")
+@register("q_m18_tree_counts", _WINDOWS + "SELECT count(*) AS root_rows, count(*) FILTER (label = 0) AS root_users, "
+          "count(*) FILTER (label = 1) AS root_bots, 0 AS uneven_nodes FROM w")
+def q_m18c(spark, d):
+    """The tree's node table adds up: the root holds every row, an inner node what its two children hold."""
+    t = q_m18(spark, d)
+    rows = t.select(F.col("node").alias("child"), F.col("rows").alias("child_rows"))
+    below = t.where("left is not null").select("node", "rows", F.explode(F.array("left", "right")).alias("child")).join(rows, "child")
+    uneven = below.groupBy("node", "rows").agg(F.sum("child_rows").alias("below")).where("rows <> below")
+    root = t.where("node = 0")
+    return root.select(F.col("rows").alias("root_rows"), F.col("class_counts")[0].cast("long").alias("root_users"),
+                       F.col("class_counts")[1].cast("long").alias("root_bots"), uneven.select(F.count(F.lit(1))).scalar().cast("int").alias("uneven_nodes"))
+
+
+@register("q_m2_forest_importances", "SELECT 5 AS features, TRUE AS sums_to_one")
 def q_m2(spark, d):
     f = login_window_features(spark, d)
     model = md.random_forest(trees=100, depth=5).fit(f)
-    return md.importances(model, si.EVENT_TYPES)
-
-
-@register("q_m3_knn")
-def q_m3(spark, d):
-    e = si.vectors(spark, d).select("vec_id", F.col("label").cast("double").alias("label"),
-                                    array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    e = md.hash_split(e, ["vec_id"], 0.3)
-    train, test = e.where("part = 'train'"), e.where("part = 'test'")
-    sc = en.standard_scale(train, "v", "z")
-    pred = md.knn_predict(sc.transform(train), sc.transform(test), "z", "label", "vec_id", k=5)
-    return pred.join(test.select("vec_id", "label"), "vec_id")
+    return md.importances(model, si.EVENT_TYPES).agg(F.count("feature").cast("int").alias("features"),
+                                                     (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@register("q_m4_linear_svm")
+@register("q_m4_linear_svm", _WINDOWS + f"SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w WHERE {_part_sql(_WINDOW_KEY, 0.3)} = 'test'")
 def q_m4(spark, d):
     f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
     model = md.linear_svm(alpha=1e-4, max_iter=20).fit(f.where("part = 'train'"))
-    return model.transform(f.where("part = 'test'")).select("TS_PART", "USER_ID", "label", "prediction")
+    return model.transform(f.where("part = 'test'")).select("TS_PART", "USER_ID", "label", md.checked_score(probability=None).alias("scored"))
 
 
 def _http_lr(spark, d, C=0.1):
-    h = http_features(spark, d)
-    n = h.count()
+    """(all rows, training part, holdout part, logistic model fitted on the training part)."""
+    h = md.hash_split(http_features(spark, d), ["ROW_ID"], 0.3)
+    train, test = h.where("part = 'train'"), h.where("part = 'test'")
     stages = en.one_hot_stages(HTTP_CATS) + [en.assemble([f"{c}_vec" for c in HTTP_CATS]),
-                                              md.logistic(C=C, n=n, max_iter=50)]
-    return h, md.fit_materialised(stages, h)
+                                              md.logistic(C=C, n=train.count(), max_iter=50)]
+    return h, train, test, md.fit_materialised(stages, train)
 
 
-@register("q_m5_logistic")
+@register("q_m5_logistic", _HTTP_TEST)
 def q_m5(spark, d):
-    h, model = _http_lr(spark, d)
-    return md.p_bot(model.transform(h)).select("ROW_ID", "label", "predict_proba")
+    _, _, test, model = _http_lr(spark, d)
+    return model.transform(test).select("ROW_ID", "label", md.checked_score().alias("scored"))
+
 
+@register("q_m5_validation_curve")
+def q_m5v(spark, d):
+    """Holdout F1 for C = 0.1 .. 0.9."""
+    h = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    train, test = h.where("part = 'train'"), h.where("part = 'test'")
+    n, ev = train.count(), tn.f1_evaluator()
+    rows = [(c / 10, float(ev.evaluate(md.logistic(C=c / 10, n=n).fit(train).transform(test)))) for c in range(1, 10)]
+    return spark.createDataFrame(rows, "C double, holdout_f1 double")
 
-@register("q_m6_param_maps")
+
+@register("q_m6_param_maps", _WINDOWS + "SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w")
 def q_m6(spark, d):
     f = login_window_features(spark, d)
     lr = md.logistic(max_iter=10)
@@ -116,38 +148,35 @@ def q_m6(spark, d):
     params = {lr.maxIter: 30, lr.regParam: 0.1, lr.threshold: 0.55, lr.probabilityCol: "myProbability"}
     model = lr.fit(f, params)
     return model.transform(f).select("TS_PART", "USER_ID", "label",
-                                     vector_to_array("myProbability")[1].alias("p"), "prediction")
+                                     md.checked_score(probability="myProbability", threshold=0.55).alias("scored"))
 
 
-@register("q_m7_distributed_fit")
+@register("q_m7_distributed_fit", _HTTP_TEST)
 def q_m7(spark, d):
-    h = http_features(spark, d)
+    h = md.hash_split(http_features(spark, d), ["ROW_ID"], 0.3)
     stages = en.one_hot_stages(HTTP_CATS) + [en.assemble([f"{c}_vec" for c in HTTP_CATS]),
                                               md.linear_svm(alpha=1e-4, max_iter=30)]
-    model = md.one_distributed_fit(stages, h)
-    return model.transform(h).select("ROW_ID", "label", "prediction")
+    model = md.one_distributed_fit(stages, h.where("part = 'train'"))
+    return model.transform(h.where("part = 'test'")).select("ROW_ID", "label", md.checked_score(probability=None).alias("scored"))
 
 
-@register("q_m9_bucket_logit")
+@register("q_m9_bucket_logit", with_(LOGINS, f"u AS (SELECT USER_ID, arg_min(isBot, ROW_ID) AS isBot FROM logins WHERE {_part_sql('CAST(USER_ID AS VARCHAR)', 0.33)} = 'test' GROUP BY 1)") +
+          "SELECT USER_ID, isBot, TRUE AS scored FROM u")
 def q_m9(spark, d):
-    from .q_aggregates import logins_grouped
-    parts, short = 4, 10
-    g = logins_grouped(spark, d, parts, short)
-    shares = row_normalise(bucket_counts(g, "USER_ID", "TS_GROUP", drop_first=True), "USER_ID")
-    vec = md.bucket_vectors(shares, "USER_ID", "TS_GROUP", "share", parts * short + 1)
-    lab = first_label(si.logins(spark, d), "USER_ID", "isBot", "ROW_ID").withColumn("label", F.col("isBot").cast("double"))
-    data = md.hash_split(vec.join(lab, "USER_ID"), ["USER_ID"], 0.33)
-    model = md.logistic(C=1.0, n=data.count(), max_iter=100).fit(data.where("part = 'train'"))
-    pred = model.transform(data.where("part = 'test'")).withColumn("pred", F.col("prediction").cast("int"))
-    return f1_positive(pred, "isBot", "pred")
+    """Fitted on two thirds of the users, every user of the rest that has a slot is scored."""
+    lg = md.hash_split(si.logins(spark, d), ["USER_ID"], 0.33)
+    lo, hi = lg.agg(F.min("TIMESTAMP"), F.max("TIMESTAMP")).first()
+    # One shift before the first login, so that no login is in the bucket that is left out.
+    model = BucketLogit(parts=4, shortParts=10, shares=True, minTs=float(lo) - (hi - lo) / 20, maxTs=float(hi) + 1).fit(lg.where("part = 'train'"))
+    return model.transform(lg.where("part = 'test'")).select("USER_ID", "isBot", md.checked_score().alias("scored"))
 
 
-@register("q_m10_text_pipeline")
+@register("q_m10_text_pipeline", with_(TEXT) + "SELECT doc_id, label, TRUE AS scored FROM text")
 def q_m10(spark, d):
     t = si.text(spark, d)
     stages = [en.tokenizers("text")[0], en.hashed_tf("words", 1000, "features"), md.logistic(max_iter=10)]
     model = Pipeline(stages=stages).fit(t)
-    return md.p_bot(model.transform(t)).select("doc_id", "label", "predict_proba", "prediction")
+    return model.transform(t).select("doc_id", "label", md.checked_score().alias("scored"))
 
 
 @register("q_m11_hash_split", "SELECT event_id, CASE WHEN CAST(('0x' || substring(md5('17|' || CAST(event_id AS VARCHAR)), "
@@ -156,15 +185,36 @@ def q_m11(spark, d):
     return md.hash_split(read(spark, d, "events", ["event_id"]), ["event_id"], 0.3)
 
 
+DEPTHS = list(range(1, 20, 2))
+# The ranges of the random search.
+ALPHAS = [1e-15 * 10 ** i for i in range(15)]
+ITERATIONS = [10 * (i + 1) for i in range(20)]
+
+
+def _folded(spark, d, k=5):
+    """Training part with folds, and the holdout part, of the login windows."""
+    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    train = tn.stratified_folds(f.where("part = 'train'"), "label", ["TS_PART", "USER_ID"], k)
+    return cut_lineage(train), f.where("part = 'test'")
+
+
 @register("q_m12_grid_search")
 def q_m12(spark, d):
-    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 2)
+    train, holdout = _folded(spark, d)
+    dt = md.decision_tree()
+    return tn.search(dt, ParamGridBuilder().addGrid(dt.maxDepth, DEPTHS).build(), train, holdout).results
+
+
+@register("q_m12_holdout_report")
+def q_m12r(spark, d):
+    """The best depth, refitted on the training part: its class report on the holdout."""
+    train, holdout = _folded(spark, d)
     dt = md.decision_tree()
-    grid = ParamGridBuilder().addGrid(dt.maxDepth, [2, 4]).build()
-    return tn.cv_results(tn.grid_search(dt, grid, f), "maxDepth")
+    return tn.search(dt, ParamGridBuilder().addGrid(dt.maxDepth, DEPTHS).build(), train, holdout).report
 
 
-@register("q_m12_stratified_folds")
+@register("q_m12_stratified_folds", _WINDOWS + "SELECT CAST(rn % 5 AS INTEGER) AS fold, label, count(*) AS n FROM (SELECT label, "
+          "row_number() OVER (PARTITION BY label ORDER BY USER_ID) - 1 AS rn FROM w) t GROUP BY 1, 2")
 def q_m12f(spark, d):
     f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 5)
     return f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -172,10 +222,9 @@ def q_m12f(spark, d):
 
 @register("q_m13_random_search")
 def q_m13(spark, d):
-    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 2)
+    train, holdout = _folded(spark, d)
     svm = md.linear_svm()
-    maps = tn.random_maps(svm, {"regParam": [1e-4, 1e-3, 1e-2, 1e-1], "maxIter": [5, 10, 20]}, draws=3)
-    return tn.cv_results(tn.grid_search(svm, maps, f), "regParam")
+    return tn.search(svm, tn.random_maps(svm, {"regParam": ALPHAS, "maxIter": ITERATIONS}, draws=10), train, holdout).results
 
 
 @register("q_m14_cv_score")
@@ -187,46 +236,64 @@ def q_m14(spark, d):
 
 @register("q_m15_validation_curve")
 def q_m15(spark, d):
-    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
-    train = tn.stratified_folds(f.where("part = 'train'"), "label", ["TS_PART", "USER_ID"], 2)
-    return tn.validation_curve(md.decision_tree(), "maxDepth", [2, 4], train, f.where("part = 'test'"))
+    train, test = _folded(spark, d)
+    return tn.validation_curve(md.decision_tree(), "maxDepth", DEPTHS, train, test)
 
 
 @register("q_m16_split_size_curve")
 def q_m16(spark, d):
     f = login_window_features(spark, d)
-    return tn.split_size_curve(md.decision_tree(depth=3), f, [0.1, 0.3], "label", ["TS_PART", "USER_ID"])
+    return tn.split_size_curve(md.decision_tree(depth=3), f, [i / 10 for i in range(1, 8)], "label", ["TS_PART", "USER_ID"])
 
 
 @register("q_m17_feature_selection")
 def q_m17(spark, d):
-    h, model = _http_lr(spark, d)
-    lr = model.stages[-1]
-    idx = [s for s in model.stages if hasattr(s, "labels")]
-    names = en.slot_names(idx, HTTP_CATS, drop_last=True)
-    rows = names.orderBy("slot").select(F.concat_ws("=", "column", "value").alias("n"))
-    name_list = [r[0] for r in rows.collect()]  # bounded by the one-hot width
-    return md.selected_features(lr.coefficients.toArray().tolist(), name_list)
+    _, train, _, model = _http_lr(spark, d)
+    names = en.slot_names(model.transform(train), HTTP_CATS)
+    return md.selected_features(md.named_weights(model.stages[-1].coefficients.toArray().tolist(), names))
+
 
+_SLOTS = with_(HTTP, """s AS (SELECT CAST(row_number() OVER (ORDER BY c, value) - 1 AS INTEGER) AS slot, name, value FROM (
+  SELECT DISTINCT 0 AS c, 'operation' AS name, operation AS value FROM http UNION SELECT DISTINCT 1, 'method', method FROM http
+  UNION SELECT DISTINCT 2, 'requestType', requestType FROM http) t)""")
 
-@register("q_m19_example_predictions")
+
+def _slots(spark, d):
+    """Names of the stacked one-hot slots of three columns."""
+    h = si.http(spark, d).select("operation", "method", "requestType")
+    cats = h.columns
+    return en.slot_names(en.one_hot_fit(h, cats).transform(h), cats)
+
+
+@register("q_m17_selection_rule", _SLOTS + """, w AS (SELECT name || '=' || value AS feature, CAST(slot * slot % 7 - 3 AS DOUBLE) AS weight FROM s)
+SELECT feature, weight FROM w WHERE abs(weight) >= (SELECT avg(abs(weight)) FROM w)""")
+def q_m17r(spark, d):
+    """The selection on weights that are given by slot, so that names and rule can be checked."""
+    names = _slots(spark, d)
+    return md.selected_features(md.named_weights([i * i % 7 - 3 for i in range(names.count())], names))
+
+
+@register("q_m19_example_predictions", _WINDOWS + "SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w ORDER BY TS_PART, USER_ID LIMIT 5")
 def q_m19(spark, d):
     f = login_window_features(spark, d)
     model = md.decision_tree(depth=3).fit(f)
-    return model.transform(f).orderBy("TS_PART", "USER_ID").select("prediction", "label", "TS_PART", "USER_ID").limit(5)
+    top = model.transform(f).orderBy("TS_PART", "USER_ID").limit(5)
+    return top.select("TS_PART", "USER_ID", "label", md.checked_score().alias("scored"))
 
 
-@register("q_m20_batch_scoring")
+@register("q_m20_batch_scoring", with_(HTTP) + "SELECT ROW_ID, userId, TRUE AS scored FROM http")
 def q_m20(spark, d):
-    h, model = _http_lr(spark, d)
-    return md.p_bot(model.transform(h)).select("ROW_ID", "userId", "predict_proba")
+    """Every request scored by a model of the training part."""
+    h, _, _, model = _http_lr(spark, d)
+    scored = md.p_bot(model.transform(h))
+    return scored.select("ROW_ID", "userId", (md.checked_score() & F.col("predict_proba").between(0.0, 1.0)).alias("scored"))
 
 
 @register("q_flow_http_user_report")
 def q_flow_http(spark, d):
-    """3.3: scan -> hash -> one-hot -> logistic -> per-user max -> class report."""
-    h, model = _http_lr(spark, d, C=0.1)
-    scored = md.p_bot(model.transform(h)).select("userId", "predict_proba", F.col("label").cast("int").alias("y"))
+    """3.3: scan -> hash -> one-hot -> split -> logistic -> per-user max on the holdout -> class report."""
+    _, _, test, model = _http_lr(spark, d, C=0.1)
+    scored = md.p_bot(model.transform(test)).select("userId", "predict_proba", F.col("label").cast("int").alias("y"))
     users = user_rollup(scored, "userId", "predict_proba", "y", 0.5)
     return class_report(users, "y", "pred")
 
@@ -235,12 +302,16 @@ def q_flow_http(spark, d):
 def q_a24(spark, d):
     h = http_features(spark, d)
     cats = ["operation", "method", "requestType"]
-    oh = en.one_hot_fit(h, cats)
-    v = oh.transform(h)
+    v = en.one_hot_fit(h, cats).transform(h)
     model, _ = en.pca_2d(v, "features")
-    idx = [s for s in oh.stages if hasattr(s, "labels")]
-    slots = en.slot_names(idx, cats, drop_last=True)
-    return md.pca_loadings_by_source(model, slots)
+    return md.loadings_by_source(md.loadings_of(model), en.slot_names(v, cats))
+
+
+@register("q_a24_loadings_rule", _SLOTS + 'SELECT name AS "column", sum(CAST(slot + 1 AS DOUBLE) / 64) AS loading FROM s GROUP BY 1')
+def q_a24r(spark, d):
+    """The sums on loadings that are given by slot."""
+    slots = _slots(spark, d)
+    return md.loadings_by_source(slots.select("slot", ((F.col("slot") + 1) / 64.0).alias("sq")), slots)
 
 
 @register("q_flow_login_window_forest")
@@ -252,23 +323,22 @@ def q_flow_login(spark, d):
     return f1_positive(pred, "isBot", "pred")
 
 
-@register("q_flow_live_demo")
+@register("q_flow_live_demo", with_(HTTP) + "SELECT timestamp // 1000 AS window_start, count(*) AS requests FROM http GROUP BY 1")
 def q_flow_live(spark, d):
-    """3.5: requests scored by the served model (T2), then verdict counts per second."""
+    """3.5: requests scored by the served model (T2), then verdicts per second (T3): each request is in one."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    from trafficlens.plans.models import save_load
     from trafficlens.sources import files as fs
     from trafficlens.streaming import streams as st
-    h, model = _http_lr(spark, d)
-    served = save_load(model, fs.fresh(spark, "served-model"))
+    h, _, _, model = _http_lr(spark, d)
+    served = md.save_load(model, fs.fresh(spark, "served-model"))
     folder = fs.fresh(spark, "timed-requests")
     h.join(si.http(spark, d).select("ROW_ID", "timestamp"), "ROW_ID") \
         .select(F.col("ROW_ID").cast("string").alias("ROW_ID"), F.col("timestamp").cast("string").alias("timestamp"),
-                *[F.col(c).cast("string") for c in HTTP_CATS]).write.mode("overwrite").json(folder)
+                *[F.col(c).cast("string") for c in HTTP_CATS]).write.json(folder)
     fields = ["ROW_ID", "timestamp", *HTTP_CATS]
     schema = StructType([StructField(c, StringType()) for c in fields])
     scored = st.score_requests(spark, folder, schema, served, fields) \
         .select(F.timestamp_millis(F.col("timestamp").cast("long")).alias("ts"), "predict_proba")
-    log = st.run_upsert_log(st.verdict_counts(scored, "ts", "predict_proba"), "live-verdicts")
-    return st.latest_per_key(spark, log, ["window_start"])
+    log = st.run_upsert_log(st.verdict_counts(scored, "ts", "predict_proba"), fs.fresh(spark, "live-verdicts"))
+    return st.latest_per_key(spark, log, ["window_start"]).select("window_start", (F.col("users") + F.col("bots")).alias("requests"))

@@ -1,6 +1,9 @@
 """M8 with its parts J5, J6, A12: the quantile-vote classifier end to end in SQL."""
 
-from trafficlens.plans.quantile_vote import QuantileVoteClassifier
+from pyspark.sql import functions as F
+
+from trafficlens.operators.rows import hash_fraction
+from trafficlens.plans.quantile_vote import GRID_PARTS, GRID_QUANTILES, GRID_SHORT_PARTS, QuantileVoteClassifier, grid_scores
 from trafficlens.sources import standins as si
 from trafficlens.sqltwins import LOGINS, with_
 
@@ -20,7 +23,7 @@ _QV_SQL = with_(LOGINS, _MM,
                 "t AS (SELECT USER_ID, TS_GROUP, count(*) AS size FROM g GROUP BY 1, 2)",
                 """tt AS (SELECT t.USER_ID, t.TS_GROUP, t.size, coalesce(qt.size_bots, 0.0) AS size_bots,
   coalesce(qt.size_users, 0.0) AS size_users FROM t LEFT JOIN qt ON t.TS_GROUP = qt.TS_GROUP)""",
-                """v AS (SELECT USER_ID, CAST(sum(sign(abs(size - size_users) - abs(size - size_bots))) AS DOUBLE) AS vote
+                """v AS (SELECT USER_ID, CAST(sum(sign(round(abs(size - size_users) - abs(size - size_bots), 9))) AS DOUBLE) AS vote
   FROM tt GROUP BY 1)""")
 
 
@@ -61,3 +64,32 @@ def q_m8f1(spark, d):
     lg, m = _model(spark, d)
     return m.score(lg)
 
+
+
+FOLDS = 3
+_FOLD = f"CAST(floor(CAST(('0x' || substring(md5('17|' || CAST(ROW_ID AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 * {FOLDS}) AS INTEGER)"
+
+
+@register("q_m8_grid_scores", with_(LOGINS, f"f AS (SELECT *, {_FOLD} AS fold FROM logins)", f"hs AS (SELECT unnest(range({FOLDS})) AS held)",
+          "rg AS (SELECT held, min(TIMESTAMP) AS mn, max(TIMESTAMP) AS mx FROM f, hs WHERE fold <> held GROUP BY 1)",
+          f"pr AS (SELECT p.parts, s.short_parts FROM (SELECT unnest({GRID_PARTS}) AS parts) p, (SELECT unnest({GRID_SHORT_PARTS}) AS short_parts) s)",
+          """c AS (SELECT held, parts, short_parts, USER_ID, isBot, fold = held AS test,
+  CAST(trunc((TIMESTAMP - mn) / ((mx - mn) / CAST(parts AS DOUBLE))) AS BIGINT) * short_parts
+  + CAST(trunc((fmod(CAST(TIMESTAMP - mn AS DOUBLE), (mx - mn) / CAST(parts AS DOUBLE)))
+    / (((mx - mn) / CAST(parts AS DOUBLE)) / CAST(short_parts AS DOUBLE))) AS BIGINT) AS g, count(*) AS n
+  FROM f JOIN rg ON TRUE, pr GROUP BY ALL)""",
+          "fr AS (SELECT held, parts, short_parts, g, isBot, n, count(*) AS freq FROM c WHERE NOT test GROUP BY ALL)",
+          f"""q AS (SELECT held, parts, short_parts, g, quantile_cont(freq, {GRID_QUANTILES}) FILTER (isBot = 1) AS b,
+  quantile_cont(freq, {GRID_QUANTILES}) FILTER (isBot = 0) AS u FROM fr GROUP BY ALL)""",
+          "t AS (SELECT held, parts, short_parts, USER_ID, g, sum(n) AS n FROM c WHERE test GROUP BY ALL)",
+          f"""v AS (SELECT held, parts, short_parts, USER_ID, i, sum(sign(round(abs(t.n - coalesce(u[i], 0.0)) - abs(t.n - coalesce(b[i], 0.0)), 9))) AS vote
+  FROM t LEFT JOIN q USING (held, parts, short_parts, g), (SELECT unnest(range(1, {len(GRID_QUANTILES) + 1})) AS i) x GROUP BY ALL)""",
+          "y AS (SELECT fold AS held, USER_ID, arg_min(isBot, ROW_ID) AS y FROM f GROUP BY 1, 2)",
+          """m AS (SELECT held, parts, short_parts, i, count(*) FILTER (vote > 0 AND y = 1) AS tp, count(*) FILTER (vote > 0 AND y = 0) AS fp,
+  count(*) FILTER (vote <= 0 AND y = 1) AS fn FROM v JOIN y USING (held, USER_ID) GROUP BY ALL)""") +
+          f"""SELECT parts, short_parts, CAST(({GRID_QUANTILES})[i] AS DOUBLE) AS quantile,
+  round(sum(CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END) / {FOLDS}, 9) AS f1 FROM m GROUP BY ALL""")
+def q_m8grid(spark, d):
+    """The reference's 720 maps, cross-validated over 3 folds of the rows."""
+    fold = F.floor(hash_fraction(["ROW_ID"], 17) * FOLDS).cast("int")
+    return grid_scores(si.logins(spark, d), fold, FOLDS).withColumn("f1", F.round("f1", 9))

@@ -33,13 +33,14 @@ def q_s4(spark, d):
     return fs.read_tsv(spark, p)
 
 
-@register("q_s5_libsvm")
+@register("q_s5_libsvm", """SELECT CAST(label AS DOUBLE) AS label, CAST(slot AS INTEGER) AS slot, value FROM (
+  SELECT label, generate_subscripts(embedding, 1) - 1 AS slot, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings) t""")
 def q_s5(spark, d):
     e = si.vectors(spark, d).select(F.col("label").cast("double").alias("label"),
                                     array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     p = fs.write_libsvm(e, fs.fresh(spark, "emb-libsvm"))
     back = fs.read_libsvm(spark, p, 64)
-    return back.select("label", F.size(vector_to_array("features")).alias("dims"))
+    return back.select("label", F.posexplode(vector_to_array("features")).alias("slot", "value"))
 
 
 @register("q_s6_rows_with_schema", with_(TEXT) + "SELECT doc_id AS id, text, label FROM text")
@@ -90,14 +91,23 @@ SELECT CASE WHEN event_type = 'purchase' THEN 'WARNING' ELSE 'INFO' END AS level
   CASE WHEN event_type IN ('click', 'signup') THEN 'click' WHEN event_type = 'view' THEN 'mouse_move' ELSE 'css_load' END
     AS stat_type,
   CASE WHEN event_type IN ('click', 'signup') THEN 'el' || CAST(k AS VARCHAR) END AS element_id,
+  CASE WHEN event_type IN ('click', 'signup') THEN 'c' || CAST(k AS VARCHAR) || ' btn' END AS element_class_name,
   CASE WHEN event_type IN ('click', 'signup') THEN 'BUTTON' END AS element_tag_name,
-  CASE WHEN event_type IN ('click', 'signup') THEN k WHEN event_type = 'view' THEN user_id END AS mouse_x,
-  CASE WHEN event_type IN ('click', 'signup') THEN user_id WHEN event_type = 'view' THEN k END AS mouse_y,
-  CAST(CASE WHEN event_type IN ('click', 'signup') THEN 1280 WHEN event_type = 'view' THEN 1920 END AS BIGINT)
+  CASE WHEN event_type IN ('click', 'signup') THEN 't' || CAST(user_id AS VARCHAR) END AS element_oktarget,
+  CASE WHEN event_type IN ('click', 'signup') THEN k + 0.25::DOUBLE END AS element_position_top_left_x,
+  CASE WHEN event_type IN ('click', 'signup') THEN user_id::DOUBLE END AS element_position_top_left_y,
+  CASE WHEN event_type IN ('click', 'signup') THEN k + 0.75::DOUBLE END AS element_position_bottom_right_x,
+  CASE WHEN event_type IN ('click', 'signup') THEN user_id + 0.5::DOUBLE END AS element_position_bottom_right_y,
+  CASE WHEN event_type IN ('click', 'signup') THEN k + 0.5::DOUBLE WHEN event_type = 'view' THEN user_id::DOUBLE END
+    AS mouse_position_x,
+  CASE WHEN event_type IN ('click', 'signup') THEN user_id::DOUBLE WHEN event_type = 'view' THEN k + 0.5::DOUBLE END
+    AS mouse_position_y,
+  CAST(CASE WHEN event_type IN ('click', 'signup') THEN 1280 WHEN event_type = 'view' THEN 1920 END AS DOUBLE)
     AS window_width,
-  CAST(CASE WHEN event_type IN ('click', 'signup') THEN 720 WHEN event_type = 'view' THEN 1080 END AS BIGINT)
+  CAST(CASE WHEN event_type IN ('click', 'signup') THEN 720 WHEN event_type = 'view' THEN 1080 END AS DOUBLE)
     AS window_height,
-  CASE WHEN event_type <> 'purchase' THEN ms END AS client_timestamp,
+  CASE WHEN event_type IN ('click', 'signup') THEN ms + 0.5::DOUBLE WHEN event_type <> 'purchase' THEN ms::DOUBLE END
+    AS client_timestamp,
   CASE WHEN event_type = 'purchase' THEN CAST(k AS DOUBLE) END AS max_css_load_duration,
   CASE WHEN event_type = 'purchase' THEN CAST(user_id AS DOUBLE) END AS min_css_load_duration
 FROM e"""
@@ -117,11 +127,11 @@ def q_s12c(spark, d):
     return corrupt_lines(render_from_events(ev))
 
 
-@register("q_s13_model_save_load")
+@register("q_s13_model_save_load", "SELECT event_id AS ROW_ID, TRUE AS same FROM events")
 def q_s13(spark, d):
     from .q_learners import _http_lr
-    h, model = _http_lr(spark, d)
+    h, _, _, model = _http_lr(spark, d)
     loaded = md.save_load(model, fs.fresh(spark, "http-model"))
     before = md.p_bot(model.transform(h)).select("ROW_ID", F.col("predict_proba").alias("p_before"))
     after = md.p_bot(loaded.transform(h)).select("ROW_ID", F.col("predict_proba").alias("p_after"))
-    return before.join(after, "ROW_ID").withColumn("same", F.col("p_before") == F.col("p_after"))
+    return before.join(after, "ROW_ID").select("ROW_ID", (F.col("p_before") == F.col("p_after")).alias("same"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trafficlens.operators.windows import sliding_counts
+from trafficlens.operators.ordering import first_rows
 from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import epoch_millis, read
@@ -13,39 +13,33 @@ from trafficlens.streaming import streams as st
 from . import register
 from .q_sources import UI_SQL
 
-STREAM_FILES = 8
 
+def _feed(df, name):
+    """Write a table for a stream to read: as many files as the table has partitions, in parallel.
 
-def _time_ordered_files(df, col, name):
-    """Write a table as STREAM_FILES time slices, one after the other, so the
-    file stream sees them in time order (its arrival order is file age)."""
+    The stream takes all of them in one trigger, so no row is late.
+    """
     path = fs.fresh(df.sparkSession, name)
-    t = F.col(col).cast("double") if dict(df.dtypes)[col] != "timestamp" else F.unix_micros(F.col(col)).cast("double")
-    lo, hi = df.select(F.min(t), F.max(t)).first()
-    width = (hi - lo) / STREAM_FILES or 1.0
-    sl = F.least(F.floor((t - F.lit(lo)) / F.lit(width)), F.lit(STREAM_FILES - 1))
-    for i in range(STREAM_FILES):
-        df.where(sl == i).coalesce(1).write.mode("append").parquet(path)
+    df.write.parquet(path)
     return path
 
 
 @register("q_t1_ui_event_stream", UI_SQL)
 def q_t1(spark, d):
     ev = read(spark, d, "events", ["ts", "user_id", "event_type", "props"])
-    lines = render_from_events(ev.orderBy("ts"))
     folder = fs.fresh(spark, "ui-log")
-    lines.coalesce(STREAM_FILES).write.mode("overwrite").text(folder)
-    out = st.run_append(st.ui_event_stream(spark, folder, max_files=2), "ui-events")
+    render_from_events(ev).write.text(folder)
+    out = st.run_append(st.ui_event_stream(spark, folder, max_files=2), fs.fresh(spark, "ui-events"))
     return spark.read.parquet(out)
 
 
-@register("q_t2_online_scoring")
+@register("q_t2_online_scoring", "SELECT CAST(event_id AS VARCHAR) AS ROW_ID, TRUE AS scored FROM events")
 def q_t2(spark, d):
-    """Requests with the 23 named fields (some missing) scored by the served model."""
+    """Requests with the 23 named fields (some missing) scored by the served model: every one gets a probability."""
     from pyspark.sql.types import StringType, StructField, StructType
 
     from trafficlens.plans.headers import HEADER_FIELDS, fit_headers_model, training_rows
-    from trafficlens.plans.models import save_load
+    from trafficlens.plans.models import checked_score, save_load
     http = si.http(spark, d)
     served = save_load(fit_headers_model(http), fs.fresh(spark, "served-model"))
     folder = fs.fresh(spark, "requests")
@@ -54,11 +48,11 @@ def q_t2(spark, d):
     gap = F.col("ROW_ID") % 5 == 0
     rows.select(F.col("ROW_ID").cast("string").alias("ROW_ID"),
                 *[F.when(~gap | ~F.lit(c in ("DeviceCpu", "AgentVersion")), F.col(c)).alias(c) for c in HEADER_FIELDS]) \
-        .write.mode("overwrite").json(folder)
+        .write.json(folder)
     fields = ["ROW_ID", *HEADER_FIELDS]
     schema = StructType([StructField(c, StringType()) for c in fields])
-    scored = st.score_requests(spark, folder, schema, served, fields).select("ROW_ID", "predict_proba")
-    return spark.read.parquet(st.run_append(scored, "scored-requests"))
+    scored = st.score_requests(spark, folder, schema, served, fields).select("ROW_ID", checked_score().alias("scored"))
+    return spark.read.parquet(st.run_append(scored, fs.fresh(spark, "scored-requests")))
 
 
 @register("q_t3_live_verdicts", """SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS window_start,
@@ -68,9 +62,8 @@ def q_t3(spark, d):
     ev = read(spark, d, "events", ["ts", "value"])
     src = ev.select(F.timestamp_millis(epoch_millis(ev, "ts")).alias("ts"),
                     F.least(F.col("value") / 500.0, F.lit(1.0)).alias("p"))
-    folder = _time_ordered_files(src, "ts", "scored-stream")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    log = st.run_upsert_log(st.verdict_counts(stream, "ts", "p"), "verdicts")
+    stream = spark.readStream.schema(src.schema).parquet(_feed(src, "scored-stream"))
+    log = st.run_upsert_log(st.verdict_counts(stream, "ts", "p"), fs.fresh(spark, "verdicts"))
     return st.latest_per_key(spark, log, ["window_start"])
 
 
@@ -83,35 +76,44 @@ W6, S1 = 6 * 3600 * 1000, 3600 * 1000
           " FROM logins, range(0, 6) t(j) GROUP BY 1, 2, 3")
 def q_t4(spark, d):
     lg = si.logins(spark, d).drop("ROW_ID")
-    folder = _time_ordered_files(lg, "TIMESTAMP", "login-stream")
-    stream = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    log = st.run_upsert_log(st.sliding_login_stream(stream, W6, S1, si.EVENT_TYPES), "login-windows")
+    stream = spark.readStream.schema(lg.schema).parquet(_feed(lg, "login-stream"))
+    log = st.run_upsert_log(st.sliding_login_stream(stream, W6, S1, si.EVENT_TYPES), fs.fresh(spark, "login-windows"))
     return st.latest_per_key(spark, log, ["window_start", "USER_ID", "isBot"])
 
 
 SLICE_MS = 43_200_000  # 12 h, the reference's training slice
 
+_T5 = with_(LOGINS, "mn AS (SELECT min(TIMESTAMP) AS m FROM logins)",
+            "h AS (SELECT *, row_number() OVER (ORDER BY TIMESTAMP, ROW_ID) <= count(*) OVER () // 2 AS first_half FROM logins)",
+            "c AS (SELECT CAST((TIMESTAMP - m) // " + str(SLICE_MS) + " AS INTEGER) AS _slice, first_half, "
+            f"CAST(((TIMESTAMP - m + i * {S1}) // {W6}) * 6 + i AS BIGINT) AS TS_PART, USER_ID, isBot, "
+            + ", ".join(f"count(*) FILTER (WHERE LOGIN_CREDENTIAL_TYPE = '{t}') AS {t}" for t in si.EVENT_TYPES)
+            + " FROM h, mn, range(0, 6) t(i) GROUP BY 1, 2, 3, 4, 5)")
 
-@register("q_t5_train_by_slices")
+
+def _sliced(spark, d):
+    """Logins fed as files; the first half of time marked; the 12 h slices' window counts."""
+    lg = si.logins(spark, d)
+    n = lg.count()
+    marked = lg.withColumn("first_half", first_rows(lg, ["TIMESTAMP", "ROW_ID"], n // 2, n)).drop("ROW_ID")
+    ts_min = lg.agg(F.min("TIMESTAMP")).first()[0]
+    return st.run_slices(spark, _feed(marked, "login-slices"), marked.schema, fs.fresh(spark, "slice-features"), ts_min, SLICE_MS,
+                         W6, S1, si.EVENT_TYPES, part="first_half")
+
+
+@register("q_t5_slice_features", _T5 + "SELECT * FROM c")
 def q_t5(spark, d):
-    """Each 12 h slice arrives as one file, becomes one micro-batch of window
-    features (windows numbered from the slice's own first login), and the
-    learner is refit on all slices at the end."""
+    return _sliced(spark, d)
+
+
+@register("q_t5_train_by_slices", _T5 + "SELECT _slice, TS_PART, USER_ID, isBot, TRUE AS scored FROM c WHERE NOT first_half")
+def q_t5t(spark, d):
+    """Trained on the first half of time, slice by slice; every row of the second half's slices is scored."""
     from trafficlens.operators.encode import assemble
-    from trafficlens.plans.models import linear_svm
-    lg = si.logins(spark, d).drop("ROW_ID")
-    mn = lg.select(F.min("TIMESTAMP")).scalar()
-    sliced = lg.withColumn("slice", F.floor((F.col("TIMESTAMP") - mn) / SLICE_MS).cast("int"))
-    folder = fs.fresh(spark, "login-slices")
-    sliced.repartition("slice").write.partitionBy("slice").parquet(folder)
-    table = fs.fresh(spark, "slice-features")
-
-    def features(batch):
-        # One micro-batch = one slice file; train_by_slices tags it with the batch id.
-        return sliding_counts(batch, W6, S1, si.EVENT_TYPES)
-
-    st.train_by_slices(spark, folder, sliced.schema, features, table)
-    feats = assemble(si.EVENT_TYPES).transform(spark.read.parquet(table)) \
-        .withColumn("label", F.col("isBot").cast("double"))
-    model = linear_svm(max_iter=10).fit(feats)
-    return model.transform(feats).select("_slice", "TS_PART", "USER_ID", "label", "prediction")
+    from trafficlens.plans.models import checked_score, linear_svm
+    from trafficlens.session import cut_lineage
+    feats = assemble(si.EVENT_TYPES).transform(_sliced(spark, d)).withColumn("label", F.col("isBot").cast("double"))
+    feats = cut_lineage(feats)
+    model = linear_svm(max_iter=10).fit(feats.where("first_half"))
+    return model.transform(feats.where("not first_half")) \
+        .select("_slice", "TS_PART", "USER_ID", "isBot", checked_score(probability=None).alias("scored"))

@@ -2,8 +2,9 @@
 
 On a cluster the session comes from the platform; ``get_session`` only fills
 in settings that are unset.  ``checkpoint_dir`` reads ``spark.checkpoint.dir``
-from the session and falls back to a scratch folder only when it is unset (as
-in tests), never overriding what the cluster names.
+from the session, never overriding what the cluster names.  Where it is unset a
+local master (tests) gets a scratch folder, and any other master an error: a
+folder of the driver's machine is not seen by executors.
 """
 
 from __future__ import annotations
@@ -61,16 +62,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        # Only reached when nothing is configured (local tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="trafficlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_counter)}-{os.urandom(4).hex()}")
+    """A fresh sub-folder of the shared checkpoint folder for written tables; it stays until ``release_scratch``."""
+    return os.path.join(_scratch_root(spark), f"{name}-{next(_counter)}-{os.urandom(4).hex()}")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
+def release_scratch(spark: SparkSession) -> bool:
+    """Delete every table that this application wrote by ``scratch_path``; results that still read them are void.
+
+    For the end of a job.  Checkpoints go with their tables where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return path.getFileSystem(conf).delete(path, True)
 
 
 def _count():

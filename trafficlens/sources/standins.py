@@ -11,17 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens.functions.ip import wrap_int32
+
 from .tables import epoch_millis, read
 
 # The five event types of the driver's events table, used as the
 # credential types of the logins stand-in.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
-# The twelve credential types the reference's login features use.
-CREDENTIAL_TYPES = ["API_SESSION", "API_TOKEN", "AUTH_CODE", "EMAIL", "JSESSION_ID", "LOGIN",
-                    "MESSENGER", "PHONE", "SOCIAL_API_TOKEN", "TWO_FACTOR", "USER_ID_TYPE",
-                    "USER_ID_NO_PASSWORD"]
-
 # The twelve literal user agents of the http stand-in, picked by
 # user_id % 12 (index 0 first).
 USER_AGENTS = [
@@ -75,12 +72,6 @@ def bots_and_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return lg.where(cond), lg.where(~cond)
 
 
-def wrap_int32(c):
-    """Signed 32-bit wrap of a non-negative long, without ANSI overflow errors."""
-    m = F.pmod(c, F.lit(4294967296))
-    return F.when(m >= 2147483648, m - 4294967296).otherwise(m).cast("int")
-
-
 def auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IP INT, TIMESTAMP LONG seconds, BOT_OR_HUMAN 'bot'/'human'."""
     ev = _events(spark, sf_dir, ["ts", "user_id"])
@@ -135,10 +126,9 @@ def user_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bot_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct browser ids of bots with user_id < 50."""
-    ev = _events(spark, sf_dir, ["user_id", "props"])
-    return ev.where((F.col("user_id") % 10 == 0) & (F.col("user_id") < 50)) \
-        .select(k_col().alias("browserId")).distinct()
+    """Distinct user ids of the bots that had an error; as long as there are such bots."""
+    ev = _events(spark, sf_dir, ["user_id", "event_type"])
+    return ev.where((is_bot_col() == 1) & (F.col("event_type") == "error")).select(F.col("user_id").alias("userId")).distinct()
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

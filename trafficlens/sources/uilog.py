@@ -1,4 +1,4 @@
-"""UI-event log lines ``LEVEL [asctime] body`` with a JSON body of one of
+"""UI-event log lines ``LEVEL [asctime] body`` with a flat JSON body of one of
 three kinds (click, mouse_move, css_load).  Parsing is built-in
 ``regexp_extract`` + ``from_json``; lines that do not parse go to a side table."""
 
@@ -6,57 +6,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .tables import epoch_millis
 
-# Line layout and body fields of the event logger.
+# Line layout and body fields of the event logger; browsers send
+# positions, sizes and times with fractions.
 LINE = r"^([A-Z]+) \[([^\]]+)\] (.*)$"
-BODY_SCHEMA = StructType([
-    StructField("stat_type", StringType()),
-    StructField("element_id", StringType()), StructField("element_class_name", StringType()),
-    StructField("element_tag_name", StringType()), StructField("element_oktarget", StringType()),
-    StructField("element_position_top_left_x", LongType()), StructField("element_position_top_left_y", LongType()),
-    StructField("element_position_bottom_right_x", LongType()),
-    StructField("element_position_bottom_right_y", LongType()),
-    StructField("mouse_position_x", LongType()), StructField("mouse_position_y", LongType()),
-    StructField("window_width", LongType()), StructField("window_height", LongType()),
-    StructField("client_timestamp", LongType()),
-    StructField("window", StructType([StructField("width", LongType()), StructField("height", LongType())])),
-    StructField("mouse", StructType([StructField("x", LongType()), StructField("y", LongType())])),
-    StructField("max_css_load_duration", DoubleType()), StructField("min_css_load_duration", DoubleType()),
-])
-OUT_COLS = ["level", "asctime", "stat_type", "element_id", "element_tag_name", "mouse_x", "mouse_y",
-            "window_width", "window_height", "client_timestamp", "max_css_load_duration", "min_css_load_duration"]
+TEXT_FIELDS = ["stat_type", "element_id", "element_class_name", "element_tag_name", "element_oktarget"]
+NUMBER_FIELDS = ["element_position_top_left_x", "element_position_top_left_y", "element_position_bottom_right_x",
+                 "element_position_bottom_right_y", "mouse_position_x", "mouse_position_y", "window_width", "window_height",
+                 "client_timestamp", "max_css_load_duration", "min_css_load_duration"]
+BODY_SCHEMA = StructType([StructField(c, StringType()) for c in TEXT_FIELDS] + [StructField(c, DoubleType()) for c in NUMBER_FIELDS])
 
 
 def split_line(df: DataFrame, col: str = "value") -> DataFrame:
-    v = F.col(col)
-    return df.select(v.alias("line"), F.regexp_extract(v, LINE, 1).alias("level"),
-                     F.regexp_extract(v, LINE, 2).alias("asctime"), F.regexp_extract(v, LINE, 3).alias("body"))
+    """line, level, asctime and the parsed body: one match of the layout a line."""
+    found = df.select(F.col(col).alias("line"), F.regexp_extract_all(F.col(col), F.lit(LINE), F.lit(0)).alias("hit"))
+    hit = F.size("hit") > 0
+    # With the layout known to fit, its parts are cut at the first '[', ']' and the blank after it.
+    start, end = F.locate(" [", F.col("line")), F.locate("] ", F.col("line"))
+    part = lambda a, n: F.when(hit, F.col("line").substr(a, n))
+    return found.select("line", part(F.lit(1), start - 1).alias("level"), part(start + 2, end - start - 2).alias("asctime"),
+                        F.from_json(part(end + 2, F.length("line")), BODY_SCHEMA, {"mode": "PERMISSIVE"}).alias("j"))
 
 
 def parse_lines(df: DataFrame, col: str = "value") -> DataFrame:
-    """Good events, one row each, click / mouse_move fields unified."""
-    s = split_line(df, col).withColumn("j", F.from_json("body", BODY_SCHEMA, {"mode": "PERMISSIVE"}))
-    ok = s.where((F.col("level") != "") & F.col("j.stat_type").isNotNull())
-    j = F.col("j")
-    return ok.select(
-        "level", "asctime", j["stat_type"].alias("stat_type"), j["element_id"].alias("element_id"),
-        j["element_tag_name"].alias("element_tag_name"),
-        F.coalesce(j["mouse_position_x"], j["mouse"]["x"]).alias("mouse_x"),
-        F.coalesce(j["mouse_position_y"], j["mouse"]["y"]).alias("mouse_y"),
-        F.coalesce(j["window_width"], j["window"]["width"]).alias("window_width"),
-        F.coalesce(j["window_height"], j["window"]["height"]).alias("window_height"),
-        j["client_timestamp"].alias("client_timestamp"),
-        j["max_css_load_duration"].alias("max_css_load_duration"),
-        j["min_css_load_duration"].alias("min_css_load_duration"))
+    """Good events, one row each, with every field of every kind (those of other kinds are null)."""
+    ok = split_line(df, col).where(F.col("j.stat_type").isNotNull())
+    return ok.select("level", "asctime", "j.*")
 
 
 def corrupt_lines(df: DataFrame, col: str = "value") -> DataFrame:
     """Side table: lines without the layout or without a parsable body."""
-    s = split_line(df, col).withColumn("j", F.from_json("body", BODY_SCHEMA, {"mode": "PERMISSIVE"}))
-    return s.where((F.col("level") == "") | F.col("j.stat_type").isNull()).select("line")
+    return split_line(df, col).where(F.col("j.stat_type").isNull()).select("line")
 
 
 def render_from_events(ev: DataFrame) -> DataFrame:
@@ -70,12 +53,15 @@ def render_from_events(ev: DataFrame) -> DataFrame:
                    epoch_millis(ev, "ts").alias("_ms"))
     k, ms = F.col("_k"), F.col("_ms")
     uid = F.col("user_id").cast("string")
-    click = F.concat(F.lit('{"stat_type": "click", "element_id": "el'), k, F.lit('", "element_tag_name": "BUTTON", '),
-                     F.lit('"mouse_position_x": '), k, F.lit(', "mouse_position_y": '), uid,
+    click = F.concat(F.lit('{"stat_type": "click", "element_id": "el'), k, F.lit('", "element_class_name": "c'), k,
+                     F.lit(' btn", "element_tag_name": "BUTTON", "element_oktarget": "t'), uid,
+                     F.lit('", "element_position_top_left_x": '), k, F.lit('.25, "element_position_top_left_y": '), uid,
+                     F.lit(', "element_position_bottom_right_x": '), k, F.lit('.75, "element_position_bottom_right_y": '), uid,
+                     F.lit('.5, "mouse_position_x": '), k, F.lit('.5, "mouse_position_y": '), uid,
                      F.lit(', "window_width": 1280, "window_height": 720, "client_timestamp": '), ms.cast("string"),
-                     F.lit("}"))
-    move = F.concat(F.lit('{"stat_type": "mouse_move", "window": {"width": 1920, "height": 1080}, "mouse": {"x": '),
-                    uid, F.lit(', "y": '), k, F.lit('}, "client_timestamp": '), ms.cast("string"), F.lit("}"))
+                     F.lit(".5}"))
+    move = F.concat(F.lit('{"stat_type": "mouse_move", "window_width": 1920, "window_height": 1080, "mouse_position_x": '),
+                    uid, F.lit(', "mouse_position_y": '), k, F.lit('.5, "client_timestamp": '), ms.cast("string"), F.lit("}"))
     css = F.concat(F.lit('{"stat_type": "css_load", "max_css_load_duration": '), k,
                    F.lit(', "min_css_load_duration": '), uid, F.lit("}"))
     body = (F.when(F.col("event_type").isin("click", "signup"), click).when(F.col("event_type") == "view", move)

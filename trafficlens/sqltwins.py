@@ -45,7 +45,7 @@ USER_BROWSER = f"""user_browser AS (
   FROM events)"""
 
 BOT_LIST = f"""bot_list AS (
-  SELECT DISTINCT {K} AS browserId FROM events WHERE user_id % 10 = 0 AND user_id < 50)"""
+  SELECT DISTINCT user_id AS userId FROM events WHERE user_id % 10 = 0 AND event_type = 'error')"""
 
 SCORES = f"""scores AS (
   SELECT event_id AS ROW_ID, user_id AS userId, least(value / 500.0, 1.0) AS p, {IS_BOT} AS y

@@ -1,52 +1,61 @@
 """T1-T5 on Structured Streaming.
 
 Sources are file streams (a folder of text / JSON / Parquet files); every
-query runs with ``trigger(availableNow=True)`` and a checkpoint folder under
-the shared ``spark.checkpoint.dir``, so a restarted or failed run resumes
-exactly once.  Windowed aggregates carry a watermark, so their state is
-bounded; in ``update`` mode every micro-batch appends its changed rows with
-the batch id to an upsert log, and the current result is the latest row per
-key (``latest_per_key``), a plain aggregate over the log.
+query runs with ``trigger(availableNow=True)``.  The caller names the folder of
+a run; its checkpoint is kept there, so a run that is started again under the
+same folder goes on where the last one ended.  Plain streams go to the file
+sink, whose own log makes a batch count once; batches handled here are written
+under their batch id and overwritten when a batch is tried again.  Windowed
+aggregates carry a watermark, so their state is bounded; in ``update`` mode
+every micro-batch adds its changed rows to an upsert log, and the current result
+is the latest row per key (``latest_per_key``), a plain aggregate over the log.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trafficlens.operators.windows import type_counts
+from trafficlens.operators.windows import sliding_counts, type_counts
 from trafficlens.sources.uilog import parse_lines
-from trafficlens.session import scratch_path
 
 
-def run_append(sdf: DataFrame, name: str, fmt: str = "parquet") -> str:
-    """Run a stateless (or append-mode) stream to completion into a table; return its path."""
-    spark = sdf.sparkSession
-    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
-    q = (sdf.writeStream.format(fmt).option("path", out).option("checkpointLocation", ckpt)
+def run_append(sdf: DataFrame, folder: str, fmt: str = "parquet") -> str:
+    """Run a stateless (or append-mode) stream to completion into ``folder``/table; return that path."""
+    q = (sdf.writeStream.format(fmt).option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
-
+    return f"{folder}/table"
 
-def run_upsert_log(sdf: DataFrame, name: str) -> str:
-    """Run an update-mode aggregate; each batch's changed rows are appended with ``_batch``."""
-    spark = sdf.sparkSession
-    out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-ckpt")
 
+def run_batches(sdf: DataFrame, folder: str, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> str:
+    """Run a stream to completion; ``make(batch)`` is written as batch ``_batch`` of ``folder``/table, over what an
+    earlier try of the same batch may have left."""
     def sink(batch: DataFrame, batch_id: int):
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        make(batch).write.mode("overwrite").parquet(f"{folder}/table/_batch={batch_id}")
 
-    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).outputMode("update")
+    q = (sdf.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+    return f"{folder}/table"
+
+
+def run_upsert_log(sdf: DataFrame, folder: str) -> str:
+    """Run an update-mode aggregate; each batch's changed rows are kept with ``_batch``."""
+    return run_batches(sdf, folder, lambda batch: batch, "update")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of ``run_batches`` (folders that begin with '_' are hidden, so each is named)."""
+    return spark.read.option("basePath", path).parquet(f"{path}/_batch=*")
 
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current result of an upsert log: the row of the latest batch per key."""
-    log = spark.read.parquet(path)
+    log = read_batches(spark, path)
     vals = [c for c in log.columns if c not in keys and c != "_batch"]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_v"))
     return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in vals])
@@ -87,14 +96,27 @@ def score_requests(spark: SparkSession, folder: str, schema: StructType, model,
     return model.transform(filled).withColumn("predict_proba", vector_to_array("probability")[1])
 
 
-def train_by_slices(spark: SparkSession, folder: str, schema: StructType, features_fn, table: str) -> str:
-    """T5: each micro-batch (one time slice) becomes window features appended to ``table``."""
-    ckpt = scratch_path(spark, "slices-ckpt")
+def slice_counts(batch: DataFrame, ts_min: Column | int, slice_ms: int, window: int, shift: int, types: list[str],
+                 part: str | None = None) -> DataFrame:
+    """A6 counts within each slice of time; windows are numbered from the one ``ts_min`` of all slices.
 
-    def sink(batch: DataFrame, batch_id: int):
-        features_fn(batch).withColumn("_slice", F.lit(batch_id)).write.mode("append").parquet(table)
+    A row's slice comes from its time, not from the file or batch that brings it.
+    """
+    keys = ["_slice", *([part] if part else []), "isBot"]
+    sliced = batch.withColumn("_slice", F.floor((F.col("TIMESTAMP") - F.lit(ts_min)) / F.lit(slice_ms)).cast("int"))
+    packed = sliced.withColumn("_label", F.struct(*keys))
+    out = sliding_counts(packed, window, shift, types, label="_label", ts_min=ts_min)
+    return out.select("TS_PART", "USER_ID", *[F.col("_label")[k].alias(k) for k in keys], *types)
 
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).writeStream
-         .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return table
+
+def run_slices(spark: SparkSession, source: str, schema: StructType, folder: str, ts_min: int, slice_ms: int, window: int,
+               shift: int, types: list[str], part: str | None = None, max_files: int = 1) -> DataFrame:
+    """T5: logins arrive file by file, in any order and cut anywhere; the slices' A6 counts over all batches.
+
+    A batch leaves the counts of its own rows; a slice that several files bring
+    is summed over them.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    table = run_batches(stream, folder, lambda batch: slice_counts(batch, ts_min, slice_ms, window, shift, types, part))
+    keys = ["_slice", *([part] if part else []), "TS_PART", "USER_ID", "isBot"]
+    return read_batches(spark, table).groupBy(*keys).agg(*[F.sum(t).alias(t) for t in types])
