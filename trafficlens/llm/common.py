@@ -7,11 +7,15 @@ the input, whatever its name, passes through untouched.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import trafficlens
 from trafficlens.session import scratch_path
 
 #: Fixed value: what the contracts call a word of a document.
@@ -58,6 +62,29 @@ def arrow_schema(ddl: str):
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once an application, so that tasks can import it wherever the
+    job was started.  (A package that was itself sent as a zip file is there already.)"""
+    sc, root = spark.sparkContext, Path(trafficlens.__file__).parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="trafficlens-")) / "trafficlens.zip"  # read by the driver's own file server
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+def map_batches(rows: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``rows.mapInArrow`` with this package at hand in the tasks."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(fn, schema)
+
+
 def append_columns(rows: DataFrame, new: str, fn: Callable, *inputs: str) -> DataFrame:
     """``rows`` with the columns of the DDL ``new``, computed batch-wise in Python without a shuffle.
 
@@ -76,4 +103,4 @@ def append_columns(rows: DataFrame, new: str, fn: Callable, *inputs: str) -> Dat
             columns = list(zip(*got, strict=True)) if got else [() for _ in kinds]
             added = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *kinds.names])
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

@@ -38,7 +38,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, arrow_schema, stored
+from .common import append_columns, arrow_schema, map_batches, stored
 from .url_filter import url_parts
 
 THRESHOLD = 0.1
@@ -202,7 +202,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for i in range(0, len(rows), 1 << 15):
                 part = zip(*rows[i:i + (1 << 15)], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, schema, strict=True)], schema=schema)
-    rows = pages.select("host", "html").mapInArrow(run, "host string, " + TREE)
+    rows = map_batches(pages.select("host", "html"), run, "host string, " + TREE)
     # Pages that are the same through and through count once.
     counts = rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
     nodes = stored(counts.groupBy("host", "path", "kind").agg(

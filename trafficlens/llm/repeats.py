@@ -48,7 +48,7 @@ from pyspark.sql.types import StructType
 
 from trafficlens.session import scratch_path
 
-from .common import arrow_schema
+from .common import arrow_schema, map_batches
 
 LENGTH, GRAM, STEP = 100, 24, 20
 PIECE, SEGMENT, PLACE_BITS = 1 << 20, 1 << 19, 21
@@ -285,7 +285,7 @@ def _shared(docs: DataFrame, sides: Sides, keys_of, first: bool) -> DataFrame:
         if first:
             k, places = np.append(k, _own_keys(scan.place([scan.regions]))), np.append(places, scan.place([scan.regions], 1))
         yield from _batches([k, places], schema)
-    rows = docs.mapInArrow(run, "k1 long, at long")
+    rows = map_batches(docs, run, "k1 long, at long")
     # A bucket has a row a scan partition at most.
     n = F.count(F.lit(1)).over(Window.partitionBy("k1"))
     return rows.withColumn("n", n).where((F.col("n") > 1) | (F.col("at").bitwiseAND(1) == 1)).select("at")
@@ -316,7 +316,7 @@ def _late(docs: DataFrame, sides: Sides, keys_of) -> DataFrame:
         places = scan.place(numbers, (~lead).astype(np.int64))
         k1 = np.where(lead, k1, _own_keys(places))
         yield from _batches([k1, k2, no_id[row], doc[row], places], schema)
-    rows = docs.mapInArrow(run, NUMBERED)
+    rows = map_batches(docs, run, NUMBERED)
     own = F.struct("no_id", "doc_id", "at")
     # Again a row a scan partition at most; the others are known to be late.
     rows = rows.withColumn("first", F.min(own).over(Window.partitionBy("k1", "k2")))
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sides = sides._replace(parts=_write_side(_shared(light, sides, _part_keys, False), "repeat-parts"))
     sides = sides._replace(windows=_write_side(_late(light, sides, _window_keys), "repeat-windows"))
     schema = StructType(docs.schema.fields + StructType.fromDDL(RESULT).fields)
-    return docs.mapInArrow(_cut(sides, "text", arrow_schema(RESULT)), schema)
+    return map_batches(docs, _cut(sides, "text", arrow_schema(RESULT)), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.session import scratch_path
 
-from .common import arrow_schema, stored
+from .common import arrow_schema, map_batches, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's byte-level BPE cuts text before merging.
@@ -159,7 +159,7 @@ def _counts(docs: DataFrame, ranks) -> dict[int, tuple[int, int]]:
                 tokens += len(encode(value)) + 1 if value else 1
         yield pa.RecordBatch.from_pydict({"pid": pa.array([TaskContext.get().partitionId()], pa.int64()),
                                           "docs": pa.array([n], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
-    return {r.pid: (r.docs, r.tokens) for r in docs.mapInArrow(count, "pid long, docs long, tokens long").collect()}
+    return {r.pid: (r.docs, r.tokens) for r in map_batches(docs, count, "pid long, docs long, tokens long").collect()}
 
 
 def _pieces(docs: DataFrame, ranks, before: dict[int, int], tokens: dict[int, int], total: int, length: int, key: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _pieces(docs: DataFrame, ranks, before: dict[int, int], tokens: dict[int, in
             at = stop
         if at - first != tokens.get(pid, 0):
             raise RuntimeError(f"partition {pid} gave {at - first} tokens and {tokens.get(pid, 0)} before: docs must be a repeatable scan")
-    return docs.mapInArrow(cut, SEQUENCE)
+    return map_batches(docs, cut, SEQUENCE)
 
 
 # --- shards ----------------------------------------------------------------
@@ -270,7 +270,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, len
     pieces = _pieces(rows, ranks, before, {p: t for p, (_, t) in counts.items()}, total, length, key)
     shards = -(-(-(-total // length)) // per_shard)
     placed = pieces.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "at")
-    return stored(placed.mapInArrow(_write(folder, length, per_shard), MANIFEST), "shard-manifest")
+    return stored(map_batches(placed, _write(folder, length, per_shard), MANIFEST), "shard-manifest")
 
 
 def read_slots(spark: SparkSession, folder: str, first: int, last: int, length: int = SEQUENCE_TOKENS,

@@ -29,7 +29,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, arrow_schema, stored
+from .common import append_columns, arrow_schema, ship_package, stored
 from .components import connected
 
 COSINE = 0.95
@@ -218,6 +218,7 @@ def linked(nodes: DataFrame, cosine: float = COSINE, margin: float = MARGIN) ->
     go = dealt.select("node", "x", "copies", F.explode("visits").alias("list")).join(blocks, "list").withColumn("v", part("vs")) \
         .withColumn("r", every("rs")).select("list", "r", "v", F.lit(True).alias("visits"), "node", "x", "copies",
                                              F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("off"))
+    ship_package(nodes.sparkSession)
     return stay.union(go).groupBy("list", "r", "v").applyInArrow(_compare(index, cosine), FOUND)
 
 
