@@ -51,7 +51,7 @@ from trafficlens.session import scratch_path
 from .common import arrow_schema, map_batches
 
 LENGTH, GRAM, STEP = 100, 24, 20
-PIECE, SEGMENT, PLACE_BITS = 1 << 20, 1 << 19, 21
+PIECE, SEGMENT, PLACE_BITS = 1 << 20, 1 << 17, 21
 PARTITION_SHIFT = 41  # a place is partition, number and one bit in a long
 NUMBERED = "k1 long, k2 long, no_id boolean, doc_id long, at long"
 RESULT = "__llm_spans array<struct<start:long,stop:long>>, __llm_kept binary"
