@@ -1,6 +1,7 @@
 """op4: the permutation is one, shards read back to the very documents, and reruns agree."""
 
 import base64
+import zlib
 
 import numpy as np
 import pytest
@@ -54,6 +55,10 @@ def test_query(spark):
     rows = op4(spark, SMOKE).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) == sorted(r.seq for r in rows)
     assert all(r.byte_offset == r.slot % ts.SHARD_SEQUENCES * ts.SEQUENCE_TOKENS * 2 for r in rows)
+    for r in rows[:20]:
+        with open(r.file.removeprefix("file:"), "rb") as f:
+            f.seek(r.byte_offset)
+            assert zlib.crc32(f.read(r.n_tokens * ts.ID_BYTES)) == r.crc32
 
 
 def test_edge_rows(spark):

@@ -287,5 +287,7 @@ def read_slots(spark: SparkSession, folder: str, first: int, last: int, length:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Shards of the whole table in the shared folder; the manifest, one row a slot."""
-    return write_shards(docs, scratch_path(docs.sparkSession, "token-shards"))
+    """Shards of the whole table in the shared folder; the manifest, one row a slot, with each slot's file."""
+    folder = scratch_path(docs.sparkSession, "token-shards")
+    name = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
+    return write_shards(docs, folder).withColumn("file", name)
