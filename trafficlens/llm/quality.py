@@ -145,9 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries from labelled rows of fold 0, the surface from fold 2; fold 1 is never read."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     known = known.select("doc_id", F.col("quality").cast("int").alias("y"), fold(F.col("doc_id")).alias("fold")).where("fold <> 1").distinct()
-    picks = [known.where((F.col("fold") == f) & (F.col("y") == y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-             for f in (0, 2) for y in (0, 1)]
-    ids = picks[0].union(picks[1]).union(picks[2]).union(picks[3])
+    counts = {(r.fold, r.y): r["count"] for r in known.groupBy("fold", "y").count().collect()}
+
+    def pick(f: int, y: int) -> DataFrame:
+        """The class's first ``SAMPLE_DOCS`` ids by hash; a uniform cut first, so that not every partition brings as many."""
+        share = min(1.0, 1.2 * SAMPLE_DOCS / max(1, counts.get((f, y), 0)))
+        few = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
+        return known.where((F.col("fold") == f) & (F.col("y") == y) & few).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    ids = pick(0, 0).union(pick(0, 1)).union(pick(2, 0)).union(pick(2, 1))
     # At most 4 * SAMPLE_DOCS ids, whatever the input.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text <> ''") \
         .select("y", "fold", "text", F.xxhash64("doc_id", "text").alias("h"))
@@ -165,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     held = append_columns(rows.where("fold = 2"), ", ".join(f"{n} double" for n in names), measure, "text")
     sample = [held.where(F.col("y") == y).orderBy("h").limit(SAMPLE_DOCS).select(*names, "y") for y in (0, 1)]
     got = sample[0].union(sample[1]).collect()
-    shares = {r.y: r["count"] for r in known.where("fold = 2").groupBy("y").count().collect()}
+    shares = {y: counts.get((2, y), 0) for y in (0, 1)}
     return Model(good, bad, *_surface([tuple(r)[:3] for r in got], [r.y for r in got], shares))
 
 
