@@ -109,8 +109,9 @@ def _visits(index: Index, own, unit, margin: float) -> list[list[int]]:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, x (the vector as doubles) and node (null where the vector can't link)."""
-    x = F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
+    """vec_id, x (the vector, -0.0 as 0.0) and node (null where the vector can't link)."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    x = F.transform("embedding", lambda v: (v.cast("double") + F.lit(0.0)).cast("float" if single else "double"))
     rows = vectors.select("vec_id", x.alias("x"))
     fine = F.coalesce(F.forall("x", lambda v: F.coalesce(F.abs(v) < F.lit(math.inf), F.lit(False))) & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("fine", fine)
@@ -161,21 +162,30 @@ def _compare(index, cosine: float):
         visits = np.array(rows["visits"], dtype=bool)
         unit = _unit(np.array(rows["x"])) if len(visits) else np.zeros((0, 1))
         node, copies = np.array(rows["node"], dtype=np.int64), np.array(rows["copies"], dtype=np.int64)
-        v, r = np.flatnonzero(visits), np.flatnonzero(~visits)
+        # By node: a visitor looks at the residents after it only.
+        order = np.argsort(node, kind="stable")
+        v, r = order[visits[order]], order[~visits[order]]
         links = np.zeros(len(node), dtype=np.int64)
         a_all, b_all = [], []
         if len(v) and len(r):
-            codes = np.frombuffer(b"".join(rows["codes"][i] for i in r), dtype=np.uint8).reshape(len(r), -1)
-            limit = (reach + np.array(rows["off"])[r] + 1e-9) ** 2
+            codes = np.frombuffer(b"".join(rows["codes"][i] for i in r), dtype=np.uint8).reshape(len(r), -1).T.astype(np.intp)
+            # Tables are in single precision; what that can add is far below the slack.
+            limit = ((reach + np.array(rows["off"])[r] + 1e-3) ** 2).astype(np.float32)
             for at in range(0, len(v), 256):
                 some = v[at:at + 256]
+                later = np.searchsorted(node[r], node[some[0]], side="right")
+                if later == len(r):
+                    break
                 rest = unit[some] - model.coarse[here]
-                far = np.zeros((len(some), len(r)))
+                far, part = np.zeros((len(some), len(r) - later), np.float32), np.empty((len(some), len(r) - later), np.float32)
                 for m, (lo, hi, book) in enumerate(model.books):
                     q = rest[:, lo:hi]
-                    far += ((q * q).sum(1)[:, None] + (book * book).sum(1) - 2 * (q @ book.T))[:, codes[:, m]]
-                i, j = np.nonzero((far <= limit) & (node[some][:, None] < node[r][None, :]))
-                i, j = some[i], r[j]
+                    table = ((q * q).sum(1)[:, None] + (book * book).sum(1) - 2 * (q @ book.T)).astype(np.float32)
+                    far += np.take(table, codes[m, later:], axis=1, out=part, mode="clip")
+                i, j = np.nonzero(far <= limit[later:])
+                i, j = some[i], r[later + j]
+                after = node[i] < node[j]
+                i, j = i[after], j[after]
                 for s in range(0, len(i), 1 << 15):
                     x, y = i[s:s + (1 << 15)], j[s:s + (1 << 15)]
                     near = (unit[x] * unit[y]).sum(1) >= cosine
@@ -197,7 +207,7 @@ def linked(nodes: DataFrame, cosine: float = COSINE, margin: float = MARGIN) ->
     """node, links (copies of other nodes linked) and root rows of blocks, from nodes (node, x, copies)."""
     import numpy as np
     sc, n = nodes.sparkSession.sparkContext, nodes.count()
-    lists = min(MAX_LISTS, 1 << max(0, round(math.log2(max(1.0, math.sqrt(n) / 4)))))
+    lists = min(MAX_LISTS, 1 << max(0, round(math.log2(max(1.0, math.sqrt(n) / 2)))))
     wanted = max(LEAST_SAMPLE, SAMPLE_PER_LIST * lists)
     share = min(1.0, wanted / max(1, n))
     # The hash is uniform: about ``wanted`` nodes, whatever the input.
