@@ -234,6 +234,17 @@ def test_a_skewed_agent_joins_whole(spark):
     assert out.count() == 20_000 and out.where("AgentName = 'Firefox'").count() == 19_600
 
 
+def test_first_browser_with_a_hot_user(spark):
+    """O3 where nine rows of ten are of the user 'null'."""
+    from trafficlens.operators.ordering import keep_first_browser
+    df = spark.range(30_000).selectExpr("id AS ROW_ID", "CASE WHEN id % 10 > 0 THEN 'null' ELSE concat('u', id % 50) END AS userId", "id % 7 AS browserId")
+    got = keep_first_browser(df, "userId", "browserId", "ROW_ID")
+    first = {}
+    rows = [tuple(r) for r in df.orderBy("ROW_ID").collect()]
+    want = [r for r in rows if first.setdefault(r[1], r[2]) == r[2]]
+    assert sorted((r.ROW_ID, r.userId, r.browserId) for r in got.collect()) == sorted(want)
+
+
 def test_quantile_vote_save_load_and_search(spark, tmp_path):
     from trafficlens.operators.rows import hash_fraction
     from trafficlens.plans.quantile_vote import QuantileVoteClassifier, QuantileVoteModel, grid_scores, search_grid

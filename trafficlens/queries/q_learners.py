@@ -240,6 +240,19 @@ def q_m15(spark, d):
     return tn.validation_curve(md.decision_tree(), "maxDepth", DEPTHS, train, test)
 
 
+def _in_range(curve):
+    """The curve's points, and whether both of their scores are scores."""
+    return curve.select("param", (F.col("cv_f1").between(0.0, 1.0) & F.col("holdout_f1").between(0.0, 1.0)).alias("scored"))
+
+
+@register("q_m15_forest_features_curve", "SELECT CAST(unnest(range(1, 6)) AS DOUBLE) AS param, TRUE AS scored")
+def q_m15f(spark, d):
+    """The number of features that a split of the forest looks at."""
+    train, test = _folded(spark, d)
+    forest = md.random_forest(trees=100, depth=5)
+    return _in_range(tn.validation_curve(forest, "featureSubsetStrategy", [str(n) for n in range(1, 6)], train, test))
+
+
 @register("q_m16_split_size_curve")
 def q_m16(spark, d):
     f = login_window_features(spark, d)
