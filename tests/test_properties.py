@@ -190,12 +190,17 @@ def test_head_without_the_last_rows(spark):
 def test_split_with_ties_nulls_and_hot_values(spark, monkeypatch):
     """The cut by keys alone is the cut by position, also where most rows share a key."""
     from trafficlens.operators import ordering
-    monkeypatch.setattr(ordering, "LISTED_VALUES", 5)
+    monkeypatch.setattr(ordering, "LISTED_ROWS", 5)
     df = spark.range(2000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 3 = 0 THEN 7 ELSE cast(id * 37 % 500 AS double) END AS t")
     rows = sorted(((r.t is not None, r.t or 0, r.id) for r in df.collect()))
     for frac in (0.0, 0.05, 0.1, 0.35, 0.5, 0.999, 1.0):
         got = {r.id for r in ordering.ordered_split(df, frac, ["t", "id"]).where("split = 'train'").collect()}
         assert got == {i for _, _, i in rows[:int(2000 * frac)]}
+    for listed in (5, 50, 10_000):
+        monkeypatch.setattr(ordering, "LISTED_ROWS", listed)
+        ks = [0, 1, 150, 200, 201, 700, 1100, 1998, 1999]
+        keys = ordering.keys_at(df, ["t", "id"], ks, 2000)
+        assert [(k[0] is not None, k[0] or 0, k[1]) for k in keys] == [rows[k] for k in ks]
 
 
 def test_slot_names_cover_the_vector(spark):

@@ -98,14 +98,13 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 def prefix_curve(df: DataFrame, y: str, pred: str, order: list, cuts: list[float]) -> DataFrame:
     """F1 on the first int(n*c) rows (in ``order``, unique) for each cut c.
 
-    The keys at the cuts are found first (``key_at``: no sort, no copy); then one
+    The keys at the cuts are found first (``keys_at``: no sort, no copy); then one
     pass over the rows counts tp/fp/fn before each of them.
     """
     from .ordering import first_rows
     n = df.count()
-    rows = []
-    for i, c in enumerate(sorted(cuts)):
-        head = first_rows(df, order, int(n * c), n)
+    rows, cuts = [], sorted(cuts)
+    for i, (c, head) in enumerate(zip(cuts, first_rows(df, order, [int(n * c) for c in cuts], n), strict=True)):
         yc, pc = F.col(y), F.col(pred)
         rows.append((c, [F.count_if(head & cond).alias(f"{name}_{i}") for name, cond in (
             ("tp", (yc == 1) & (pc == 1)), ("fp", (yc == 0) & (pc == 1)), ("fn", (yc == 1) & (pc == 0)))]))

@@ -11,7 +11,7 @@ partitions differently; the range-partitioned rows are therefore checkpointed
 (reliably, into the session's ``spark.checkpoint.dir``) once and both the counts
 and the numbering read that copy.  It is meant for dictionaries and folds.
 
-``key_at`` finds only the keys at given positions, for prefixes and splits of
+``keys_at`` finds only the keys at given positions, for prefixes and splits of
 whole tables: the order columns are read a few times and nothing is sorted,
 shuffled by row or written.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from trafficlens.session import cut_lineage
 
-#: Distinct values of one order column that are listed on the driver to settle a position.
-LISTED_VALUES = 10_000
+#: Rows of a bracket that are listed on the driver to settle a position.
+LISTED_ROWS = 10_000
 _ACCURACY = 10_000
 
 
@@ -46,32 +46,39 @@ def _nth_value(df: DataFrame, col: str, k: int, n: int) -> tuple:
     """(value at position ``k`` of ``col`` ascending, rows before its first occurrence); nulls come first.
 
     Percentile sketches bracket the value, an exact count moves the position
-    into the bracket, and the bracket shrinks until its distinct values can
-    be listed (``LISTED_VALUES`` of them at most).
+    into the bracket, and the bracket shrinks until its rows can be listed
+    (``LISTED_ROWS`` at most) or it is one value.
     """
     nulls = df.where(F.col(col).isNull()).count()
     if k < nulls:
         return None, 0
     below, rows, width = nulls, n - nulls, 2.0 / _ACCURACY
     inside = df.where(F.col(col).isNotNull())
-    while True:
-        listed = inside.groupBy(col).count().orderBy(col).limit(LISTED_VALUES + 1).collect()
-        if len(listed) <= LISTED_VALUES:
-            for value, count in listed:
-                if k < below + count:
-                    return value, below
-                below += count
+    while rows > LISTED_ROWS:
         at = (k - below) / rows
         lo, hi = inside.agg(F.percentile_approx(col, [max(0.0, at - width), min(1.0, at + width)], _ACCURACY)).first()[0]
-        under, within = inside.agg(F.count_if(F.col(col) < F.lit(lo)), F.count_if(F.col(col).between(F.lit(lo), F.lit(hi)))).first()
-        if not below + under <= k < below + under + within:  # the sketch was further off than it says
+        v, a, b = F.col(col), F.lit(lo), F.lit(hi)
+        under, at_lo, between, at_hi = inside.agg(F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if(v == b)).first()
+        start, end = below + under, below + under + at_lo + between
+        if lo == hi:
+            end, at_hi = start, at_lo
+        if not start <= k < end + at_hi:  # the sketch was further off than it says
             width *= 4
-            continue
-        inside, below, rows = inside.where(F.col(col).between(F.lit(lo), F.lit(hi))), below + under, within
-
-
-def key_at(df: DataFrame, order: list[str], k: int, n: int) -> list:
-    """The order key of the row at position ``k`` (0-based) of ``n``; numeric or time columns."""
+        elif k >= end:
+            return hi, end
+        elif k < start + at_lo:
+            return lo, start
+        else:  # both ends are values of the table, so the bracket shrinks
+            inside, below, rows = inside.where((v > a) & (v < b)), start + at_lo, between
+    for value, count in inside.groupBy(col).count().orderBy(col).collect():
+        if k < below + count:
+            return value, below
+        below += count
+    raise ValueError(f"no row at position {k}: the table changed while it was read")
+
+
+def _key_at(df: DataFrame, order: list[str], k: int, n: int) -> list:
+    """The order key of the row at position ``k`` (0-based) of ``n``, column by column."""
     key, left = [], df.select(*order)
     for c in order:
         value, before = _nth_value(left, c, k, n)
@@ -82,6 +89,33 @@ def key_at(df: DataFrame, order: list[str], k: int, n: int) -> list:
     return key
 
 
+def keys_at(df: DataFrame, order: list[str], ks: list[int], n: int) -> list[list]:
+    """The order keys of the rows at positions ``ks`` (0-based) of ``n``; numeric or time columns, nulls first.
+
+    One sketch brackets all positions by the first column, one pass counts the
+    brackets, and one lists them; a bracket of over ``LISTED_ROWS`` rows (very large
+    tables, hot values) is narrowed by itself.
+    """
+    c, w = order[0], 2.0 / _ACCURACY
+    col, rows = F.col(c), df.select(*order)
+    probs = [min(1.0, max(0.0, k / n + d)) for k in ks for d in (-w, w)]
+    nulls, marks = rows.agg(F.count_if(col.isNull()), F.percentile_approx(c, probs, _ACCURACY)).first()
+    if marks is None:
+        return [_key_at(rows, order, k, n) for k in ks]
+    brackets = list(zip(marks[::2], marks[1::2], strict=True))
+    counts = rows.agg(*[e for lo, hi in brackets for e in (F.count_if(col < F.lit(lo)), F.count_if(col.between(F.lit(lo), F.lit(hi))))]).first()
+    places = [(nulls + under, within) for under, within in zip(counts[::2], counts[1::2], strict=True)]
+    known = [below <= k < below + within <= below + LISTED_ROWS for k, (below, within) in zip(ks, places, strict=True)]
+    wanted = F.lit(False)
+    for (lo, hi), ok in zip(brackets, known, strict=True):
+        wanted = wanted | col.between(F.lit(lo), F.lit(hi)) if ok else wanted
+    listed = sorted((tuple(r) for r in rows.where(wanted).collect()), key=lambda r: [(v is not None, v) for v in r]) if any(known) else []
+    out = []
+    for k, (lo, hi), (below, _), ok in zip(ks, brackets, places, known, strict=True):
+        out.append(list([r for r in listed if lo <= r[0] <= hi][k - below]) if ok else _key_at(rows, order, k, n))
+    return out
+
+
 def before_key(order: list[str], key: list, strict: bool = True) -> Column:
     """Rows that stand before ``key`` in ``order`` (nulls first)."""
     out = F.lit(not strict)
@@ -115,19 +149,17 @@ def keep_first_browser(df: DataFrame, uid: str, bid: str, order: str) -> DataFra
     return keep_first_owner(df, uid=bid, bid=uid, order=order)
 
 
-def first_rows(df: DataFrame, order: list[str], k: int, n: int) -> Column:
-    """Condition of the first ``k`` of ``n`` rows in ``order`` (which must be unique)."""
-    if k <= 0:
-        return F.lit(False)
-    if k >= n:
-        return F.lit(True)
-    return before_key(order, key_at(df, order, k, n))
+def first_rows(df: DataFrame, order: list[str], ks: list[int], n: int) -> list[Column]:
+    """For each of ``ks`` the condition of the first k of ``n`` rows in ``order`` (which must be unique)."""
+    inner = [k for k in ks if 0 < k < n]
+    keys = dict(zip(inner, keys_at(df, order, inner, n), strict=True)) if inner else {}
+    return [before_key(order, keys[k]) if k in keys else F.lit(k > 0) for k in ks]
 
 
 def ordered_split(df: DataFrame, frac: float, order: list[str], split_col: str = "split") -> DataFrame:
     """First int(n*frac) rows in ``order`` are 'train', the rest 'test'."""
     n = df.count()
-    head = first_rows(df, order, int(n * frac), n)
+    head = first_rows(df, order, [int(n * frac)], n)[0]
     return df.withColumn(split_col, F.when(head, "train").otherwise("test"))
 
 

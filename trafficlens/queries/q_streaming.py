@@ -95,7 +95,7 @@ def _sliced(spark, d):
     """Logins fed as files; the first half of time marked; the 12 h slices' window counts."""
     lg = si.logins(spark, d)
     n = lg.count()
-    marked = lg.withColumn("first_half", first_rows(lg, ["TIMESTAMP", "ROW_ID"], n // 2, n)).drop("ROW_ID")
+    marked = lg.withColumn("first_half", first_rows(lg, ["TIMESTAMP", "ROW_ID"], [n // 2], n)[0]).drop("ROW_ID")
     ts_min = lg.agg(F.min("TIMESTAMP")).first()[0]
     return st.run_slices(spark, _feed(marked, "login-slices"), marked.schema, fs.fresh(spark, "slice-features"), ts_min, SLICE_MS,
                          W6, S1, si.EVENT_TYPES, part="first_half")
