@@ -50,6 +50,18 @@ def test_links_against_all_pairs(spark, monkeypatch):
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
 
 
+def test_hot_group_of_few_directions(spark):
+    """Differences in a few directions put all of a pair's distance across a list's boundary."""
+    rng = np.random.default_rng(3)
+    for directions in (2, 4):
+        centre, ways = rng.normal(size=64), np.linalg.qr(rng.normal(size=(64, directions)))[0]
+        hot = centre / np.linalg.norm(centre) + rng.normal(size=(1500, directions)) * 0.3 @ ways.T
+        x = np.concatenate([hot, rng.normal(size=(3000, 64))]).astype(np.float32)[rng.permutation(4500)]
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {r.vec_id: r.n_links for r in vd.near_duplicates(df).collect()}
+        assert got == {i: int(n) for i, n in enumerate(brute(x).sum(1))}
+
+
 def test_query_on_whole_table(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     near = brute(np.array([r.embedding for r in rows]))

@@ -3,17 +3,19 @@
 Equal vectors are one node first.  A coarse k-means, fitted on a bounded
 sample, deals every node to the list of its nearest centroid; its residual is
 stored as one code a subspace.  Every node visits, beside its own list, each
-list whose boundary with its own is at most ``MARGIN`` away (two vectors of
-cosine 0.95 are at most 0.316 apart, and of that a sixth falls on a given
-direction of 64).  In a list, distances come from the visitor's tables
+list whose boundary with its own is at most half the reach away (two vectors of
+cosine 0.95 are at most 0.316 apart, the reach; if their lists differ, the way
+from one to the other crosses the boundary, so one of the two is within half of
+it): of every pair, one visits the other's list, and no pair is lost to the
+lists.  In a list, distances come from the visitor's tables
 of subspace distances; as each node knows how far its code is off, a node
 is passed on whenever it could be near enough, and the exact cosine in double
 precision decides.
 
 Scale: lists grow with the square root of the nodes; a list is compared
 in blocks of about ``RESIDENTS`` by ``VISITORS`` nodes, so that a list with a third
-of the nodes is many groups.  A pair is looked at once, from its smaller
-node's visit.  A block returns a link count and a root a node, never pairs.
+of the nodes is many groups.  A pair counts once: from its smaller node's
+visit, or from the larger's where the smaller does not visit.  A block returns a link count and a root a node, never pairs.
 
 Defined results: a vector that is null, zero, of another length than most, or
 that holds a null or a non-finite component links with nothing and is its own
@@ -33,7 +35,6 @@ from .common import append_columns, arrow_schema, ship_package, stored
 from .components import connected
 
 COSINE = 0.95
-MARGIN = 0.12
 SUBSPACES, CODEWORDS = 8, 256
 MAX_LISTS = 8192
 LEAST_SAMPLE, SAMPLE_PER_LIST = 8192, 32
@@ -95,8 +96,15 @@ def _encode(index: Index, own, unit):
     return codes, np.sqrt(((rest - spelled) ** 2).sum(1))
 
 
+def _reach(cosine: float) -> float:
+    """How far apart unit vectors of this cosine are."""
+    return math.sqrt(max(0.0, 2 - 2 * cosine))
+
+
 def _visits(index: Index, own, unit, margin: float) -> list[list[int]]:
-    """Lists whose boundary with the vector's own list is at most ``margin`` away; its own is one."""
+    """Lists whose boundary with the vector's own list is at most ``margin`` away; its own is one.
+
+    The slack is above what rounding does to the distances of vectors and centroids."""
     import numpy as np
     c, norms, out = index.coarse, (index.coarse ** 2).sum(1), []
     for i in range(0, len(unit), 256):
@@ -104,7 +112,7 @@ def _visits(index: Index, own, unit, margin: float) -> list[list[int]]:
         far = norms - 2 * (u @ c.T)  # squared distances, but for the vector's own square
         far -= far[np.arange(len(u)), own[i:i + 256]][:, None]
         apart = np.sqrt(np.maximum((mine ** 2).sum(1)[:, None] + norms - 2 * (mine @ c.T), 1e-24))
-        out += [np.flatnonzero(row).tolist() for row in far <= 2 * margin * apart]
+        out += [np.flatnonzero(row).tolist() for row in far <= 2 * margin * apart + 1e-7]
     return out
 
 
@@ -152,7 +160,7 @@ def _roots(n: int, a, b):
 
 def _compare(index, cosine: float):
     schema = arrow_schema(FOUND)
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+    reach = _reach(cosine)
 
     def run(key, table):
         import numpy as np
@@ -162,20 +170,22 @@ def _compare(index, cosine: float):
         visits = np.array(rows["visits"], dtype=bool)
         unit = _unit(np.array(rows["x"])) if len(visits) else np.zeros((0, 1))
         node, copies = np.array(rows["node"], dtype=np.int64), np.array(rows["copies"], dtype=np.int64)
-        # By node: a visitor looks at the residents after it only.
+        home = np.array([here if h is None else h for h in rows["home"]], dtype=np.int64)
+        # By node: a visitor of its own list looks at the residents after it only.
         order = np.argsort(node, kind="stable")
         v, r = order[visits[order]], order[~visits[order]]
+        lists = len(model.coarse)
+        goes = np.sort(np.array([i * lists + to for i in r.tolist() for to in rows["goes"][i]], dtype=np.int64))  # (resident, list it visits)
         links = np.zeros(len(node), dtype=np.int64)
         a_all, b_all = [], []
         if len(v) and len(r):
             codes = np.frombuffer(b"".join(rows["codes"][i] for i in r), dtype=np.uint8).reshape(len(r), -1).T.astype(np.intp)
             # Tables are in single precision; what that can add is far below the slack.
             limit = ((reach + np.array(rows["off"])[r] + 1e-3) ** 2).astype(np.float32)
-            for at in range(0, len(v), 256):
-                some = v[at:at + 256]
-                later = np.searchsorted(node[r], node[some[0]], side="right")
+            for some in [w[at:at + 256] for w in (v[home[v] == here], v[home[v] != here]) for at in range(0, len(w), 256)]:
+                later = np.searchsorted(node[r], node[some[0]], side="right") if home[some[0]] == here else 0
                 if later == len(r):
-                    break
+                    continue
                 rest = unit[some] - model.coarse[here]
                 far, part = np.zeros((len(some), len(r) - later), np.float32), np.empty((len(some), len(r) - later), np.float32)
                 for m, (lo, hi, book) in enumerate(model.books):
@@ -184,8 +194,11 @@ def _compare(index, cosine: float):
                     far += np.take(table, codes[m, later:], axis=1, out=part, mode="clip")
                 i, j = np.nonzero(far <= limit[later:])
                 i, j = some[i], r[later + j]
-                after = node[i] < node[j]
-                i, j = i[after], j[after]
+                # The smaller node's visit counts, or the larger's where the smaller does not visit its list.
+                back = j * lists + home[i]
+                both = goes[np.minimum(np.searchsorted(goes, back), len(goes) - 1)] == back
+                once = (node[i] < node[j]) | ((node[i] > node[j]) & ~both)
+                i, j = i[once], j[once]
                 for s in range(0, len(i), 1 << 15):
                     x, y = i[s:s + (1 << 15)], j[s:s + (1 << 15)]
                     near = (unit[x] * unit[y]).sum(1) >= cosine
@@ -203,7 +216,7 @@ def _compare(index, cosine: float):
     return run
 
 
-def linked(nodes: DataFrame, cosine: float = COSINE, margin: float = MARGIN) -> DataFrame:
+def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """node, links (copies of other nodes linked) and root rows of blocks, from nodes (node, x, copies)."""
     import numpy as np
     sc, n = nodes.sparkSession.sparkContext, nodes.count()
@@ -215,7 +228,7 @@ def linked(nodes: DataFrame, cosine: float = COSINE, margin: float = MARGIN) ->
     if not sample:
         return nodes.sparkSession.createDataFrame([], FOUND)
     index = sc.broadcast(fit(_unit(np.array([r.x for r in sample])), lists))
-    dealt = stored(_assign(nodes, index, margin), "dealt")
+    dealt = stored(_assign(nodes, index, _reach(cosine) / 2), "dealt")
     residents = dealt.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     visitors = dealt.select(F.explode("visits").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("v"))
     parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
@@ -224,19 +237,21 @@ def linked(nodes: DataFrame, cosine: float = COSINE, margin: float = MARGIN) ->
     part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     stay = dealt.join(blocks, "list").withColumn("r", part("rs")).withColumn("v", every("vs")) \
-        .select("list", "r", "v", F.lit(False).alias("visits"), "node", "x", "copies", "codes", "off")
-    go = dealt.select("node", "x", "copies", F.explode("visits").alias("list")).join(blocks, "list").withColumn("v", part("vs")) \
+        .select("list", "r", "v", F.lit(False).alias("visits"), "node", "x", "copies", "codes", "off", F.lit(None).cast("int").alias("home"),
+                F.col("visits").alias("goes"))
+    go = dealt.select("node", "x", "copies", F.col("list").alias("home"), F.explode("visits").alias("list")).join(blocks, "list").withColumn("v", part("vs")) \
         .withColumn("r", every("rs")).select("list", "r", "v", F.lit(True).alias("visits"), "node", "x", "copies",
-                                             F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("off"))
+                                             F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("off"), "home",
+                                             F.lit(None).cast("array<int>").alias("goes"))
     ship_package(nodes.sparkSession)
     return stay.union(go).groupBy("list", "r", "v").applyInArrow(_compare(index, cosine), FOUND)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row a row of ``vectors``: vec_id, n_links, component_id, kept."""
     rows = valid(vectors)
     nodes = stored(rows.where("node is not null").groupBy("node", "x").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "nodes")
-    found = stored(linked(nodes.select("node", "x", "copies"), cosine, margin), "vector-links")
+    found = stored(linked(nodes.select("node", "x", "copies"), cosine), "vector-links")
     roots = connected(found.select("node", "root"), "node", "root").select("node", F.col("root").alias("top"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left")
