@@ -40,6 +40,15 @@ def test_markup():
     assert he.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
 
 
+def test_skipped_elements_end():
+    for skipped in ('<svg-icon name="x"></svg-icon>', "<svg viewBox='0 0 1 1'/>", "<math />", "<button-group></button-group>", "<select-box/>", "<button>", "<select>",
+                    "<noscript>", "<object data=x>", "<template>", "<iframe src=x>", "<svg>", "<SVG><svg>t</svg>t</SVG>", "<button>t</button>", "<script>'<svg>'</script>"):
+        assert he.main_text(f"<p>a {skipped} b</p><p>rest</p>") == "a b\n\nrest", skipped
+        assert he.main_text(f"<p>a {skipped} b</p><p>rest</p><svg>t</svg><button type=a>t</button>") == "a b\n\nrest", skipped
+    assert he.main_text("<p>a<script>b</p><p>c") == he.main_text("<p>a<title>b</p><p>c") == "a"
+    assert he.main_text("<button>" * 50000 + "<svg>" * 50000 + "x") == "x"
+
+
 def test_style_tree_cuts_what_repeats(spark):
     rows = []
     for i in range(40):

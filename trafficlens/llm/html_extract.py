@@ -26,6 +26,8 @@ only under its size threshold, a skew-splitting join above.
 Defined results: null or empty html: empty text, 0 characters.  A null url is
 the host ''.  Repeated rows count once in the tree and are each extracted.
 Elements nested deeper than ``MAX_DEPTH`` are one node with the one there.
+An unclosed script, style, title, textarea or xmp runs to the end of the page;
+of another skipped element without a closing tag only the tag itself goes.
 """
 
 from __future__ import annotations
@@ -56,12 +58,16 @@ NOISE_TAGS = frozenset("head nav header footer aside form dialog menu fieldset".
 NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
  disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo
  related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget""".split())
+# Elements skipped with what they hold, if they are closed; those that hold others of their kind; those that "/>" closes.
+SKIPPED = frozenset("noscript template iframe svg math object select button".split())
+NESTED = frozenset("template svg math object".split())
+SELF_CLOSED = frozenset(("svg", "math"))
 ARTICLE_NOISE = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(script|style|title|textarea|noscript|template|iframe|svg|math|object|select|button|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-                    r".*?(?:</\1\s*>|\Z)"
+                    r"|<(script|style|title|textarea|xmp)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
                     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_SKIPPED = re.compile(r"<(/?)(noscript|template|iframe|svg|math|object|select|button)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -79,6 +85,22 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, int]:
     return ".".join([tag, *classes]), noise, region
 
 
+def _skips(html: str) -> dict[int, int]:
+    """Start and end of each closed element of ``SKIPPED``; one without a closing tag is not among them."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
+    for m in _SKIPPED.finditer(html):
+        tag = m[2].lower()
+        if m[1]:
+            if opened[tag]:
+                ends[opened[tag].pop()] = m.end()
+        elif not (tag in SELF_CLOSED and m[3].endswith("/")):
+            if tag not in NESTED:
+                opened[tag].clear()
+            opened[tag].append(m.start())
+    return ends
+
+
 def page_blocks(html: str, decode: bool = True) -> Iterator[tuple[str, bool, int, str]]:
     """(path, noise, region, text) of each block in page order; with ``decode``, character references are read.
 
@@ -87,6 +109,7 @@ def page_blocks(html: str, decode: bool = True) -> Iterator[tuple[str, bool, int
     depth: dict[str, int] = {}
     text: list[str] = []
     at = 0
+    skips: dict[int, int] | None = None
 
     def flush():
         if text:
@@ -99,7 +122,7 @@ def page_blocks(html: str, decode: bool = True) -> Iterator[tuple[str, bool, int
 
     def pop():
         depth[stack.pop()[0]] -= 1
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         if m.start() > at and not stack[-1][4]:
             piece = html[at:m.start()]
             text.append(_html.unescape(piece) if decode and "&" in piece else piece)
@@ -108,6 +131,10 @@ def page_blocks(html: str, decode: bool = True) -> Iterator[tuple[str, bool, int
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in SKIPPED and not m[2]:
+            skips = _skips(html) if skips is None else skips
+            at = skips.get(m.start(), at)
+            continue
         block = tag in BLOCKS
         if m[2]:
             if depth.get(tag):
