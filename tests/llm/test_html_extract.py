@@ -49,6 +49,30 @@ def test_skipped_elements_end():
     assert he.main_text("<button>" * 50000 + "<svg>" * 50000 + "x") == "x"
 
 
+def test_main_part_by_important_text(spark):
+    def story(i):
+        return [f"Story {i} " + "goes on and on " * 10 + "here", f"End {i} " + "of the long story " * 10 + "now"]
+
+    def page(i, kind):
+        cards = "".join(f"<article class='card'><p>Teaser {i} {j} of another story on this site, read it now, it is a good one</p></article>" for j in range(8))
+        paragraphs = "".join(f"<p>{p}</p>" for p in story(i))
+        middle = {"main": f"<main>{paragraphs}</main>{cards}", "div": f"<div class='story'>{paragraphs}</div>{cards}",
+                  "article": f"<main><p>Read {i} times</p><article>{paragraphs}</article></main>{cards}",
+                  "short": f"<main><p>Skip {i}</p></main><div class='story'>{paragraphs}</div>"}[kind]
+        return f"<body><div class='legal'><p>{'All rights are reserved and so on. ' * 30}</p></div>{middle}</body>"
+    kinds = ("main", "div", "article", "short")
+    rows = [(i, f"https://{kind}.example.org/{i}", page(i, kind)) for kind in kinds for i in range(20)]
+    for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        kind, i = r.url[8:].split(".")[0], r.page_id
+        got, want = r.text.split("\n\n"), story(i)
+        if kind in ("main", "article"):
+            # The cards are as much text as the story, each is less.
+            assert got == want if kind == "main" else got[:2] == want, kind
+        else:
+            assert [g for g in got if g in want] == want, kind
+        assert not any("rights" in g for g in got), kind
+
+
 def test_style_tree_cuts_what_repeats(spark):
     rows = []
     for i in range(40):

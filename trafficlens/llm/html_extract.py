@@ -12,10 +12,13 @@ page of the host.
 
 Entropy tells what repeats, not what an element is for, so markup has its say as
 well: elements whose tag or class names a menu, header, footer, sidebar, notice,
-advert, form or reader comments are cut, and where a page marks its article (or
-main part), text outside it is.  Hosts with fewer than ``LEAST_PAGES``
-distinct pages are judged by markup alone, and a page is never left empty by
-the style tree: if nothing else is left, its marked part is kept.
+advert, form or reader comments are cut, and a page's articles, else its main part, are kept alone where they hold
+the most of its important text: text outside the articles is cut if the
+largest of them has as much, text outside main if main has as much as there is
+outside both.  Where neither does, the whole body is kept, articles included.
+Hosts with fewer than ``LEAST_PAGES`` distinct pages are judged by markup
+alone (all their text is important), and a page is never left empty by the
+style tree: if nothing else is left, its chosen part is kept.
 
 Scale: pages are parsed where they lie.  What is shuffled is (host, path,
 hash, page hash) rows without text, counted with map-side combining, so a host
@@ -64,6 +67,8 @@ NESTED = frozenset("template svg math object".split())
 SELF_CLOSED = frozenset(("svg", "math"))
 ARTICLE_NOISE = frozenset("ad ads advert advertisement comment comments promo related reply replies sponsored".split())
 
+MAIN, ARTICLE = 1, 2  # bits
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(script|style|title|textarea|xmp)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
                     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
@@ -73,11 +78,11 @@ _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 
 @lru_cache(maxsize=1 << 14)
 def _element(tag: str, attributes: str) -> tuple[str, bool, int]:
-    """(label in the tree, is noise, region: 0 none, 1 main, 2 article) of a start tag."""
+    """(label in the tree, is noise, region: ``MAIN``, ``ARTICLE`` or 0) of a start tag."""
     names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMES.finditer(attributes)} if "=" in attributes else {}
     classes = sorted(set(names.get("class", "").split()))
     words = set(re.split(r"[^a-z]+", " ".join(names.values())))
-    region = 2 if tag == "article" else 1 if tag == "main" or names.get("role") == "main" else 0
+    region = ARTICLE if tag == "article" else MAIN if tag == "main" or names.get("role") == "main" else 0
     if tag in ("html", "body"):
         noise = False
     else:
@@ -163,9 +168,9 @@ def page_blocks(html: str, decode: bool = True) -> Iterator[tuple[str, bool, int
             continue
         _, path, above, where, _ = stack[-1]
         deeper = f"{path}/{label}" if len(stack) <= MAX_DEPTH else path
-        stack.append((tag, deeper, above or noise, max(where, region), within))
+        stack.append((tag, deeper, above or noise, where | region, within))
         depth[tag] = depth.get(tag, 0) + 1
-        yield deeper, above or noise, max(where, region), ""
+        yield deeper, above or noise, where | region, ""
     if at < len(html) and not stack[-1][4]:
         piece = html[at:]
         text.append(_html.unescape(piece) if decode and "&" in piece else piece)
@@ -173,11 +178,32 @@ def page_blocks(html: str, decode: bool = True) -> Iterator[tuple[str, bool, int
         yield got
 
 
+def _is_article(label: str) -> bool:
+    return label == "article" or label.startswith("article.")
+
+
 def main_text(html: str | None, low: frozenset[str] = frozenset()) -> str:
     """The blocks of the page's main part without noise and without the ``low`` paths, joined by blank lines."""
-    blocks = [(path, region, text) for path, noise, region, text in page_blocks(html or "") if text and not noise]
-    best = max((region for _, region, _ in blocks), default=0)
-    inside = [(path, text) for path, region, text in blocks if region == best]
+    blocks, sizes, outside = [], [0], {0: 0, MAIN: 0}  # important characters: of each outermost article, and outside articles by region
+    for path, noise, region, text in page_blocks(html or ""):
+        if not text:
+            if region & ARTICLE and _is_article((labels := path.split("/"))[-1]) and not any(map(_is_article, labels[:-1])):
+                sizes.append(0)
+        elif not noise:
+            blocks.append((path, region, text))
+            size = 0 if path in low else len(text)
+            if region & ARTICLE:
+                sizes[-1] += size
+            else:
+                outside[region] += size
+    regions = {region for _, region, _ in blocks}
+    best = 0
+    if any(region & ARTICLE for region in regions) and max(sizes) >= sum(outside.values()):
+        best = ARTICLE
+    elif any(region & MAIN for region in regions):
+        in_main = sum(len(text) for path, region, text in blocks if region & MAIN and path not in low)
+        best = MAIN if in_main >= outside[0] else 0
+    inside = [(path, text) for path, region, text in blocks if region & best == best]
     kept = [text for path, text in inside if path not in low]
     return "\n\n".join(kept or [text for _, text in inside])
 
