@@ -62,6 +62,23 @@ def test_hot_group_of_few_directions(spark):
         assert got == {i: int(n) for i, n in enumerate(brute(x).sum(1))}
 
 
+def test_each_length_links(spark):
+    """Near and equal vectors link within every length, never across lengths."""
+    sets = [planted(40, [3, 5], seed=4), planted(10, [2, 4], seed=5, dims=16), np.ones((1, 8), np.float32)]
+    rows, want = [], {}
+    for x in sets:
+        near = brute(x).sum(1)
+        for row, n in zip(x, near, strict=True):
+            want[len(rows)] = int(n)
+            rows.append((len(rows), row.tolist()))
+    rows += [(1000, [1.0, 0.0]), (1001, [1.0, 0.0]), (1002, [1.0, 0.0, 0.0])]
+    want |= {1000: 1, 1001: 1, 1002: 0}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in vd.near_duplicates(df).collect()}
+    assert {i: r.n_links for i, r in got.items()} == want
+    assert got[1001].component_id == 1000 and not got[1001].kept and got[1002].kept
+
+
 def test_query_on_whole_table(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     near = brute(np.array([r.embedding for r in rows]))

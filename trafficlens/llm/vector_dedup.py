@@ -17,15 +17,16 @@ in blocks of about ``RESIDENTS`` by ``VISITORS`` nodes, so that a list with a th
 of the nodes is many groups.  A pair counts once: from its smaller node's
 visit, or from the larger's where the smaller does not visit.  A block returns a link count and a root a node, never pairs.
 
-Defined results: a vector that is null, zero, of another length than most, or
-that holds a null or a non-finite component links with nothing and is its own
-component.  Equal vectors link with each other.  component_id ignores null
+Defined results: a vector that is null, zero, or that holds a null or a
+non-finite component links with nothing and is its own component.  Vectors of
+different lengths never link; each length has its own index.  Equal vectors link with each other.  component_id ignores null
 ids; kept is vec_id = component_id, null-safe.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -122,11 +123,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     x = F.transform("embedding", lambda v: (v.cast("double") + F.lit(0.0)).cast("float" if single else "double"))
     rows = vectors.select("vec_id", x.alias("x"))
     fine = F.coalesce(F.forall("x", lambda v: F.coalesce(F.abs(v) < F.lit(math.inf), F.lit(False))) & F.exists("x", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("fine", fine)
-    common = rows.where("fine").groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    size = common[0].n if common else 0
-    node = F.when(F.col("fine") & (F.size("x") == size), F.xxhash64("x"))
-    return rows.select("vec_id", "x", node.alias("node"))
+    return rows.select("vec_id", "x", F.when(fine, F.xxhash64("x")).alias("node"))
 
 
 def _assign(nodes: DataFrame, index, margin: float) -> DataFrame:
@@ -217,7 +214,7 @@ def _compare(index, cosine: float):
 
 
 def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """node, links (copies of other nodes linked) and root rows of blocks, from nodes (node, x, copies)."""
+    """node, links (copies of other nodes linked) and root rows of blocks, from nodes (node, x, copies) of one length."""
     import numpy as np
     sc, n = nodes.sparkSession.sparkContext, nodes.count()
     lists = min(MAX_LISTS, 1 << max(0, round(math.log2(max(1.0, math.sqrt(n) / 2)))))
@@ -251,7 +248,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row a row of ``vectors``: vec_id, n_links, component_id, kept."""
     rows = valid(vectors)
     nodes = stored(rows.where("node is not null").groupBy("node", "x").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "nodes")
-    found = stored(linked(nodes.select("node", "x", "copies"), cosine), "vector-links")
+    # A single node of its length has nothing to be compared with.
+    sizes = [r.n for r in nodes.groupBy(F.size("x").alias("n")).count().where("count > 1").orderBy("n").collect()]
+    of_size = [linked(nodes.where(F.size("x") == n).select("node", "x", "copies"), cosine) for n in sizes]
+    found = stored(reduce(DataFrame.union, of_size) if of_size else nodes.sparkSession.createDataFrame([], FOUND), "vector-links")
     roots = connected(found.select("node", "root"), "node", "root").select("node", F.col("root").alias("top"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left")
