@@ -100,12 +100,17 @@ def q_m18c(spark, d):
                        F.col("class_counts")[1].cast("long").alias("root_bots"), uneven.select(F.count(F.lit(1))).scalar().cast("int").alias("uneven_nodes"))
 
 
-@register("q_m2_forest_importances", "SELECT 5 AS features, TRUE AS sums_to_one")
+@register("q_m2_forest_importances")
 def q_m2(spark, d):
     f = login_window_features(spark, d)
     model = md.random_forest(trees=100, depth=5).fit(f)
-    return md.importances(model, si.EVENT_TYPES).agg(F.count("feature").cast("int").alias("features"),
-                                                     (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+    return md.importances(model, si.EVENT_TYPES)
+
+
+@register("q_m2_forest_sum", "SELECT 5 AS features, TRUE AS sums_to_one")
+def q_m2s(spark, d):
+    return q_m2(spark, d).agg(F.count("feature").cast("int").alias("features"),
+                              (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
 @register("q_m4_linear_svm", _WINDOWS + f"SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w WHERE {_part_sql(_WINDOW_KEY, 0.3)} = 'test'")
@@ -124,8 +129,14 @@ def _http_lr(spark, d, C=0.1):
     return h, train, test, md.fit_materialised(stages, train)
 
 
-@register("q_m5_logistic", _HTTP_TEST)
+@register("q_m5_logistic")
 def q_m5(spark, d):
+    _, _, test, model = _http_lr(spark, d)
+    return md.p_bot(model.transform(test)).select("ROW_ID", "label", "prediction", "predict_proba")
+
+
+@register("q_m5_logistic_checked", _HTTP_TEST)
+def q_m5c(spark, d):
     _, _, test, model = _http_lr(spark, d)
     return model.transform(test).select("ROW_ID", "label", md.checked_score().alias("scored"))
 
@@ -245,12 +256,17 @@ def _in_range(curve):
     return curve.select("param", (F.col("cv_f1").between(0.0, 1.0) & F.col("holdout_f1").between(0.0, 1.0)).alias("scored"))
 
 
-@register("q_m15_forest_features_curve", "SELECT CAST(unnest(range(1, 6)) AS DOUBLE) AS param, TRUE AS scored")
+@register("q_m15_forest_features_curve")
 def q_m15f(spark, d):
     """The number of features that a split of the forest looks at."""
     train, test = _folded(spark, d)
     forest = md.random_forest(trees=100, depth=5)
-    return _in_range(tn.validation_curve(forest, "featureSubsetStrategy", [str(n) for n in range(1, 6)], train, test))
+    return tn.validation_curve(forest, "featureSubsetStrategy", [str(n) for n in range(1, 6)], train, test)
+
+
+@register("q_m15_forest_features_range", "SELECT CAST(unnest(range(1, 6)) AS DOUBLE) AS param, TRUE AS scored")
+def q_m15r(spark, d):
+    return _in_range(q_m15f(spark, d))
 
 
 @register("q_m16_split_size_curve")
@@ -294,9 +310,15 @@ def q_m19(spark, d):
     return top.select("TS_PART", "USER_ID", "label", md.checked_score().alias("scored"))
 
 
-@register("q_m20_batch_scoring", with_(HTTP) + "SELECT ROW_ID, userId, TRUE AS scored FROM http")
+@register("q_m20_batch_scoring")
 def q_m20(spark, d):
     """Every request scored by a model of the training part."""
+    h, _, _, model = _http_lr(spark, d)
+    return md.p_bot(model.transform(h)).select("ROW_ID", "userId", "predict_proba")
+
+
+@register("q_m20_batch_checked", with_(HTTP) + "SELECT ROW_ID, userId, TRUE AS scored FROM http")
+def q_m20c(spark, d):
     h, _, _, model = _http_lr(spark, d)
     scored = md.p_bot(model.transform(h))
     return scored.select("ROW_ID", "userId", (md.checked_score() & F.col("predict_proba").between(0.0, 1.0)).alias("scored"))
