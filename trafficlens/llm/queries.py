@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import decontaminate, html_extract, mixing, quality, repeats, secret_scan, simhash, sql, token_shards, url_filter, vector_dedup
+from . import (decontaminate, html_extract, mixing, pieces, quality, repeats, secret_scan, simhash, sql, token_shards, url_filter,
+               vector_dedup)
 from .registry import register
 
 
@@ -65,3 +66,8 @@ def op1(spark, sf_dir):
 @register("op3_suffix_dedup")
 def op3(spark, sf_dir):
     return repeats.report(read(spark, sf_dir, "documents"))
+
+
+@register("op12_piece_encoding")
+def op12(spark, sf_dir):
+    return pieces.report(read(spark, sf_dir, "documents"))
