@@ -27,6 +27,14 @@ PAGES = [
     (15, "http://\u00dcber.ORG/fr/", "x"), (16, "http://a.com/cgi-bin/x", "x"), (17, "http://ads.adserver.example.de/", "x"), (18, "a://b://example.net/en/", "x"),
     (19, "http://x.com/" + "deep/" * 5000 + "cgi-bin/", "x"), (19, "http://net/", "x"), (None, "http://net/", "x"), (20, "http://x.org:80/fr/", "x"), (21, "http:///en/", "x"),
 ]
+#: Null ids, turns, roles and texts, ties, repeated rows, odd roles, gaps, a long conversation and a long text.
+CONVERSATIONS = [
+    (None, 0, "user", "a."), (None, 1, "assistant", "b."), (None, None, None, None), (1, None, "user", "first."), (1, None, "user", "other"), (1, 3, "assistant", "x!\u00a0"),
+    (2, 0, "system", "s."), (2, 0, "system", "s."), (2, 5, "user", "u?\n"), (2, 6, "assistant", " \t\x0b\x0c\r\n"), (2, 7, "assistant", "done.\x0b"),
+    (3, 1, "tool", "t."), (3, 2, "", "e."), (3, 3, "\u00dcser", "\u00e9"), (3, 4, None, "x."), (4, 1, "user", "say." * 20000), (5, -3, "Assistant", "a:b\nc."),
+    (6, 2, "user", "same."), (6, 2, "user", "same"), (6, 2, "assistant", "same."), *[(7, i, ("user", "assistant", "user")[i % 3], f"t{i % 50}.") for i in range(120)],
+    *[(8, i, ("user", "assistant")[i % 2], f"t{i}.") for i in range(40)], *[(100 + i, 0, "user", "hi.") for i in range(60)],
+]
 
 
 @pytest.fixture(scope="module")
@@ -37,12 +45,15 @@ def edge_dir(spark):
             .write.parquet(f"{folder}/{k}.parquet")
     for k, rows in (("pages", PAGES), ("empty/pages", [])):
         spark.createDataFrame([(*r, "clash", 2) for r in rows], "page_id long, url string, html string, host string, rule int").write.parquet(f"{folder}/{k}.parquet")
+    for k, rows in (("conversations", CONVERSATIONS), ("empty/conversations", [])):
+        spark.createDataFrame([(*r, "clash", 3) for r in rows], "conv_id long, turn long, role string, text string, audit string, kind int") \
+            .write.parquet(f"{folder}/{k}.parquet")
     return folder
 
 
 def compare(spark, fn, sql, folder, glob):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{glob}')")
     got = fn(spark, folder)
     res = con.execute(sql)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import (decontaminate, html_extract, mixing, pieces, quality, repeats, secret_scan, simhash, sql, token_shards, url_filter,
-               vector_dedup)
+from . import (conversations, decontaminate, html_extract, mixing, pieces, quality, repeats, secret_scan, simhash, sql, token_shards,
+               url_filter, vector_dedup)
 from .registry import register
 
 
@@ -71,3 +71,8 @@ def op3(spark, sf_dir):
 @register("op12_piece_encoding")
 def op12(spark, sf_dir):
     return pieces.report(read(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair", sql.OP13)
+def op13(spark, sf_dir):
+    return conversations.report(read(spark, sf_dir, "conversations"))

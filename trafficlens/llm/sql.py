@@ -75,3 +75,59 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN a USING (n)
 """
+
+
+def _edit(cost: str, letter: str, to: int, turn: str | None) -> str:
+    """One edit before the best rest of state ``to``: cost so far, audit, and the repaired turns with a newline before each."""
+    return (f"{{'c': f[{to + 1}].c + {cost}, 'a': '{letter}' || f[{to + 1}].a, "
+            f"'t': {f'chr(10) || {turn} || ' if turn else ''}f[{to + 1}].t}}")
+
+
+def _inserted(state: str, role: str) -> str:
+    return f"{{'c': {state}.c + 2, 'a': 'I' || {state}.a, 't': chr(10) || '{role}:' || {state}.t}}"
+
+
+def _settled(b: str) -> str:
+    """The best of staying and inserting, for the four states (nothing yet, system, user, assistant) of ``b``."""
+    user, assistant = f"list_min([{b}[3], {_inserted(f'{b}[4]', 'assistant')}])", f"list_min([{b}[4], {_inserted(f'{b}[3]', 'user')}])"
+    return ", ".join([*[f"list_min([{b}[{s}], {_inserted(user, 'user')}])" for s in (1, 2)], user, assistant])
+
+
+def _options(state: int) -> str:
+    to, role = (2, 2, 3, 2)[state], ("user", "user", "assistant", "user")[state]
+    keeps = {0: (("s", 1), ("u", 2)), 1: (("u", 2),), 2: (("a", 3),), 3: (("u", 2),)}[state]
+    stays = "late + CASE WHEN gone THEN 1000000 ELSE 0 END"
+    return "list_min([" + ", ".join(
+        [_edit("3", "D", state, None), _edit(f"2 + {stays}", "R", to, f"'{role}:' || text"),
+         *[_edit(f"{stays} + CASE WHEN initial = '{i}' THEN 0 ELSE 1000000 END", "K", k, "role || ':' || text") for i, k in keeps]]) + "])"
+
+
+# CRC-32 bit by bit; then each conversation from its last turn to its first, with the best rest of each state.
+OP13 = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT key, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))),
+    4294967295) % 20 AS kind FROM (SELECT DISTINCT key FROM k)),
+e AS (SELECT conv_id, turn, kind, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM k JOIN crc USING (key) WHERE kind <> 0),
+v AS (SELECT row_number() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS p
+    FROM (SELECT * FROM e UNION ALL SELECT * FROM e WHERE kind = 3) t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
+g AS (SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY p) AS before FROM o),
+h AS (SELECT c, p, role, text, initial, blank OR again AS gone, CASE WHEN cut THEN 1 ELSE 0 END AS late FROM g),
+s AS (SELECT c, (max(turn) - min(turn) + 1 - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY c),
+r AS (SELECT c, n + 1 AS p, [{_settled("z")}] AS f FROM s, (SELECT [{{'c': 0, 'a': '', 't': ''}}, {{'c': 1000000, 'a': '', 't': ''}},
+        {{'c': 1000000, 'a': '', 't': ''}}, {{'c': 0, 'a': '', 't': ''}}] AS z) t
+    UNION ALL
+    SELECT c, p, [{_settled("b")}] FROM (SELECT h.c, h.p, [{", ".join(map(_options, range(4)))}] AS b
+        FROM r JOIN h ON h.c = r.c AND h.p = r.p - 1) t)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(f[1].c, 0)::BIGINT AS cost, coalesce(f[1].a, '') AS audit, sha256(coalesce(substr(f[1].t, 2), '')) AS repaired_sha256
+FROM v LEFT JOIN s USING (c) LEFT JOIN r ON r.c = v.c AND r.p = 1
+"""
