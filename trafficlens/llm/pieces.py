@@ -306,7 +306,8 @@ REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 
 def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256, and of the
-    spans n_source_bytes (source bytes that the pieces cover) and spans_sha256 (begin:end joined by commas).
+    spans n_source_bytes (source bytes that the pieces cover) and spans_sha256 (all begins, then all ends, as
+    little-endian 32-bit numbers).
 
     Encodes and decodes a text at a time in one pass, so no ids are kept beside the digests.
     """
@@ -318,13 +319,13 @@ def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
         def digest(s: str) -> str:
             return hashlib.sha256(s.encode("utf-8")).hexdigest()
         encoder = _encoder(held.value)
+        decimal = list(map(str, range(len(encoder.sizes))))
         for batch in batches:
             rows = []
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids, begins, ends = encoder.spans(value.as_py() or "")
                 listed = ids.tolist()
-                rows.append((doc_id, len(listed), digest(",".join(map(str, listed))), digest(encoder.decode(listed) if listed else ""),
-                             int((ends - begins).sum()),
-                             hashlib.sha256(",".join(f"{b}:{e}" for b, e in zip(begins.tolist(), ends.tolist(), strict=True)).encode()).hexdigest()))
+                rows.append((doc_id, len(listed), digest(",".join([decimal[i] for i in listed])), digest(encoder.decode(listed) if listed else ""),
+                             int((ends - begins).sum()), hashlib.sha256(begins.astype("<i4").tobytes() + ends.astype("<i4").tobytes()).hexdigest()))
             yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], schema=kinds)
     return map_batches(docs.select("doc_id", "text"), run, REPORT)
