@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from trafficlens.sources.tables import read
 
-from . import (conversations, decontaminate, html_extract, mixing, pieces, quality, repeats, secret_scan, simhash, sql, token_shards,
-               url_filter, vector_dedup)
+from . import (collocations, conversations, decontaminate, html_extract, mixing, pieces, quality, repeats, secret_scan, simhash, sql,
+               token_shards, url_filter, vector_dedup)
 from .registry import register
 
 
@@ -68,6 +68,11 @@ def op3(spark, sf_dir):
     return repeats.report(read(spark, sf_dir, "documents"))
 
 
+@register("op11_phrase_collocations", sql.OP11)
+def op11(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents", ["lang", "text"]))
+
+
 @register("op12_piece_encoding")
 def op12(spark, sf_dir):
     return pieces.report(read(spark, sf_dir, "documents"))

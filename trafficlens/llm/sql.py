@@ -131,3 +131,32 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
     coalesce(illegal, 0) AS illegal, coalesce(f[1].c, 0)::BIGINT AS cost, coalesce(f[1].a, '') AS audit, sha256(coalesce(substr(f[1].t, 2), '')) AS repaired_sha256
 FROM v LEFT JOIN s USING (c) LEFT JOIN r ON r.c = v.c AND r.p = 1
 """
+
+
+def _phrases(k: int) -> str:
+    """Phrases of k words: each occurrence is the k words from its place on, if its piece has them."""
+    words = " || ' ' || ".join(["w", *[f"w{i}" for i in range(1, k)]])
+    there = f"WHERE w{k - 1} IS NOT NULL" if k > 1 else ""
+    return f"SELECT {k} AS k, lang, {words} AS phrase, count(*) AS a FROM t {there} GROUP BY lang, phrase"
+
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT doc, lang, generate_subscripts(pieces, 1) AS piece, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS words FROM d),
+w AS (SELECT doc, lang, piece, generate_subscripts(words, 1) AS place, unnest(words) AS w FROM p),
+t AS (SELECT lang, w, lead(w) OVER q AS w1, lead(w, 2) OVER q AS w2, lead(w, 3) OVER q AS w3 FROM w WINDOW q AS (PARTITION BY doc, piece ORDER BY place)),
+f AS ({" UNION ALL ".join(map(_phrases, range(1, 5)))}),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT k, lang, phrase, string_split(phrase, ' ') AS words, a FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT c.*, cut, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:], ' ') AS tail FROM c, range(1, 4) s(cut) WHERE cut < k),
+s AS (SELECT x.k, x.lang, x.phrase, x.words, x.a, x.cut, h.a AS l, t.a AS r, (x.a::HUGEINT * 2000000 // (h.a + t.a))::BIGINT AS score
+    FROM cuts x JOIN f h ON h.lang = x.lang AND h.phrase = x.head AND h.k = x.cut JOIN f t ON t.lang = x.lang AND t.phrase = x.tail AND t.k = x.k - x.cut),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+covers AS (SELECT lang, k - drops AS k, array_to_string(words[1 + skip:k - drops + skip], ' ') AS phrase, max(a) AS longer
+    FROM c, range(1, 3) u(drops), range(0, 3) v(skip) WHERE skip <= drops AND k - drops >= 2 GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN covers o ON o.lang = b.lang AND o.k = b.k AND o.phrase = b.phrase
+    WHERE o.longer IS NULL OR 100 * o.longer::HUGEINT < 80 * b.a::HUGEINT)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""
