@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.operators.rows import hash_fraction
-from trafficlens.session import cut_lineage, scratch_path
+from trafficlens.session import cut_lineage, scratch_path, session
 
 
 def hash_split(df: DataFrame, key_cols: list[str], test_share: float, seed: int = 17,
@@ -64,6 +64,11 @@ def p_bot(df: DataFrame, prob: str = "probability", out: str = "predict_proba")
     return df.withColumn(out, vector_to_array(F.col(prob))[1])
 
 
+def raw_score(raw: str = "rawPrediction") -> Column:
+    """The raw score of class 1."""
+    return vector_to_array(F.col(raw))[1]
+
+
 def checked_score(prediction: str = "prediction", probability: str | None = "probability", raw: str = "rawPrediction",
                   threshold: float = 0.5) -> Column:
     """What holds of a scored row whatever the learner found: the class is 0 or 1, P(1) is a probability, and the
@@ -74,13 +79,23 @@ def checked_score(prediction: str = "prediction", probability: str | None = "pro
     return F.coalesce(ok & score.between(0.0, 1.0) if probability else ok, F.lit(False))
 
 
+def saved_nodes(model) -> DataFrame:
+    """The node table that a fitted tree or forest saves (a forest's rows have a treeID); bounded by the model."""
+    spark = session()
+    path = scratch_path(spark, "tree")
+    model.write().save(path)
+    return spark.read.parquet(f"{path}/data")
+
+
+def node_rows(model) -> list:
+    """The nodes of a fitted tree on the driver, where the model itself is."""
+    return saved_nodes(model).select("id", "prediction", "impurityStats", "leftChild", "rightChild", "split").collect()
+
+
 def tree_nodes(model, names: list[str]) -> DataFrame:
     """The learned tree, one row a node: the split (feature and threshold), impurity, rows, class counts and
     prediction, and the nodes below.  Read from the node table that the model saves; bounded by the tree."""
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, "tree")
-    model.write().save(path)
-    t = spark.read.parquet(f"{path}/data")
+    t = saved_nodes(model)
     inner = F.col("leftChild") >= 0
     feature = F.when(inner, F.element_at(F.array(*map(F.lit, names)), F.col("split.featureIndex") + 1))
     numeric = F.col("split.numCategories") < 0

@@ -1,9 +1,11 @@
 """Learned models, tuning and model flows.
 
-What a learner finds is its own; the rows it is given and what must hold of its
-output are not.  So the queries of learners that score rows give the keys of
-the scored rows and whether the score holds together (``models.checked_score``),
-and have a twin; searches and curves give their table and are rows-only.
+A learner's query gives what it finds (classes, probabilities, scores,
+importances) and has no twin; beside it a query named ``..._keys`` reads the
+result of that same fit and has one: every row of the holdout is scored, and the
+score holds together (``models.checked_score``).  Searches and curves give
+their table; what is deterministic in them (fold sizes, which maps are tried,
+the rule that picks the best) has a twin too.
 """
 
 from pyspark.ml import Pipeline
@@ -17,15 +19,20 @@ from trafficlens.operators import encode as en
 from trafficlens.operators.aggregates import activity_counts, user_rollup
 from trafficlens.operators.evaluate import class_report, f1_positive
 from trafficlens.operators.windows import sliding_counts
+from trafficlens.plans import bucket_grid as bg
+from trafficlens.plans import depths as dp
 from trafficlens.plans import models as md
+from trafficlens.plans import sgd
 from trafficlens.plans import tuning as tn
 from trafficlens.plans.bucket_logit import BucketLogit
 from trafficlens.session import cut_lineage
+from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import read
 from trafficlens.sqltwins import AUTH, HTTP, LOGINS, TEXT, with_
 
 from . import register
+from .results import made, scored_rows, write_result, written_by
 
 W6, S1 = 6 * 3600 * 1000, 3600 * 1000
 ACT_COLS = ["COUNT_ACT_WEEK"] + [f"COUNT_ACT_{i}" for i in range(1, 7)]
@@ -41,6 +48,7 @@ _WINDOWS = with_(LOGINS, "mn AS (SELECT min(TIMESTAMP) AS m FROM logins)",
                  f"w AS (SELECT CAST(((TIMESTAMP - m + i * {S1}) // {W6}) * 6 + i AS BIGINT) AS TS_PART, USER_ID, "
                  "CAST(isBot AS DOUBLE) AS label FROM logins, mn, range(0, 6) t(i) GROUP BY 1, 2, 3)")
 _WINDOW_KEY = "CAST(TS_PART AS VARCHAR) || '|' || CAST(USER_ID AS VARCHAR)"
+_WINDOW_TEST = _WINDOWS + f"SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w WHERE {_part_sql(_WINDOW_KEY, 0.3)} = 'test'"
 _HTTP_TEST = with_(HTTP) + f"SELECT ROW_ID, CAST(isBot AS DOUBLE) AS label, TRUE AS scored FROM http WHERE {_part_sql('CAST(ROW_ID AS VARCHAR)', 0.3)} = 'test'"
 
 
@@ -66,9 +74,10 @@ def http_features(spark, d):
 HTTP_CATS = ["operation", "method", "requestType", "ua_bucket"]
 
 
-@register("q_m1_decision_tree", with_(AUTH, "a AS (SELECT IP, arg_min(BOT_OR_HUMAN, TIMESTAMP) AS label FROM auth GROUP BY IP)") +
-          f"SELECT IP, label, TRUE AS known_label FROM a WHERE {_part_sql('CAST(IP AS VARCHAR)', 0.3)} = 'test'")
+@scored_rows("q_m1_decision_tree", "q_m1_keys", with_(AUTH, "a AS (SELECT IP, arg_min(BOT_OR_HUMAN, TIMESTAMP) AS label FROM auth GROUP BY IP)") +
+             f"SELECT IP, label, TRUE AS known_label FROM a WHERE {_part_sql('CAST(IP AS VARCHAR)', 0.3)} = 'test'", ["IP", "label"], "known_label")
 def q_m1(spark, d):
+    """Class and probability of the second label (of the rarer class) for each holdout address."""
     a = activity_counts(si.auth(spark, d), half_day_bounds(si.AUTH_WEEK_START))
     a = md.hash_split(en.assemble(ACT_COLS).transform(a), ["IP"], 0.3)
     train, test = a.where("part = 'train'"), a.where("part = 'test'")
@@ -78,7 +87,8 @@ def q_m1(spark, d):
     tree = md.decision_tree("indexedLabel", "indexedFeatures", depth=5)
     back = en.label_back(lab, "prediction", "predictedLabel")
     model = Pipeline(stages=[lab.setHandleInvalid("keep"), vi, tree, back]).fit(train)
-    return model.transform(test).select("IP", "label", F.col("predictedLabel").isin(*lab.labels).alias("known_label"))
+    return md.p_bot(model.transform(test)).select("IP", "label", "predictedLabel", "predict_proba",
+                                                  F.col("predictedLabel").isin(*lab.labels).alias("known_label"))
 
 
 @register("q_m18_tree_nodes")
@@ -100,24 +110,30 @@ def q_m18c(spark, d):
                        F.col("class_counts")[1].cast("long").alias("root_bots"), uneven.select(F.count(F.lit(1))).scalar().cast("int").alias("uneven_nodes"))
 
 
+def _importances(spark, d):
+    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    return md.importances(md.random_forest(trees=100, depth=5).fit(f.where("part = 'train'")), si.EVENT_TYPES)
+
+
 @register("q_m2_forest_importances")
 def q_m2(spark, d):
-    f = login_window_features(spark, d)
-    model = md.random_forest(trees=100, depth=5).fit(f)
-    return md.importances(model, si.EVENT_TYPES)
+    return write_result(spark, d, "importances", _importances(spark, d))
 
 
 @register("q_m2_forest_sum", "SELECT 5 AS features, TRUE AS sums_to_one")
 def q_m2s(spark, d):
-    return q_m2(spark, d).agg(F.count("feature").cast("int").alias("features"),
-                              (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+    """The importances that q_m2_forest_importances found add up."""
+    return written_by(spark, d, "importances", _importances).agg(F.count("feature").cast("int").alias("features"),
+                                                                 (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
-@register("q_m4_linear_svm", _WINDOWS + f"SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w WHERE {_part_sql(_WINDOW_KEY, 0.3)} = 'test'")
+@scored_rows("q_m4_linear_svm", "q_m4_keys", _WINDOW_TEST, ["TS_PART", "USER_ID", "label"])
 def q_m4(spark, d):
+    """Class and raw score of class 1 on the holdout."""
     f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
     model = md.linear_svm(alpha=1e-4, max_iter=20).fit(f.where("part = 'train'"))
-    return model.transform(f.where("part = 'test'")).select("TS_PART", "USER_ID", "label", md.checked_score(probability=None).alias("scored"))
+    return model.transform(f.where("part = 'test'")).select("TS_PART", "USER_ID", "label", "prediction", md.raw_score().alias("score"),
+                                                            md.checked_score(probability=None).alias("scored"))
 
 
 def _http_lr(spark, d, C=0.1):
@@ -129,16 +145,10 @@ def _http_lr(spark, d, C=0.1):
     return h, train, test, md.fit_materialised(stages, train)
 
 
-@register("q_m5_logistic")
+@scored_rows("q_m5_logistic", "q_m5_logistic_checked", _HTTP_TEST, ["ROW_ID", "label"])
 def q_m5(spark, d):
     _, _, test, model = _http_lr(spark, d)
-    return md.p_bot(model.transform(test)).select("ROW_ID", "label", "prediction", "predict_proba")
-
-
-@register("q_m5_logistic_checked", _HTTP_TEST)
-def q_m5c(spark, d):
-    _, _, test, model = _http_lr(spark, d)
-    return model.transform(test).select("ROW_ID", "label", md.checked_score().alias("scored"))
+    return md.p_bot(model.transform(test)).select("ROW_ID", "label", "prediction", "predict_proba", md.checked_score().alias("scored"))
 
 
 @register("q_m5_validation_curve")
@@ -151,43 +161,150 @@ def q_m5v(spark, d):
     return spark.createDataFrame(rows, "C double, holdout_f1 double")
 
 
-@register("q_m6_param_maps", _WINDOWS + "SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w")
+@scored_rows("q_m6_param_maps", "q_m6_keys", _WINDOW_TEST, ["TS_PART", "USER_ID", "label"])
 def q_m6(spark, d):
-    f = login_window_features(spark, d)
+    """Fitted under a parameter map that overrides the learner's own; class and probability on the holdout."""
+    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
     lr = md.logistic(max_iter=10)
     lr.setMaxIter(20)
-    params = {lr.maxIter: 30, lr.regParam: 0.1, lr.threshold: 0.55, lr.probabilityCol: "myProbability"}
-    model = lr.fit(f, params)
-    return model.transform(f).select("TS_PART", "USER_ID", "label",
-                                     md.checked_score(probability="myProbability", threshold=0.55).alias("scored"))
+    params = {lr.maxIter: 30, lr.regParam: 0.01, lr.threshold: 0.45, lr.probabilityCol: "myProbability"}
+    scored = lr.fit(f.where("part = 'train'"), params).transform(f.where("part = 'test'"))
+    return md.p_bot(scored, "myProbability").select("TS_PART", "USER_ID", "label", "prediction", "predict_proba",
+                                                    md.checked_score(probability="myProbability", threshold=0.45).alias("scored"))
 
 
-@register("q_m7_distributed_fit", _HTTP_TEST)
+@scored_rows("q_m7_distributed_fit", "q_m7_keys", _HTTP_TEST, ["ROW_ID", "label"])
 def q_m7(spark, d):
+    """All batches in one distributed fit; class and raw score on the holdout."""
     h = md.hash_split(http_features(spark, d), ["ROW_ID"], 0.3)
     stages = en.one_hot_stages(HTTP_CATS) + [en.assemble([f"{c}_vec" for c in HTTP_CATS]),
                                               md.linear_svm(alpha=1e-4, max_iter=30)]
     model = md.one_distributed_fit(stages, h.where("part = 'train'"))
-    return model.transform(h.where("part = 'test'")).select("ROW_ID", "label", md.checked_score(probability=None).alias("scored"))
+    return model.transform(h.where("part = 'test'")).select("ROW_ID", "label", "prediction", md.raw_score().alias("score"),
+                                                            md.checked_score(probability=None).alias("scored"))
+
+
+BATCH_MS, SLOT_BUCKETS = 3 * 24 * 3600 * 1000, 100  # a batch is three days of requests
+
+
+def _request_slots(spark, d):
+    """Requests with time, label, part and the hashed one-hot slots of the four fields."""
+    h = http_features(spark, d).join(si.http(spark, d).select("ROW_ID", "timestamp"), "ROW_ID")
+    slots, values = sgd.one_hot_slots(HTTP_CATS, SLOT_BUCKETS)
+    return md.hash_split(h.select("ROW_ID", "timestamp", "label", slots.alias("slots"), values.alias("values")), ["ROW_ID"], 0.3)
+
+
+def _learned_requests(spark, d, fresh):
+    """The folder of states of a log-loss learner that went through the training requests, batch by batch in order of time."""
+    def make():
+        rows = _request_slots(spark, d).where("part = 'train'")
+        lo, hi = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+        layout = fs.write_by_slice(rows, fs.fresh(spark, "request-batches"), "timestamp", lo, BATCH_MS)
+        batches = [fs.read_between(spark, layout, "timestamp", lo, BATCH_MS, at, at + BATCH_MS) for at in range(lo, hi + 1, BATCH_MS)]
+        folder = fs.fresh(spark, "request-learner")
+        return folder, sgd.learn_batches(batches, sgd.Learner(SLOT_BUCKETS * len(HTTP_CATS), sgd.LOG, eta=10.0), folder, spark)
+    return made(spark, d, "request-learner", make, fresh)
 
 
-@register("q_m9_bucket_logit", with_(LOGINS, f"u AS (SELECT USER_ID, arg_min(isBot, ROW_ID) AS isBot FROM logins WHERE {_part_sql('CAST(USER_ID AS VARCHAR)', 0.33)} = 'test' GROUP BY 1)") +
-          "SELECT USER_ID, isBot, TRUE AS scored FROM u")
+@scored_rows("q_m7_batches", "q_m7_batches_keys", _HTTP_TEST, ["ROW_ID", "label"])
+def q_m7b(spark, d):
+    """Learned batch by batch, each from the weights that the last one left; class and margin on the holdout."""
+    folder, n = _learned_requests(spark, d, fresh=True)
+    test = _request_slots(spark, d).where("part = 'test'")
+    return sgd.scored(test, sgd.read_state(spark, folder, n - 1)) \
+        .select("ROW_ID", "label", "prediction", "score", (F.col("prediction") == (F.col("score") > 0).cast("double")).alias("scored"))
+
+
+@register("q_m7_batch_curve")
+def q_m7c(spark, d):
+    """F1 on the holdout after each batch."""
+    return sgd.curve(_request_slots(spark, d).where("part = 'test'"), _learned_requests(spark, d, fresh=False)[0])
+
+
+_STEP_SLOTS = 3 * SLOT_BUCKETS
+_STEP_WEIGHTS = [(i * i % 7 - 3) / 8 for i in range(_STEP_SLOTS)]
+_STEP = sgd.Learner(_STEP_SLOTS, alpha=0.125, eta=0.5, steps=1)
+
+
+def _slot_sql(i, column):
+    return f"CAST(('0x' || substring(md5({column}), 1, 8)) AS BIGINT) % {SLOT_BUCKETS} + {i * SLOT_BUCKETS}"
+
+
+@register("q_m7_update_step", with_(HTTP, "r AS (SELECT ROW_ID, isBot * 2 - 1 AS y, unnest([" + ", ".join(
+    _slot_sql(i, c) for i, c in enumerate(("operation", "method", "requestType"))) + "]) AS slot FROM http)",
+    "s AS (SELECT ROW_ID, y, sum((slot * slot % 7 - 3) / 8) + 0.25 AS margin FROM r GROUP BY 1, 2)",
+    "g AS (SELECT slot, -sum(y) AS g FROM r JOIN s USING (ROW_ID, y) WHERE y * margin < 1 GROUP BY 1 "
+    f"UNION ALL SELECT {_STEP_SLOTS}, -sum(y) FROM s WHERE y * margin < 1)",
+    f"w AS (SELECT i AS slot, CASE WHEN i < {_STEP_SLOTS} THEN (i * i % 7 - 3) / 8 * (1 - 0.5 * 0.125) ELSE 0.25 END AS w FROM range(0, {_STEP_SLOTS + 1}) t(i))") +
+    "SELECT CAST(slot AS INTEGER) AS slot, w - coalesce(g, 0) * 0.5 / (SELECT count(*) FROM http) AS weight FROM w LEFT JOIN g USING (slot)")
+def q_m7u(spark, d):
+    """One hinge step over all requests from weights that are given by slot (the bias is the last)."""
+    slots, values = sgd.one_hot_slots(["operation", "method", "requestType"], SLOT_BUCKETS)
+    rows = si.http(spark, d).select(slots.alias("slots"), values.alias("values"), F.col("isBot").cast("double").alias("label"))
+    state = sgd.learn(rows, _STEP, sgd.State(_STEP_WEIGHTS, 0.25, 0))
+    return spark.createDataFrame(list(enumerate([*state.weights, state.bias])), "slot int, weight double")
+
+
+_ERROR_USERS = with_(LOGINS, "u AS (SELECT USER_ID, arg_min(isBot, ROW_ID) AS isBot FROM logins WHERE LOGIN_CREDENTIAL_TYPE = 'error' "
+                     f"AND {_part_sql('CAST(USER_ID AS VARCHAR)', 0.33)} = 'test' GROUP BY 1)")
+
+
+@scored_rows("q_m9_bucket_logit", "q_m9_keys", _ERROR_USERS + "SELECT USER_ID, isBot, TRUE AS scored FROM u", ["USER_ID", "isBot"])
 def q_m9(spark, d):
-    """Fitted on two thirds of the users, every user of the rest that has a slot is scored."""
+    """Fitted on two thirds of the users by their errors over time; class and probability of every other user that has one."""
     lg = md.hash_split(si.logins(spark, d), ["USER_ID"], 0.33)
     lo, hi = lg.agg(F.min("TIMESTAMP"), F.max("TIMESTAMP")).first()
     # One shift before the first login, so that no login is in the bucket that is left out.
-    model = BucketLogit(parts=4, shortParts=10, shares=True, minTs=float(lo) - (hi - lo) / 20, maxTs=float(hi) + 1).fit(lg.where("part = 'train'"))
-    return model.transform(lg.where("part = 'test'")).select("USER_ID", "isBot", md.checked_score().alias("scored"))
+    model = BucketLogit(parts=4, shortParts=10, credentialTypes=["error"], minTs=float(lo) - (hi - lo) / 20, maxTs=float(hi) + 1) \
+        .fit(lg.where("part = 'train'"))
+    return md.p_bot(model.transform(lg.where("part = 'test'"))).select("USER_ID", "isBot", "prediction", "predict_proba",
+                                                                       md.checked_score().alias("scored"))
+
+
+_GRID_TYPES = [[], ["error"], ["click"], ["view"]]
 
 
-@register("q_m10_text_pipeline", with_(TEXT) + "SELECT doc_id, label, TRUE AS scored FROM text")
+def _grid(spark, d, fresh=False):
+    """(scores of the full grid, class report of the best map): fitted on 60 % of the users, scored on 20 %, reported on 20 %."""
+    def make():
+        grid = bg.Grid(bg.GRID_PARTS, bg.GRID_SHORT_PARTS, _GRID_TYPES)
+        lg = md.hash_split(md.hash_split(si.logins(spark, d), ["USER_ID"], 0.2), ["USER_ID"], 0.25, seed=5, col="inner")
+        train, valid = (lg.where(f"part = 'train' AND inner = '{p}'") for p in ("train", "test"))
+        scores, best = bg.search(train, valid, grid)
+        scored = bg.refitted(best, train).transform(lg.where("part = 'test'"))
+        return scores, class_report(scored.select(F.col("isBot").alias("y"), F.col("prediction").cast("int").alias("pred")), "y", "pred")
+    return made(spark, d, "bucket-grid", make, fresh)
+
+
+@register("q_m9_grid")
+def q_m9g(spark, d):
+    """F1 of all 352 maps, fitted together."""
+    return _grid(spark, d, fresh=True)[0]
+
+
+@register("q_m9_grid_report")
+def q_m9gr(spark, d):
+    """The best map refitted by itself: its class report on users that the search did not see."""
+    return _grid(spark, d)[1]
+
+
+@register("q_m9_grid_maps", "SELECT '{\"parts\": ' || p || ', \"shortParts\": ' || s || ', \"credentialTypes\": ' || t || '}' AS params, TRUE AS scored "
+          f"FROM (SELECT unnest({bg.GRID_PARTS}) AS p) a, (SELECT unnest({bg.GRID_SHORT_PARTS}) AS s) b, "
+          "(SELECT unnest(['[]', '[\"error\"]', '[\"click\"]', '[\"view\"]']) AS t) c")
+def q_m9gm(spark, d):
+    """Every map of the grid has a score."""
+    return _grid(spark, d)[0].select("params", F.col("f1").between(0.0, 1.0).alias("scored"))
+
+
+@scored_rows("q_m10_text_pipeline", "q_m10_keys", with_(TEXT) + "SELECT doc_id, label, TRUE AS scored FROM text "
+             f"WHERE {_part_sql('CAST(doc_id AS VARCHAR)', 0.3)} = 'test'", ["doc_id", "label"])
 def q_m10(spark, d):
-    t = si.text(spark, d)
+    """Words -> hashed counts -> logistic regression, fitted on the training part; class and probability of the rest."""
+    t = md.hash_split(si.text(spark, d), ["doc_id"], 0.3)
     stages = [en.tokenizers("text")[0], en.hashed_tf("words", 1000, "features"), md.logistic(max_iter=10)]
-    model = Pipeline(stages=stages).fit(t)
-    return model.transform(t).select("doc_id", "label", md.checked_score().alias("scored"))
+    model = Pipeline(stages=stages).fit(t.where("part = 'train'"))
+    return md.p_bot(model.transform(t.where("part = 'test'"))).select("doc_id", "label", "prediction", F.col("predict_proba").alias("p_good"),
+                                                                     md.checked_score().alias("scored"))
 
 
 @register("q_m11_hash_split", "SELECT event_id, CASE WHEN CAST(('0x' || substring(md5('17|' || CAST(event_id AS VARCHAR)), "
@@ -209,19 +326,37 @@ def _folded(spark, d, k=5):
     return cut_lineage(train), f.where("part = 'test'")
 
 
+def _depths(spark, d, fresh=False):
+    """(scores by depth, the deepest tree, the holdout part): one tree a fold and one of all training rows, for every depth."""
+    def make():
+        train, holdout = _folded(spark, d)
+        return *dp.depth_scores(md.decision_tree(), DEPTHS, train, holdout), holdout
+    return made(spark, d, "depths", make, fresh)
+
+
 @register("q_m12_grid_search")
 def q_m12(spark, d):
-    train, holdout = _folded(spark, d)
-    dt = md.decision_tree()
-    return tn.search(dt, ParamGridBuilder().addGrid(dt.maxDepth, DEPTHS).build(), train, holdout).results
+    return dp.search_results(_depths(spark, d, fresh=True)[0])
 
 
 @register("q_m12_holdout_report")
 def q_m12r(spark, d):
-    """The best depth, refitted on the training part: its class report on the holdout."""
-    train, holdout = _folded(spark, d)
-    dt = md.decision_tree()
-    return tn.search(dt, ParamGridBuilder().addGrid(dt.maxDepth, DEPTHS).build(), train, holdout).report
+    """The best depth on the training part: its class report on the holdout."""
+    scores, model, holdout = _depths(spark, d)
+    best = max(scores.collect(), key=lambda r: (r.cv_f1, -r.depth)).depth
+    scored = dp.classes_at(model, holdout, best).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
+    return class_report(scored, "y", "pred")
+
+
+@register("q_m12_maps", "SELECT '{\"maxDepth\": ' || unnest(range(1, 20, 2)) || '}' AS params, TRUE AS scored, 1::BIGINT AS best_maps")
+def q_m12m(spark, d):
+    """Every depth is tried, has a score, and the marked one is the first of the best."""
+    from pyspark.sql import Window
+    rows, every = dp.search_results(_depths(spark, d)[0]), Window.partitionBy()  # as many rows as the grid has maps
+    depth = F.get_json_object("params", "$.maxDepth").cast("int")
+    top = F.max(F.struct("cv_metric", (-depth).alias("d"))).over(every)["d"]
+    return rows.select("params", F.col("cv_metric").between(0.0, 1.0).alias("scored"),
+                       F.sum(F.when(F.col("best") & (depth == -top), 1).otherwise(0)).over(every).alias("best_maps"))
 
 
 @register("q_m12_stratified_folds", _WINDOWS + "SELECT CAST(rn % 5 AS INTEGER) AS fold, label, count(*) AS n FROM (SELECT label, "
@@ -241,14 +376,13 @@ def q_m13(spark, d):
 @register("q_m14_cv_score")
 def q_m14(spark, d):
     f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 5)
-    cv = tn.grid_search(md.decision_tree(depth=3, impurity="entropy"), [{}], f, folds=5)
+    cv = tn.grid_search(md.decision_tree(depth=7, impurity="entropy"), [{}], f, folds=5)
     return spark.range(1).select(F.lit(float(cv.avgMetrics[0])).alias("cv_f1"))
 
 
 @register("q_m15_validation_curve")
 def q_m15(spark, d):
-    train, test = _folded(spark, d)
-    return tn.validation_curve(md.decision_tree(), "maxDepth", DEPTHS, train, test)
+    return _depths(spark, d)[0].select(F.col("depth").cast("double").alias("param"), "cv_f1", "holdout_f1")
 
 
 def _in_range(curve):
@@ -256,23 +390,27 @@ def _in_range(curve):
     return curve.select("param", (F.col("cv_f1").between(0.0, 1.0) & F.col("holdout_f1").between(0.0, 1.0)).alias("scored"))
 
 
-@register("q_m15_forest_features_curve")
-def q_m15f(spark, d):
-    """The number of features that a split of the forest looks at."""
+def _forest_features(spark, d):
     train, test = _folded(spark, d)
     forest = md.random_forest(trees=100, depth=5)
     return tn.validation_curve(forest, "featureSubsetStrategy", [str(n) for n in range(1, 6)], train, test)
 
 
+@register("q_m15_forest_features_curve")
+def q_m15f(spark, d):
+    """The number of features that a split of the forest looks at."""
+    return write_result(spark, d, "forest-features", _forest_features(spark, d))
+
+
 @register("q_m15_forest_features_range", "SELECT CAST(unnest(range(1, 6)) AS DOUBLE) AS param, TRUE AS scored")
 def q_m15r(spark, d):
-    return _in_range(q_m15f(spark, d))
+    return _in_range(written_by(spark, d, "forest-features", _forest_features))
 
 
 @register("q_m16_split_size_curve")
 def q_m16(spark, d):
     f = login_window_features(spark, d)
-    return tn.split_size_curve(md.decision_tree(depth=3), f, [i / 10 for i in range(1, 8)], "label", ["TS_PART", "USER_ID"])
+    return tn.split_size_curve(md.decision_tree(depth=7), f, [i / 10 for i in range(1, 8)], "label", ["TS_PART", "USER_ID"])
 
 
 @register("q_m17_feature_selection")
@@ -302,26 +440,21 @@ def q_m17r(spark, d):
     return md.selected_features(md.named_weights([i * i % 7 - 3 for i in range(names.count())], names))
 
 
-@register("q_m19_example_predictions", _WINDOWS + "SELECT TS_PART, USER_ID, label, TRUE AS scored FROM w ORDER BY TS_PART, USER_ID LIMIT 5")
+@scored_rows("q_m19_example_predictions", "q_m19_keys", _WINDOW_TEST + " ORDER BY TS_PART, USER_ID LIMIT 5", ["TS_PART", "USER_ID", "label"])
 def q_m19(spark, d):
-    f = login_window_features(spark, d)
-    model = md.decision_tree(depth=3).fit(f)
-    top = model.transform(f).orderBy("TS_PART", "USER_ID").limit(5)
-    return top.select("TS_PART", "USER_ID", "label", md.checked_score().alias("scored"))
+    """The first five rows of the holdout with class and probability."""
+    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    model = md.decision_tree(depth=7).fit(f.where("part = 'train'"))
+    top = model.transform(f.where("part = 'test'")).orderBy("TS_PART", "USER_ID").limit(5)
+    return md.p_bot(top).select("TS_PART", "USER_ID", "label", "prediction", "predict_proba", md.checked_score().alias("scored"))
 
 
-@register("q_m20_batch_scoring")
+@scored_rows("q_m20_batch_scoring", "q_m20_batch_checked", with_(HTTP) + "SELECT ROW_ID, userId, TRUE AS scored FROM http", ["ROW_ID", "userId"])
 def q_m20(spark, d):
     """Every request scored by a model of the training part."""
-    h, _, _, model = _http_lr(spark, d)
-    return md.p_bot(model.transform(h)).select("ROW_ID", "userId", "predict_proba")
-
-
-@register("q_m20_batch_checked", with_(HTTP) + "SELECT ROW_ID, userId, TRUE AS scored FROM http")
-def q_m20c(spark, d):
     h, _, _, model = _http_lr(spark, d)
     scored = md.p_bot(model.transform(h))
-    return scored.select("ROW_ID", "userId", (md.checked_score() & F.col("predict_proba").between(0.0, 1.0)).alias("scored"))
+    return scored.select("ROW_ID", "userId", "predict_proba", (md.checked_score() & F.col("predict_proba").between(0.0, 1.0)).alias("scored"))
 
 
 @register("q_flow_http_user_report")
@@ -363,7 +496,6 @@ def q_flow_live(spark, d):
     """3.5: requests scored by the served model (T2), then verdicts per second (T3): each request is in one."""
     from pyspark.sql.types import StringType, StructField, StructType
 
-    from trafficlens.sources import files as fs
     from trafficlens.streaming import streams as st
     h, _, _, model = _http_lr(spark, d)
     served = md.save_load(model, fs.fresh(spark, "served-model"))

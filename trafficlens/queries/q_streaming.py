@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trafficlens.operators.ordering import first_rows
+from trafficlens.plans import sgd
 from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import epoch_millis, read
@@ -12,6 +13,7 @@ from trafficlens.streaming import streams as st
 
 from . import register
 from .q_sources import UI_SQL
+from .results import made, scored_rows
 
 
 def _feed(df, name):
@@ -33,9 +35,9 @@ def q_t1(spark, d):
     return spark.read.parquet(out)
 
 
-@register("q_t2_online_scoring", "SELECT CAST(event_id AS VARCHAR) AS ROW_ID, TRUE AS scored FROM events")
+@scored_rows("q_t2_online_scoring", "q_t2_keys", "SELECT CAST(event_id AS VARCHAR) AS ROW_ID, TRUE AS scored FROM events", ["ROW_ID"])
 def q_t2(spark, d):
-    """Requests with the 23 named fields (some missing) scored by the served model: every one gets a probability."""
+    """Requests with the 23 named fields (some missing) scored by the served model: class and P(bot)."""
     from pyspark.sql.types import StringType, StructField, StructType
 
     from trafficlens.plans.headers import HEADER_FIELDS, fit_headers_model, training_rows
@@ -51,7 +53,8 @@ def q_t2(spark, d):
         .write.json(folder)
     fields = ["ROW_ID", *HEADER_FIELDS]
     schema = StructType([StructField(c, StringType()) for c in fields])
-    scored = st.score_requests(spark, folder, schema, served, fields).select("ROW_ID", checked_score().alias("scored"))
+    scored = st.score_requests(spark, folder, schema, served, fields) \
+        .select("ROW_ID", "prediction", "predict_proba", checked_score().alias("scored"))
     return spark.read.parquet(st.run_append(scored, fs.fresh(spark, "scored-requests")))
 
 
@@ -106,14 +109,37 @@ def q_t5(spark, d):
     return _sliced(spark, d)
 
 
-@register("q_t5_train_by_slices", _T5 + "SELECT _slice, TS_PART, USER_ID, isBot, TRUE AS scored FROM c WHERE NOT first_half")
+def _slots(features):
+    slots, values = sgd.count_slots(si.EVENT_TYPES)
+    return features.select("*", F.col("isBot").cast("double").alias("label"), slots.alias("slots"), values.alias("values"))
+
+
+def _learned_slices(spark, d, fresh):
+    """The folder of states of a hinge learner that takes the first half of time slice by slice, as files arrive, and
+    the number of its batches."""
+    def make():
+        lg = si.logins(spark, d)
+        n, ts_min = lg.agg(F.count(F.lit(1)), F.min("TIMESTAMP")).first()
+        first = lg.where(first_rows(lg, ["TIMESTAMP", "ROW_ID"], [n // 2], n)[0]).drop("ROW_ID")
+        source = fs.write_by_slice(first, fs.fresh(spark, "training-slices"), "TIMESTAMP", ts_min, SLICE_MS)
+        folder, learner = fs.fresh(spark, "slice-learner"), sgd.Learner(len(si.EVENT_TYPES), sgd.HINGE, eta=10.0, steps=1)
+        stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        sgd.learn_stream(stream, learner, folder, lambda batch: _slots(st.slice_counts(batch, ts_min, SLICE_MS, W6, S1, si.EVENT_TYPES)))
+        return folder, sgd.states(spark, folder).count()
+    return made(spark, d, "slice-learner", make, fresh)
+
+
+@scored_rows("q_t5_train_by_slices", "q_t5_keys", _T5 + "SELECT _slice, TS_PART, USER_ID, isBot, TRUE AS scored FROM c WHERE NOT first_half",
+             ["_slice", "TS_PART", "USER_ID", "isBot"])
 def q_t5t(spark, d):
-    """Trained on the first half of time, slice by slice; every row of the second half's slices is scored."""
-    from trafficlens.operators.encode import assemble
-    from trafficlens.plans.models import checked_score, linear_svm
-    from trafficlens.session import cut_lineage
-    feats = assemble(si.EVENT_TYPES).transform(_sliced(spark, d)).withColumn("label", F.col("isBot").cast("double"))
-    feats = cut_lineage(feats)
-    model = linear_svm(max_iter=10).fit(feats.where("first_half"))
-    return model.transform(feats.where("not first_half")) \
-        .select("_slice", "TS_PART", "USER_ID", "isBot", checked_score(probability=None).alias("scored"))
+    """Trained on the first half of time, slice by slice from the weights before; every row of the second half's slices is scored."""
+    folder, n = _learned_slices(spark, d, fresh=True)
+    scored = sgd.scored(_slots(_sliced(spark, d).where("not first_half")), sgd.read_state(spark, folder, n - 1))
+    return scored.select("_slice", "TS_PART", "USER_ID", "isBot", "prediction", "score",
+                         (F.col("prediction") == (F.col("score") > 0).cast("double")).alias("scored"))
+
+
+@register("q_t5_slice_curve")
+def q_t5c(spark, d):
+    """F1 on the second half's slices after each slice that was learned."""
+    return sgd.curve(_slots(_sliced(spark, d).where("not first_half")), _learned_slices(spark, d, fresh=False)[0])

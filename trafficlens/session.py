@@ -9,6 +9,7 @@ folder of the driver's machine is not seen by executors.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 
@@ -78,6 +79,13 @@ def _scratch_root(spark: SparkSession) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the shared file system has ``path``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).exists(p)
+
+
 def release_scratch(spark: SparkSession) -> bool:
     """Delete every table that this application wrote by ``scratch_path``; results that still read them are void.
 
@@ -89,14 +97,12 @@ def release_scratch(spark: SparkSession) -> bool:
     return path.getFileSystem(conf).delete(path, True)
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+_counter = itertools.count(1)
 
 
-_counter = _count()
+def session() -> SparkSession:
+    """The running session, in threads too."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

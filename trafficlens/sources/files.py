@@ -64,6 +64,27 @@ def write_parquet(df: DataFrame, path: str, same_partitions_as: DataFrame | None
     return path
 
 
+def write_by_slice(df: DataFrame, path: str, ts: str, start: int, width: int) -> str:
+    """One folder a time slice [start + slice * width, start + (slice + 1) * width), so that reading slices
+    touches only theirs.  Rows are dealt by slice and, within one, by time: a slice with most of the rows is many files."""
+    sliced = df.withColumn("slice", F.floor((F.col(ts) - F.lit(start)) / F.lit(width)).cast("int"))
+    sliced.repartitionByRange("slice", ts).write.mode("overwrite").partitionBy("slice").parquet(path)
+    return path
+
+
+def read_between(spark: SparkSession, path: str, ts: str, start: int, width: int, low: int, high: int, closed: str = "left") -> DataFrame:
+    """P7 on ``write_by_slice``'s layout: rows with low <= ts < high (``closed='both'``: <= high).  The bounds become a
+    range of slices, which prunes folders, and a filter on ``ts``, which cuts the first and last slice."""
+    rows, t = spark.read.parquet(path), F.col(ts)
+    inside = F.col("slice").between((low - start) // width, (high - start) // width)
+    return rows.where(inside & (t >= low) & ((t <= high) if closed == "both" else (t < high))).drop("slice")
+
+
+def read_listed(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The rows of the slices that ``wanted`` (a column ``slice``) lists: a semi join that prunes folders while it runs."""
+    return spark.read.parquet(path).join(wanted.select("slice").distinct(), "slice", "left_semi")
+
+
 def write_csv_head(df: DataFrame, path: str, n: int, order: list[str]) -> str:
     """The first n rows in ``order`` to one CSV file with a header (top-n, then one task)."""
     df.orderBy(*order).limit(n).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

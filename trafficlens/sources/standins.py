@@ -19,8 +19,7 @@ from .tables import epoch_millis, read
 # credential types of the logins stand-in.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
-# The twelve literal user agents of the http stand-in, picked by
-# user_id % 12 (index 0 first).
+# The twelve literal user agents of the http stand-in (index 0 first; see user_agent_col).
 USER_AGENTS = [
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.6099.109 Safari/537.36",
     "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.2 Safari/605.1.15",
@@ -48,6 +47,19 @@ def is_bot_col():
     return (F.col("user_id") % 10 == 0).cast("int")
 
 
+def acts_as_bot_col():
+    """Whether a user behaves like a bot: most bots do, some hide, and some people look like one."""
+    u = F.col("user_id")
+    return ((u % 10 == 0) & (u % 70 != 0)) | (u % 41 == 7)
+
+
+def event_type_col():
+    """What shows in behaviour: who acts as a bot has mostly errors, three in four errors of the others are views."""
+    kind, at = F.col("event_type"), F.col("event_id")
+    return F.when(acts_as_bot_col(), F.when(at % 10 < 8, "error").otherwise(kind)) \
+        .when((kind == "error") & (at % 4 != 0), "view").otherwise(kind)
+
+
 def k_col():
     """The number held in ``props`` (``{"k": n}``)."""
     return F.regexp_extract(F.col("props"), r'"k":\s*(\d+)', 1).cast("long")
@@ -59,7 +71,7 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("user_id").alias("USER_ID"),
         epoch_millis(ev, "ts").alias("TIMESTAMP"),
-        F.col("event_type").alias("LOGIN_CREDENTIAL_TYPE"),
+        event_type_col().alias("LOGIN_CREDENTIAL_TYPE"),
         is_bot_col().alias("isBot"),
         F.col("event_id").alias("ROW_ID"),
     )
@@ -73,11 +85,13 @@ def bots_and_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def auth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IP INT, TIMESTAMP LONG seconds, BOT_OR_HUMAN 'bot'/'human'."""
-    ev = _events(spark, sf_dir, ["ts", "user_id"])
+    """IP INT, TIMESTAMP LONG seconds, BOT_OR_HUMAN 'bot'/'human'; who acts as a bot does so mostly in the first half of a day."""
+    ev = _events(spark, sf_dir, ["event_id", "ts", "user_id"])
+    at = F.expr("div(" + _ms_sql(ev) + ", 1000)")
+    nightly = acts_as_bot_col() & (F.col("event_id") % 10 < 8)
     return ev.select(
         wrap_int32(F.col("user_id") * F.lit(2654435761)).alias("IP"),
-        F.expr("div(" + _ms_sql(ev) + ", 1000)").alias("TIMESTAMP"),
+        F.when(nightly, at - at % 86400 + at % 43200).otherwise(at).alias("TIMESTAMP"),
         F.when(F.col("user_id") % 10 == 0, "bot").otherwise("human").alias("BOT_OR_HUMAN"),
     )
 
@@ -92,9 +106,12 @@ def _ms_sql(ev: DataFrame) -> str:
 
 
 def user_agent_col():
-    agents = F.array(*[F.lit(a) for a in USER_AGENTS])
-    return F.when(F.col("user_id") % 25 == 0, F.lit(None).cast("string")) \
-        .otherwise(F.element_at(agents, (F.col("user_id") % 12 + 1).cast("int")))
+    """One of the agents; places 6 to 9 are tools, which who acts as a bot mostly shows and others rarely."""
+    agents, own = F.array(*[F.lit(a) for a in USER_AGENTS]), F.col("user_id") % 12
+    acts, at = acts_as_bot_col(), F.col("event_id")
+    place = F.when(acts & (at % 10 < 7), 6 + F.floor(F.col("user_id") / 10) % 4) \
+        .when(~acts & own.between(6, 9) & (at % 8 != 0), own - 6).otherwise(own)
+    return F.when(F.col("user_id") % 25 == 0, F.lit(None).cast("string")).otherwise(F.element_at(agents, (place + 1).cast("int")))
 
 
 def http(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +121,7 @@ def http(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_id").alias("ROW_ID"),
         F.col("user_id").alias("userId"),
-        F.col("event_type").alias("operation"),
+        event_type_col().alias("operation"),
         F.concat(F.lit("r"), (k % 3).cast("string")).alias("requestType"),
         F.when(k % 2 == 0, "GET").otherwise("POST").alias("method"),
         k.alias("browserId"),

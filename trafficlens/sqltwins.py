@@ -16,22 +16,28 @@ def _q(s: str) -> str:
 K = "CAST(regexp_extract(props, '\"k\":\\s*(\\d+)', 1) AS BIGINT)"
 IS_BOT = "CAST(CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS INTEGER)"
 AGENT_LIST = "[" + ", ".join(_q(a) for a in USER_AGENTS) + "]"
-USER_AGENT = f"CASE WHEN user_id % 25 = 0 THEN NULL ELSE {AGENT_LIST}[CAST(user_id % 12 + 1 AS INTEGER)] END"
+ACTS = "((user_id % 10 = 0 AND user_id % 70 <> 0) OR user_id % 41 = 7)"
+EVENT_TYPE = (f"CASE WHEN {ACTS} THEN CASE WHEN event_id % 10 < 8 THEN 'error' ELSE event_type END "
+              "WHEN event_type = 'error' AND event_id % 4 <> 0 THEN 'view' ELSE event_type END")
+_PLACE = (f"CASE WHEN {ACTS} AND event_id % 10 < 7 THEN 6 + (user_id // 10) % 4 "
+          f"WHEN NOT {ACTS} AND user_id % 12 BETWEEN 6 AND 9 AND event_id % 8 <> 0 THEN user_id % 12 - 6 ELSE user_id % 12 END")
+USER_AGENT = f"CASE WHEN user_id % 25 = 0 THEN NULL ELSE {AGENT_LIST}[CAST({_PLACE} + 1 AS INTEGER)] END"
 
 LOGINS = f"""logins AS (
-  SELECT user_id AS USER_ID, (epoch_us(ts) // 1000) AS TIMESTAMP, event_type AS LOGIN_CREDENTIAL_TYPE,
+  SELECT user_id AS USER_ID, (epoch_us(ts) // 1000) AS TIMESTAMP, {EVENT_TYPE} AS LOGIN_CREDENTIAL_TYPE,
          {IS_BOT} AS isBot, event_id AS ROW_ID
   FROM events)"""
 
 _IPW = "((user_id * 2654435761) % 4294967296)"
+_SECONDS = "((epoch_us(ts) // 1000) // 1000)"
 AUTH = f"""auth AS (
   SELECT CAST(CASE WHEN {_IPW} >= 2147483648 THEN {_IPW} - 4294967296 ELSE {_IPW} END AS INTEGER) AS IP,
-         (epoch_us(ts) // 1000) // 1000 AS TIMESTAMP,
+         CASE WHEN {ACTS} AND event_id % 10 < 8 THEN {_SECONDS} - {_SECONDS} % 86400 + {_SECONDS} % 43200 ELSE {_SECONDS} END AS TIMESTAMP,
          CASE WHEN user_id % 10 = 0 THEN 'bot' ELSE 'human' END AS BOT_OR_HUMAN
   FROM events)"""
 
 HTTP = f"""http AS (
-  SELECT event_id AS ROW_ID, user_id AS userId, event_type AS operation,
+  SELECT event_id AS ROW_ID, user_id AS userId, {EVENT_TYPE} AS operation,
          'r' || CAST({K} % 3 AS VARCHAR) AS requestType,
          CASE WHEN {K} % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
          {K} AS browserId, (epoch_us(ts) // 1000) AS timestamp,
