@@ -55,18 +55,20 @@ def test_empty(spark):
     assert co.collocations(spark.createDataFrame([("en", None)], rows.schema)).count() == 0
 
 
-def test_semi_join_leaves_only_frequent_places(spark, docs):
+def test_semi_join_leaves_only_frequent_places(spark, docs, monkeypatch):
     """Each relation holds the places of its frequent groups, every one and no other."""
-    rows = spark.createDataFrame(docs, "lang string, text string").coalesce(2)
-    least = 20
-    _, levels = co.frequent_phrases(rows, least=least, max_words=3, block_words=100)
-    blocks = co.text_blocks(rows, 100)
-    relation = co._first_relation(blocks, levels[0])
-    assert relation.count() > 10
-    for group in levels[:2]:
-        places = sum(len(co._unpacked(r.codes)) for r in relation.collect())
+    rows, least, relations = spark.createDataFrame(docs, "lang string, text string").coalesce(2), 20, {}
+    write = co.stored
+
+    def watched(df, name):
+        relations[name] = write(df, name)
+        return relations[name]
+    monkeypatch.setattr(co, "stored", watched)
+    _, levels = co.frequent_phrases(rows, least=least, max_words=4, block_words=100)
+    for k, group in enumerate(levels[:3], 1):
+        places = sum(len(co._unpacked(r.codes)) for r in relations[f"occurrences-{k}"].collect())
         assert places == group.agg({"a": "sum"}).first()[0] and group.agg({"a": "min"}).first()[0] >= least
-        relation = co._next_relation(relation, levels[1])
+    assert relations["text-blocks"].count() > 10
 
 
 def test_exact_beyond_64_bits(spark):

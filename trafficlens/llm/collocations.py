@@ -9,9 +9,9 @@ one apart.  A level
 1. merge-joins R_k with itself at position and position + 1: two frequent
    phrases that overlap in all but a word make a phrase of k + 1 words;
 2. counts the groups: first within a block, so that a block sends each pair
-   once, then over all blocks;
-3. semi-joins the blocks' pairs with the frequent groups, whose numbers become
-   the phrases of R_k+1.
+   once, then over all blocks, where the blocks' rows of a pair meet;
+3. semi-joins: rows of frequent groups go back to their blocks, with the group's
+   number, and the places they stand for become R_k+1.
 
 Groups below the least count are gone before the next length is tried, and a
 phrase that is frequent has only frequent parts, so nothing is lost; all
@@ -20,10 +20,11 @@ cut of a phrase is scored without another join.
 
 Scale: what is shuffled is at most one row a block and different phrase (a
 word or pair that makes up a third of the text is one row a block), and the
-blocks themselves, packed, once a level; frequent groups are tables, and
-Spark chooses how to join them.  A task holds a block at a time (``BLOCK_WORDS``
-words, or one document), or what one Arrow batch holds of packed blocks.  Each
-level is written to the shared folder.  ``docs`` must be a scan, or anything
+blocks themselves, packed, once a level.  A group's number is the least of its
+rows', so counting and the semi-join share one shuffle; only the frequent groups are
+joined, for their texts and counts, as Spark chooses.  A task holds a block at
+a time (``BLOCK_WORDS`` words, or one document), or what one Arrow batch holds of
+packed blocks.  Each level is written to the shared folder.  ``docs`` must be a scan, or anything
 else that gives the same rows in the same partitions when a task runs again.
 
 Defined results: null text is empty, null ``lang`` is ``und``; an empty text, or
@@ -46,10 +47,12 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 NO_LANG = "und"
 #: Not a byte of UTF-8, so no word.
 PIECE_END = b"\xff"
-BLOCK_WORDS = 1 << 18
-TEXT_BLOCK = "block long, lang string, words array<string>, counts array<long>, size int, codes binary"
+BLOCK_WORDS = 1 << 19
+#: A row of a block is numbered block << ROW_BITS | row, a block partition << BLOCK_BITS | block.
+ROW_BITS, BLOCK_BITS = 27, 14
+TEXT_BLOCK = "block long, lang string, words array<string>, counts array<long>, n_words long, codes binary"
 BLOCK = "block long, phrases array<long>, at binary, codes binary"
-PAIR = "block long, l long, r long, n long"
+PAIR = "l long, r long, n long, row long"
 
 
 def _packed(numbers) -> bytes:
@@ -78,7 +81,7 @@ def text_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        made, open_blocks, held = TaskContext.get().partitionId() << 32, {}, 0
+        made, open_blocks, held = TaskContext.get().partitionId() << BLOCK_BITS, {}, 0
 
         def started():
             code_of = defaultdict()
@@ -88,10 +91,13 @@ def text_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         def flushed(lang):
             nonlocal made, held
             code_of, codes = open_blocks.pop(lang)
-            made, held = made + 1, held - len(codes)
             codes = np.array(codes)
-            row = {"block": made, "lang": lang, "words": [w.decode() for w in list(code_of)[1:]], "counts": np.bincount(codes)[1:].tolist(),
-                   "size": len(codes), "codes": _packed(codes)}
+            counts = np.bincount(codes)[1:]
+            row = {"block": made, "lang": lang, "words": [w.decode() for w in list(code_of)[1:]], "counts": counts.tolist(),
+                   "n_words": int(counts.sum()), "codes": _packed(codes)}
+            made, held = made + 1, held - len(codes)
+            if not made & (1 << BLOCK_BITS) - 1 or len(counts) >> ROW_BITS:
+                raise ValueError("too many blocks in a partition, or words in a block, for their numbers")
             return pa.RecordBatch.from_pylist([row], schema=kinds)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -109,10 +115,25 @@ def text_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return map_batches(docs.select("lang", "text"), run, TEXT_BLOCK)
 
 
-def _first_relation(blocks: DataFrame, groups: DataFrame) -> DataFrame:
+def _block_rows(kept: DataFrame) -> DataFrame:
+    row = F.col("row")
+    return kept.select(F.shiftright(row, ROW_BITS).alias("of"), row.bitwiseAND((1 << ROW_BITS) - 1).alias("at_row"), "id")
+
+
+def _frequent(rows: DataFrame, key: list[str], least: int, name: str) -> DataFrame:
+    """The blocks' rows (key, n, row) of the groups that have ``least`` places or more, with the group's count a and
+    number id.  A group has at most one row a block."""
+    group = Window.partitionBy(*key)
+    counted = rows.select(*key, "row", F.sum("n").over(group).alias("a"), F.min("row").over(group).alias("id"))
+    return stored(counted.where(F.col("a") >= least), name)
+
+
+def _groups(kept: DataFrame) -> DataFrame:
+    return kept.where("row = id").drop("row")
+
+
+def _first_relation(blocks: DataFrame, kept: DataFrame) -> DataFrame:
     """R_1: the places of frequent words."""
-    words = blocks.select("block", "lang", F.explode("words").alias("phrase"))
-    kept = words.join(groups.select("lang", "phrase", "id"), ["lang", "phrase"]).select("block", "phrase", "id")
     kinds = arrow_schema(BLOCK)
 
     def fill(left, right):
@@ -120,36 +141,35 @@ def _first_relation(blocks: DataFrame, groups: DataFrame) -> DataFrame:
         import pyarrow as pa
         if not left.num_rows or not right.num_rows:
             return kinds.empty_table()
-        row = left.to_pylist()[0]
-        number = dict(zip(right["phrase"].to_pylist(), right["id"].to_pylist(), strict=True))
-        phrases = np.sort(np.array(list(number.values()), np.int64))
-        found = np.array([number.get(w, -1) for w in row["words"]], np.int64)
-        code_of = np.concatenate([[-1], np.where(found < 0, -1, np.searchsorted(phrases, found))])
-        codes = code_of[_unpacked(row["codes"])]
+        row, words, ids = left.to_pylist()[0], right["at_row"].to_numpy(), right["id"].to_numpy()
+        phrases, codes = np.sort(ids), _unpacked(row["codes"])
+        code_of = np.full(int(codes.max()) + 1, -1)
+        code_of[words + 1] = np.searchsorted(phrases, ids)
+        codes = code_of[codes]
         at = np.flatnonzero(codes >= 0)
         return pa.Table.from_pylist([{"block": row["block"], "phrases": phrases, "at": _packed(np.diff(at, prepend=0)), "codes": _packed(codes[at])}], schema=kinds)
-    return _per_block(blocks.select("block", "words", "codes"), kept, fill)
+    return _per_block(blocks.select("block", "codes"), kept, fill)
 
 
 def _per_block(blocks: DataFrame, kept: DataFrame, fill) -> DataFrame:
     ship_package(blocks.sparkSession)
-    kept = kept.select((F.col("block") + 0).alias("of"), *[c for c in kept.columns if c != "block"])  # a column of its own
-    return blocks.groupBy("block").cogroup(kept.groupBy("of")).applyInArrow(fill, BLOCK)
+    return blocks.groupBy("block").cogroup(_block_rows(kept).groupBy("of")).applyInArrow(fill, BLOCK)
 
 
 # --- a level -----------------------------------------------------------------------
 
-def _adjacent(row: dict):
+def _adjacent(at: bytes, codes: bytes, phrases: int):
     """The merge-join of a block with itself: (positions, pairs of codes as one number) where a phrase starts one
     after another."""
     import numpy as np
-    at, codes = np.cumsum(_unpacked(row["at"])), _unpacked(row["codes"])
+    at, codes = np.cumsum(_unpacked(at)), _unpacked(codes)
     i = np.flatnonzero(np.diff(at) == 1)
-    return at[i], codes[i] * len(row["phrases"]) + codes[i + 1]
+    return at[i], codes[i] * phrases + codes[i + 1]
 
 
 def pair_counts(relation: DataFrame) -> DataFrame:
-    """(block, l, r, n): how often phrase r starts one after phrase l, per block."""
+    """(l, r, n, row) per block: how often phrase r starts one after phrase l, and the row's number; a block's rows
+    are in the order of its pairs of codes."""
     kinds = arrow_schema(PAIR)
 
     def run(batches):
@@ -157,32 +177,19 @@ def pair_counts(relation: DataFrame) -> DataFrame:
         import pyarrow as pa
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("block", "at", "codes")}
-                row["phrases"] = batch.column("phrases")[i].values.to_numpy()
-                pairs, n = np.unique(_adjacent(row)[1], return_counts=True)
-                l, r = np.divmod(pairs, max(1, len(row["phrases"])))
+                block, at, codes = (batch.column(c)[i].as_py() for c in ("block", "at", "codes"))
+                phrases = batch.column("phrases")[i].values.to_numpy()
+                pairs, n = np.unique(_adjacent(at, codes, len(phrases))[1], return_counts=True)
+                if len(pairs) >> ROW_BITS:
+                    raise ValueError("too many pairs in a block for their numbers")
+                l, r = np.divmod(pairs, max(1, len(phrases)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
-                    (np.full(len(n), row["block"]), row["phrases"][l], row["phrases"][r], n), kinds, strict=True)], names=kinds.names)
+                    (phrases[l], phrases[r], n, (block << ROW_BITS) + np.arange(len(n))), kinds, strict=True)], names=kinds.names)
     return map_batches(relation, run, PAIR)
 
 
-def _numbered(groups: DataFrame, name: str) -> DataFrame:
-    """``groups`` written once, each with a number; a row is written by one task, so the numbers are as the table has them."""
-    return stored(groups.withColumn("id", F.monotonically_increasing_id()), name)
-
-
-def _longer(relation: DataFrame, groups: DataFrame, least: int) -> DataFrame:
-    """The frequent groups of one word more: id, l, r, lang, phrase, last word, a, and the counts of heads and tails."""
-    counts = pair_counts(relation).groupBy("l", "r").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    first = groups.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
-    rest = groups.select(F.col("id").alias("r"), "last", F.concat("tails", F.array("a")).alias("tails"))
-    return counts.join(first, "l").join(rest, "r").select(
-        "l", "r", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "heads", "tails")
-
-
-def _next_relation(relation: DataFrame, groups: DataFrame) -> DataFrame:
+def _next_relation(relation: DataFrame, kept: DataFrame) -> DataFrame:
     """R_k+1: the places of R_k's pairs that are frequent."""
-    kept = pair_counts(relation).select("block", "l", "r").join(groups.select("l", "r", "id"), ["l", "r"])
     kinds = arrow_schema(BLOCK)
 
     def fill(left, right):
@@ -190,37 +197,46 @@ def _next_relation(relation: DataFrame, groups: DataFrame) -> DataFrame:
         import pyarrow as pa
         if not left.num_rows or not right.num_rows:
             return kinds.empty_table()
-        row = left.select(["block", "at", "codes"]).to_pylist()[0]
-        row["phrases"] = left["phrases"].combine_chunks()[0].values.to_numpy()
-        l, r, ids = (right[c].to_numpy() for c in ("l", "r", "id"))
-        frequent = np.searchsorted(row["phrases"], l) * len(row["phrases"]) + np.searchsorted(row["phrases"], r)
-        order, phrases = np.argsort(frequent), np.sort(ids)
-        frequent, ids = frequent[order], ids[order]
-        at, pairs = _adjacent(row)
-        near = np.minimum(np.searchsorted(frequent, pairs), len(frequent) - 1)
-        hit = frequent[near] == pairs
-        return pa.Table.from_pylist([{"block": row["block"], "phrases": phrases, "at": _packed(np.diff(at[hit], prepend=0)),
-                                      "codes": _packed(np.searchsorted(phrases, ids[near[hit]]))}], schema=kinds)
+        block, at, codes = (left[c][0].as_py() for c in ("block", "at", "codes"))
+        rows, ids = right["at_row"].to_numpy(), right["id"].to_numpy()
+        at, pairs = _adjacent(at, codes, len(left["phrases"][0].values))
+        pairs, row = np.unique(pairs, return_inverse=True)
+        phrases, code_of = np.sort(ids), np.full(len(pairs), -1)
+        code_of[rows] = np.searchsorted(phrases, ids)
+        codes = code_of[row]
+        return pa.Table.from_pylist([{"block": block, "phrases": phrases, "at": _packed(np.diff(at[codes >= 0], prepend=0)),
+                                      "codes": _packed(codes[codes >= 0])}], schema=kinds)
     return _per_block(relation, kept, fill)
 
 
+def _named(groups: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Groups (id, l, r, a) with language, phrase, last word, and the counts of heads and tails from those a word shorter."""
+    first = shorter.select(F.col("id").alias("l"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
+    rest = shorter.select(F.col("id").alias("r"), "last", F.concat("tails", F.array("a")).alias("tails"))
+    return groups.join(first, "l").join(rest, "r").select("id", "l", "r", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "heads", "tails")
+
+
 # --- the report ----------------------------------------------------------------------
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, max_words: int = MAX_WORDS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """(words a language: lang, n; frequent groups by length, from 1): id, l, r, lang, phrase, a, heads, tails."""
     blocks = stored(text_blocks(docs, block_words), "text-blocks")
-    words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")) \
-        .groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"))
-    words, none = _numbered(words, "words"), F.array().cast("array<long>")
-    totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    unknown = F.lit(None).cast("long")
-    levels = [words.where(F.col("a") >= least).select("id", unknown.alias("l"), unknown.alias("r"), "lang", "phrase", F.col("phrase").alias("last"), "a",
-                                                      none.alias("heads"), none.alias("tails"))]
-    relation = _first_relation(blocks, levels[0])
+    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    words = blocks.select("lang", F.shiftleft("block", ROW_BITS).alias("first"), F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")) \
+        .select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"), (F.col("first") + F.col("place")).alias("row"))
+    kept = _frequent(words, ["lang", "phrase"], least, "frequent-1")
+    none, unknown = F.array().cast("array<long>"), F.lit(None).cast("long")
+    levels = [_groups(kept).select("id", unknown.alias("l"), unknown.alias("r"), "lang", "phrase", F.col("phrase").alias("last"), "a",
+                                   none.alias("heads"), none.alias("tails"))]
+    relation = _first_relation(blocks, kept)
     for k in range(2, max_words + 1):
         relation = stored(relation, f"occurrences-{k - 1}")
-        levels.append(_numbered(_longer(relation, levels[-1], least), f"groups-{k}"))
-        relation = _next_relation(relation, levels[-1])
+        if k < max_words:
+            kept = _frequent(pair_counts(relation), ["l", "r"], least, f"frequent-{k}")
+            groups, relation = _groups(kept), _next_relation(relation, kept)
+        else:
+            groups = pair_counts(relation).groupBy("l", "r").agg(F.sum("n").alias("a"), F.min("row").alias("id")).where(F.col("a") >= least)
+        levels.append(stored(_named(groups, levels[-1]), f"groups-{k}"))
     return totals, levels
 
 
