@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_batches, ship_package, stored
+from .common import arrow_schema, discard, map_batches, ship_package, stored
 
 LEAST_COUNT, MAX_WORDS, TOP, COVER = 30, 4, 2000, 80
 #: Fixed values of the contract: what ends a piece; white space parts words.
@@ -47,7 +47,7 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 NO_LANG = "und"
 #: Not a byte of UTF-8, so no word.
 PIECE_END = b"\xff"
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 20
 #: A row of a block is numbered block << ROW_BITS | row, a block partition << BLOCK_BITS | block.
 ROW_BITS, BLOCK_BITS = 27, 14
 TEXT_BLOCK = "block long, lang string, words array<string>, counts array<long>, n_words long, codes binary"
@@ -128,6 +128,14 @@ def _frequent(rows: DataFrame, key: list[str], least: int, name: str) -> DataFra
     return stored(counted.where(F.col("a") >= least), name)
 
 
+def _replaced(df: DataFrame, name: str, *before: DataFrame) -> DataFrame:
+    """``df`` stored; the stored tables it came from, which nothing else reads, go once it is whole."""
+    df = stored(df, name)
+    for table in before:
+        discard(table)
+    return df
+
+
 def _groups(kept: DataFrame) -> DataFrame:
     return kept.where("row = id").drop("row")
 
@@ -219,24 +227,24 @@ def _named(groups: DataFrame, shorter: DataFrame) -> DataFrame:
 # --- the report ----------------------------------------------------------------------
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, max_words: int = MAX_WORDS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, list[DataFrame]]:
-    """(words a language: lang, n; frequent groups by length, from 1): id, l, r, lang, phrase, a, heads, tails."""
+    """(words a language: lang, n; frequent groups by length, from 1): id, l, r, lang, phrase, a, heads, tails.
+    ``max_words`` is 2 or more."""
     blocks = stored(text_blocks(docs, block_words), "text-blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    totals = stored(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     words = blocks.select("lang", F.shiftleft("block", ROW_BITS).alias("first"), F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")) \
         .select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"), (F.col("first") + F.col("place")).alias("row"))
     kept = _frequent(words, ["lang", "phrase"], least, "frequent-1")
     none, unknown = F.array().cast("array<long>"), F.lit(None).cast("long")
-    levels = [_groups(kept).select("id", unknown.alias("l"), unknown.alias("r"), "lang", "phrase", F.col("phrase").alias("last"), "a",
-                                   none.alias("heads"), none.alias("tails"))]
-    relation = _first_relation(blocks, kept)
-    for k in range(2, max_words + 1):
-        relation = stored(relation, f"occurrences-{k - 1}")
-        if k < max_words:
-            kept = _frequent(pair_counts(relation), ["l", "r"], least, f"frequent-{k}")
-            groups, relation = _groups(kept), _next_relation(relation, kept)
-        else:
-            groups = pair_counts(relation).groupBy("l", "r").agg(F.sum("n").alias("a"), F.min("row").alias("id")).where(F.col("a") >= least)
-        levels.append(stored(_named(groups, levels[-1]), f"groups-{k}"))
+    levels = [stored(_groups(kept).select("id", unknown.alias("l"), unknown.alias("r"), "lang", "phrase", F.col("phrase").alias("last"), "a",
+                                          none.alias("heads"), none.alias("tails")), "groups-1")]
+    relation = _replaced(_first_relation(blocks, kept), "occurrences-1", blocks, kept)
+    for k in range(2, max_words):
+        kept = _frequent(pair_counts(relation), ["l", "r"], least, f"frequent-{k}")
+        levels.append(stored(_named(_groups(kept), levels[-1]), f"groups-{k}"))
+        relation = _replaced(_next_relation(relation, kept), f"occurrences-{k}", relation, kept)
+    # Nothing extends the longest phrases, so their places need not be known, only how many there are.
+    groups = pair_counts(relation).groupBy("l", "r").agg(F.sum("n").alias("a"), F.min("row").alias("id")).where(F.col("a") >= least)
+    levels.append(_replaced(_named(groups, levels[-1]), f"groups-{max_words}", relation))
     return totals, levels
 
 
