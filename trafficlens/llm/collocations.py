@@ -121,11 +121,11 @@ def _block_rows(kept: DataFrame) -> DataFrame:
 
 
 def _frequent(rows: DataFrame, key: list[str], least: int, name: str) -> DataFrame:
-    """The blocks' rows (key, n, row) of the groups that have ``least`` places or more, with the group's count a and
-    number id.  A group has at most one row a block."""
+    """The blocks' rows (key, n, row) of the groups that have ``least`` places or more: row, the group's number id, and
+    in the one row a group that gives it its number also the key and the count a.  A group has at most one row a block."""
     group = Window.partitionBy(*key)
-    counted = rows.select(*key, "row", F.sum("n").over(group).alias("a"), F.min("row").over(group).alias("id"))
-    return stored(counted.where(F.col("a") >= least), name)
+    counted = rows.select(*key, "row", F.sum("n").over(group).alias("a"), F.min("row").over(group).alias("id")).where(F.col("a") >= least)
+    return stored(counted.select("row", "id", *[F.when(F.col("row") == F.col("id"), F.col(c)).alias(c) for c in (*key, "a")]), name)
 
 
 def _replaced(df: DataFrame, name: str, *before: DataFrame) -> DataFrame:
