@@ -64,7 +64,7 @@ def test_semi_join_leaves_only_frequent_places(spark, docs, monkeypatch):
         relations[name] = write(df, name)
         return relations[name]
     monkeypatch.setattr(co, "stored", watched)
-    monkeypatch.setattr(co, "discard", lambda table: None)
+    monkeypatch.setattr(co, "discard", lambda *tables: None)
     _, levels = co.frequent_phrases(rows, least=least, max_words=4, block_words=100)
     for k, group in enumerate(levels[:3], 1):
         places = sum(len(co._unpacked(r.codes)) for r in relations[f"occurrences-{k}"].collect())

@@ -131,8 +131,7 @@ def _frequent(rows: DataFrame, key: list[str], least: int, name: str) -> DataFra
 def _replaced(df: DataFrame, name: str, *before: DataFrame) -> DataFrame:
     """``df`` stored; the stored tables it came from, which nothing else reads, go once it is whole."""
     df = stored(df, name)
-    for table in before:
-        discard(table)
+    discard(*before)
     return df
 
 

@@ -7,6 +7,7 @@ the input, whatever its name, passes through untouched.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -56,11 +57,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a ``stored`` table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._llm_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing reads any more, and let go of the shuffle files behind them.
+
+    Spark frees a shuffle's files when the driver's JVM collects what refers to
+    them, which by itself it does every half hour, so it is asked to here.
+    """
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table._llm_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    sc._jvm.System.gc()
 
 
 def arrow_schema(ddl: str):
