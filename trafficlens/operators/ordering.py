@@ -12,8 +12,8 @@ partitions differently; the range-partitioned rows are therefore checkpointed
 and the numbering read that copy.  It is meant for dictionaries and folds.
 
 ``keys_at`` finds only the keys at given positions, for prefixes and splits of
-whole tables: the order columns are read a few times and nothing is sorted,
-shuffled by row or written.
+whole tables: the order columns are read a few times, for all positions
+together, and nothing is sorted, shuffled by row or written.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from trafficlens.session import cut_lineage
 
 #: Rows of a bracket that are listed on the driver to settle a position.
 LISTED_ROWS = 10_000
-_ACCURACY = 10_000
+#: Of a sketch, and how many evenly spaced values of a bracket one is asked for.
+_ACCURACY, _GRID = 10_000, 500
 
 
 def with_row_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFrame:
@@ -42,78 +43,94 @@ def with_row_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFra
             .drop("_pid", "_pos", "_off"))
 
 
-def _nth_value(df: DataFrame, col: str, k: int, n: int) -> tuple:
-    """(value at position ``k`` of ``col`` ascending, rows before its first occurrence); nulls come first.
+def _measured(rows: DataFrame, measures: list[Column]) -> list:
+    """One pass over ``rows`` for all measures."""
+    return list(rows.agg(*measures).first())
 
-    Percentile sketches bracket the value, an exact count moves the position
-    into the bracket, and the bracket shrinks until its rows can be listed
-    (``LISTED_ROWS`` at most) or it is one value.
-    """
-    nulls = df.where(F.col(col).isNull()).count()
-    if k < nulls:
-        return None, 0
-    below, rows, width = nulls, n - nulls, 2.0 / _ACCURACY
-    inside = df.where(F.col(col).isNotNull())
-    while rows > LISTED_ROWS:
-        at = (k - below) / rows
-        lo, hi = inside.agg(F.percentile_approx(col, [max(0.0, at - width), min(1.0, at + width)], _ACCURACY)).first()[0]
-        v, a, b = F.col(col), F.lit(lo), F.lit(hi)
-        under, at_lo, between, at_hi = inside.agg(F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if(v == b)).first()
-        start, end = below + under, below + under + at_lo + between
-        if lo == hi:
-            end, at_hi = start, at_lo
-        if not start <= k < end + at_hi:  # the sketch was further off than it says
-            width *= 4
-        elif k >= end:
-            return hi, end
-        elif k < start + at_lo:
-            return lo, start
-        else:  # both ends are values of the table, so the bracket shrinks
-            inside, below, rows = inside.where((v > a) & (v < b)), start + at_lo, between
-    for value, count in inside.groupBy(col).count().orderBy(col).collect():
-        if k < below + count:
-            return value, below
-        below += count
-    raise ValueError(f"no row at position {k}: the table changed while it was read")
-
-
-def _key_at(df: DataFrame, order: list[str], k: int, n: int) -> list:
-    """The order key of the row at position ``k`` (0-based) of ``n``, column by column."""
-    key, left = [], df.select(*order)
-    for c in order:
-        value, before = _nth_value(left, c, k, n)
-        key.append(value)
-        k -= before
-        left = left.where(F.col(c).eqNullSafe(F.lit(value)))
-        n = left.count()
-    return key
+
+def _listed(rows: DataFrame, wanted: Column) -> list[tuple]:
+    """One pass that brings the wanted rows (a bounded number) to the driver, nulls first."""
+    return sorted((tuple(r) for r in rows.where(wanted).collect()), key=lambda r: [(v is not None, v) for v in r])
 
 
 def keys_at(df: DataFrame, order: list[str], ks: list[int], n: int) -> list[list]:
     """The order keys of the rows at positions ``ks`` (0-based) of ``n``; numeric or time columns, nulls first.
 
-    One sketch brackets all positions by the first column, one pass counts the
-    brackets, and one lists them; a bracket of over ``LISTED_ROWS`` rows (very large
-    tables, hot values) is narrowed by itself.
+    A sketch brackets all positions by the first column.  Then every pass over
+    the rows counts all brackets that are still open and takes a grid of values
+    inside each, which narrows it some 500 times, so the number of passes
+    grows with the logarithm of the rows and not with the positions.  A bracket
+    of ``LISTED_ROWS`` rows or fewer is listed, all of them in one pass; a value that
+    more rows have is settled by the columns after it.
     """
-    c, w = order[0], 2.0 / _ACCURACY
-    col, rows = F.col(c), df.select(*order)
-    probs = [min(1.0, max(0.0, k / n + d)) for k in ks for d in (-w, w)]
-    nulls, marks = rows.agg(F.count_if(col.isNull()), F.percentile_approx(c, probs, _ACCURACY)).first()
-    if marks is None:
-        return [_key_at(rows, order, k, n) for k in ks]
-    brackets = list(zip(marks[::2], marks[1::2], strict=True))
-    counts = rows.agg(*[e for lo, hi in brackets for e in (F.count_if(col < F.lit(lo)), F.count_if(col.between(F.lit(lo), F.lit(hi))))]).first()
-    places = [(nulls + under, within) for under, within in zip(counts[::2], counts[1::2], strict=True)]
-    known = [below <= k < below + within <= below + LISTED_ROWS for k, (below, within) in zip(ks, places, strict=True)]
-    wanted = F.lit(False)
-    for (lo, hi), ok in zip(brackets, known, strict=True):
-        wanted = wanted | col.between(F.lit(lo), F.lit(hi)) if ok else wanted
-    listed = sorted((tuple(r) for r in rows.where(wanted).collect()), key=lambda r: [(v is not None, v) for v in r]) if any(known) else []
-    out = []
-    for k, (lo, hi), (below, _), ok in zip(ks, brackets, places, known, strict=True):
-        out.append(list([r for r in listed if lo <= r[0] <= hi][k - below]) if ok else _key_at(rows, order, k, n))
-    return out
+    c, w, rows = order[0], 2.0 / _ACCURACY, df.select(*order)
+    col = F.col(c)
+    probs = [min(1.0, max(0.0, k / max(n, 1) + d)) for k in ks for d in (-w, w)]
+    nulls, marks = _measured(rows, [F.count_if(col.isNull()), F.percentile_approx(c, probs, _ACCURACY)])
+    open_at = {k: tuple(marks[2 * i:2 * i + 2]) for i, k in enumerate(ks) if k >= nulls and marks is not None}
+    within: dict[int, tuple] = {k: (None, None, 0) for k in ks if k < nulls}  # (lo, hi, rows before): between lo and hi, or equal to both
+    many = {None: nulls}  # values and how many rows have them
+    while open_at:
+        brackets, measures = sorted(set(open_at.values()), key=str), []
+        for lo, hi in brackets:
+            above, under = col > F.lit(lo) if lo is not None else F.lit(True), col < F.lit(hi) if hi is not None else F.lit(True)
+            inside = above & under & col.isNotNull()
+            ends = [F.count_if(col < F.lit(lo)), F.count_if(col == F.lit(lo))] if lo is not None else [F.lit(0).cast("long")] * 2
+            last = [F.count_if(col == F.lit(hi))] if hi is not None and hi != lo else [F.lit(0).cast("long")]
+            measures += [*(F.max(e) if lo is None else e for e in ends), F.count_if(inside & F.lit(lo is None or lo != hi)),
+                         *(F.max(e) if hi is None or hi == lo else e for e in last),
+                         F.percentile_approx(F.when(inside, col), [i / _GRID for i in range(_GRID + 1)], _ACCURACY)]
+        got = _measured(rows, measures)
+        found = {b: got[5 * i:5 * i + 5] for i, b in enumerate(brackets)}
+        for k, (lo, hi) in list(open_at.items()):
+            below, at_lo, between, at_hi, grid = found[lo, hi]
+            start = nulls + below
+            if k < start:  # the sketch was further off than it says
+                open_at[k] = (None, lo)
+            elif k < start + at_lo:
+                within[k], many[lo] = (lo, lo, start), at_lo
+            elif k < start + at_lo + between:
+                start += at_lo
+                if between <= LISTED_ROWS:
+                    within[k] = (lo, hi, start)
+                else:
+                    place = (k - start) / between * _GRID
+                    low, high = int(place - 1 - w * _GRID), int(place + 2 + w * _GRID)
+                    new = grid[low] if low >= 0 else lo, grid[high] if high <= _GRID else hi
+                    # The ends are values inside; a grid that does not narrow is as wide as two neighbouring values.
+                    open_at[k] = new if new != (lo, hi) else (grid[max(low, 0)], grid[min(high, _GRID)])
+                    continue
+            elif k < start + at_lo + between + at_hi:
+                within[k], many[hi] = (hi, hi, start + at_lo + between), at_hi
+            else:
+                open_at[k] = (hi, None)
+            if k in within:
+                del open_at[k]
+    out: dict[int, list] = {}
+    wanted, shown = F.lit(False), []
+    for k, (lo, hi, start) in within.items():
+        if (lo is None or lo == hi) and start + many.get(lo, 0) > k and (lo, hi) == (lo, lo):
+            if len(order) == 1:
+                out[k] = [lo]
+            elif many[lo] > LISTED_ROWS:
+                same = rows.where(col.eqNullSafe(F.lit(lo))).select(*order[1:])
+                out[k] = [lo, *keys_at(same, order[1:], [k - start], many[lo])[0]]
+            else:
+                wanted, shown = wanted | col.eqNullSafe(F.lit(lo)), [*shown, k]
+        else:
+            between = (col > F.lit(lo) if lo is not None else F.lit(True)) & (col < F.lit(hi) if hi is not None else F.lit(True))
+            wanted, shown = wanted | (between & col.isNotNull()), [*shown, k]
+    listed = _listed(rows, wanted) if shown else []
+    for k in shown:
+        lo, hi, start = within[k]
+        if lo == hi:
+            mine = [r for r in listed if r[0] == lo]
+        else:
+            mine = [r for r in listed if r[0] is not None and (lo is None or r[0] > lo) and (hi is None or r[0] < hi)]
+        if not 0 <= k - start < len(mine):
+            raise ValueError(f"no row at position {k}: the table changed while it was read")
+        out[k] = list(mine[k - start])
+    return [out[k] for k in ks]
 
 
 def before_key(order: list[str], key: list, strict: bool = True) -> Column:

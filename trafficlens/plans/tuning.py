@@ -33,28 +33,38 @@ def stratified_folds(df: DataFrame, label: str, key_cols: list[str], k: int, see
         .drop("_h", "_rn", "_first")
 
 
-def f1_evaluator(label: str = "label", metric: str = "f1") -> MulticlassClassificationEvaluator:
+def f1_evaluator(label: str = "label", metric: str = "f1", weight: str | None = None) -> MulticlassClassificationEvaluator:
     """Class-1 F1 (metricLabel=1) or accuracy."""
+    weights = {"weightCol": weight} if weight else {}
     if metric == "accuracy":
-        return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    return MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
+        return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy", **weights)
+    return MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0, **weights)
+
+
+def weighted_rows(df: DataFrame, keys: list[str], out: str = "weight") -> DataFrame:
+    """Equal rows as one with their number as its weight: a learner's objective and a score are the same sums over fewer rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(out))
 
 
 def grid_search(estimator, grid: list, data: DataFrame, label: str = "label", fold_col: str = "fold",
-                metric: str = "f1", parallelism: int = 8, folds: int = 5):
+                metric: str = "f1", parallelism: int = 8, folds: int = 5, weight: str | None = None):
     """CrossValidator over the maps, ``folds`` folds taken from ``fold_col``; refits the best on all rows."""
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=f1_evaluator(label, metric),
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=f1_evaluator(label, metric, weight),
                         foldCol=fold_col, numFolds=folds, parallelism=parallelism, seed=17)
     return cv.fit(data)
 
 
-def random_maps(estimator, space: dict, draws: int, seed: int = 17) -> list:
-    """``draws`` different maps from a parameter space, with a seed."""
+def drawn(space: dict, draws: int, seed: int = 17) -> list[tuple]:
+    """``draws`` different points of a parameter space, with a seed."""
     every = list(product(*space.values()))
     if draws > len(every):
         raise ValueError(f"{draws} draws from {len(every)} maps")
-    return [{estimator.getParam(k): v for k, v in zip(space, values, strict=True)}
-            for values in random.Random(seed).sample(every, draws)]
+    return random.Random(seed).sample(every, draws)
+
+
+def random_maps(estimator, space: dict, draws: int, seed: int = 17) -> list:
+    """The drawn points as parameter maps."""
+    return [{estimator.getParam(k): v for k, v in zip(space, values, strict=True)} for values in drawn(space, draws, seed)]
 
 
 def cv_results(cv_model) -> DataFrame:
@@ -74,9 +84,10 @@ class Search(NamedTuple):
 
 
 def search(estimator, grid: list, train: DataFrame, holdout: DataFrame, label: str = "label", fold_col: str = "fold",
-           metric: str = "f1", folds: int = 5) -> Search:
-    """M12 / M13 as a whole: score the maps on ``train``, refit the best one on it, report on ``holdout``."""
-    cv = grid_search(estimator, grid, train, label, fold_col, metric, folds=folds)
+           metric: str = "f1", folds: int = 5, weight: str | None = None) -> Search:
+    """M12 / M13 as a whole: score the maps on ``train``, refit the best one on it, report on ``holdout``.  With
+    ``weight``, the rows of ``train`` stand for that many (and the estimator must know the column, too)."""
+    cv = grid_search(estimator, grid, train, label, fold_col, metric, folds=folds, weight=weight)
     scored = cv.bestModel.transform(holdout).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
     return Search(cv_results(cv), cv.bestModel, class_report(scored, "y", "pred"))
 
@@ -97,14 +108,25 @@ def validation_curve(estimator, param: str, values: list, train: DataFrame, test
 
 def split_size_curve(estimator, data: DataFrame, shares: list[float], label: str, key_cols: list[str],
                      k: int = 2) -> DataFrame:
-    """For each test share, CV F1 (2 folds, as the reference has it here) on the train part and holdout F1."""
+    """For each test share, the rows on both sides, CV F1 (2 folds, as the reference has it here) on the train part
+    and holdout F1."""
     ev = f1_evaluator(label)
     rows = []
-    for s in shares:
-        part = data.withColumn("_u", hash_fraction(key_cols, 17))
-        train = part.where(F.col("_u") < 1.0 - s).drop("_u")
-        test = part.where(F.col("_u") >= 1.0 - s).drop("_u")
+    placed = data.withColumn("_u", hash_fraction(key_cols, 17))
+    sizes = placed.agg(F.count(F.lit(1)), *[F.count_if(F.col("_u") < 1.0 - s) for s in shares]).first()
+    for s, kept in zip(shares, sizes[1:], strict=True):
+        train, test = placed.where(F.col("_u") < 1.0 - s).drop("_u"), placed.where(F.col("_u") >= 1.0 - s).drop("_u")
         folded = stratified_folds(train, label, key_cols, k)
         cv = grid_search(estimator, [{}], folded, label, folds=k)
-        rows.append((float(s), float(cv.avgMetrics[0]), float(ev.evaluate(cv.bestModel.transform(test)))))
-    return SparkSession.getActiveSession().createDataFrame(rows, "test_share double, cv_f1 double, holdout_f1 double")
+        rows.append((float(s), kept, sizes[0] - kept, float(cv.avgMetrics[0]), float(ev.evaluate(cv.bestModel.transform(test)))))
+    return SparkSession.getActiveSession().createDataFrame(rows, "test_share double, train_rows long, test_rows long, cv_f1 double, holdout_f1 double")
+
+
+def fold_scores(estimator, data: DataFrame, label: str = "label", fold_col: str = "fold", folds: int = 5) -> DataFrame:
+    """M14 by fold: (fold, rows, positives, f1), each fold scored by a model of the others."""
+    counts = {r[0]: (r[1], r[2]) for r in data.groupBy(fold_col).agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).collect()}
+    ev, rows = f1_evaluator(label), []
+    for k in range(folds):
+        model = estimator.fit(data.where(F.col(fold_col) != k))
+        rows.append((k, *counts.get(k, (0, 0)), float(ev.evaluate(model.transform(data.where(F.col(fold_col) == k))))))
+    return SparkSession.getActiveSession().createDataFrame(rows, "fold int, rows long, positives long, f1 double")

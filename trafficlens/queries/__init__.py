@@ -23,5 +23,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     """Import every query module once; each registers its queries."""
     from . import (q_aggregates, q_encode, q_evaluate, q_joins, q_learners, q_neighbours, q_ordering,  # noqa: F401
-                   q_quantile_vote, q_rows, q_sources, q_streaming, q_useragent, q_wide, q_windows)
+                   q_quantile_vote, q_rows, q_sketches, q_sources, q_streaming, q_useragent, q_wide, q_windows)
     return REGISTRY

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.operators import joins as jn
 from trafficlens.operators.aggregates import value_counts
+from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import read
 from trafficlens.sqltwins import BOT_LIST, HTTP, SCORES, USER_BROWSER, with_
@@ -35,9 +36,19 @@ def q_j4(spark, d):
     return jn.membership_flag(h, si.bot_list(spark, d), "userId")
 
 
-@register("q_j7_join_back", with_(SCORES, HTTP) + "SELECT s.ROW_ID, s.p, h.operation, h.userId FROM scores s "
-          "JOIN http h ON s.ROW_ID = h.ROW_ID")
+J7_SQL = with_(SCORES, HTTP) + "SELECT s.ROW_ID, s.p, h.operation, h.userId FROM scores s JOIN http h ON s.ROW_ID = h.ROW_ID"
+
+
+@register("q_j7_join_back", J7_SQL)
 def q_j7(spark, d):
     s = si.scores(spark, d).select("ROW_ID", "p")
     h = si.http(spark, d).select("ROW_ID", "operation", "userId")
     return jn.join_back(s, h, "ROW_ID")
+
+
+@register("q_j7_colocated", J7_SQL)
+def q_j7c(spark, d):
+    """Predictions and facts kept in buckets of the row key: the join itself shuffles nothing."""
+    s = fs.write_bucketed(si.scores(spark, d).select("ROW_ID", "p"), "ROW_ID", 8, "predictions")
+    h = fs.write_bucketed(si.http(spark, d).select("ROW_ID", "operation", "userId"), "ROW_ID", 8, "facts")
+    return fs.join_colocated(spark, s, h, "ROW_ID")

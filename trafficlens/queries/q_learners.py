@@ -366,18 +366,48 @@ def q_m12f(spark, d):
     return f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SVM_SPACE = {"regParam": ALPHAS, "maxIter": ITERATIONS}
+
+
+def _random_search(spark, d):
+    train, holdout = _folded(spark, d)
+    counted = cut_lineage(tn.weighted_rows(train, [*si.EVENT_TYPES, "label", "fold"]))
+    svm = md.linear_svm().setWeightCol("weight").setTol(1e-2)
+    return tn.search(svm, tn.random_maps(svm, _SVM_SPACE, draws=10), en.assemble(si.EVENT_TYPES).transform(counted), holdout, weight="weight").results
+
+
 @register("q_m13_random_search")
 def q_m13(spark, d):
-    train, holdout = _folded(spark, d)
-    svm = md.linear_svm()
-    return tn.search(svm, tn.random_maps(svm, {"regParam": ALPHAS, "maxIter": ITERATIONS}, draws=10), train, holdout).results
+    return write_result(spark, d, "random-search", _random_search(spark, d))
+
+
+@register("q_m13_maps", "SELECT CAST(m.regParam AS DOUBLE) AS regParam, m.maxIter, TRUE AS scored, 1::BIGINT AS best_maps FROM (SELECT unnest([" +
+          ", ".join(f"{{'regParam': {a!r}::DOUBLE, 'maxIter': {i}}}" for a, i in tn.drawn(_SVM_SPACE, 10)) + "]) AS m) t")
+def q_m13m(spark, d):
+    """The ten drawn maps have a score, and one of them, with the highest, is marked."""
+    from pyspark.sql import Window
+    every = Window.partitionBy()  # as many rows as maps are drawn
+    rows = written_by(spark, d, "random-search", _random_search)
+    top = F.col("best") & (F.col("cv_metric") == F.max("cv_metric").over(every))
+    return rows.select(F.get_json_object("params", "$.regParam").cast("double").alias("regParam"), F.get_json_object("params", "$.maxIter").cast("int").alias("maxIter"),
+                       F.col("cv_metric").between(0.0, 1.0).alias("scored"), F.sum(F.when(top, 1).otherwise(0)).over(every).alias("best_maps"))
+
+
+def _fold_scores(spark, d):
+    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 5)
+    return tn.fold_scores(md.decision_tree(depth=7, impurity="entropy"), cut_lineage(f))
 
 
 @register("q_m14_cv_score")
 def q_m14(spark, d):
-    f = tn.stratified_folds(login_window_features(spark, d), "label", ["TS_PART", "USER_ID"], 5)
-    cv = tn.grid_search(md.decision_tree(depth=7, impurity="entropy"), [{}], f, folds=5)
-    return spark.range(1).select(F.lit(float(cv.avgMetrics[0])).alias("cv_f1"))
+    return write_result(spark, d, "fold-scores", _fold_scores(spark, d)).agg(F.avg("f1").alias("cv_f1"))
+
+
+@register("q_m14_folds", _WINDOWS + "SELECT CAST(rn % 5 AS INTEGER) AS fold, count(*) AS rows, count(*) FILTER (label = 1) AS positives, TRUE AS scored "
+          "FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY USER_ID) - 1 AS rn FROM w) t GROUP BY 1")
+def q_m14f(spark, d):
+    """Rows and bots of each fold, and that it has a score."""
+    return written_by(spark, d, "fold-scores", _fold_scores).select("fold", "rows", "positives", F.col("f1").between(0.0, 1.0).alias("scored"))
 
 
 @register("q_m15_validation_curve")
@@ -407,10 +437,25 @@ def q_m15r(spark, d):
     return _in_range(written_by(spark, d, "forest-features", _forest_features))
 
 
+SHARES = [i / 10 for i in range(1, 8)]
+
+
+def _split_sizes(spark, d):
+    return tn.split_size_curve(md.decision_tree(depth=7), login_window_features(spark, d), SHARES, "label", ["TS_PART", "USER_ID"])
+
+
 @register("q_m16_split_size_curve")
 def q_m16(spark, d):
-    f = login_window_features(spark, d)
-    return tn.split_size_curve(md.decision_tree(depth=7), f, [i / 10 for i in range(1, 8)], "label", ["TS_PART", "USER_ID"])
+    return write_result(spark, d, "split-sizes", _split_sizes(spark, d))
+
+
+@register("q_m16_sizes", _WINDOWS + "SELECT share AS test_share, count(*) FILTER (u < 1 - share) AS train_rows, count(*) FILTER (u >= 1 - share) AS test_rows, "
+          f"TRUE AS scored FROM (SELECT CAST(('0x' || substring(md5('17|' || {_WINDOW_KEY}), 1, 8)) AS BIGINT) / 4294967296.0 AS u, "
+          f"unnest({SHARES})::DOUBLE AS share FROM w) t GROUP BY share")
+def q_m16s(spark, d):
+    """The rows on both sides of each split, and that it has its scores."""
+    return written_by(spark, d, "split-sizes", _split_sizes) \
+        .select("test_share", "train_rows", "test_rows", (F.col("cv_f1").between(0.0, 1.0) & F.col("holdout_f1").between(0.0, 1.0)).alias("scored"))
 
 
 @register("q_m17_feature_selection")

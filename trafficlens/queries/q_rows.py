@@ -7,6 +7,7 @@ from trafficlens.functions import scalars as sc
 from trafficlens.functions.timebuckets import bucket_columns, half_day_bounds
 from trafficlens.operators import rows
 from trafficlens.operators.windows import sliding_counts
+from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import read
 from trafficlens.sqltwins import AUTH, HTTP, LOGINS, SCORES, with_
@@ -84,6 +85,16 @@ def q_p7b(spark, d):
         .select("ROW_ID", "TIMESTAMP")
 
 
+@register("q_p7_slices_on_disk", with_(LOGINS) + f"SELECT ROW_ID, TIMESTAMP FROM logins WHERE TIMESTAMP "
+          f"BETWEEN {SLICE_START + 1000} AND {SLICE_START + SLICE_MS + 1000}")
+def q_p7d(spark, d):
+    """A slice across two of the layout's folders, which alone are read."""
+    lg = si.logins(spark, d).select("ROW_ID", "TIMESTAMP")
+    path = fs.write_by_slice(lg, fs.fresh(spark, "login-slices"), "TIMESTAMP", SLICE_START, SLICE_MS)
+    low = SLICE_START + 1000
+    return fs.read_between(spark, path, "TIMESTAMP", SLICE_START, SLICE_MS, low, low + SLICE_MS, closed="both")
+
+
 @register("q_p8_take_head", "SELECT event_id, user_id, ts FROM events ORDER BY ts, event_id LIMIT 100")
 def q_p8(spark, d):
     return rows.take_head(read(spark, d, "events", ["event_id", "user_id", "ts"]), 100, ["ts", "event_id"])

@@ -69,6 +69,20 @@ def q_s8(spark, d):
     return spark.read.parquet(fs.write_parquet(lg, fs.fresh(spark, "logins")))
 
 
+@register("q_s8_busy_slices", with_(LOGINS, "mn AS (SELECT min(TIMESTAMP) AS m FROM logins)",
+          "s AS (SELECT *, (TIMESTAMP - m) // 86400000 AS slice FROM logins, mn)",
+          "b AS (SELECT slice FROM s WHERE LOGIN_CREDENTIAL_TYPE = 'error' GROUP BY 1 HAVING count(*) > (SELECT count(*) / 30 FROM s WHERE LOGIN_CREDENTIAL_TYPE = 'error'))") +
+          "SELECT ROW_ID, USER_ID, TIMESTAMP, LOGIN_CREDENTIAL_TYPE, isBot, CAST(slice AS INTEGER) AS slice FROM s WHERE slice IN (SELECT slice FROM b)")
+def q_s8s(spark, d):
+    """All logins of the days with more than a thirtieth of the errors: the days are found while the job runs, and prune the layout."""
+    lg = si.logins(spark, d)
+    start = lg.agg(F.min("TIMESTAMP")).first()[0]
+    path = fs.write_by_slice(lg, fs.fresh(spark, "login-days"), "TIMESTAMP", start, 86_400_000)
+    errors = spark.read.parquet(path).where("LOGIN_CREDENTIAL_TYPE = 'error'")
+    busy = errors.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > errors.agg(F.count(F.lit(1)) / 30).scalar())
+    return fs.read_listed(spark, path, busy)
+
+
 @register("q_s9_csv_head", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM "
           "(SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100) t")
 def q_s9(spark, d):

@@ -9,6 +9,7 @@ from trafficlens.sources import standins as si
 from trafficlens.sources.tables import epoch_millis, read
 from trafficlens.sources.uilog import render_from_events
 from trafficlens.sqltwins import LOGINS, with_
+from trafficlens.streaming import polls as pl
 from trafficlens.streaming import streams as st
 
 from . import register
@@ -70,6 +71,20 @@ def q_t3(spark, d):
     return st.latest_per_key(spark, log, ["window_start"])
 
 
+POLL_MS = 3600 * 1000
+
+
+@register("q_t3_polls", f"""WITH s AS (SELECT epoch_us(ts) // 1000 AS ms, least(value / 500.0, 1.0) AS p FROM events)
+SELECT ms // {POLL_MS} * {POLL_MS} AS poll_start, count(*) FILTER (WHERE p < 0.5) AS users, count(*) FILTER (WHERE p >= 0.5) AS bots
+FROM s GROUP BY 1 HAVING poll_start + {POLL_MS} <= (SELECT max(ms) FROM s) - {POLL_MS}""")
+def q_t3p(spark, d):
+    """Verdicts by hourly poll: what the polls that the watermark closed gave out."""
+    ev = read(spark, d, "events", ["ts", "value"])
+    src = ev.select(F.timestamp_millis(epoch_millis(ev, "ts")).alias("ts"), F.least(F.col("value") / 500.0, F.lit(1.0)).alias("p"))
+    stream = spark.readStream.schema(src.schema).parquet(_feed(src, "poll-stream"))
+    return pl.polls(spark, pl.run_polls(pl.poll_counts(stream, "ts", "p", POLL_MS), fs.fresh(spark, "polls")))
+
+
 W6, S1 = 6 * 3600 * 1000, 3600 * 1000
 
 

@@ -85,13 +85,15 @@ def bots_and_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def auth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IP INT, TIMESTAMP LONG seconds, BOT_OR_HUMAN 'bot'/'human'; who acts as a bot does so mostly in the first half of a day."""
+    """IP INT, TIMESTAMP LONG seconds, BOT_OR_HUMAN 'bot'/'human'; who acts as a bot comes in bursts."""
     ev = _events(spark, sf_dir, ["event_id", "ts", "user_id"])
     at = F.expr("div(" + _ms_sql(ev) + ", 1000)")
-    nightly = acts_as_bot_col() & (F.col("event_id") % 10 < 8)
+    # In bursts: four of ten events fall into the first three days, eight of ten into the first half of their day.
+    turn = F.when(acts_as_bot_col(), F.col("event_id") % 10).otherwise(9)
+    at = F.when(turn < 4, AUTH_WEEK_START + (at - AUTH_WEEK_START) % (3 * 86400)).otherwise(at)
     return ev.select(
         wrap_int32(F.col("user_id") * F.lit(2654435761)).alias("IP"),
-        F.when(nightly, at - at % 86400 + at % 43200).otherwise(at).alias("TIMESTAMP"),
+        F.when(turn < 8, at - at % 86400 + at % 43200).otherwise(at).alias("TIMESTAMP"),
         F.when(F.col("user_id") % 10 == 0, "bot").otherwise("human").alias("BOT_OR_HUMAN"),
     )
 

@@ -6,7 +6,7 @@ driver's pre-registered views.
 
 from __future__ import annotations
 
-from .sources.standins import USER_AGENTS
+from .sources.standins import AUTH_WEEK_START, USER_AGENTS
 
 
 def _q(s: str) -> str:
@@ -28,13 +28,14 @@ LOGINS = f"""logins AS (
          {IS_BOT} AS isBot, event_id AS ROW_ID
   FROM events)"""
 
-_IPW = "((user_id * 2654435761) % 4294967296)"
 _SECONDS = "((epoch_us(ts) // 1000) // 1000)"
+_BURST = f"CASE WHEN {ACTS} AND event_id % 10 < 4 THEN {AUTH_WEEK_START} + ({_SECONDS} - {AUTH_WEEK_START}) % 259200 ELSE {_SECONDS} END"
+_IPW = "((user_id * 2654435761) % 4294967296)"
 AUTH = f"""auth AS (
   SELECT CAST(CASE WHEN {_IPW} >= 2147483648 THEN {_IPW} - 4294967296 ELSE {_IPW} END AS INTEGER) AS IP,
-         CASE WHEN {ACTS} AND event_id % 10 < 8 THEN {_SECONDS} - {_SECONDS} % 86400 + {_SECONDS} % 43200 ELSE {_SECONDS} END AS TIMESTAMP,
+         CASE WHEN {ACTS} AND event_id % 10 < 8 THEN at_s - at_s % 86400 + at_s % 43200 ELSE at_s END AS TIMESTAMP,
          CASE WHEN user_id % 10 = 0 THEN 'bot' ELSE 'human' END AS BOT_OR_HUMAN
-  FROM events)"""
+  FROM (SELECT *, {_BURST} AS at_s FROM events))"""
 
 HTTP = f"""http AS (
   SELECT event_id AS ROW_ID, user_id AS userId, {EVENT_TYPE} AS operation,
