@@ -70,6 +70,7 @@ def keys_at(df: DataFrame, order: list[str], ks: list[int], n: int) -> list[list
     open_at = {k: tuple(marks[2 * i:2 * i + 2]) for i, k in enumerate(ks) if k >= nulls and marks is not None}
     within: dict[int, tuple] = {k: (None, None, 0) for k in ks if k < nulls}  # (lo, hi, rows before): between lo and hi, or equal to both
     many = {None: nulls}  # values and how many rows have them
+    narrow = 2 * w * n > LISTED_ROWS  # else the first brackets are expected to be small enough, and no grid is taken
     while open_at:
         brackets, measures = sorted(set(open_at.values()), key=str), []
         for lo, hi in brackets:
@@ -79,7 +80,7 @@ def keys_at(df: DataFrame, order: list[str], ks: list[int], n: int) -> list[list
             last = [F.count_if(col == F.lit(hi))] if hi is not None and hi != lo else [F.lit(0).cast("long")]
             measures += [*(F.max(e) if lo is None else e for e in ends), F.count_if(inside & F.lit(lo is None or lo != hi)),
                          *(F.max(e) if hi is None or hi == lo else e for e in last),
-                         F.percentile_approx(F.when(inside, col), [i / _GRID for i in range(_GRID + 1)], _ACCURACY)]
+                         F.percentile_approx(F.when(inside, col), [i / _GRID for i in range(_GRID + 1)], _ACCURACY) if narrow else F.lit(None)]
         got = _measured(rows, measures)
         found = {b: got[5 * i:5 * i + 5] for i, b in enumerate(brackets)}
         for k, (lo, hi) in list(open_at.items()):
@@ -93,7 +94,7 @@ def keys_at(df: DataFrame, order: list[str], ks: list[int], n: int) -> list[list
                 start += at_lo
                 if between <= LISTED_ROWS:
                     within[k] = (lo, hi, start)
-                else:
+                elif narrow:
                     place = (k - start) / between * _GRID
                     low, high = int(place - 1 - w * _GRID), int(place + 2 + w * _GRID)
                     new = grid[low] if low >= 0 else lo, grid[high] if high <= _GRID else hi
@@ -106,6 +107,7 @@ def keys_at(df: DataFrame, order: list[str], ks: list[int], n: int) -> list[list
                 open_at[k] = (hi, None)
             if k in within:
                 del open_at[k]
+        narrow = True
     out: dict[int, list] = {}
     wanted, shown = F.lit(False), []
     for k, (lo, hi, start) in within.items():
