@@ -12,6 +12,7 @@ from trafficlens.operators import encode as en
 from trafficlens.plans import bucket_grid as bg
 from trafficlens.plans import bucket_logit as bl
 from trafficlens.plans import depths as dp
+from trafficlens.plans import linear_curves as lc
 from trafficlens.plans import models as md
 from trafficlens.plans import neighbours as nb
 from trafficlens.plans import sgd
@@ -222,6 +223,37 @@ def test_grid_weights_are_the_single_fit(spark):
     assert np.allclose(weights[1:], single.coefficients.toArray()[1:], atol=1e-2) and weights[0] == pytest.approx(single.intercept, abs=1e-2)
 
 
+# --- M15 over a linear learner's parameters ---------------------------------------------------
+
+def test_penalty_curve_is_the_single_fits(spark):
+    """Against pyspark.ml's logistic regression, fold by fold."""
+    rng, size = np.random.default_rng(12), 8
+    rows = []
+    for i in range(800):
+        y, slots = float(rng.random() < 0.3), sorted({int(x) for x in rng.integers(0, 6, 3)})
+        rows.append(([*slots, 7 if (rng.random() < 0.8) == bool(y) else 6], [1.0] * (len(slots) + 1), y, i % 3, i % 4 == 0))
+    df = spark.createDataFrame(rows, "slots array<int>, values array<double>, label double, fold int, held boolean").repartition(3)
+    train, holdout = df.where("not held"), df.where("held")
+    curve = {r.param: r for r in lc.penalty_curve(train, holdout, size, [0.001, 0.1, 1.0], lambda c: 1 / c, per_row=True, folds=3).collect()}
+    assert sorted(curve) == [0.001, 0.1, 1.0] and curve[0.001].cv_f1 < curve[1.0].cv_f1
+
+    def dense(part):
+        v = F.map_from_arrays("slots", "values")
+        cols = part.select("label", *[F.coalesce(v[i], F.lit(0.0)).alias(f"x{i}") for i in range(size)])
+        return en.assemble([f"x{i}" for i in range(size)]).transform(cols)
+    for c in (0.1, 1.0):
+        def single(known, asked, c=c):
+            return tn.f1_evaluator().evaluate(md.logistic(C=c, n=known.count()).fit(dense(known)).transform(dense(asked)))
+        folds = [single(train.where(F.col("fold") != k), train.where(F.col("fold") == k)) for k in range(3)]
+        assert curve[c].cv_f1 == pytest.approx(sum(folds) / 3, abs=0.02) and curve[c].holdout_f1 == pytest.approx(single(train, holdout), abs=0.02)
+
+
+def test_iteration_curve_rises(spark):
+    import __spark_entry__ as ent
+    rows = sorted(ent.queries()["q_m15_iteration_curve"](spark, SF).collect())
+    assert rows[0].holdout_f1 < 0.1 and rows[-1].holdout_f1 > 0.5 and rows[-1].cv_f1 > 0.5
+
+
 # --- F17, A24 ----------------------------------------------------------------------------------
 
 def test_wide_components_are_the_exact_ones(spark):

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from trafficlens.functions.timebuckets import ts_group
 from trafficlens.operators.aggregates import first_label
 from trafficlens.plans.bucket_logit import BucketLogit
+from trafficlens.plans.many import minimise
 from trafficlens.session import cut_lineage, session
 
 # The parameter grid.
 GRID_PARTS = [1, 2, 3, 4, 5, 6, 7, 8]
 GRID_SHORT_PARTS = [1, 10, 20, 30, 40, 50, 100, 150, 200, 700, 1500]
-MEMORY, DECREASE, HALVINGS = 6, 1e-4, 12
 
 
 class Grid(NamedTuple):
@@ -126,54 +126,15 @@ def fit_all(counts: DataFrame, grid: Grid, C: float = 1.0, iterations: int = 40,
     """The weights of all maps (see ``Grid.starts``), by L-BFGS over all of them at once."""
     import numpy as np
     starts = np.array(grid.starts())
-    sizes, first = np.diff(starts), starts[:-1]
-    dot = lambda a, b: np.add.reduceat(a * b, first)  # noqa: E731  a number a map
-    wide = lambda v: np.repeat(v, sizes)
     free = np.zeros(starts[-1], bool)
-    free[first] = True  # intercepts
+    free[starts[:-1]] = True  # intercepts
 
     def at(x):
         loss, users, g = _sums(counts, grid, x)
         n = np.maximum(users, 1)
-        pull = np.where(free, 0.0, x / wide(C * n))
-        return loss / n + dot(np.where(free, 0.0, x), pull) / 2, g / wide(n) + pull
-    x = np.zeros(starts[-1])
-    f, g = at(x)
-    steps: list[tuple] = []
-    open_maps = np.ones(len(sizes), bool)
-    for _ in range(iterations):
-        q, alphas = g.copy(), []
-        for s, y, rho in reversed(steps):
-            alphas.append(rho * dot(s, q))
-            q -= wide(alphas[-1]) * y
-        if steps:
-            s, y, rho = steps[-1]
-            q *= wide(np.where(rho > 0, dot(s, y) / np.maximum(dot(y, y), 1e-300), 1.0))
-        else:
-            q /= wide(np.maximum(np.sqrt(dot(g, g)), 1.0))
-        for (s, y, rho), a in zip(steps, reversed(alphas), strict=True):
-            q += wide(a - rho * dot(y, q)) * s
-        slope = -dot(g, q)
-        q = np.where(wide(slope < 0), q, g)  # a map whose direction does not descend takes the gradient's
-        slope, length = -dot(g, q), open_maps.astype(float)
-        for _ in range(HALVINGS):
-            new = x - wide(length) * q
-            f_new, g_new = at(new)
-            bad = f_new > f + DECREASE * length * slope + 1e-12
-            if not bad.any():
-                break
-            length = np.where(bad, length / 2, length)
-        length = np.where(bad, 0.0, length)
-        moved = wide(length > 0)
-        new, g_new, f_new = np.where(moved, new, x), np.where(moved, g_new, g), np.where(length > 0, f_new, f)
-        s, y = new - x, g_new - g
-        curve = dot(s, y)
-        steps = [*steps, (s, y, np.where(curve > 1e-12, 1 / np.maximum(curve, 1e-300), 0.0))][-MEMORY:]
-        open_maps = (f - f_new > tolerance * 1e-2 * np.maximum(f, 1e-9)) & (np.sqrt(dot(g_new, g_new)) > tolerance)
-        x, f, g = new, f_new, g_new
-        if not open_maps.any():
-            break
-    return x
+        pull = np.where(free, 0.0, x / np.repeat(C * n, np.diff(starts)))
+        return loss / n + np.add.reduceat(np.where(free, 0.0, x) * pull, starts[:-1]) / 2, g / np.repeat(n, np.diff(starts)) + pull
+    return minimise(at, starts, iterations, tolerance)[0]
 
 
 def map_scores(counts: DataFrame, grid: Grid, weights) -> DataFrame:

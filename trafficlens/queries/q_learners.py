@@ -21,6 +21,7 @@ from trafficlens.operators.evaluate import class_report, f1_positive
 from trafficlens.operators.windows import sliding_counts
 from trafficlens.plans import bucket_grid as bg
 from trafficlens.plans import depths as dp
+from trafficlens.plans import linear_curves as lc
 from trafficlens.plans import models as md
 from trafficlens.plans import sgd
 from trafficlens.plans import tuning as tn
@@ -437,6 +438,61 @@ def q_m15r(spark, d):
     return _in_range(written_by(spark, d, "forest-features", _forest_features))
 
 
+def _slot_parts(spark, d):
+    """Training part with folds, and the holdout, of the requests' hashed one-hot slots; equal rows stay rows."""
+    rows = _request_slots(spark, d)
+    train = tn.stratified_folds(rows.where("part = 'train'"), "label", ["ROW_ID"], 5)
+    return cut_lineage(train.select("slots", "values", "label", "fold")), rows.where("part = 'test'")
+
+
+_SIZE, CS, MOST_ITERATIONS = SLOT_BUCKETS * len(HTTP_CATS), [i / 10 for i in range(1, 10)], [1, 2, 3, 5, 8, 10, 20, 40]
+
+
+def _c_curve(spark, d):
+    return lc.penalty_curve(*_slot_parts(spark, d), _SIZE, CS, lambda c: 1 / c, per_row=True)
+
+
+@register("q_m15_c_curve")
+def q_m15c(spark, d):
+    """The logistic learner's C on the requests, cross-validated and on the holdout."""
+    return write_result(spark, d, "c-curve", _c_curve(spark, d))
+
+
+@register("q_m15_c_values", f"SELECT unnest({CS})::DOUBLE AS param, TRUE AS scored")
+def q_m15cv(spark, d):
+    return _in_range(written_by(spark, d, "c-curve", _c_curve))
+
+
+def _alpha_curve(spark, d):
+    return lc.penalty_curve(*_slot_parts(spark, d), _SIZE, [10.0 ** -i for i in range(15)], lambda a: a)
+
+
+@register("q_m15_alpha_curve")
+def q_m15a(spark, d):
+    """The penalty alpha = 1 to 1e-14."""
+    return write_result(spark, d, "alpha-curve", _alpha_curve(spark, d))
+
+
+@register("q_m15_alpha_values", "SELECT 10.0::DOUBLE ** -i AS param, TRUE AS scored FROM range(0, 15) t(i)")
+def q_m15av(spark, d):
+    return _in_range(written_by(spark, d, "alpha-curve", _alpha_curve))
+
+
+def _iteration_curve(spark, d):
+    return lc.iteration_curve(*_slot_parts(spark, d), _SIZE, MOST_ITERATIONS)
+
+
+@register("q_m15_iteration_curve")
+def q_m15i(spark, d):
+    """The greatest number of iterations."""
+    return write_result(spark, d, "iteration-curve", _iteration_curve(spark, d))
+
+
+@register("q_m15_iteration_values", f"SELECT unnest({MOST_ITERATIONS})::DOUBLE AS param, TRUE AS scored")
+def q_m15iv(spark, d):
+    return _in_range(written_by(spark, d, "iteration-curve", _iteration_curve))
+
+
 SHARES = [i / 10 for i in range(1, 8)]
 
 
