@@ -248,6 +248,21 @@ def test_penalty_curve_is_the_single_fits(spark):
         assert curve[c].cv_f1 == pytest.approx(sum(folds) / 3, abs=0.02) and curve[c].holdout_f1 == pytest.approx(single(train, holdout), abs=0.02)
 
 
+def test_squared_hinge_ends_where_its_gradient_is_zero(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.poisson(1.0, (300, 4)).astype(float), (rng.random(300) < 0.4).astype(float)
+    rows = spark.createDataFrame([([0, 1, 2, 3], [float(v) for v in a], float(b), int(i % 2)) for i, (a, b) in enumerate(zip(x, y, strict=True))],
+                                 "slots array<int>, values array<double>, label double, fold int")
+    w, taken = lc.fit(lc._ready(rows), 4, [0.1, 1e-3], [-1, 1], False, 200, 1e-9, (3, 200), lc.SQUARED_HINGE)
+    for m, (penalty, known) in enumerate([(0.1, np.ones(300, bool)), (1e-3, np.arange(300) % 2 == 0)]):
+        sign = 2 * y[known] - 1
+        pull = -2 * sign * np.maximum(1 - sign * (x[known] @ w[m, :4] + w[m, 4]), 0)
+        assert np.abs(x[known].T @ pull / known.sum() + penalty * w[m, :4]).max() < 1e-4 and abs(pull.mean()) < 1e-4
+    assert np.array_equal(taken[200], w) and not np.allclose(taken[3], w)
+    found = lc.map_scores(rows, 4, [(0.1, 50), (10.0, 50), (0.1, 1)], folds=2).collect()
+    assert [r.best for r in found].count(True) == 1 and json.loads(found[2].params) == {"maxIter": 1, "regParam": 0.1}
+
+
 def test_iteration_curve_rises(spark):
     import __spark_entry__ as ent
     rows = sorted(ent.queries()["q_m15_iteration_curve"](spark, SF).collect())

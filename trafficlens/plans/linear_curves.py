@@ -10,6 +10,8 @@ iterations as each value says.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,13 @@ def _margins():
     return margins
 
 
-def _losses(rows: DataFrame, left_out: list[int], size: int, x):
+LOG, SQUARED_HINGE = "log", "squared hinge"
+
+
+def _losses(rows: DataFrame, left_out: list[int], size: int, x, loss: str):
     """Summed loss, rows and gradient of every model; model m leaves fold left_out[m] out."""
     import numpy as np
-    weights, margins, models = np.asarray(x).reshape(len(left_out), size + 1), _margins(), len(left_out)
+    weights, margins, models, log = np.asarray(x).reshape(len(left_out), size + 1), _margins(), len(left_out), loss == LOG
 
     def run(batches):
         import numpy as np
@@ -41,9 +46,11 @@ def _losses(rows: DataFrame, left_out: list[int], size: int, x):
             sign = 2 * batch.column("label").to_numpy()[:, None] - 1
             there = batch.column("fold").to_numpy()[:, None] != np.array(left_out)[None]
             z = sign * score
-            pull = np.where(there, -sign / (1 + np.exp(np.clip(z, -700, 700))), 0.0)
+            short = np.maximum(1 - z, 0.0)
+            cost = np.logaddexp(0, -z) if log else short * short
+            pull = np.where(there, -sign / (1 + np.exp(np.clip(z, -700, 700))) if log else -2 * sign * short, 0.0)
             g = np.stack([np.append(np.bincount(slots, pull[row, m] * values, size), pull[:, m].sum()) for m in range(models)])
-            out = np.concatenate([g.ravel(), np.where(there, np.logaddexp(0, -z), 0.0).sum(0), there.sum(0)])
+            out = np.concatenate([g.ravel(), np.where(there, cost, 0.0).sum(0), there.sum(0)])
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "v"])
     found = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # bounded by models x slots
@@ -53,18 +60,18 @@ def _losses(rows: DataFrame, left_out: list[int], size: int, x):
 
 
 def fit(rows: DataFrame, size: int, penalties: list[float], left_out: list[int], per_row: bool, iterations: int, tolerance: float,
-        snapshots: tuple[int, ...] = ()):
-    """Weights of all models (models x (size + 1)) and their snapshots: mean log loss plus penalty / 2 of the squared weights
+        snapshots: tuple[int, ...] = (), loss: str = LOG):
+    """Weights of all models (models x (size + 1)) and their snapshots: mean loss plus penalty / 2 of the squared weights
     without the intercept; ``per_row``: the penalty is divided by the model's rows."""
     import numpy as np
     starts = np.arange(len(penalties) + 1) * (size + 1)
     free = np.tile(np.arange(size + 1) == size, len(penalties))
 
     def at(x):
-        loss, n, g = _losses(rows, left_out, size, x)
+        total, n, g = _losses(rows, left_out, size, x, loss)
         weight = np.array(penalties) / n if per_row else np.array(penalties)
         pull = np.where(free, 0.0, x * np.repeat(weight, size + 1))
-        return loss / n + np.add.reduceat(np.where(free, 0.0, x) * pull, starts[:-1]) / 2, g / np.repeat(n, size + 1) + pull
+        return total / n + np.add.reduceat(np.where(free, 0.0, x) * pull, starts[:-1]) / 2, g / np.repeat(n, size + 1) + pull
     shape = len(penalties), size + 1
     x, taken = minimise(at, starts, iterations, tolerance, snapshots)
     return x.reshape(shape), {k: v.reshape(shape) for k, v in taken.items()}
@@ -107,6 +114,22 @@ def penalty_curve(train: DataFrame, holdout: DataFrame, size: int, values: list[
     return session().createDataFrame(rows, "param double, cv_f1 double, holdout_f1 double")
 
 
+def map_scores(train: DataFrame, size: int, maps: list[tuple[float, int]], folds: int = 5, loss: str = SQUARED_HINGE, tolerance: float = 1e-6) -> DataFrame:
+    """Maps of (regParam, maxIter), as ``tuning.cv_results`` has them: params, cv_metric, best (ties: the first).
+    One run fits all maps and folds; a map's iterations are where it is looked at."""
+    held, left_out = _ready(train).persist(), [k for _ in maps for k in range(folds)]
+    looks = tuple(sorted({n for _, n in maps}))
+    try:
+        _, taken = fit(held, size, [a for a, _ in maps for _ in range(folds)], left_out, False, looks[-1], tolerance, looks, loss)
+        scores = {n: _f1(held, left_out, taken[n]) for n in looks}
+    finally:
+        held.unpersist()
+    means = [sum(scores[n][i * folds:(i + 1) * folds]) / folds for i, (_, n) in enumerate(maps)]
+    best = means.index(max(means))
+    rows = [(json.dumps({"maxIter": n, "regParam": a}), float(f1), i == best) for i, ((a, n), f1) in enumerate(zip(maps, means, strict=True))]
+    return session().createDataFrame(rows, "params string, cv_metric double, best boolean")
+
+
 def iteration_curve(train: DataFrame, holdout: DataFrame, size: int, values: list[int], penalty: float = 1e-4, folds: int = 5) -> DataFrame:
     """(param, cv_f1, holdout_f1) after each number of iterations, from one run of all folds."""
     held, left_out = _ready(train).persist(), [*range(folds), -1]

@@ -371,10 +371,10 @@ _SVM_SPACE = {"regParam": ALPHAS, "maxIter": ITERATIONS}
 
 
 def _random_search(spark, d):
-    train, holdout = _folded(spark, d)
-    counted = cut_lineage(tn.weighted_rows(train, [*si.EVENT_TYPES, "label", "fold"]))
-    svm = md.linear_svm().setWeightCol("weight").setTol(1e-2)
-    return tn.search(svm, tn.random_maps(svm, _SVM_SPACE, draws=10), en.assemble(si.EVENT_TYPES).transform(counted), holdout, weight="weight").results
+    train, _ = _folded(spark, d)
+    slots, values = sgd.count_slots(si.EVENT_TYPES)
+    rows = train.select(slots.alias("slots"), values.alias("values"), "label", "fold")
+    return lc.map_scores(rows, len(si.EVENT_TYPES), tn.drawn(_SVM_SPACE, 10))
 
 
 @register("q_m13_random_search")
