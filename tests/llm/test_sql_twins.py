@@ -117,3 +117,12 @@ def test_ownership_separates_copied_from_owned(spark):
                                   (5, "token=aB3dE6gH9k", "r4", "o3"), (6, "token=changeme", "r4", "o3")], "doc_id long, text string, repo string, own string")
     got = {r.doc_id: (r.spans[0].verdict, r.spans[0].n_repositories, r.spans[0].n_owners) for r in secret_scan.scan(docs, F.col("repo"), F.col("own")).collect()}
     assert got == {1: ("live", 2, 1), 2: ("live", 2, 1), 3: ("example", 3, 3), 4: ("example", 3, 3), 5: ("example", 3, 3), 6: ("weak", 1, 1)}
+
+
+def test_repositories_count_too(spark):
+    """A value in many repositories of one owner is that owner's template; the same value in few is live."""
+    from pyspark.sql import functions as F
+    rows = [(i, "token=Qw8zLm2Kd9", f"r{i}", "o1") for i in range(secret_scan.EXAMPLE_REPOSITORIES)] + [(100 + i, "token=aB3dE6gH9k", "r1", "o1") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, own string")
+    got = {r.doc_id: r.spans[0].verdict for r in secret_scan.scan(docs, F.col("repo"), F.col("own")).collect()}
+    assert {got[i] for i in range(6)} == {"example"} and {got[100 + i] for i in range(9)} == {"live"}

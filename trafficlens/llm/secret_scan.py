@@ -3,8 +3,9 @@
 Candidates come from regular expressions over each whole text, with code-point
 spans.  The hash of each candidate's secret is counted over the corpus by
 distinct repositories and distinct owners: a value that ``EXAMPLE_OWNERS`` or
-more owners hold is a widely copied example, a value of fewer owners that
-looks random is an owner-specific live-looking credential.
+more owners hold, or that stands in ``EXAMPLE_REPOSITORIES`` or more repositories (an
+owner's template, say), is a widely copied example; a value of fewer of
+both that looks random is an owner-specific live-looking credential.
 
 Base kinds (assign, access, hex) are reported whatever their class.  Of the
 ``vendor`` kind, which the method adds (provider prefixes, bearer tokens,
@@ -37,7 +38,7 @@ VENDOR = (r"(?:ghp_|gho_|glpat-|xoxb-|xoxp-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]
           r"|[Bb]earer\x20+[A-Za-z0-9._~+/-]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your[_-]|x{4}|0{8}|12345"
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 LEAST_DISTINCT = 6  # distinct characters of a live-looking value
 
 SPAN = "array<struct<start:int,kind:int,stop:int,secret:string>>"
@@ -101,7 +102,8 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     counts = found.select(F.col("s.sha256").alias("sha256"), "repository", "owner").distinct() \
         .groupBy("sha256").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
     known = found.select("doc_id", "key", "s.*").join(counts, "sha256")
-    verdict = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").when(F.col("live"), "live").otherwise("weak")
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
+    verdict = F.when(copied, "example").when(F.col("live"), "live").otherwise("weak")
     known = known.withColumn("verdict", verdict).where((F.col("kind") < 3) | (F.col("verdict") == "live"))
     # A set, as repeated rows bring the same spans again.
     gathered = known.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct(
@@ -119,11 +121,14 @@ def span_text(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The contract's digest, with ``source`` as owner and (source, lang) as repository."""
+    """The contract's digest, with ``source`` as owner and (source, lang) as repository; the last two columns are the most
+    owners and repositories that share one of the row's secrets (0 without spans)."""
     out = scan(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     of = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
+    most = lambda c: F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long")
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                       F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
-                      of("live").alias("n_live"), of("example").alias("n_example"))
+                      of("live").alias("n_live"), of("example").alias("n_example"), most("n_owners").alias("most_owners"),
+                      most("n_repositories").alias("most_repositories"))

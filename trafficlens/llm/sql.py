@@ -65,14 +65,16 @@ s AS (SELECT n, kind, start::BIGINT AS start, (start + length(match))::BIGINT AS
              NOT regexp_matches(secret, '(?i)example|sample|changeme|placeholder|dummy|your[_-]|x{{4}}|0{{8}}|12345')
              AND len(list_distinct(string_split(secret, ''))) >= 6 AS live
       FROM g WHERE kind <> 0 OR length(secret) >= 6),
-o AS (SELECT s.secret, count(DISTINCT d.owner) AS owners FROM s JOIN d USING (n) GROUP BY s.secret),
-v AS (SELECT s.*, CASE WHEN owners >= 3 THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS verdict FROM s JOIN o USING (secret)),
+o AS (SELECT s.secret, count(DISTINCT d.owner) AS owners, count(DISTINCT d.repository) AS repositories FROM s JOIN d USING (n) GROUP BY s.secret),
+v AS (SELECT s.*, owners, repositories, CASE WHEN owners >= 3 OR repositories >= 6 THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS verdict FROM s JOIN o USING (secret)),
 k AS (SELECT *, (['assign', 'access', 'hex', 'vendor'])[kind + 1] || ':' || start || ':' || stop AS label FROM v WHERE kind < 3 OR verdict = 'live'),
 a AS (SELECT n, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
              coalesce(string_agg(label, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(label, ',' ORDER BY start, kind) AS spans,
-             count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example FROM k GROUP BY n)
+             count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example,
+             max(owners) AS most_owners, max(repositories) AS most_repositories FROM k GROUP BY n)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN a USING (n)
 """
 
