@@ -84,3 +84,14 @@ def test_both_patterns_encode_alike(chars):
     for _ in range(1500):
         text = "".join(rng.choice(list(chars), size=rng.integers(0, 25)))
         assert encode(text) == whole(text), repr(text)
+
+
+def test_tasks_write_several_shards(spark):
+    """Small shards are more than there are tasks: the same slots, in more files."""
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text")
+    few, many = scratch_path(spark, "shards"), scratch_path(spark, "shards")
+    n = ts.write_shards(docs, few, length=256, per_shard=1000).count()
+    made = ts.write_shards(docs, many, length=256, per_shard=7)
+    assert made.select("shard").distinct().count() == -(-n // 7) > 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = lambda folder, per: {r.slot: bytes(r.tokens) for r in ts.read_slots(spark, folder, 0, n, length=256, per_shard=per).collect()}
+    assert slots(few, 1000) == slots(many, 7) and len(slots(many, 7)) == n

@@ -11,9 +11,11 @@ byte (s mod per_shard) * stride of its shard, and a reader resumes anywhere.
 
 Scale: a first pass counts the tokens of each partition (three numbers a
 partition come to the driver); a second tokenises again and sends each
-sequence straight to the partition of its shard, so tokens are shuffled once
-and never stored beside the shards.  No row count, key or group decides where
-a sequence goes.  A shard's file appears under its name when it is whole, and
+sequence straight to the task that writes its shard, so tokens are shuffled once
+and never stored beside the shards.  A task writes a range of shards, one file
+after the other, so there are as many tasks as the session shuffles into, or
+as shards if those are fewer.  No row count, key or group decides where a
+sequence goes.  A shard's file appears under its name when it is whole, and
 its bytes depend on nothing but the input and the key: a task that runs again,
 after an executor is lost, puts the same file there.  ``docs`` must be a scan (or
 anything else whose partitions come out alike twice); the second pass checks
@@ -162,15 +164,17 @@ def _counts(docs: DataFrame, ranks) -> dict[int, tuple[int, int]]:
     return {r.pid: (r.docs, r.tokens) for r in map_batches(docs, count, "pid long, docs long, tokens long").collect()}
 
 
-def _pieces(docs: DataFrame, ranks, before: dict[int, int], tokens: dict[int, int], total: int, length: int, key: int) -> DataFrame:
-    """Rows of ``SEQUENCE``: a sequence, or the piece of it that one batch of documents holds from token ``at`` on."""
+def _pieces(docs: DataFrame, ranks, places, total: int, length: int, key: int) -> DataFrame:
+    """Rows of ``SEQUENCE``: a sequence, or the piece of it that one batch of documents holds from token ``at`` on.
+    ``places`` (broadcast): partition -> (tokens before it, its tokens)."""
     n, schema = -(-total // length), arrow_schema(SEQUENCE)
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
         pid = TaskContext.get().partitionId()
-        at = first = before.get(pid, 0)
+        first, expected = places.value.get(pid, (0, 0))
+        at = first
         for ids, sizes, stream in _token_groups(batches, ranks.value):
             starts = at + np.concatenate([[0], np.cumsum(sizes)])
             stop = int(starts[-1])
@@ -187,8 +191,8 @@ def _pieces(docs: DataFrame, ranks, before: dict[int, int], tokens: dict[int, in
             for i in range(0, len(seqs), 2048):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i:i + 2048], f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             at = stop
-        if at - first != tokens.get(pid, 0):
-            raise RuntimeError(f"partition {pid} gave {at - first} tokens and {tokens.get(pid, 0)} before: docs must be a repeatable scan")
+        if at - first != expected:
+            raise RuntimeError(f"partition {pid} gave {at - first} tokens and {expected} before: docs must be a repeatable scan")
     return map_batches(docs, cut, SEQUENCE)
 
 
@@ -208,7 +212,7 @@ def _write(folder: str, length: int, per_shard: int):
         stride, ctx = length * ID_BYTES, TaskContext.get()
         out = shard = None
         begun: list | None = None  # slot, seq, bytes so far, doc ids
-        temp = f"{base}/.{ctx.stageId()}-{ctx.partitionId()}-{ctx.taskAttemptId()}"
+        temp = f"{base}/.{ctx.stageId()}-{ctx.partitionId()}-{ctx.taskAttemptId()}"  # a file at a time
         rows: list = []
 
         def end_sequence():
@@ -218,6 +222,10 @@ def _write(folder: str, length: int, per_shard: int):
             out.write(data)
             rows.append((slot, seq, shard, slot % per_shard * stride, length, zlib.crc32(data), ids))
 
+        def end_shard():
+            out.close()
+            store.move(temp, f"{base}/{shard_name(shard)}")
+
         def table():
             got = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             rows.clear()
@@ -231,19 +239,19 @@ def _write(folder: str, length: int, per_shard: int):
                         continue
                     if begun:
                         end_sequence()
-                    wanted = slot if out is None else begun[0] + 1
-                    if out is None:
+                    wanted = begun[0] + 1 if begun else slot // per_shard * per_shard
+                    if slot != wanted:
+                        raise RuntimeError(f"slot {slot} follows where {wanted} should")
+                    if slot % per_shard == 0:
+                        if out is not None:
+                            end_shard()
                         shard, out = slot // per_shard, store.open_output_stream(temp)
-                        wanted = shard * per_shard
-                    if slot != wanted or slot // per_shard != shard:
-                        raise RuntimeError(f"shard {shard}: slot {slot} follows where {wanted} should")
                     begun = [slot, seq, data, ids]
                 if rows:
                     yield table()
             if begun:
                 end_sequence()
-                out.close()
-                store.move(temp, f"{base}/{shard_name(shard)}")
+                end_shard()
                 yield table()
         finally:
             if out is not None and not out.closed:
@@ -260,16 +268,19 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, len
     ranks = spark.sparkContext.broadcast(_vocabulary(vocabulary))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = _counts(rows, ranks)
-    before, total = {}, 0
+    places, total = {}, 0
     for pid in sorted(counts):
-        before[pid], total = total, total + counts[pid][1]
+        places[pid] = total, counts[pid][1]
+        total += counts[pid][1]
     if not total:
         return spark.createDataFrame([], MANIFEST)
     store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
     store.create_dir(base, recursive=True)
-    pieces = _pieces(rows, ranks, before, {p: t for p, (_, t) in counts.items()}, total, length, key)
+    pieces = _pieces(rows, ranks, spark.sparkContext.broadcast(places), total, length, key)
     shards = -(-(-(-total // length)) // per_shard)
-    placed = pieces.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "at")
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    task = F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")
+    placed = pieces.repartitionById(tasks, task).sortWithinPartitions("slot", "at")
     return stored(map_batches(placed, _write(folder, length, per_shard), MANIFEST), "shard-manifest")
 
 
