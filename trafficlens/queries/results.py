@@ -17,6 +17,13 @@ from . import register
 
 _WRITTEN: dict[tuple, str] = {}
 _MADE: dict[tuple, object] = {}
+#: Queries of a learner's values -> the query that makes the same fit, if need be, and checks it.
+CHECKED_BY = {
+    "q_m2_forest_importances": "q_m2_forest_sum", "q_m7_batch_curve": "q_m7_batches_keys", "q_m9_grid": "q_m9_grid_maps", "q_m9_grid_report": "q_m9_grid_maps",
+    "q_m12_grid_search": "q_m12_maps", "q_m12_holdout_report": "q_m12_maps", "q_m13_random_search": "q_m13_maps", "q_m14_cv_score": "q_m14_folds",
+    "q_m15_forest_features_curve": "q_m15_forest_features_range", "q_m15_c_curve": "q_m15_c_values", "q_m15_alpha_curve": "q_m15_alpha_values",
+    "q_m15_iteration_curve": "q_m15_iteration_values", "q_m16_split_size_curve": "q_m16_sizes",
+}
 
 
 def write_result(spark: SparkSession, sf_dir: str, name: str, result: DataFrame) -> DataFrame:
@@ -38,6 +45,8 @@ def written_by(spark: SparkSession, sf_dir: str, name: str, make: Callable[[Spar
 def scored_rows(name: str, check: str, check_sql: str, keys: list[str], flag: str = "scored"):
     """Registers a learner's query under ``name`` (its rows without ``flag``), and under ``check``, with the twin
     ``check_sql``, the keys and the flag of the rows that it wrote."""
+    CHECKED_BY[name] = check
+
     def deco(make):
         @register(name)
         def values(spark, sf_dir):
