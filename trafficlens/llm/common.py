@@ -63,8 +63,10 @@ def discard(*tables: DataFrame) -> None:
     Spark frees a shuffle's files when the driver's JVM collects what refers to
     them, which by itself it does every half hour, so it is asked to here.
     """
+    if not tables:
+        return
+    sc = tables[0].sparkSession.sparkContext
     for table in tables:
-        sc = table.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(table._llm_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
