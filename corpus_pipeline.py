@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trafficlens.llm import decontaminate, mixing, quality, simhash, token_shards
-from trafficlens.llm.common import stored
+from trafficlens.llm.common import discard, stored
 from trafficlens.sources.tables import read
 
 
@@ -61,8 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table goes once the next one is whole."""
+    docs, before = read(spark, sf_dir, "documents"), ()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
