@@ -333,3 +333,12 @@ def test_slices_read_only_their_folders(spark):
     wanted = spark.createDataFrame([(3,), (3,), (7,)], "slice int")
     assert fs.read_listed(spark, path, wanted).count() == 200
     assert q_learners.BATCH_MS > 0
+
+
+def test_buckets_meet_without_a_shuffle(spark):
+    left = spark.range(500).selectExpr("id % 90 AS k", "id AS a")
+    right = spark.range(300).selectExpr("id % 120 AS k", "id AS b")
+    joined = fs.join_colocated(spark, fs.write_bucketed(left, "k", 4, "left"), fs.write_bucketed(right, "k", 4, "right"), "k")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
