@@ -7,8 +7,8 @@ counts and broadcast the offsets back (bounded by the partition count).  The
 data is shuffled once, into as many partitions as the session's shuffle setting
 and AQE make of it.  Order keys must be unique (add a tie key) for a defined
 index.  Range bounds come from a sample, so two reads of the same plan may cut
-partitions differently; the range-partitioned rows are therefore checkpointed
-(reliably, into the session's ``spark.checkpoint.dir``) once and both the counts
+partitions differently; the range-partitioned rows are therefore written once
+(compressed, into the session's ``spark.checkpoint.dir``) and both the counts
 and the numbering read that copy.  It is meant for dictionaries and folds.
 
 ``keys_at`` finds only the keys at given positions, for prefixes and splits of
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.session import cut_lineage
+from trafficlens.session import stored
 
 #: Rows of a bracket that are listed on the driver to settle a position.
 LISTED_ROWS = 10_000
@@ -33,7 +33,7 @@ def with_row_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFra
     ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    ranged = cut_lineage(ranged)
+    ranged = stored(ranged, "row-index")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: an unpartitioned window here is bounded by their number.
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -26,7 +26,7 @@ from trafficlens.plans import models as md
 from trafficlens.plans import sgd
 from trafficlens.plans import tuning as tn
 from trafficlens.plans.bucket_logit import BucketLogit
-from trafficlens.session import cut_lineage
+from trafficlens.session import cut_lineage, stored
 from trafficlens.sources import files as fs
 from trafficlens.sources import standins as si
 from trafficlens.sources.tables import read
@@ -53,15 +53,15 @@ _WINDOW_TEST = _WINDOWS + f"SELECT TS_PART, USER_ID, label, TRUE AS scored FROM
 _HTTP_TEST = with_(HTTP) + f"SELECT ROW_ID, CAST(isBot AS DOUBLE) AS label, TRUE AS scored FROM http WHERE {_part_sql('CAST(ROW_ID AS VARCHAR)', 0.3)} = 'test'"
 
 
-def login_window_features(spark, d):
-    """A6 counts per (window, user) as a vector, label = isBot (the 3.4 flow).
-
-    Materialised once (reliable checkpoint): every learner and fold reads it
-    many times.
-    """
+def _windows(spark, d):
+    """A6 counts per (window, user), label = isBot (the 3.4 flow): written once as a compressed table, which learners and folds read."""
     wc = sliding_counts(si.logins(spark, d), W6, S1, si.EVENT_TYPES)
-    f = en.assemble(si.EVENT_TYPES).transform(wc).withColumn("label", F.col("isBot").cast("double"))
-    return cut_lineage(f)
+    return stored(wc.withColumn("label", F.col("isBot").cast("double")), "login-windows")
+
+
+def login_window_features(spark, d):
+    """The login windows with their counts as a vector."""
+    return en.assemble(si.EVENT_TYPES).transform(_windows(spark, d))
 
 
 def http_features(spark, d):
@@ -322,9 +322,22 @@ ITERATIONS = [10 * (i + 1) for i in range(20)]
 
 def _folded(spark, d, k=5):
     """Training part with folds, and the holdout part, of the login windows."""
-    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
-    train = tn.stratified_folds(f.where("part = 'train'"), "label", ["TS_PART", "USER_ID"], k)
-    return cut_lineage(train), f.where("part = 'test'")
+    f = md.hash_split(_windows(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    train = tn.stratified_folds(f.where("part = 'train'").drop("isBot", "part"), "label", ["TS_PART", "USER_ID"], k)
+    return stored(train, "folded-windows"), f.where("part = 'test'")
+
+
+def _copies(rows, *by):
+    """How many ``copies`` each different row of counts, label and ``by`` has, with the counts as a vector: what a learner
+    with weights fits on as on the rows themselves. Written once."""
+    counted = rows.groupBy(*si.EVENT_TYPES, "label", *by).agg(F.count(F.lit(1)).cast("double").alias("copies"))
+    return en.assemble(si.EVENT_TYPES).transform(stored(counted, "window-copies"))
+
+
+def _folded_copies(spark, d):
+    """``_folded`` with a row for all equal rows of a fold."""
+    train, holdout = _folded(spark, d)
+    return _copies(train, "fold"), _copies(holdout)
 
 
 def _depths(spark, d, fresh=False):
