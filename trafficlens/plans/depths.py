@@ -37,9 +37,9 @@ def leaf_classes(model, depths: list[int]) -> DataFrame:
     return session().createDataFrame(out, "leaf double, depth int, prediction double")
 
 
-def scores_by_depth(model, data: DataFrame, depths: list[int], label: str = "label") -> DataFrame:
-    """(depth, f1) of class 1 on ``data`` for the model cut at each depth."""
-    counted = model.setLeafCol("leaf").transform(data).groupBy("leaf", label).agg(F.count(F.lit(1)).alias("n"))
+def scores_by_depth(model, data: DataFrame, depths: list[int], label: str = "label", copies: str | None = None) -> DataFrame:
+    """(depth, f1) of class 1 on ``data`` (``copies``: how many rows a row is) for the model cut at each depth."""
+    counted = model.setLeafCol("leaf").transform(data).groupBy("leaf", label).agg((F.sum(copies) if copies else F.count(F.lit(1))).alias("n"))
     found = counted.join(F.broadcast(leaf_classes(model, depths)), "leaf")  # one row a leaf and depth: bounded by the model
     actual, said, n = F.col(label) == 1.0, F.col("prediction") == 1.0, F.col("n")
     hits, wrong = F.sum(F.when(actual & said, n).otherwise(0)), F.sum(F.when(actual != said, n).otherwise(0))
@@ -47,16 +47,16 @@ def scores_by_depth(model, data: DataFrame, depths: list[int], label: str = "lab
 
 
 def depth_scores(tree, depths: list[int], train: DataFrame, holdout: DataFrame | None = None, label: str = "label",
-                 fold_col: str = "fold", folds: int = 5) -> tuple[DataFrame, object | None]:
+                 fold_col: str = "fold", folds: int = 5, copies: str | None = None) -> tuple[DataFrame, object | None]:
     """(depth, cv_f1 and, with a holdout, holdout_f1) for every depth, from one fit a fold and one on all of ``train``;
-    and that last, deepest model."""
-    deepest = tree.copy({tree.maxDepth: max(depths)})
+    and that last, deepest model.  ``copies``: a column that says how many equal rows a row stands for."""
+    deepest = tree.copy({tree.maxDepth: max(depths), **({tree.weightCol: copies} if copies else {})})
 
     def of_fold(k: int):
         if k == folds:
             model = deepest.fit(train)
-            return model, scores_by_depth(model, holdout, depths, label).collect()
-        return None, scores_by_depth(deepest.fit(train.where(F.col(fold_col) != k)), train.where(F.col(fold_col) == k), depths, label).collect()
+            return model, scores_by_depth(model, holdout, depths, label, copies).collect()
+        return None, scores_by_depth(deepest.fit(train.where(F.col(fold_col) != k)), train.where(F.col(fold_col) == k), depths, label, copies).collect()
     jobs = folds + (holdout is not None)
     with ThreadPool(jobs) as pool:
         found = pool.map(inheritable_thread_target(of_fold), range(jobs))

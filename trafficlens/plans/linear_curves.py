@@ -1,6 +1,7 @@
 """M15 over a linear learner's own parameters: every value and fold fitted together.
 
-Rows are sparse (``slots``, ``values``, ``label``, ``fold``), as for ``sgd``.  A curve
+Rows are sparse (``slots``, ``values``, ``label``, ``fold``), as for ``sgd``; a column ``copies`` says how many
+equal rows a row stands for.  A curve
 has a logistic model a value and fold, and one a value for the holdout; they
 differ in their penalty and in the fold they leave out.  All of them go through
 ``many.minimise``, so a step is one pass over the rows and one combining
@@ -44,13 +45,14 @@ def _losses(rows: DataFrame, left_out: list[int], size: int, x, loss: str):
         for batch in batches:
             score, row, slots, values = margins(batch, weights)
             sign = 2 * batch.column("label").to_numpy()[:, None] - 1
-            there = batch.column("fold").to_numpy()[:, None] != np.array(left_out)[None]
+            copies = batch.column("copies").to_numpy()[:, None]
+            there = np.where(batch.column("fold").to_numpy()[:, None] != np.array(left_out)[None], copies, 0.0)
             z = sign * score
             short = np.maximum(1 - z, 0.0)
             cost = np.logaddexp(0, -z) if log else short * short
-            pull = np.where(there, -sign / (1 + np.exp(np.clip(z, -700, 700))) if log else -2 * sign * short, 0.0)
+            pull = there * (-sign / (1 + np.exp(np.clip(z, -700, 700))) if log else -2 * sign * short)
             g = np.stack([np.append(np.bincount(slots, pull[row, m] * values, size), pull[:, m].sum()) for m in range(models)])
-            out = np.concatenate([g.ravel(), np.where(there, cost, 0.0).sum(0), there.sum(0)])
+            out = np.concatenate([g.ravel(), (there * cost).sum(0), there.sum(0)])
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "v"])
     found = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # bounded by models x slots
@@ -87,16 +89,18 @@ def _f1(rows: DataFrame, left_out: list[int], weights) -> list[float]:
         for batch in batches:
             said, actual = margins(batch, weights)[0] > 0, batch.column("label").to_numpy()[:, None] > 0
             mine = (batch.column("fold").to_numpy()[:, None] == np.array(left_out)[None]) | (np.array(left_out) < 0)[None]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(models)), pa.array((said & actual & mine).sum(0)), pa.array(((said != actual) & mine).sum(0))],
+            copies = batch.column("copies").to_numpy()[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(models)), pa.array(((said & actual & mine) * copies).sum(0)), pa.array((((said != actual) & mine) * copies).sum(0))],
                                              names=["m", "hits", "wrong"])
-    found = rows.mapInArrow(run, "m long, hits long, wrong long").groupBy("m").agg(F.sum("hits").alias("hits"), F.sum("wrong").alias("wrong")).collect()
+    found = rows.mapInArrow(run, "m long, hits double, wrong double").groupBy("m").agg(F.sum("hits").alias("hits"), F.sum("wrong").alias("wrong")).collect()
     by = {r["m"]: 2 * r["hits"] / (2 * r["hits"] + r["wrong"]) if r["hits"] else 0.0 for r in found}
     return [by.get(m, 0.0) for m in range(models)]
 
 
 def _ready(rows: DataFrame) -> DataFrame:
     fold = F.col("fold") if "fold" in rows.columns else F.lit(0)
-    return rows.select("slots", "values", F.col("label").cast("double").alias("label"), fold.cast("long").alias("fold"))
+    copies = F.col("copies") if "copies" in rows.columns else F.lit(1)
+    return rows.select("slots", "values", F.col("label").cast("double").alias("label"), fold.cast("long").alias("fold"), copies.cast("double").alias("copies"))
 
 
 def penalty_curve(train: DataFrame, holdout: DataFrame, size: int, values: list[float], penalty, per_row: bool = False, folds: int = 5,
