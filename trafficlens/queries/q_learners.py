@@ -21,6 +21,7 @@ from trafficlens.operators.evaluate import class_report, f1_positive
 from trafficlens.operators.windows import sliding_counts
 from trafficlens.plans import bucket_grid as bg
 from trafficlens.plans import depths as dp
+from trafficlens.plans import forests as fo
 from trafficlens.plans import linear_curves as lc
 from trafficlens.plans import models as md
 from trafficlens.plans import sgd
@@ -112,8 +113,9 @@ def q_m18c(spark, d):
 
 
 def _importances(spark, d):
-    f = md.hash_split(login_window_features(spark, d), ["TS_PART", "USER_ID"], 0.3)
-    return md.importances(md.random_forest(trees=100, depth=5).fit(f.where("part = 'train'")), si.EVENT_TYPES)
+    f = md.hash_split(_windows(spark, d), ["TS_PART", "USER_ID"], 0.3)
+    forest = fo.fit(_copies(f.where("part = 'train'")), si.EVENT_TYPES, [-1], trees=100, depth=5)
+    return spark.createDataFrame(list(zip(si.EVENT_TYPES, fo.importances(forest), strict=True)), "feature string, importance double")
 
 
 @register("q_m2_forest_importances")
@@ -435,9 +437,9 @@ def _in_range(curve):
 
 
 def _forest_features(spark, d):
-    train, test = _folded(spark, d)
-    forest = md.random_forest(trees=100, depth=5)
-    return tn.validation_curve(forest, "featureSubsetStrategy", [str(n) for n in range(1, 6)], train, test)
+    train, test = _folded_copies(spark, d)
+    rows = fo.features_curve(train, test, si.EVENT_TYPES, [str(n) for n in range(1, 6)], trees=100, depth=5)
+    return spark.createDataFrame(rows, "param double, cv_f1 double, holdout_f1 double")
 
 
 @register("q_m15_forest_features_curve")
