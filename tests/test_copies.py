@@ -3,7 +3,14 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from trafficlens.operators import encode as en
+from trafficlens.plans import depths as dp
+from trafficlens.plans import forests as fo
+from trafficlens.plans import linear_curves as lc
+from trafficlens.plans import models as md
 from trafficlens.plans import neighbours as nb
+from trafficlens.plans import quantile_vote as qv
+from trafficlens.plans import tuning as tn
 
 
 def test_a_wide_probe_lists_no_cells(monkeypatch, spark):
@@ -57,3 +64,68 @@ def test_stored_rows_are_the_rows(spark):
     from trafficlens.operators.ordering import with_row_index
     df = spark.range(1000).withColumn("v", F.col("id") * 7 % 1000).repartition(5)
     assert sorted((r.i, r.v) for r in with_row_index(df, ["v"], "i").collect()) == [(i, i) for i in range(1000)]
+
+
+def _counts(spark, n=1200):
+    """Rows of two small counts with a key, and the function that merges equal ones."""
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 5, n), rng.integers(0, 4, n)
+    y = ((a > 2) ^ (b == 1) ^ (rng.random(n) < 0.15)).astype(float)
+    rows = spark.createDataFrame([(i, int(p), int(q), float(t), i % 3) for i, (p, q, t) in enumerate(zip(a, b, y, strict=True))], "id long, a long, b long, label double, fold int")
+
+    def merged(df, *by):
+        return en.assemble(["a", "b"]).transform(df.groupBy("a", "b", "label", *by).agg(F.count(F.lit(1)).cast("double").alias("copies")))
+    return rows, merged
+
+
+def test_trees_on_copies_are_the_trees_on_rows(spark):
+    rows, merged = _counts(spark)
+    data, few = en.assemble(["a", "b"]).transform(rows), merged(rows, "fold")
+    assert few.count() <= 5 * 4 * 2 * 3
+    whole, _ = dp.depth_scores(md.decision_tree(), [1, 3], data, data, folds=3)
+    scores, _ = dp.depth_scores(md.decision_tree(), [1, 3], few, few, folds=3, copies="copies")
+    assert sorted(whole.collect()) == sorted(scores.collect())
+    tree = md.decision_tree(depth=3)
+    assert sorted(tn.fold_scores(tree, data, folds=3).collect()) == sorted(tn.fold_scores(tree, few, folds=3, copies="copies").collect())
+
+
+def test_split_sizes_on_copies_are_those_on_rows(spark):
+    rows, merged = _counts(spark, 400)
+    tree, rows = md.decision_tree(depth=2), rows.drop("fold")
+    whole = tn.split_size_curve(tree, en.assemble(["a", "b"]).transform(rows), [0.5, 0.2], "label", ["id"])
+    assert sorted(whole.collect()) == sorted(tn.split_size_curve(tree, rows, [0.5, 0.2], "label", ["id"], merged=merged).collect())
+
+
+def test_linear_curves_on_copies_are_those_on_rows(spark):
+    rows, _ = _counts(spark, 300)
+    slots = rows.select(F.array(F.col("a").cast("int"), (F.col("b") + 5).cast("int")).alias("slots"), F.array(F.lit(1.0), F.lit(1.0)).alias("values"), "label", "fold")
+    few = slots.groupBy("slots", "values", "label", "fold").agg(F.count(F.lit(1)).alias("copies"))
+    whole, merged = (sorted(lc.penalty_curve(r, r, 9, [0.1], lambda a: a, folds=3, iterations=8).collect()) for r in (slots, few))
+    assert np.allclose(whole, merged, atol=1e-12) and whole[0].holdout_f1 > 0
+
+
+def test_forests_on_copies(spark):
+    """What a forest finds on merged rows is what it finds on the rows, up to the draw."""
+    rows, merged = _counts(spark)
+    few, single = merged(rows, "fold"), rows.withColumn("copies", F.lit(1.0))
+    scores = []
+    for r in (few, single):
+        forest = fo.fit(r, ["a", "b"], [0, -1], trees=20, depth=3, subset="2")
+        assert abs(sum(fo.importances(forest, 1)) - 1) < 1e-9 and len(forest.cuts[0]) == 4
+        scores.append(fo.f1_scores(r, ["a", "b"], forest))
+    assert np.allclose(scores[0], scores[1], atol=0.05) and min(scores[0]) > 0.7
+    draws = fo._reader(["a"], [[0.5]], 4000, 3)[1]
+    import pyarrow as pa
+    w = draws(pa.table({"row": [5, 77, 123], "copies": [1.0, 9.0, 400.0]}).to_batches()[0])
+    assert np.allclose(w.mean(1) if w.shape[0] == 3 else w.mean(0), [1, 9, 400], rtol=0.06) and np.allclose(w.var(0), [1, 9, 400], rtol=0.12)
+
+
+def test_the_grid_writes_no_sizes(monkeypatch, spark):
+    """Eight users, 400 logins, many short parts: what is written is the counted logins and the quantiles of a time group."""
+    logins = spark.range(400).select((F.col("id") % 8).alias("USER_ID"), (F.col("id") * 977 % 10007).alias("TIMESTAMP"), (F.col("id") % 8 < 3).cast("int").alias("isBot"),
+                                     F.col("id").alias("ROW_ID"))
+    written, stored = {}, qv.stored
+    monkeypatch.setattr(qv, "stored", lambda df, name: written.setdefault(name, []).append(stored(df, name)) or written[name][-1])
+    scores = qv.grid_scores(logins, (F.col("ROW_ID") % 2).cast("int"), 2, [1, 2], [1, 5], [0.5]).collect()
+    assert len(scores) == 4 and all(0 <= r.f1 <= 1 for r in scores)
+    assert [t.count() for t in written["grid-counts"]] == [400] and all(t.count() <= 2 * (p * 6 + 2) for p, t in zip((1, 2), written["grid-quantiles"], strict=True))
