@@ -19,6 +19,7 @@ from trafficlens.plans import sgd
 from trafficlens.plans import tree_columns as tc
 from trafficlens.plans import tuning as tn
 from trafficlens.plans import wide_pca as wp
+from trafficlens.plans.many import minimise
 from trafficlens.queries import q_learners, q_neighbours, q_wide
 from trafficlens.session import scratch_path
 from trafficlens.sources import files as fs
@@ -223,6 +224,34 @@ def test_grid_weights_are_the_single_fit(spark):
     assert np.allclose(weights[1:], single.coefficients.toArray()[1:], atol=1e-2) and weights[0] == pytest.approx(single.intercept, abs=1e-2)
 
 
+def test_lengths_tried_together_are_those_tried_one_by_one():
+    """A curved valley, where most steps are halved, beside a bowl."""
+    def losses(x):
+        return np.array([100 * (x[1] - x[0] ** 2) ** 2 + (1 - x[0]) ** 2, (x[2] - 3) ** 2])
+
+    def at(x, _):
+        calls.append(1)
+        return losses(x), np.array([-400 * x[0] * (x[1] - x[0] ** 2) - 2 * (1 - x[0]), 200 * (x[1] - x[0] ** 2), 2 * (x[2] - 3)])
+    calls = []
+    one_by_one = minimise(at, [0, 2, 3], 12, 1e-9)[0]
+    single, calls = len(calls), []
+    together = minimise(at, [0, 2, 3], 12, 1e-9, along=lambda x, q, lengths, _: np.stack([losses(x - n * q) for n in lengths]))[0]
+    assert np.allclose(one_by_one, together) and len(calls) <= 1 + 2 * 12 and len(calls) < single
+
+
+def test_losses_along_a_direction_are_those_at_its_points(spark):
+    """What a step's second pass says is what a pass a length says, for the asked maps."""
+    rows = [(u, u % 2, [1, 2], [1, u % 3], [float(u % 7), float(u % 5)], float(u % 7 < 3)) for u in range(60)]
+    counts = spark.createDataFrame(rows, "USER_ID long, pair int, buckets array<int>, kinds array<int>, counts array<double>, label double")
+    grid = bg.Grid([1, 2], [2], [["error"], ["click"], []])
+    size, lengths, asked = grid.starts()[-1], [0.5, 0.25], np.array([True, False, True, False, False, False])
+    x, q = np.linspace(-1, 1, size), np.linspace(2, -3, size)
+    found = bg._losses_along(counts, grid, x, q, lengths, asked)
+    for n, losses in zip(lengths, found, strict=True):
+        single = bg._sums(counts, grid, x - n * q, np.ones(6, bool))[0]
+        assert np.allclose(losses[asked], single[asked]) and single.all() and not losses[~asked].any()
+
+
 # --- M15 over a linear learner's parameters ---------------------------------------------------
 
 def test_penalty_curve_is_the_single_fits(spark):

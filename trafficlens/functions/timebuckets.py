@@ -36,7 +36,7 @@ def bucket_columns(ts, bounds, prefix: str = "ACT_") -> list[Column]:
     return out
 
 
-def ts_group(ts, min_ts, max_ts, parts: int, short_parts: int) -> Column:
+def ts_group(ts, min_ts, max_ts, parts: int | Column, short_parts: int | Column) -> Column:
     """p = trunc((ts-min)/period), sp = trunc(((ts-min) mod period)/short), p*short_parts+sp.
 
     period = (max-min)/parts and short = period/short_parts are doubles, as in
@@ -46,9 +46,10 @@ def ts_group(ts, min_ts, max_ts, parts: int, short_parts: int) -> Column:
     t = F.col(ts) if isinstance(ts, str) else ts
     mn = min_ts if isinstance(min_ts, Column) else F.lit(min_ts)
     mx = max_ts if isinstance(max_ts, Column) else F.lit(max_ts)
-    period = (mx - mn).cast("double") / F.lit(float(parts))
-    short = period / F.lit(float(short_parts))
+    longs, shorts = (n if isinstance(n, Column) else F.lit(n) for n in (parts, short_parts))
+    period = (mx - mn).cast("double") / longs.cast("double")
+    short = period / shorts.cast("double")
     rel = (t - mn).cast("double")
     p = (rel / period).cast("long")
     sp = (F.pmod(rel, period) / short).cast("long")
-    return p * F.lit(short_parts) + sp
+    return p * shorts + sp

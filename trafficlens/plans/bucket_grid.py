@@ -1,13 +1,16 @@
 """M9's grid in one fit: every map's logistic model on shared bucket counts, one gradient aggregate for all.
 
 A map is a pair of period numbers and a list of credential types.  Logins are
-counted once by (user, time, type); each count goes to every pair, and a user's
-counts under a pair are one row, bounded by the pair's buckets.  The maps'
+counted once by (user, time, type); the counts are dealt once, by number of long
+periods and slice of the users, and spread over the pairs where they then lie; a
+user's counts under a pair are one row, bounded by the pair's buckets.  The maps'
 weights lie behind each other in one vector, bounded by the grid.  A step sends
-it to the tasks, which sum loss and gradient of their rows for all maps; one
-combining aggregate by place in the vector adds them up.  L-BFGS with a step
-length a map, on the driver, moves all maps at once, so the logins' counts are
-read as often as the slowest map needs, not once a map and iteration.
+it to the tasks, which sum loss and gradient of their rows for the maps that are
+still moving, each task once; one combining aggregate by place in the vector adds
+them up.  L-BFGS with a step length a map, on the driver, moves all maps at once:
+a step is one pass over the logins' counts, or three if a map's length is halved,
+the second for the losses at all shorter lengths and the third for the gradient at
+the chosen ones, both over the pairs of such maps only.
 
 The objective is the single classifier's (``BucketLogit``): mean log loss of the
 users that have a counted row, plus 1 / (2 C n) of the squared weights without the
@@ -27,12 +30,15 @@ from trafficlens.functions.timebuckets import ts_group
 from trafficlens.operators.aggregates import first_label
 from trafficlens.plans.bucket_logit import BucketLogit
 from trafficlens.plans.many import minimise
-from trafficlens.session import cut_lineage, session
+from trafficlens.session import session, stored
 
 # The parameter grid.
 GRID_PARTS = [1, 2, 3, 4, 5, 6, 7, 8]
 GRID_SHORT_PARTS = [1, 10, 20, 30, 40, 50, 100, 150, 200, 700, 1500]
 
+#: Users whose rows under one number of long periods lie together.
+SLICE_USERS = 8_192
+
 
 class Grid(NamedTuple):
     """All pairs with all type lists (an empty list: every row counts)."""
@@ -58,20 +64,26 @@ class Grid(NamedTuple):
 
 
 def shared_counts(df: DataFrame, grid: Grid, lo: float, hi: float, user: str = "USER_ID", ts: str = "TIMESTAMP",
-                  kind: str = "LOGIN_CREDENTIAL_TYPE", label: str = "isBot", order: str = "ROW_ID") -> DataFrame:
-    """(user, label, pair, buckets, kinds, counts): a row a user and pair of period numbers that has a bucket."""
+                  kind: str = "LOGIN_CREDENTIAL_TYPE", label: str = "isBot", order: str = "ROW_ID", slices: int = 1) -> DataFrame:
+    """(user, label, pair, buckets, kinds, counts): a row a user and pair of period numbers that has a bucket.  Rows lie by
+    number of long periods and slice of the users, of ``slices``."""
     code = F.lit(0)
     for i, t in enumerate(grid.kinds(), 1):
         code = F.when(F.col(kind) == t, i).otherwise(code)
-    counted = df.groupBy(user, ts, code.alias("kind")).agg(F.count(F.lit(1)).alias("c"))
-    groups = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), ts_group(ts, lo, hi, p, s).alias("bucket"), F.lit(p * s).alias("last"))
-                                 for i, (p, s) in enumerate(grid.pairs())]))
-    spread = counted.select(user, "kind", "c", groups.alias("g")).where("g.bucket BETWEEN 1 AND g.last")
-    cells = spread.groupBy(user, "g.pair", "kind", "g.bucket").agg(F.sum("c").cast("double").alias("n"))
-    rows = cells.groupBy(user, "pair").agg(F.array_sort(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "kind", "n"))).alias("e"))
-    named = rows.join(first_label(df, user, label, order), user)
-    return named.select(user, F.col(label).cast("double").alias("label"), "pair", F.col("e.bucket").alias("buckets"),
-                        F.col("e.kind").alias("kinds"), F.col("e.n").alias("counts"))
+    counted = df.groupBy(user, ts, code.alias("kind")).agg(F.count(F.lit(1)).alias("c")).join(first_label(df, user, label, order), user)
+    longs = F.explode(F.array(*map(F.lit, range(len(grid.parts)))))
+    # All later keys hold these two, so the spread counts are never shuffled.
+    dealt = counted.select("*", longs.alias("_long"), F.pmod(F.xxhash64(user), F.lit(slices)).cast("int").alias("_slice")).repartition("_long", "_slice")
+    pairs = F.array(*[F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(p).alias("parts"), F.lit(s).alias("short"))
+                                for i, (p, s) in enumerate(grid.pairs()) if p == long]) for long in grid.parts])
+    placed = dealt.select("*", F.explode(F.element_at(pairs, F.col("_long") + 1)).alias("g")) \
+        .withColumn("bucket", ts_group(ts, lo, hi, F.col("g.parts"), F.col("g.short")))
+    spread = placed.where("bucket BETWEEN 1 AND g.parts * g.short")
+    keys = ["_long", "_slice", user, label, "pair"]
+    cells = spread.groupBy(*keys[:-1], "g.pair", "kind", "bucket").agg(F.sum("c").cast("double").alias("n"))
+    rows = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "kind", "n"))).alias("e"))
+    return rows.select(user, F.col(label).cast("double").alias("label"), "pair", F.col("e.bucket").alias("buckets"),
+                       F.col("e.kind").alias("kinds"), F.col("e.n").alias("counts"))
 
 
 def _scorer(grid: Grid):
@@ -79,8 +91,9 @@ def _scorer(grid: Grid):
     starts, kinds = grid.starts(), grid.kinds()
     counts_for = [[not t, *[k in t or not t for k in kinds]] for t in grid.types]
 
-    def scores(batch, weights):
-        """Per type list: (rows that it counts, their places of the intercept, margins, entries' rows, places, counts)."""
+    def scores(batch, *weights):
+        """Per type list: (rows that it counts, their places of the intercept, margins under each of ``weights``, entries'
+        rows, places, counts)."""
         import numpy as np
         first = np.array(starts)
         row = np.repeat(np.arange(batch.num_rows), batch.column("buckets").value_lengths().to_numpy(zero_copy_only=False))
@@ -88,53 +101,98 @@ def _scorer(grid: Grid):
         pair = batch.column("pair").to_numpy()
         for i, chosen in enumerate(counts_for):
             used = np.array(chosen)[kind]
-            r, base = row[used], first[pair * len(counts_for) + i]
+            r, base, count = row[used], first[pair * len(counts_for) + i], n[used]
             place = base[r] + bucket[used]
-            margin = np.bincount(r, weights[place] * n[used], batch.num_rows) + weights[base]
-            yield np.bincount(r, minlength=batch.num_rows) > 0, base, margin, r, place, n[used]
+            margins = [np.bincount(r, w[place] * count, batch.num_rows) + w[base] for w in weights]
+            yield np.bincount(r, minlength=batch.num_rows) > 0, base, margins, r, place, count
     return scores
 
 
-def _sums(counts: DataFrame, grid: Grid, weights):
-    """Summed loss and users a map, and the summed gradient, of all maps at ``weights``."""
+def _of_pairs(counts: DataFrame, grid: Grid, asked) -> DataFrame:
+    """The rows of the pairs that have an asked map."""
+    pairs = sorted({int(m) // len(grid.types) for m in asked.nonzero()[0]})
+    return counts if len(pairs) == len(grid.pairs()) else counts.where(F.col("pair").isin(pairs))
+
+
+def _totals(rows: DataFrame, size: int, add):
+    """``add(batch, out)`` adds a batch's numbers to ``out``, of ``size``; a task gives its sums once, and these are summed."""
     import numpy as np
-    scores, starts, total = _scorer(grid), grid.starts(), grid.starts()[-1]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        map_at = np.full(total, -1)
-        map_at[starts[:-1]] = np.arange(len(starts) - 1)
+        out = np.zeros(size)
         for batch in batches:
-            sign = 2 * batch.column("label").to_numpy() - 1
-            out = np.zeros(total + 2 * (len(starts) - 1))
-            for there, base, margin, r, place, n in scores(batch, weights):
-                z = sign * margin
-                pull = np.where(there, -sign / (1 + np.exp(np.clip(z, -700, 700))), 0.0)
-                out[:total] += np.bincount(place, pull[r] * n, total) + np.bincount(base, pull, total)
-                m = map_at[base]
-                out[total:] += np.concatenate([np.bincount(m, np.where(there, np.logaddexp(0, -z), 0.0), len(starts) - 1), np.bincount(m, there, len(starts) - 1)])
-            at = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "v"])
-    found = counts.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # bounded by the grid
-    out, maps = np.zeros(total + 2 * (len(starts) - 1)), len(starts) - 1
+            add(batch, out)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "v"])
+    found = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # bounded by the grid
+    out = np.zeros(size)
     out[found["at"].to_numpy()] = found["v"].to_numpy()
+    return out
+
+
+def _sums(counts: DataFrame, grid: Grid, weights, asked):
+    """Summed loss and users a map, and the summed gradient, of the asked maps at ``weights``."""
+    import numpy as np
+    scores, starts, total, maps = _scorer(grid), np.array(grid.starts()), grid.starts()[-1], len(grid.maps())
+
+    def add(batch, out):
+        import numpy as np
+        sign = 2 * batch.column("label").to_numpy() - 1
+        for there, base, (margin,), r, place, n in scores(batch, weights):
+            m = np.searchsorted(starts, base)
+            there = there & asked[m]
+            z = sign * margin
+            pull = np.where(there, -sign / (1 + np.exp(np.clip(z, -700, 700))), 0.0)
+            low = base.min(initial=total)
+            g = np.bincount(place - low, pull[r] * n) if len(place) else np.zeros(0)
+            out[low:low + len(g)] += g
+            g = np.bincount(base - low, pull)
+            out[low:low + len(g)] += g
+            out[total:] += np.concatenate([np.bincount(m, np.where(there, np.logaddexp(0, -z), 0.0), maps), np.bincount(m, there, maps)])
+    out = _totals(_of_pairs(counts, grid, asked), total + 2 * maps, add)
     return out[total:total + maps], out[total + maps:], out[:total]
 
 
+def _losses_along(counts: DataFrame, grid: Grid, weights, direction, lengths, asked):
+    """Summed loss of the asked maps at weights - length * direction: lengths x maps."""
+    import numpy as np
+    scores, starts, maps = _scorer(grid), np.array(grid.starts()), len(grid.maps())
+
+    def add(batch, out):
+        import numpy as np
+        sign = 2 * batch.column("label").to_numpy() - 1
+        for there, base, (margin, slope), *_ in scores(batch, weights, direction):
+            m = np.searchsorted(starts, base)
+            there = there & asked[m]
+            for i, length in enumerate(lengths):
+                out[i * maps:(i + 1) * maps] += np.bincount(m, np.where(there, np.logaddexp(0, -sign * (margin - length * slope)), 0.0), maps)
+    return _totals(_of_pairs(counts, grid, asked), len(lengths) * maps, add).reshape(len(lengths), maps)
+
+
 def fit_all(counts: DataFrame, grid: Grid, C: float = 1.0, iterations: int = 40, tolerance: float = 1e-4):
     """The weights of all maps (see ``Grid.starts``), by L-BFGS over all of them at once."""
     import numpy as np
     starts = np.array(grid.starts())
     free = np.zeros(starts[-1], bool)
     free[starts[:-1]] = True  # intercepts
+    users = np.ones(len(starts) - 1)  # a map's, once it has been asked
+
+    def penalty(x):
+        kept = np.where(free, 0.0, x)
+        return np.add.reduceat(kept * kept, starts[:-1]) / (2 * C * users)
+
+    def at(x, asked):
+        loss, n, g = _sums(counts, grid, x, asked)
+        users[asked] = np.maximum(n, 1)[asked]
+        pull = np.where(free, 0.0, x / np.repeat(C * users, np.diff(starts)))
+        return loss / users + penalty(x), g / np.repeat(users, np.diff(starts)) + pull
 
-    def at(x):
-        loss, users, g = _sums(counts, grid, x)
-        n = np.maximum(users, 1)
-        pull = np.where(free, 0.0, x / np.repeat(C * n, np.diff(starts)))
-        return loss / n + np.add.reduceat(np.where(free, 0.0, x) * pull, starts[:-1]) / 2, g / np.repeat(n, np.diff(starts)) + pull
-    return minimise(at, starts, iterations, tolerance)[0]
+    def along(x, q, lengths, asked):
+        losses = _losses_along(counts, grid, x, q, lengths, asked)
+        return np.stack([loss / users + penalty(x - length * q) for length, loss in zip(lengths, losses, strict=True)])
+    return minimise(at, starts, iterations, tolerance, along=along)[0]
 
 
 def map_scores(counts: DataFrame, grid: Grid, weights) -> DataFrame:
@@ -149,7 +207,7 @@ def map_scores(counts: DataFrame, grid: Grid, weights) -> DataFrame:
         map_at[starts[:-1]] = np.arange(maps)
         for batch in batches:
             actual, hits, wrong = batch.column("label").to_numpy() > 0, np.zeros(maps), np.zeros(maps)
-            for there, base, margin, *_ in scores(batch, weights):
+            for there, base, (margin,), *_ in scores(batch, weights):
                 said, m = margin > 0, map_at[base]
                 hits += np.bincount(m, said & actual & there, maps)
                 wrong += np.bincount(m, (said != actual) & there, maps)
@@ -162,10 +220,12 @@ def map_scores(counts: DataFrame, grid: Grid, weights) -> DataFrame:
 
 def search(train: DataFrame, valid: DataFrame, grid: Grid, C: float = 1.0, ts: str = "TIMESTAMP", **columns) -> tuple[DataFrame, dict]:
     """The maps' scores on ``valid`` (params, f1, best), fitted on ``train``, and the best map with the time range (ties: the first)."""
-    lo, hi = map(float, train.agg(F.min(ts), F.max(ts)).first())
-    counts = cut_lineage(shared_counts(train, grid, lo, hi, ts=ts, **columns))
+    lo, hi, users = train.agg(F.min(ts), F.max(ts), F.approx_count_distinct(columns.get("user", "USER_ID"))).first()
+    lo, hi = float(lo), float(hi)
+    placed = {"ts": ts, "slices": 1 + users // SLICE_USERS, **columns}
+    counts = stored(shared_counts(train, grid, lo, hi, **placed), "bucket-counts")
     weights = fit_all(counts, grid, C)
-    rows = sorted(map_scores(shared_counts(valid, grid, lo, hi, ts=ts, **columns), grid, weights).collect())
+    rows = sorted(map_scores(shared_counts(valid, grid, lo, hi, **placed), grid, weights).collect())
     best = max(range(len(rows)), key=lambda i: (rows[i].f1, -i))
     table = session().createDataFrame([(r.params, r.f1, i == best) for i, r in enumerate(rows)], "params string, f1 double, best boolean")
     return table, grid.maps()[best]

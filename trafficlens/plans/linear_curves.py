@@ -69,7 +69,7 @@ def fit(rows: DataFrame, size: int, penalties: list[float], left_out: list[int],
     starts = np.arange(len(penalties) + 1) * (size + 1)
     free = np.tile(np.arange(size + 1) == size, len(penalties))
 
-    def at(x):
+    def at(x, _):
         total, n, g = _losses(rows, left_out, size, x, loss)
         weight = np.array(penalties) / n if per_row else np.array(penalties)
         pull = np.where(free, 0.0, x * np.repeat(weight, size + 1))
