@@ -101,3 +101,22 @@ def test_online_scoring_fills_missing_fields(spark):
     assert out.count() == rows.count() == http.count()
     assert out.where((F.col("predict_proba") < 0) | (F.col("predict_proba") > 1)
                      | F.col("predict_proba").isNull()).count() == 0
+
+
+def _events(spark, rows, folder):
+    ev = spark.createDataFrame(rows, "event_id long, ms long, user_id long, event_type string")
+    ev.select("event_id", F.expr("CAST(timestamp_millis(ms) AS TIMESTAMP_NTZ)").alias("ts"), "user_id", "event_type").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_a_slice_in_several_files_is_one_batch(spark, tmp_path):
+    """Four slices in the first half of time, each cut into files: a state a slice, and the files' rows are all learned."""
+    from trafficlens.queries import q_streaming as qs
+    d = _events(spark, [(i, 1_704_067_200_000 + i * 432_000, i % 23, "error" if i % 3 else "view") for i in range(800)], str(tmp_path))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder, n = qs._learned_slices(spark, d, fresh=True)
+        assert n == 4 and [r.done for r in qs.sgd.states(spark, folder).orderBy("batch").collect()] == [1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)

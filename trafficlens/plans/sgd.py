@@ -154,10 +154,10 @@ def learn_batches(batches: Iterable[DataFrame], learner: Learner, folder: str, s
     return at + 1
 
 
-def learn_stream(stream: DataFrame, learner: Learner, folder: str, prepare=lambda batch: batch) -> None:
-    """Every micro-batch, prepared as rows, is a batch."""
-    q = (stream.writeStream.foreachBatch(lambda batch, i: learn_batch(prepare(batch), i, learner, folder) and None)
-         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+def learn_stream(stream: DataFrame, learner: Learner, folder: str, prepare=lambda batch: batch, before: int = 0) -> None:
+    """Every micro-batch, prepared as rows, is a batch; ``before`` batches were learned from other streams, one after another."""
+    q = (stream.writeStream.foreachBatch(lambda batch, i: learn_batch(prepare(batch), before + i, learner, folder) and None)
+         .option("checkpointLocation", f"{folder}/checkpoint{f'-{before}' if before else ''}").trigger(availableNow=True).start())
     q.awaitTermination()
 
 

@@ -110,13 +110,13 @@ _T5 = with_(LOGINS, "mn AS (SELECT min(TIMESTAMP) AS m FROM logins)",
 
 
 def _sliced(spark, d):
-    """Logins fed as files; the first half of time marked; the 12 h slices' window counts."""
+    """Logins fed as files, as many at a time as there are cores; the first half of time marked; the 12 h slices' window counts."""
     lg = si.logins(spark, d)
     n = lg.count()
     marked = lg.withColumn("first_half", first_rows(lg, ["TIMESTAMP", "ROW_ID"], [n // 2], n)[0]).drop("ROW_ID")
     ts_min = lg.agg(F.min("TIMESTAMP")).first()[0]
     return st.run_slices(spark, _feed(marked, "login-slices"), marked.schema, fs.fresh(spark, "slice-features"), ts_min, SLICE_MS,
-                         W6, S1, si.EVENT_TYPES, part="first_half")
+                         W6, S1, si.EVENT_TYPES, part="first_half", max_files=spark.sparkContext.defaultParallelism)
 
 
 @register("q_t5_slice_features", _T5 + "SELECT * FROM c")
@@ -138,9 +138,12 @@ def _learned_slices(spark, d, fresh):
         first = lg.where(first_rows(lg, ["TIMESTAMP", "ROW_ID"], [n // 2], n)[0]).drop("ROW_ID")
         source = fs.write_by_slice(first, fs.fresh(spark, "training-slices"), "TIMESTAMP", ts_min, SLICE_MS)
         folder, learner = fs.fresh(spark, "slice-learner"), sgd.Learner(len(si.EVENT_TYPES), sgd.HINGE, eta=10.0, steps=1)
-        stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        sgd.learn_stream(stream, learner, folder, lambda batch: _slots(st.slice_counts(batch, ts_min, SLICE_MS, W6, S1, si.EVENT_TYPES)))
-        return folder, sgd.states(spark, folder).count()
+        # A slice is one batch, however many files hold it; slices in their order, not in that in which tasks end.
+        slices = sorted(fs.slice_folders(spark, source), key=lambda s: (s is not None, s))
+        for i, at in enumerate(slices):
+            stream = spark.readStream.schema(first.schema).parquet(fs.slice_folder(source, at))
+            sgd.learn_stream(stream, learner, folder, lambda batch: _slots(st.slice_counts(batch, ts_min, SLICE_MS, W6, S1, si.EVENT_TYPES)), before=i)
+        return folder, len(slices)
     return made(spark, d, "slice-learner", make, fresh)
 
 

@@ -74,6 +74,15 @@ def write_by_slice(df: DataFrame, path: str, ts: str, start: int, width: int) ->
     return path
 
 
+def slice_folders(spark: SparkSession, path: str) -> list[int | None]:
+    """The slices that ``write_by_slice`` left at ``path`` (None: rows without a time); as many as time has."""
+    return [r[0] for r in spark.read.parquet(path).select("slice").distinct().collect()]
+
+
+def slice_folder(path: str, at: int | None) -> str:
+    return f"{path}/slice={'__HIVE_DEFAULT_PARTITION__' if at is None else at}"
+
+
 def read_between(spark: SparkSession, path: str, ts: str, start: int, width: int, low: int, high: int, closed: str = "left") -> DataFrame:
     """P7 on ``write_by_slice``'s layout: rows with low <= ts < high (``closed='both'``: <= high).  The bounds become a
     range of slices, which prunes folders, and a filter on ``ts``, which cuts the first and last slice."""
