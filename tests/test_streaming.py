@@ -120,3 +120,19 @@ def test_a_slice_in_several_files_is_one_batch(spark, tmp_path):
         assert n == 4 and [r.done for r in qs.sgd.states(spark, folder).orderBy("batch").collect()] == [1, 2, 3, 4]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
+def test_folds_are_ranks_by_hash_and_write_nothing(spark):
+    import os
+
+    from trafficlens import session as se
+    from trafficlens.operators.rows import hash_fraction
+    from trafficlens.plans.tuning import stratified_folds
+    rows = spark.createDataFrame([(i // 2, i % 2, float(i % 3 == 0)) for i in range(500)], "a long, b long, label double")
+    se.stored(rows.limit(1), "any")
+    before = sorted(os.listdir(se._scratch_root(spark).removeprefix("file:")))
+    found = stratified_folds(rows, "label", ["a", "b"], 4).withColumn("h", hash_fraction(["a", "b"], 17)).collect()
+    assert sorted(os.listdir(se._scratch_root(spark).removeprefix("file:"))) == before and len(found) == 500
+    for y in (0.0, 1.0):
+        ranked = sorted((r for r in found if r.label == y), key=lambda r: (r.h, r.a, r.b))
+        assert [r.fold for r in ranked] == [i % 4 for i in range(len(ranked))]

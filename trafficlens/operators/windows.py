@@ -8,9 +8,10 @@ and credential type are stacked over all i.
 Plan at scale: ``ts_min`` is a scalar subquery (one tiny aggregate job, no
 driver round trip, no join).  Rows are counted by pane first, the longest stretch
 of time that every window holds whole or not at all (the greatest common divisor of
-window and shift); only the pane rows are exploded into their n window
-parts and summed, so a raw row is never copied.  A hot user is spread over all of
-its panes and parts.
+window and shift); only the pane rows are dealt by user, and there exploded into
+their n window parts and summed, so a raw row is never copied and no copy is
+shuffled.  A hot user's rows are spread over all of its panes before; its panes,
+bounded by the time that the table covers, come to one task.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def sliding_counts(df: DataFrame, window: int, shift: int, types: list[str], *,
         .withColumn("_pane", F.expr(f"_off div {pane}")).groupBy("_pane", user, label).agg(*type_counts(types, type_col))
     if n == 1:
         return panes.withColumnRenamed("_pane", part_col)
-    parts = panes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
+    parts = panes.repartition(user, label).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
         .withColumn(part_col, F.expr(f"((_pane * {pane} + _i * {int(shift)}) div {int(window)}) * {n} + _i"))
     return parts.groupBy(part_col, user, label).agg(*[F.sum(t).alias(t) for t in types])
 

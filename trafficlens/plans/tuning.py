@@ -1,9 +1,11 @@
 """Folds, grid and random search, validation and split-size curves.
 
-Folds are stratified exactly without a per-class window: rows are numbered
-globally by (label, keyed hash) with the partitioned row index, the class
-offset (a scalar) is subtracted, and fold = rank mod k.  CrossValidator reads
-the fold column (``foldCol``), so folds do not depend on partitioning.
+Folds are stratified exactly without a per-class window: the keyed hash is
+spread evenly, so a class is cut into stretches of it, whose sizes one combining
+aggregate counts; a row's rank is its place in its stretch behind the stretches
+before, and fold = rank mod k.  Rows are shuffled once and not written.
+CrossValidator reads the fold column (``foldCol``), so folds do not depend on
+partitioning.
 """
 
 from __future__ import annotations
@@ -15,23 +17,28 @@ from typing import NamedTuple
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.operators.evaluate import class_report
-from trafficlens.operators.ordering import with_row_index
 from trafficlens.operators.rows import hash_fraction
 from trafficlens.session import stored
 
+#: Stretches of the keyed hash that a class is cut into.
+STRETCHES = 4096
+
 
 def stratified_folds(df: DataFrame, label: str, key_cols: list[str], k: int, seed: int = 17,
                      col: str = "fold") -> DataFrame:
-    h = df.withColumn("_h", hash_fraction(key_cols, seed))
-    idx = with_row_index(h, [label, "_h", *key_cols], "_rn")
-    # One row per class: the class offsets are a tiny table.
-    firsts = idx.groupBy(label).agg(F.min("_rn").alias("_first"))
-    return idx.join(F.broadcast(firsts), label).withColumn(col, ((F.col("_rn") - F.col("_first")) % k).cast("int")) \
-        .drop("_h", "_rn", "_first")
+    """``df`` with each row's fold, its rank within its class by keyed hash, mod ``k``; ``df`` is read twice."""
+    h = df.withColumn("_h", hash_fraction(key_cols, seed)).withColumn("_stretch", F.floor(F.col("_h") * STRETCHES).cast("int"))
+    before = Window.partitionBy(label).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    # A row a class and stretch: a tiny table.
+    sizes = h.groupBy(label, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = sizes.select(label, "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(label, "_stretch").orderBy("_h", *key_cols)) - 1
+    return h.withColumn("_rn", place).join(F.broadcast(firsts), [label, "_stretch"]) \
+        .withColumn(col, ((F.col("_rn") + F.col("_first")) % k).cast("int")).select(*df.columns, col)
 
 
 def f1_evaluator(label: str = "label", metric: str = "f1", copies: str | None = None) -> MulticlassClassificationEvaluator:

@@ -326,7 +326,7 @@ def _folded(spark, d, k=5):
     """Training part with folds, and the holdout part, of the login windows."""
     f = md.hash_split(_windows(spark, d), ["TS_PART", "USER_ID"], 0.3)
     train = tn.stratified_folds(f.where("part = 'train'").drop("isBot", "part"), "label", ["TS_PART", "USER_ID"], k)
-    return stored(train, "folded-windows"), f.where("part = 'test'")
+    return train, f.where("part = 'test'")
 
 
 def _copies(rows, *by):
