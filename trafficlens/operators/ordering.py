@@ -9,7 +9,7 @@ and AQE make of it.  Order keys must be unique (add a tie key) for a defined
 index.  Range bounds come from a sample, so two reads of the same plan may cut
 partitions differently; the range-partitioned rows are therefore written once
 (compressed, into the session's ``spark.checkpoint.dir``) and both the counts
-and the numbering read that copy.  It is meant for dictionaries and folds.
+and the numbering read that copy.  It is meant for dictionaries.
 
 ``keys_at`` finds only the keys at given positions, for prefixes and splits of
 whole tables: the order columns are read a few times, for all positions
