@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorIndexer
 from pyspark.sql import functions as F
 
 from tests.conftest import SF, SMOKE
+from trafficlens.functions.timebuckets import ts_buckets, ts_group
 from trafficlens.operators import encode as en
 from trafficlens.plans import bucket_grid as bg
 from trafficlens.plans import bucket_logit as bl
@@ -252,6 +253,70 @@ def test_losses_along_a_direction_are_those_at_its_points(spark):
         assert np.allclose(losses[asked], single[asked]) and single.all() and not losses[~asked].any()
 
 
+def _odd_logins(spark):
+    """Few users and one with most logins; some logins are twice, some have no user, time or type."""
+    rng, rows = np.random.default_rng(7), []
+    for i in range(900):
+        user = 5 if i % 3 else int(rng.integers(0, 40))
+        rows.append((user, int(rng.integers(0, 3) * 500 if i % 7 == 0 else rng.integers(0, 1001)), ["error", "click", "view", None][int(rng.integers(0, 4))], user % 2, i))
+    rows += [(*r[:4], 900 + i) for i, r in enumerate(rows[:50])] + [(None, 3, "error", 1, 1000), (3, None, "error", 1, 1001), (77, -20, "error", 1, 1002), (78, 1300, "click", 0, 1003)]
+    return spark.createDataFrame(rows, "USER_ID long, TIMESTAMP long, LOGIN_CREDENTIAL_TYPE string, isBot int, ROW_ID long").repartition(4)
+
+
+@pytest.fixture
+def small_batches(spark):
+    """Arrow batches of 50 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, 50)
+    yield
+    spark.conf.set(name, was)
+
+
+def test_chunks_give_the_sums_of_each_map(spark, monkeypatch, small_batches):
+    """Loss, users and gradient of every map from packed logins, against its users' counts by time group; a user with most
+    logins is bounded by the grid, and nothing is written a user and pair."""
+    monkeypatch.setattr(bg, "CHUNK_LOGINS", 64)
+    monkeypatch.setattr(bg, "PIECE", 50)
+    lg, grid, lo, hi = _odd_logins(spark), bg.Grid([1, 2, 3], [1, 4, 7], [[], ["error"], ["click", "error"]]), 0.0, 1000.0
+    counts = bg.shared_counts(lg, grid, lo, hi, slices=2)
+    chunks = counts.collect()
+    assert 2 < len(chunks) < lg.select("USER_ID").distinct().count()
+    entries = [n for c in chunks for n in np.frombuffer(c.entries, "int32")]
+    assert 100 < max(entries) < 64 + 50 + 3 * sum(p * s + 1 for p, s in grid.pairs()) < lg.where("USER_ID = 5").count()
+    rng, asked = np.random.default_rng(2), np.ones(len(grid.maps()), bool)
+    asked[4] = False
+    x = rng.normal(size=grid.starts()[-1]) / 5
+    losses, users, g = bg._sums(counts, grid, x, asked)
+    for m, fixed in enumerate(grid.maps()):
+        a, b = grid.starts()[m:m + 2]
+        if not asked[m]:
+            assert not losses[m] and not users[m] and not g[a:b].any()
+            continue
+        types, size = fixed["credentialTypes"], b - a
+        rows = lg.withColumn("g", ts_group("TIMESTAMP", lo, hi, fixed["parts"], fixed["shortParts"])).where(f"USER_ID IS NOT NULL AND g BETWEEN 1 AND {size - 1}").collect()
+        vectors = {}
+        for r in rows:
+            if not types or r.LOGIN_CREDENTIAL_TYPE in types:
+                vectors.setdefault(r.USER_ID, np.zeros(size))[r.g] += 1
+        loss, pull = 0.0, np.zeros(size)
+        for u, v in vectors.items():
+            v[0], sign = 1, 2 * (u % 2) - 1
+            loss += np.log1p(np.exp(-sign * (v @ x[a:b])))
+            pull -= v * sign / (1 + np.exp(sign * (v @ x[a:b])))
+        assert users[m] == len(vectors) and losses[m] == pytest.approx(loss) and np.allclose(g[a:b], pull)
+
+
+def test_buckets_of_numbers_are_the_time_groups(spark):
+    lo, hi, pairs = 1704067211172.0, 1706659165261.0, [(1, 1), (1, 1500), (3, 7), (3, 200), (7, 30), (8, 1500)]
+    rng = np.random.default_rng(1)
+    edges = [lo + (hi - lo) * k / n for n in (1, 2, 3, 7, 21, 30, 210, 600, 1500, 12000) for k in range(min(n, 40) + 1)]
+    times = sorted({int(t) + d for t in [*edges, *rng.uniform(lo - 1e8, hi + 1e8, 2000)] for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(t,) for t in times], "t long").select(*[ts_group("t", lo, hi, p, s) for p, s in pairs]).collect()
+    for i, found in ts_buckets()(np.array(times, float) - lo, hi - lo, pairs):
+        assert [r[i] for r in rows] == found.tolist()
+
+
 # --- M15 over a linear learner's parameters ---------------------------------------------------
 
 def test_penalty_curve_is_the_single_fits(spark):

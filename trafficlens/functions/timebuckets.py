@@ -53,3 +53,20 @@ def ts_group(ts, min_ts, max_ts, parts: int | Column, short_parts: int | Column)
     p = (rel / period).cast("long")
     sp = (F.pmod(rel, period) / short).cast("long")
     return p * shorts + sp
+
+
+def ts_buckets():
+    """``ts_group`` of an array of times since min_ts (span = max_ts - min_ts), as a function that travels with tasks: for each
+    pair of period numbers its place and the groups, as whole doubles, from the same operations."""
+    def buckets(rel, span, pairs):
+        import numpy as np
+        longs = {}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i, (parts, short_parts) in enumerate(pairs):
+                period = np.float64(span) / parts
+                if parts not in longs:
+                    within = np.fmod(rel, period)
+                    longs = {parts: (np.trunc(rel / period), np.where(within < 0, np.fmod(within + period, period), within))}
+                p, within = longs[parts]
+                yield i, p * short_parts + np.trunc(within / (period / short_parts))
+    return buckets
