@@ -161,31 +161,30 @@ def _scorer(grid: Grid, asked):
             yield numbers("labels", "float64"), numbers("entries", "int32"), numbers("kinds", kind_type), n, placed
 
     def scores(batch, *weights):
-        """(map, labels, margins under each of ``weights``, entries a row, places, counts or None) of rows that the map counts."""
+        """(map, labels, which rows the map counts, margins under each of ``weights``, entries a row, places, counts or None);
+        place 0 has the entries that have no bucket, which weigh nothing."""
         import numpy as np
         for labels, entries, kind, n, placed in parts(batch):
             row, mine = np.repeat(np.arange(len(labels)), entries), []
             for chosen in counts_for:
                 used = np.flatnonzero(np.array(chosen)[kind])
-                mine.append((slice(None) if len(used) == len(kind) else used, row[used], None if n is None else n[used]))
+                first = np.flatnonzero(np.diff(row[used], prepend=-1))
+                mine.append((slice(None) if len(used) == len(kind) else used, labels[row[used][first]], first, np.diff(first, append=len(used)), None if n is None else n[used]))
             for pair, bucket in placed:
                 size, bucket = pairs[pair][0] * pairs[pair][1] + 1, bucket.astype(np.intp)
-                within = bucket.min(initial=1) > 0 and bucket.max(initial=1) < size
-                for i, (used, r, c) in enumerate(mine):
-                    m, place = pair * lists + i, bucket[used]
-                    if not asked[m]:
+                if bucket.min(initial=0) < 0 or bucket.max(initial=0) >= size:
+                    bucket = np.where((bucket > 0) & (bucket < size), bucket, 0)
+                for i, (used, actual, first, of, c) in enumerate(mine):
+                    m = pair * lists + i
+                    if not asked[m] or not len(first):
                         continue
-                    if not within:
-                        there = np.flatnonzero((place > 0) & (place < size))
-                        place, r, c = place[there], r[there], None if c is None else c[there]
-                    if not len(r):
-                        continue
-                    first, margins = np.flatnonzero(np.diff(r, prepend=-1)), []
+                    place, margins = bucket[used], []
                     for w in weights:
-                        own = w[starts[m]:starts[m + 1]]
+                        own = w[starts[m]:starts[m + 1]].copy()
+                        base, own[0] = own[0], 0.0
                         v = own.take(place)
-                        margins.append(np.add.reduceat(v if c is None else v * c, first) + own[0])
-                    yield m, labels[r[first]], margins, np.diff(first, append=len(r)), place, c
+                        margins.append(np.add.reduceat(v if c is None else v * c, first) + base)
+                    yield m, actual, np.add.reduceat(place, first) > 0, margins, of, place, c
     return scores
 
 
@@ -226,16 +225,16 @@ def _sums(counts: DataFrame, grid: Grid, weights, asked):
 
     def add(batch, out):
         import numpy as np
-        for m, labels, (margin,), entries, place, n in scores(batch, weights):
+        for m, labels, there, (margin,), entries, place, n in scores(batch, weights):
             sign = 2 * labels - 1
             z = sign * margin
-            pull = -sign / (1 + np.exp(np.clip(z, -700, 700)))
-            spread = np.repeat(pull, entries)
-            a, b = starts[m], starts[m + 1]
-            out[a:b] += np.bincount(place, spread if n is None else spread * n, b - a)
-            out[a] += pull.sum()
-            out[total + m] += np.logaddexp(0, -z).sum()
-            out[total + maps + m] += len(z)
+            pull = np.where(there, -sign / (1 + np.exp(np.clip(z, -700, 700))), 0.0)
+            spread, a, b = np.repeat(pull, entries), starts[m], starts[m + 1]
+            g = np.bincount(place, spread if n is None else spread * n, b - a)
+            g[0] = pull.sum()
+            out[a:b] += g
+            out[total + m] += np.logaddexp(0, -z[there]).sum()
+            out[total + maps + m] += there.sum()
     out = _totals(counts, total + 2 * maps, add)
     return out[total:total + maps], out[total + maps:], out[:total]
 
@@ -246,8 +245,8 @@ def _losses_along(counts: DataFrame, grid: Grid, weights, direction, lengths, as
 
     def add(batch, out):
         import numpy as np
-        for m, labels, (margin, slope), *_ in scores(batch, weights, direction):
-            sign = 2 * labels - 1
+        for m, labels, there, (margin, slope), *_ in scores(batch, weights, direction):
+            sign, margin, slope = 2 * labels[there] - 1, margin[there], slope[there]
             for i, length in enumerate(lengths):
                 out[i * maps + m] += np.logaddexp(0, -sign * (margin - length * slope)).sum()
     return _totals(counts, len(lengths) * maps, add).reshape(len(lengths), maps)
@@ -287,8 +286,8 @@ def map_scores(counts: DataFrame, grid: Grid, weights) -> DataFrame:
         import pyarrow as pa
         hits, wrong = np.zeros(maps), np.zeros(maps)
         for batch in batches:
-            for m, labels, (margin,), *_ in scores(batch, weights):
-                said, actual = margin > 0, labels > 0
+            for m, labels, there, (margin,), *_ in scores(batch, weights):
+                said, actual = margin[there] > 0, labels[there] > 0
                 hits[m] += (said & actual).sum()
                 wrong[m] += (said != actual).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(maps)), pa.array(hits), pa.array(wrong)], names=["map", "hits", "wrong"])
