@@ -39,8 +39,8 @@ from trafficlens.session import cut_lineage, session
 GRID_PARTS = [1, 2, 3, 4, 5, 6, 7, 8]
 GRID_SHORT_PARTS = [1, 10, 20, 30, 40, 50, 100, 150, 200, 700, 1500]
 
-#: Users of a task, at least where there are as many tasks a core, and else at most; logins of a chunk, about.
-LEAST_USERS, TASKS, MOST_USERS, CHUNK_LOGINS = 256, 2, 8_192, 65_536
+#: Up to TASKS tasks a core, of LEAST_USERS or more; more tasks where these would have over MOST_USERS.  A chunk's logins, about.
+LEAST_USERS, TASKS, MOST_USERS, CHUNK_LOGINS = 256, 2, 32_768, 65_536
 #: Numbers of the summed vector that are added up together.
 PIECE = 65_536
 
